@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "as_col", "safe_double", "parse_utc", "clean_text", "wind_speed", "kelvin_to_celsius",
     "parse_mw", "canonical_region_code", "kw_to_mw", "js_round", "nan_to_null",
-    "end_of_day_bound", "normalize_name", "dec4_text", "decimal_sum",
+    "end_of_day_bound", "normalize_name", "dec4_text", "decimal_sum", "json_safe", "to_json_records",
 ]
 
 
@@ -112,3 +112,24 @@ def decimal_sum(c, scale: int = 4) -> Column:
     """Order-independent sum of doubles (exact in decimal, returned as double)."""
     return F.sum(as_col(c).cast(f"decimal(28,{scale})")).cast("double")
 
+
+
+def json_safe(df, ts_format: str = "yyyy-MM-dd'T'HH:mm:ss"):
+    """Timestamps -> ISO text, decimals -> double; NULLs kept (API-ready rows)."""
+    from pyspark.sql import functions as _F
+    cols = []
+    for name, t in df.dtypes:
+        if t.startswith("timestamp") or t == "date":
+            cols.append(_F.date_format(_F.col(name), ts_format).alias(name))
+        elif t.startswith("decimal"):
+            cols.append(_F.col(name).cast("double").alias(name))
+        else:
+            cols.append(_F.col(name))
+    return df.select(*cols)
+
+
+def to_json_records(df):
+    """One JSON object per row, NULL fields written as null."""
+    from pyspark.sql import functions as _F
+    return json_safe(df).select(_F.to_json(_F.struct(*df.columns),
+                                           {"ignoreNullFields": "false"}).alias("json"))

@@ -350,3 +350,22 @@ def emission_factor_dim(raw: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("co2_kg_mwh", "ch4_kg_mwh", "n2o_kg_mwh", "reference", "annee"), "annee")
     g = typed.groupBy("filiere", "source_name").agg(last.alias("_r"))
     return g.select("filiere", "source_name", "_r.*").withColumn("factor", F.col("co2_kg_mwh"))
+
+
+def load_factor(long: DataFrame, capacity: DataFrame, region: str = "id_region", source: str = "id_source",
+                mw: str = "valeur_mw", out: str = "facteur_charge") -> DataFrame:
+    """P17 (D07): MW / installed capacity, by (region, source) when known, else by source.
+
+    ``capacity`` has (region, source, puissance_installee_mw) with region NULL
+    for national figures. A missing or zero capacity gives NULL (``try_divide``).
+    The capacity table is one row per (region, source): a dimension-sized side.
+    """
+    reg = capacity.where(F.col(region).isNotNull()).select(
+        F.col(region).alias("_cr"), F.col(source).alias("_cs"), F.col("puissance_installee_mw").alias("_cap_r"))
+    nat = capacity.where(F.col(region).isNull()).select(
+        F.col(source).alias("_ns"), F.col("puissance_installee_mw").alias("_cap_n"))
+    j = (long.join(reg, (F.col(region) == F.col("_cr")) & (F.col(source) == F.col("_cs")), "left")
+             .join(nat, F.col(source) == F.col("_ns"), "left"))
+    cap = F.coalesce(F.col("_cap_r"), F.col("_cap_n"))
+    return j.withColumn(out, F.try_divide(F.col(mw).cast("double"), cap.cast("double"))) \
+            .drop("_cr", "_cs", "_cap_r", "_ns", "_cap_n")

@@ -1,15 +1,16 @@
 """De-duplication.
 
-Keep-last is an aggregate, not a window: ``max_by(row, order)`` is combined
-map-side, so a key that holds a large share of the rows is reduced to one row
-per map task before the shuffle instead of being shipped whole to one reducer.
+Keep-last and keep-first reduce map-side before the shuffle (partial group
+limit, or ``min_by`` partial aggregation), so a key that holds a large share
+of the rows is cut to one row per map task instead of being shipped whole to
+one reducer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltaic.functions.columns import as_col
@@ -22,16 +23,16 @@ def _order_struct(order: Sequence):
 def dedup_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The last row per key in load order (``order`` must be a total order per key).
 
+    ``row_number() = 1`` over the key, newest first: Spark plans it as a
+    partial group limit before the shuffle (one row per key per map task)
+    and a final one after, so a hot key is reduced before it moves.
     A key column absent from the frame means the step is skipped, as for a
     batch that lacks the column altogether.
     """
     if not keys or any(k not in df.columns for k in keys):
         return df
-    payload = [c for c in df.columns if c not in keys]
-    if not payload:
-        return df.select(*keys).distinct()
-    best = F.max_by(F.struct(*payload), _order_struct(order)).alias("_last")
-    return df.groupBy(*keys).agg(best).select(*keys, "_last.*").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[as_col(o).desc() for o in order])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

@@ -31,7 +31,9 @@ from voltaic.operators import quality as Q
 from voltaic.operators import upsert as U
 from voltaic.operators import windows as W
 from voltaic.plans import gold, silver, standins as S
+from voltaic.session import scratch_path
 from voltaic.sources import html_events, profile, sinks
+from voltaic.streaming import streams as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -720,6 +722,83 @@ def s17(spark, d):
     return p
 
 
+# ---------------------------------------------------------------------------
+# Streaming (availableNow over the events file; outputs read back as tables)
+# ---------------------------------------------------------------------------
+
+def _events_stream(spark, d):
+    schema = S.table(spark, d, "events").schema
+    return T.stream_bronze(spark, d, schema, glob="events.parquet")
+
+
+def _append_and_read(sdf, name):
+    spark = sdf.sparkSession
+    root = scratch_path(spark, name)
+    q = (sdf.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("t01_stream_bronze", _with(S.SQL_RAW_READINGS) + "SELECT * FROM raw_readings")
+def t01(spark, d):
+    """The events file as a stream, bound to raw readings, landed as Bronze Parquet."""
+    return _append_and_read(S.raw_readings_from(_events_stream(spark, d)), "t01")
+
+
+@query("t03_stream_upsert", _with(S.SQL_SILVER) + "SELECT * FROM silver")
+def t03(spark, d):
+    """Streamed readings upserted per micro-batch (keep-last per region and slot)."""
+    sdf = silver.readings_columns(S.raw_readings_from(_events_stream(spark, d)))
+    sdf = sdf.where(F.col("code_insee_region").isNotNull() & F.col("date_heure").isNotNull())
+    root = scratch_path(spark, "t03")
+    T.stream_upsert(sdf, f"{root}/table", ["code_insee_region", "date_heure"], ["load_ordinal"],
+                    checkpoint=f"{root}/ckpt")
+    return T.read_upserted(spark, f"{root}/table").drop("load_ordinal", "v")
+
+
+@query("t04_stream_national", (_with(S.SQL_RAW_READINGS) + """, long AS (
+  SELECT CAST(substr(date_heure, 1, 19) AS TIMESTAMP) - INTERVAL 1 HOUR AS date_heure, source_name, mw FROM (
+    SELECT date_heure, 'nucleaire' AS source_name, TRY_CAST(trim(nucleaire) AS DOUBLE) AS mw FROM raw_readings
+    UNION ALL SELECT date_heure, 'eolien', TRY_CAST(trim(eolien) AS DOUBLE) FROM raw_readings
+    UNION ALL SELECT date_heure, 'solaire', TRY_CAST(trim(solaire) AS DOUBLE) FROM raw_readings
+    UNION ALL SELECT date_heure, 'hydraulique', TRY_CAST(trim(hydraulique) AS DOUBLE) FROM raw_readings
+    UNION ALL SELECT date_heure, 'gaz', TRY_CAST(trim(gaz) AS DOUBLE) FROM raw_readings) x
+  WHERE mw > 0),
+w AS (SELECT time_bucket(INTERVAL 15 MINUTE, date_heure) AS window_start,
+             time_bucket(INTERVAL 15 MINUTE, date_heure) + INTERVAL 15 MINUTE AS window_end, source_name,
+             CAST(SUM(CAST(mw AS DECIMAL(28,4))) AS DOUBLE) AS mw, COUNT(*) AS readings
+      FROM long GROUP BY 1, 2, 3)
+SELECT * FROM w WHERE window_end <= (SELECT MAX(date_heure) FROM long) - INTERVAL 4 HOUR"""))
+def t04(spark, d):
+    """National positive MW per 15-minute window and source on the stream (final windows)."""
+    sdf = silver.readings_columns(S.raw_readings_from(_events_stream(spark, d)))
+    long = A.unpivot_sources(sdf, ["date_heure"])
+    return _append_and_read(T.stream_national(long), "t04")
+
+
+@query("t05_stream_last_seen", _LAST_SEEN_SQL + "SELECT * FROM marked")
+def t05(spark, d):
+    """Last reading per region kept as streaming state, merged per batch, then marked."""
+    sdf = silver.readings_columns(S.raw_readings_from(_events_stream(spark, d)))
+    root = scratch_path(spark, "t05")
+    q = (T.stream_last_seen(sdf).writeStream.outputMode("update")
+         .foreachBatch(T.merge_last_seen(f"{root}/table")).option("checkpointLocation", f"{root}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    dim = T.read_upserted(spark, f"{root}/table").drop("v")
+    return Y.mark_status(dim, "2024-01-30 12:00:00").select(
+        "code_insee", "nom_region", "first_seen_at", "last_seen_at", "status", "previous_status")
+
+
+@query("t06_stream_alert_dedup", _with(S.SQL_ALERTS) +
+       "SELECT DISTINCT user_id, region_code, alert_type, CAST(sent_at AS DATE) AS day FROM alerts")
+def t06(spark, d):
+    """One alert per (user, region, type, day) on the stream."""
+    s = T.stream_alert_dedup(S.alert_log_from(_events_stream(spark, d)))
+    return _append_and_read(s.select("user_id", "region_code", "alert_type", "day"), "t06")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -31,8 +31,8 @@ def fact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dims(spark: SparkSession, d: str, f: DataFrame | None = None):
-    f = fact(spark, d) if f is None else f
-    return standins.dim_region(spark, d), standins.dim_time_from(f), standins.dim_source(spark)
+    """(region, time, source) dimensions; ``f`` is accepted for symmetry and unused."""
+    return standins.dim_region(spark, d), standins.dim_time(spark, d), standins.dim_source(spark)
 
 
 def prod_long(spark: SparkSession, d: str) -> DataFrame:

@@ -45,16 +45,21 @@ def parse_times(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: parse_utc(c).cast("timestamp_ntz") for c in cols if c in df.columns})
 
 
-def transform_readings(raw: DataFrame, order: Sequence[str] = ("load_ordinal",),
-                       keys: Sequence[str] = ("code_insee_region", "date_heure"),
-                       rules=RTE_QUALITY_RULES) -> tuple[DataFrame, DataFrame]:
-    """Regional readings -> Silver (P01-P04, K01, N01/N04); returns (silver, metrics)."""
+def readings_columns(raw: DataFrame) -> DataFrame:
+    """Row-local part of the readings Silver step (P01-P04); usable on a stream."""
     df = drop_artifacts(raw)
     df = safe_numeric(df)
     if "consommation" in df.columns:
         df = df.withColumn("consommation", F.col("consommation").cast("double"))
     df = rename_columns(df)
-    df = parse_times(df, ["date_heure"])
+    return parse_times(df, ["date_heure"])
+
+
+def transform_readings(raw: DataFrame, order: Sequence[str] = ("load_ordinal",),
+                       keys: Sequence[str] = ("code_insee_region", "date_heure"),
+                       rules=RTE_QUALITY_RULES) -> tuple[DataFrame, DataFrame]:
+    """Regional readings -> Silver (P01-P04, K01, N01/N04); returns (silver, metrics)."""
+    df = readings_columns(raw)
     drop_cols = [c for c, s in rules.items() if s == DROP]
     df = null_drop(df, drop_cols)
     df = dedup_keep_last(df, list(keys), list(order))

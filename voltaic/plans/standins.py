@@ -131,9 +131,9 @@ SQL_DIM_REGION = """dim_region AS (
 
 
 def dim_source(spark: SparkSession) -> DataFrame:
-    """Source dimension: the 8 production sources (fixed)."""
-    return spark.createDataFrame([(s, s, g) for s, g in DEFAULT_SOURCES],
-                                 "id_source string, source_name string, is_green boolean")
+    """Source dimension: the 8 production sources (fixed; a literal table, broadcast)."""
+    rows = ", ".join(f"('{s}', '{s}', {str(g).lower()})" for s, g in DEFAULT_SOURCES)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS t(id_source, source_name, is_green)"))
 
 
 SQL_DIM_SOURCE = "dim_source AS (SELECT * FROM (VALUES " + ", ".join(
@@ -141,6 +141,18 @@ SQL_DIM_SOURCE = "dim_source AS (SELECT * FROM (VALUES " + ", ".join(
     ") t(id_source, source_name, is_green))"
 
 
+def dim_time(spark: SparkSession, d: str) -> DataFrame:
+    """Time dimension: every distinct ship instant of ``lineitem`` (a superset of the fact's)."""
+    li = table(spark, d, "lineitem").select(date_key("l_shipdate").alias("id_date")).distinct()
+    return li.select("id_date", F.to_timestamp_ntz(F.col("id_date").cast("string"),
+                                                   F.lit("yyyyMMddHHmm")).alias("horodatage"))
+
+
+SQL_DIM_TIME_LI = """dim_time AS (
+  SELECT DISTINCT CAST(strftime(l_shipdate, '%Y%m%d%H%M') AS BIGINT) AS id_date,
+         strptime(strftime(l_shipdate, '%Y%m%d%H%M'), '%Y%m%d%H%M') AS horodatage FROM lineitem)"""
+
+
 def dim_time_from(fact: DataFrame) -> DataFrame:
     """Time dimension: distinct date keys of the fact, back to timestamps."""
     return fact.select("id_date").distinct().select(
@@ -190,7 +202,7 @@ national AS (
            AS total_pos
   FROM nat_conso c)"""
 
-SQL_GOLD = ",\n".join([SQL_FACT_STAGED, SQL_FACT, SQL_DIM_REGION, SQL_DIM_SOURCE, SQL_DIM_TIME,
+SQL_GOLD = ",\n".join([SQL_FACT_STAGED, SQL_FACT, SQL_DIM_REGION, SQL_DIM_SOURCE, SQL_DIM_TIME_LI,
                        SQL_PROD_LONG])
 
 
@@ -203,7 +215,12 @@ SQL_GOLD = ",\n".join([SQL_FACT_STAGED, SQL_FACT, SQL_DIM_REGION, SQL_DIM_SOURCE
 # ---------------------------------------------------------------------------
 
 def raw_readings(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return raw_readings_from(table(spark, d, "events"))
+
+
+def raw_readings_from(events: DataFrame) -> DataFrame:
+    """Raw readings from an ``events`` frame (batch or stream)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     slot = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 900) * 900)
     local = slot + F.expr("INTERVAL 1 HOUR")
     cols = {}
@@ -408,7 +425,12 @@ SQL_GRID = """grid AS (
 # ---------------------------------------------------------------------------
 
 def alert_log(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return alert_log_from(table(spark, d, "events"))
+
+
+def alert_log_from(events: DataFrame) -> DataFrame:
+    """Alert log from an ``events`` frame (batch or stream)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     return ev.select(
         F.col("user_id").alias("user_id"), F.col("event_type").alias("region_code"),
         F.when(F.col("value") > 250, "over_production").otherwise("under_production").alias("alert_type"),
