@@ -70,7 +70,8 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
     exists = _exists(spark, path)
     if partition_by:
         if exists:
-            base = spark.read.parquet(path)
+            # read with the batch's schema so partition values keep their declared types
+            base = spark.read.schema(incoming.schema).parquet(path)
             touched = incoming.select(*partition_by).distinct()
             base = base.join(touched, on=partition_by, how="left_semi")
             merged = merge_frames(base, incoming.select(*base.columns), keys, **policy)

@@ -20,8 +20,8 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
     load order for keep-last. A missing path raises; an empty directory gives
     an empty frame.
     """
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.json").text(path)
+    raw = (spark.read.option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.json").text(path, wholetext=True)
            .select(F.col("value"), F.col("_metadata.file_path").alias("_file")))
     txt = F.ltrim(F.col("value"))
     arr = F.from_json("value", ArrayType(schema))
@@ -67,9 +67,10 @@ def validate_and_route_csv(spark: SparkSession, path: str,
     Good files are appended to ``landing`` (as text columns), bad files'
     reasons to ``quarantine``.
     """
-    files = (spark.read.option("wholetext", True).text(path)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.regexp_replace("value", "^﻿", "").alias("content")))
+    # binaryFile lists every file, empty ones included (the text source skips them)
+    files = (spark.read.format("binaryFile").load(path)
+             .select(F.col("path").alias("file"),
+                     F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content")))
     lines = F.filter(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n"), lambda x: F.trim(x) != "")
     header = F.transform(F.split(F.element_at(lines, 1), sep), lambda h: F.lower(F.trim(h)))
     missing = F.array_except(F.array(*[F.lit(r.lower()) for r in required]), header)
@@ -81,6 +82,11 @@ def validate_and_route_csv(spark: SparkSession, path: str,
          .when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
          .when(n_lines == 1, "header only").alias("error"),
         (n_lines - 1).cast("long").alias("rows"))
+    # zero-length files yield no record in any file source: take them from the listing
+    listed = spark.createDataFrame([(f,) for f in list_files(spark, path)], "file string")
+    checked = listed.join(checked.withColumn("_read", F.lit(True)), "file", "left").select(
+        "file", F.when(F.col("_read").isNull(), F.lit("empty file")).otherwise(F.col("error")).alias("error"),
+        F.coalesce("rows", F.lit(0)).alias("rows"))
     status = checked.select("file", F.when(F.col("error").isNull(), "PASS").otherwise("FAIL").alias("status"),
                             "error", F.greatest(F.col("rows"), F.lit(0)).alias("rows"))
     if quarantine is not None:
@@ -96,6 +102,15 @@ def validate_and_route_csv(spark: SparkSession, path: str,
     return status
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Qualified paths of the files directly under ``path`` (file names only, no data)."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem listing
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    return sorted(st.getPath().toString() for st in fs.listStatus(p)
+                  if st.isFile() and not st.getPath().getName().startswith((".", "_")))
+
+
 def skip_unchanged(spark: SparkSession, path: str, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Files whose content checksum (first 16 hex of SHA-256) changed since the last run.
 

@@ -125,34 +125,49 @@ def fr_number(c) -> Column:
     return F.coalesce(F.replace(txt, F.lit("."), F.lit(CSV_DECIMAL_SEP)), F.lit(""))
 
 
-def fr_csv_lines(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """S14 row formatting: ';'-joined cells, floats as French decimals, timestamps as text."""
+def _line_expr(df: DataFrame, cols: Sequence[str]) -> Column:
     cells = []
+    types = dict(df.dtypes)
     for c in cols:
-        t = dict(df.dtypes)[c]
+        t = types[c]
         if t in ("double", "float") or t.startswith("decimal"):
             cells.append(fr_number(c))
         elif t.startswith("timestamp"):
             cells.append(F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")))
         else:
             cells.append(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return df.select(F.concat_ws(CSV_DELIMITER, *cells).alias("line"))
+    return F.concat_ws(CSV_DELIMITER, *cells)
 
 
-def export_fr_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None,
-                  labels: Mapping[str, str] = EXPORT_COLUMN_LABELS, max_rows: int | None = None) -> str:
-    """Write a single French-locale CSV (BOM, ';', decimal comma, CRLF, French header).
+def fr_csv_lines(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """S14 row formatting: ';'-joined cells, floats as French decimals, timestamps as text."""
+    return df.select(_line_expr(df, cols).alias("line"))
+
 
-    The data rows are formatted by Spark; the single output file is the
-    export's contract, so the final write goes through one task. ``max_rows``
-    is an explicit, optional cap.
+def export_fr_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None,
+                  labels: Mapping[str, str] = EXPORT_COLUMN_LABELS, max_rows: int | None = None,
+                  order: Sequence = ()) -> str:
+    """Write one French-locale CSV file (BOM, ';', decimal comma, CRLF, French header).
+
+    Rows are formatted by Spark in parallel; the single output file is the
+    export's contract, so the final sort and write run in one task. ``order``
+    (names, or ``(name, ascending)`` pairs) fixes the row order; ``max_rows`` is an
+    explicit, optional cap.
     """
     cols = list(cols or labels)
-    lines = fr_csv_lines(df, cols)
+    spec = [(o, True) if isinstance(o, str) else (o[0], bool(o[1])) for o in order]
+    sort_of = lambda c, asc: F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last()
+    src = df
     if max_rows is not None:
-        lines = lines.limit(max_rows)
+        src = src.orderBy(*[sort_of(c, a) for c, a in spec]).limit(max_rows) if spec else src.limit(max_rows)
+    keys = [F.col(c) for c, _ in spec]
+    lines = src.select(_line_expr(src, cols).alias("line"), F.lit(1).alias("_o"),
+                       *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     header = "\ufeff" + CSV_DELIMITER.join(labels.get(c, c) for c in cols)
-    (lines.withColumnRenamed("line", header).coalesce(1).write.mode("overwrite")
-        .option("header", True).option("lineSep", "\r\n").option("quote", "").option("escape", "")
-        .csv(path))
+    head = df.sparkSession.createDataFrame([(header,)], "line string").select(
+        "line", F.lit(0).alias("_o"), *[F.lit(None).cast(lines.schema[f"_k{i}"].dataType).alias(f"_k{i}")
+                                        for i in range(len(keys))])
+    sort_cols = [F.col("_o")] + [sort_of(f"_k{i}", a) for i, (_, a) in enumerate(spec)]
+    (head.unionByName(lines).repartition(1).sortWithinPartitions(*sort_cols).select("line")
+        .write.mode("overwrite").option("lineSep", "\r\n").text(path))
     return path
