@@ -14,7 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
 from voltaic.constants import (
+    ANNEE_CANDIDATES, FILIERE_CANDIDATES, PUISSANCE_CANDIDATES, REGION_CODE_CANDIDATES, REGION_NAME_CANDIDATES,
+    SOURCE_COLUMN_MAP,
     CARBON_BANDS, CARBON_GAUGE_MAX, DEFAULT_GATES, EMISSION_FACTORS, EXPORT_COLUMN_LABELS,
     NATIONAL_BALANCE_TOLERANCE, REGION_BALANCE_TOLERANCE, REGION_CENTROIDS, SOURCES,
 )
@@ -32,7 +36,9 @@ from voltaic.operators import upsert as U
 from voltaic.operators import windows as W
 from voltaic.plans import gold, silver, standins as S
 from voltaic.session import scratch_path
+from voltaic.sources import files as F_
 from voltaic.sources import html_events, profile, sinks
+from voltaic.sources import weather as W_
 from voltaic.streaming import streams as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -799,6 +805,209 @@ def t06(spark, d):
     return _append_and_read(s.select("user_id", "region_code", "alert_type", "day"), "t06")
 
 
+# ---------------------------------------------------------------------------
+# File sources and sinks over files Spark writes from the tables
+# ---------------------------------------------------------------------------
+
+_RAW_SCHEMA = StructType(
+    [StructField(c, StringType()) for c in ("code_insee_region", "libelle_region", "date_heure",
+                                            "nucleaire", "eolien", "solaire", "hydraulique", "gaz")]
+    + [StructField("consommation", DoubleType()), StructField("load_ordinal", LongType())])
+
+
+@query("s01_read_bronze_json", _with(S.SQL_RAW_READINGS) + "SELECT * FROM raw_readings")
+def s01(spark, d):
+    """Raw readings landed as JSON files by Spark, read back file by file with record positions."""
+    root = scratch_path(spark, "s01")
+    S.raw_readings(spark, d).write.mode("overwrite").json(root)
+    return F_.read_bronze_json(spark, root, _RAW_SCHEMA).drop("_file", "_pos")
+
+
+def _capacity_csv(spark, d, sep, names=None):
+    raw = S.capacity_raw(spark, d)
+    if names:
+        raw = raw.withColumnsRenamed(names)
+    root = scratch_path(spark, "capcsv")
+    raw.repartition(3).write.mode("overwrite").option("header", True).option("sep", sep).csv(root)
+    return root
+
+
+@query("s02_read_capacity_csv", _with(S.SQL_CAPACITY) + "SELECT * FROM capacity")
+def s02(spark, d):
+    """S02 + P05/P06: ';' register written by Spark, delimiter sniffed, names resolved, then A07."""
+    root = _capacity_csv(spark, d, ";")
+    df = F_.read_capacity_csv(spark, root)
+    df = F_.resolve_aliases(df, {"code": REGION_CODE_CANDIDATES, "name": REGION_NAME_CANDIDATES,
+                                 "fil": FILIERE_CANDIDATES, "kw": PUISSANCE_CANDIDATES,
+                                 "year": ANNEE_CANDIDATES})
+    df = df.withColumn("_ord", F.col("load_ordinal").cast("long"))
+    return A.capacity_by_region_source(df, "code", "name", "fil", "kw", ["_ord"], year_col="year")
+
+
+@query("s04_validate_csv", "SELECT 'PASS' AS status, COUNT(*) AS rows FROM part")
+def s04(spark, d):
+    """Per-file validation of CSV files written by Spark (required columns present)."""
+    root = _capacity_csv(spark, d, ",", {"coderegion": "code_insee_region",
+                                         "puismaxinstallee": "puissance_installee_mw"})
+    st = F_.validate_and_route_csv(spark, root)
+    return st.groupBy("status").agg(F.sum("rows").alias("rows"))
+
+
+@query("s11_skip_unchanged", "SELECT COUNT(*) AS first_records, CAST(0 AS BIGINT) AS second_files FROM part")
+def s11(spark, d):
+    """Checksum-based change detection: every file is new once, unchanged on the second pass."""
+    root = _capacity_csv(spark, d, ";")
+    todo, state = F_.skip_unchanged(spark, root, None)
+    state_path = scratch_path(spark, "s11-state")
+    state.write.mode("overwrite").parquet(state_path)
+    todo2, _ = F_.skip_unchanged(spark, root, spark.read.parquet(state_path))
+    first = todo.agg(F.sum("records").alias("first_records")).withColumn("_k", F.lit(1))
+    second = todo2.agg(F.count(F.lit(1)).alias("second_files")).withColumn("_k", F.lit(1))
+    return first.join(second, "_k").drop("_k")
+
+
+@query("s06_write_silver_daily", _with(S.SQL_SILVER) + "SELECT *, " + ", ".join(
+    f"{c} IS NULL AS {c}_is_null" for c in SILVER_FLAG_COLS) + """,
+  CAST(year(date_heure) AS INTEGER) AS year, CAST(month(date_heure) AS INTEGER) AS month,
+  CAST(day(date_heure) AS INTEGER) AS day FROM silver WHERE date_heure >= TIMESTAMP '2024-01-15 00:00:00'""")
+def s06(spark, d):
+    """S06 + S03 + S12: Silver written as year/month/day partitions, read back, pruned incrementally."""
+    out, _ = gold.silver_readings(spark, d)
+    root = scratch_path(spark, "s06")
+    sinks.write_silver_daily(out, root)
+    tree = F_.read_parquet_tree(spark, root)
+    return F_.incremental_filter(tree, since="2024-01-15 00:00:00", partition_cols=True)
+
+
+@query("s07_write_silver_monthly", _with(S.SQL_MAINTENANCE_RAW) + f"""SELECT {_MAINT_COLS},
+  CAST(year(start_date) AS INTEGER) AS year, CAST(month(start_date) AS INTEGER) AS month FROM maintenance""")
+def s07(spark, d):
+    """Outage Silver written as year/month partitions (NULL-time rows to quarantine), read back."""
+    m = gold.maintenance(spark, d)
+    root = scratch_path(spark, "s07")
+    sinks.write_silver_monthly(m, f"{root}/table", "start_date", quarantine=f"{root}/quarantine")
+    return spark.read.parquet(f"{root}/table")
+
+
+@query("s15_explode_hourly_payload", _with(S.SQL_METEO_ROWS) + """SELECT code_insee, timestamp, temperature_c,
+  wind_speed_10m, cloudcover_pct FROM meteo WHERE temperature_c IS NOT NULL""")
+def s15(spark, d):
+    """S15 + P16: hourly payloads (parallel arrays per region and local day) exploded and moved to UTC."""
+    m = gold.meteo(spark, d)
+    local = F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), "Europe/Paris")
+    e = m.select("code_insee", F.to_date(local).alias("day"), F.struct(
+        F.date_format(local, "yyyy-MM-dd'T'HH:mm").alias("t"), F.col("temperature_c").alias("a"),
+        F.col("wind_speed_10m").alias("w"), F.col("cloudcover_pct").alias("c")).alias("h"))
+    pay = e.groupBy("code_insee", "day").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    pay = pay.select("code_insee", F.struct(
+        F.transform("hs", lambda x: x["t"]).alias("time"), F.transform("hs", lambda x: x["a"]).alias("temperature_2m"),
+        F.transform("hs", lambda x: x["w"]).alias("wind_speed_10m"),
+        F.transform("hs", lambda x: x["c"]).alias("cloudcover")).alias("hourly"))
+    return W_.normalize_meteo(W_.explode_hourly_payload(pay)).select(
+        "code_insee", "timestamp", "temperature_c", "wind_speed_10m", "cloudcover_pct")
+
+
+# ---------------------------------------------------------------------------
+# Remaining projections, joins and aggregates
+# ---------------------------------------------------------------------------
+
+@query("a03_unpivot_sources", _with(S.SQL_SILVER) + " UNION ALL ".join(
+    f"SELECT code_insee_region, date_heure, '{src}' AS source_name, {col} AS valeur_mw FROM silver "
+    f"WHERE {col} IS NOT NULL" for col, src in SOURCE_COLUMN_MAP.items()
+    if col in ("nucleaire_mw", "eolien_mw", "solaire_mw", "hydraulique_mw", "gaz_mw")))
+def a03(spark, d):
+    """Wide Silver readings -> long (region, time, source, MW); NULL MW dropped."""
+    out, _ = gold.silver_readings(spark, d)
+    return A.unpivot_sources(out, ["code_insee_region", "date_heure"])
+
+
+@query("a21_time_extent", _with(S.SQL_SILVER) + """SELECT MIN(date_heure) AS start, MAX(date_heure) AS "end",
+  COUNT(*) AS rows, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT code_insee_region AS c FROM silver))
+  AS regions FROM silver""")
+def a21(spark, d):
+    out, _ = gold.silver_readings(spark, d)
+    return A.time_extent(out, "date_heure", "code_insee_region").withColumn(
+        "regions", F.array_join("regions", ","))
+
+
+@query("k03_distinct_pairs", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + "SELECT DISTINCT id_region, id_source FROM fact")
+def k03(spark, d):
+    return K.distinct_pairs(gold.fact(spark, d), ["id_region", "id_source"])
+
+
+_METEO_TIME_SQL = """meteo_time AS (
+  SELECT DISTINCT CAST(strftime(date_trunc('hour', ts), '%Y%m%d%H%M') AS BIGINT) AS id_date,
+         date_trunc('hour', ts) AS horodatage FROM events)"""
+
+
+@query("j02_meteo_join", _with(S.SQL_METEO_ROWS, S.SQL_DIM_REGION, _METEO_TIME_SQL) + """SELECT r.code_insee,
+  r.nom_region, t.horodatage, m.temperature_c, m.wind_speed_10m, m.cloudcover_pct
+FROM meteo m JOIN meteo_time t ON CAST(strftime(m.timestamp, '%Y%m%d%H%M') AS BIGINT) = t.id_date
+             JOIN dim_region r ON m.code_insee = r.id_region""")
+def j02(spark, d):
+    """Weather fact ⋈ time ⋈ region on natural keys."""
+    from voltaic.functions.calendar import date_key
+    m = gold.meteo(spark, d).select(date_key("timestamp").alias("id_date"), F.col("code_insee").alias("id_region"),
+                                    "temperature_c", "wind_speed_10m", "cloudcover_pct")
+    ev = S.table(spark, d, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("horodatage"))
+    t = ev.distinct().select(date_key("horodatage").alias("id_date"), "horodatage")
+    return J.meteo_join(m, t, S.dim_region(spark, d)).select(
+        "code_insee", "nom_region", "horodatage", "temperature_c", "wind_speed_10m", "cloudcover_pct")
+
+
+@query("j03_capacity_join", _with(S.SQL_CAPACITY, S.SQL_DIM_REGION, S.SQL_DIM_SOURCE) + """SELECT r.code_insee,
+  r.nom_region, s.source_name, s.is_green, c.annee, c.puissance_installee_mw
+FROM capacity c JOIN dim_region r ON c.code_insee_region = r.id_region
+                JOIN dim_source s ON c.source_name = s.id_source""")
+def j03(spark, d):
+    """Capacity fact ⋈ region ⋈ source."""
+    cap = gold.capacity(spark, d).select(F.col("code_insee_region").alias("id_region"),
+                                         F.col("source_name").alias("id_source"), "annee", "puissance_installee_mw")
+    return J.capacity_join(cap, S.dim_region(spark, d), S.dim_source(spark)).select(
+        "code_insee", "nom_region", "source_name", "is_green", "annee", "puissance_installee_mw")
+
+
+@query("j10_factor_lookup", _with(NAT, FACTORS) + """SELECT s.timestamp, s.source_name, s.mw,
+  COALESCE(f.factor, 0.0) AS factor FROM nat_src s LEFT JOIN factors f ON s.source_name = f.source_name""")
+def j10(spark, d):
+    """Emission factor per national source value (unknown source -> 0)."""
+    n = gold.national(spark, d).select("timestamp", F.explode("sources").alias("source_name", "mw"))
+    return J.factor_lookup(n, "source_name")
+
+
+@query("p17_load_factor", _with(S.SQL_FACT_STAGED, S.SQL_FACT, S.SQL_CAPACITY) + """SELECT f.id_region, f.id_date,
+  f.id_source, f.valeur_mw, CASE WHEN c.puissance_installee_mw IS NULL OR c.puissance_installee_mw = 0 THEN NULL
+  ELSE f.valeur_mw / c.puissance_installee_mw END AS facteur_charge
+FROM fact f LEFT JOIN (SELECT * FROM capacity WHERE annee = 2024) c
+  ON f.id_region = c.code_insee_region AND f.id_source = c.source_name""")
+def p17(spark, d):
+    """Load factor = MW / installed capacity of the region and source (2024 register)."""
+    cap = gold.capacity(spark, d).where(F.col("annee") == 2024).select(
+        F.col("code_insee_region").alias("id_region"), F.col("source_name").alias("id_source"),
+        "puissance_installee_mw")
+    f = gold.fact(spark, d).select("id_region", "id_date", "id_source", "valeur_mw")
+    return A.load_factor(f, cap)
+
+
+@query("p19_json_safe", _with(GOLD, S.SQL_RECORDS) + """SELECT code_insee, region,
+  strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, sources_text, facteur_charge, consommation_mw FROM records""")
+def p19(spark, d):
+    """API-ready records (timestamps as ISO text, decimals as doubles, NULLs kept)."""
+    from voltaic.functions.columns import json_safe
+    r = gold.records(spark, d)
+    return json_safe(r.select("code_insee", "region", "timestamp", map_as_text("sources").alias("sources_text"),
+                              "facteur_charge", "consommation_mw"))
+
+
+@query("t02_stream_dedup", _with(S.SQL_RAW_READINGS) + """SELECT DISTINCT code_insee_region,
+  CAST(substr(date_heure, 1, 19) AS TIMESTAMP) - INTERVAL 1 HOUR AS date_heure FROM raw_readings""")
+def t02(spark, d):
+    """Exact re-deliveries of a (region, slot) dropped on the stream within the 4-hour look-back."""
+    sdf = silver.readings_columns(S.raw_readings_from(_events_stream(spark, d)))
+    s = T.stream_dedup(sdf, ["code_insee_region", "date_heure"], "date_heure")
+    return _append_and_read(s.select("code_insee_region", F.col("date_heure").cast("timestamp_ntz")), "t02")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

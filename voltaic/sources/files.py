@@ -14,8 +14,8 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
                      with_ordinal: bool = True) -> DataFrame:
     """Every JSON file under ``path`` (recursive), in path order.
 
-    A file may hold an array of records, an envelope ``{"records": [...]}``
-    or a single object. Each file is one text value, parsed with the given
+    A file may hold an array of records, an envelope ``{"records": [...]}``,
+    a single object or JSON Lines. Each file is one text value, parsed with the given
     schema and exploded with its position, so ``(_file, _pos)`` is a total
     load order for keep-last. A missing path raises; an empty directory gives
     an empty frame.
@@ -26,9 +26,16 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
     txt = F.ltrim(F.col("value"))
     arr = F.from_json("value", ArrayType(schema))
     env = F.from_json("value", StructType([StructField("records", ArrayType(schema))]))["records"]
+    # JSON Lines (Spark's own landing format): every non-blank line is one object
+    lines = F.filter(F.split(F.col("value"), "\r?\n"), lambda x: F.trim(x) != "")
+    is_jsonl = (F.size(lines) > 1) & F.forall(lines, lambda x: F.get_json_object(x, "$").isNotNull())
+    per_line = F.transform(lines, lambda x: F.from_json(x, schema))
     one = F.array(F.from_json("value", schema))
+    has_env = F.get_json_object("value", "$.records").isNotNull()
     recs = (F.when(F.startswith(txt, F.lit("[")), arr)
-             .otherwise(F.coalesce(env, one)))
+             .when(has_env, env)
+             .when(is_jsonl, per_line)
+             .otherwise(one))
     out = raw.select("_file", F.posexplode(recs).alias("_pos", "_rec")).select("_file", "_pos", "_rec.*")
     return out if with_ordinal else out.drop("_file", "_pos")
 
@@ -48,7 +55,20 @@ def read_capacity_csv(spark: SparkSession, path: str, sep: str | None = None) ->
     from voltaic.functions.columns import normalize_name
     df = df.toDF(*[normalize_name(c.lstrip("﻿")) for c in df.columns])
     return df.withColumn("_file", F.col("_metadata.file_path")) \
-             .withColumn("load_ordinal", F.monotonically_increasing_id())
+             .withColumn("_row", F.monotonically_increasing_id())
+
+
+def resolve_aliases(df: DataFrame, candidates: dict[str, Sequence[str]]) -> DataFrame:
+    """For each canonical name, the first candidate column present wins (driver-side name pick)."""
+    cols = {c.lower(): c for c in df.columns}
+    out = df
+    for canon, cands in candidates.items():
+        hit = next((cols[c.lower()] for c in cands if c.lower() in cols), None)
+        if hit is None:
+            out = out.withColumn(canon, F.lit(None).cast("string"))
+        elif hit != canon:
+            out = out.withColumn(canon, F.col(hit))
+    return out
 
 
 def read_parquet_tree(spark: SparkSession, path: str) -> DataFrame:
