@@ -183,3 +183,34 @@ def test_sinks_layouts(spark, tmp_dir):
     assert spark.read.parquet(land).select("job_id").distinct().first()[0] == "job-1"
     snap = sinks.snapshot_tables({"dim": df}, os.path.join(tmp_dir, "snap"), "2025-06-20")
     assert spark.read.parquet(snap["dim"]).where(F.col("snapshot_date") == "2025-06-20").count() == 2
+
+
+def test_emission_factor_dim_and_lookup(spark, tmp_dir):
+    from voltaic.operators.aggregates import emission_factor_dim
+    from voltaic.operators.joins import factor_lookup
+    p = os.path.join(tmp_dir, "ef.csv")
+    with open(p, "w") as f:
+        f.write("filiere,source_energie,facteur_emission_co2_kg_mwh,facteur_emission_ch4_kg_mwh,"
+                "facteur_emission_n2o_kg_mwh,source,annee,date_mise_a_jour\n"
+                "Thermique,Gaz,400,0.1,0.01,test,2022,2023-01-01\n"
+                "Thermique,Gaz,420,0.1,0.01,test,2023,2024-01-01\n"
+                "Renouvelable,Eolien,10,0,0,test,2023,2024-01-01\n")
+    dim = emission_factor_dim(spark.read.option("header", True).csv(p))
+    got = {r.source_name: (r.factor, r.annee) for r in dim.collect()}
+    assert got == {"gaz": (420.0, 2023), "eolien": (10.0, 2023)}
+    long = spark.createDataFrame([("gaz", 2.0), ("nucleaire", 1.0)], "source_name string, mw double")
+    out = {r.source_name: r.factor for r in factor_lookup(long, "source_name", dim).collect()}
+    assert out == {"gaz": 420.0, "nucleaire": 0.0}
+
+
+def test_all_table_policies(spark):
+    m = spark.createDataFrame([(1, "11", 1.0, 2.0, 3.0)], "id_date long, id_region string, t double, w double, c double")
+    m2 = U.upsert_fact_meteo(m, spark.createDataFrame([(1, "11", 9.0, None, 3.0)], m.schema))
+    assert tuple(m2.first()) == (1, "11", 9.0, None, 3.0)
+    cap = spark.createDataFrame([("11", "eolien", 2024, 5.0)], "id_region string, id_source string, annee int, mw double")
+    assert U.upsert_fact_capacity(cap, spark.createDataFrame([("11", "eolien", 2024, 7.0)], cap.schema)).first().mw == 7.0
+    src = spark.createDataFrame([("eolien", False)], "source_name string, is_green boolean")
+    assert U.upsert_dim_source(src, spark.createDataFrame([("eolien", True)], src.schema)).first().is_green is True
+    mt = spark.createDataFrame([("E1", "u", 1.0)], "event_id string, unit_name string, unavailable_mw double")
+    out = U.upsert_fact_maintenance(mt, spark.createDataFrame([("E1", "v", 2.0), ("E2", "w", 3.0)], mt.schema))
+    assert sorted(tuple(r) for r in out.collect()) == [("E1", "v", 2.0), ("E2", "w", 3.0)]
