@@ -134,9 +134,8 @@ recs AS (
 SELECT * FROM recs""")
 def l07(spark, d):
     """L07 + P18: region / start / date-only end (whole day) / source filters before the pivot."""
-    f = L.apply_filters(gold.prod_long(spark, d), region="7", start="1996-01-01", end="1997-12-31",
-                        source="eolien")
-    return _rec_out(A.production_records(f))
+    recs = gold.records(spark, d, region="7", start="1996-01-01", end="1997-12-31", source="eolien")
+    return _rec_out(recs)
 
 
 @query("s14_export_fr_rows", _with(GOLD) + """SELECT concat_ws(';', code_insee, nom_region,

@@ -26,8 +26,20 @@ def fact_from_staged(staged: DataFrame) -> DataFrame:
     return dedup_keep_last(rows, FACT_KEYS, ["load_batch", "load_pos"]).select(*FACT_COLS)
 
 
-def fact(spark: SparkSession, d: str) -> DataFrame:
-    return fact_from_staged(standins.fact_staged(spark, d))
+def fact(spark: SparkSession, d: str, region: str | None = None, start: str | None = None,
+         end: str | None = None, source: str | None = None) -> DataFrame:
+    """Gold fact; optional filters on key columns are applied *before* keep-last.
+
+    Filtering on key columns commutes with keep-last per key, and on the
+    staged rows the time bound reaches the ship-date column of the Parquet
+    scan (``PushedFilters``).
+    """
+    from voltaic.operators.paging import apply_filters
+    staged = standins.fact_staged(spark, d)
+    if any(v is not None for v in (region, start, end, source)):
+        staged = apply_filters(staged, region=region, start=start, end=end, source=source,
+                               region_col="region_code", ts_col="ts", source_col="source_name")
+    return fact_from_staged(staged)
 
 
 def dims(spark: SparkSession, d: str, f: DataFrame | None = None):
@@ -35,18 +47,27 @@ def dims(spark: SparkSession, d: str, f: DataFrame | None = None):
     return standins.dim_region(spark, d), standins.dim_time(spark, d), standins.dim_source(spark)
 
 
-def prod_long(spark: SparkSession, d: str) -> DataFrame:
-    """Fact ⋈ region ⋈ time ⋈ source, flat rows of the serving query."""
-    f = fact(spark, d)
+def prod_long(spark: SparkSession, d: str, **filters) -> DataFrame:
+    """Fact ⋈ region ⋈ time ⋈ source, flat rows of the serving query (optional L07 filters)."""
+    f = fact(spark, d, **filters)
     region, time, source = dims(spark, d, f)
     j = star_join(f, region, time, source)
     return j.select("code_insee", "nom_region", "horodatage", "source_name", "valeur_mw",
                     "facteur_charge", "consommation_mw")
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """A01 records over the whole fact."""
-    return production_records(prod_long(spark, d))
+def records(spark: SparkSession, d: str, **filters) -> DataFrame:
+    """A01 records over the whole fact (or the filtered part of it)."""
+    return production_records(prod_long(spark, d, **filters))
+
+
+def production_regional(spark: SparkSession, d: str, region: str | None = None, start: str | None = None,
+                        end: str | None = None, source: str | None = None, limit: int = 100,
+                        offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A01 + L07 + L02: filtered records, newest first, exact page and exact total."""
+    from voltaic.operators.paging import page
+    recs = records(spark, d, region=region, start=start, end=end, source=source)
+    return page(recs, limit=limit, offset=offset)
 
 
 def records_long(recs: DataFrame) -> DataFrame:
