@@ -11,10 +11,11 @@ from voltaic.constants import NATIONAL_BALANCE_TOLERANCE
 from voltaic.functions.columns import js_round
 from voltaic.functions.maps import map_total_positive
 from voltaic.operators.aggregates import balance_state
+from voltaic.session import checkpoint_root
 
 
 def balance_runs(series: DataFrame, tol: float = NATIONAL_BALANCE_TOLERANCE,
-                 by: Sequence[str] = (), bucket: str = "month") -> DataFrame:
+                 by: Sequence[str] = (), bucket: str = "month", materialize: bool = True) -> DataFrame:
     """W03 for every point: supply/demand state (±tol) and the start of its run.
 
     Production = rounded positive total, consumption rounded (the chart's
@@ -25,7 +26,9 @@ def balance_runs(series: DataFrame, tol: float = NATIONAL_BALANCE_TOLERANCE,
 
     Scale: the previous point comes from a window per (series, time bucket)
     plus a small per-bucket summary for the first point of each bucket, so no
-    window holds a whole series.
+    window holds a whole series. The point table (one row per timestamp and
+    series) feeds three branches; with ``materialize`` it is checkpointed to
+    the shared checkpoint folder once instead of being recomputed per branch.
     """
     by = list(by)
     pts = series.select(*by, "timestamp",
@@ -33,6 +36,9 @@ def balance_runs(series: DataFrame, tol: float = NATIONAL_BALANCE_TOLERANCE,
                         js_round(F.col("consommation_mw")).alias("conso"))
     pts = pts.withColumn("state", balance_state("prod", "conso", tol)) \
              .withColumn("_b", F.date_trunc(bucket, F.col("timestamp")))
+    if materialize:
+        checkpoint_root(pts.sparkSession)
+        pts = pts.checkpoint(eager=True)
     w = Window.partitionBy(*by, "_b").orderBy("timestamp")
     pts = pts.withColumn("_prev", F.lag("state").over(w))
     # last state of every bucket, carried to the next bucket's first point
