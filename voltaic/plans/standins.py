@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltaic.constants import DEFAULT_SOURCES, FILIERE_MAP
-from voltaic.functions.calendar import date_key
+from voltaic.functions.calendar import date_key, from_date_key
 
 P_TYPE_SOURCE = [
     ("ECONOMY", "nucleaire"), ("LARGE", "eolien"), ("MEDIUM", "solaire"),
@@ -41,8 +41,29 @@ P_TYPE_FILIERE = [
 ]
 
 
+# Tables that are the large (probe) side of their queries; dimensions are left alone.
+FACT_TABLES = {"lineitem", "events", "orders", "documents", "pages", "embeddings", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_scan(df) if name in FACT_TABLES else df
+
+
+def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a large table that arrives in fewer input splits than cores.
+
+    A Parquet file with a single row group is one split, so everything up to
+    the first shuffle would run in one task. When the planned scan has fewer
+    partitions than the default parallelism, a round-robin repartition spreads
+    the map-side work; filters and column pruning still reach the scan.
+    On a cluster reading many files the scan already has thousands of splits
+    and this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def _case(col, pairs, default):
@@ -144,8 +165,7 @@ SQL_DIM_SOURCE = "dim_source AS (SELECT * FROM (VALUES " + ", ".join(
 def dim_time(spark: SparkSession, d: str) -> DataFrame:
     """Time dimension: every distinct ship instant of ``lineitem`` (a superset of the fact's)."""
     li = table(spark, d, "lineitem").select(date_key("l_shipdate").alias("id_date")).distinct()
-    return li.select("id_date", F.to_timestamp_ntz(F.col("id_date").cast("string"),
-                                                   F.lit("yyyyMMddHHmm")).alias("horodatage"))
+    return li.select("id_date", from_date_key("id_date").alias("horodatage"))
 
 
 SQL_DIM_TIME_LI = """dim_time AS (
@@ -155,8 +175,7 @@ SQL_DIM_TIME_LI = """dim_time AS (
 
 def dim_time_from(fact: DataFrame) -> DataFrame:
     """Time dimension: distinct date keys of the fact, back to timestamps."""
-    return fact.select("id_date").distinct().select(
-        "id_date", F.to_timestamp_ntz(F.col("id_date").cast("string"), F.lit("yyyyMMddHHmm")).alias("horodatage"))
+    return fact.select("id_date").distinct().select("id_date", from_date_key("id_date").alias("horodatage"))
 
 
 SQL_DIM_TIME = """dim_time AS (
