@@ -67,3 +67,14 @@ def test_map_helpers(spark):
     assert [x["n"] for x in r] == [1, 0, 0]
     assert one(spark, carbon_band("x"), [(99.0,), (100.0,), (399.0,), (400.0,)], "x double") == \
         ["very_low", "low", "medium", "high"]
+
+
+def test_normalize_names_and_collation(spark):
+    from voltaic.functions.columns import normalize_name
+    assert normalize_name("Code Région") == "code_région"
+    assert normalize_name(" Puissance installée (MW) ", fold_accents=True) == "puissance_installee_mw"
+    assert normalize_name("Filière-Énergie", fold_accents=True) == "filiere_energie"
+    from voltaic.operators.aggregates import region_directory
+    rec = spark.createDataFrame([("76", "Occitanie", 1), ("11", "Île-de-France", 1), ("53", "Bretagne", 1)],
+                                "code_insee string, region string, timestamp int")
+    assert [r.region for r in region_directory(rec).collect()] == ["Bretagne", "Île-de-France", "Occitanie"]

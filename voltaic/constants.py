@@ -90,6 +90,9 @@ FILIERE_MAP = {
     "bioénergie": "bioenergies",
 }
 
+# Accent folding applied to capacity-register column names.
+NAME_ACCENT_FOLD = {"é": "e", "è": "e", "ê": "e", "â": "a", "î": "i"}
+
 # Column-name candidates in capacity registers, first present wins.
 REGION_CODE_CANDIDATES = ["coderegion", "code_insee_region", "code_region", "code_insee", "codeinsee"]
 REGION_NAME_CANDIDATES = ["region", "nom_region", "libelle_region", "nomreg"]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voltaic.constants import NAME_ACCENT_FOLD
+
 __all__ = [
     "as_col", "safe_double", "parse_utc", "clean_text", "wind_speed", "kelvin_to_celsius",
     "parse_mw", "canonical_region_code", "kw_to_mw", "js_round", "nan_to_null",
@@ -94,13 +93,20 @@ def end_of_day_bound(value: str | None):
 
 
 def normalize_name(name: str, fold_accents: bool = False) -> str:
-    """P05 (driver-side, on column *names* only): lower, blanks/dashes -> '_'."""
-    out = name.strip().lower()
+    """P05 (driver-side, on column *names* only): lower, blanks and dashes -> '_'.
+
+    The extended form (capacity registers) first trims, then folds the
+    accents listed in ``NAME_ACCENT_FOLD`` and drops parentheses.
+    """
+    out = name.lower()
+    if fold_accents:
+        out = out.strip()
+    out = out.replace(" ", "_").replace("-", "_")
     if fold_accents:
-        out = "".join(ch for ch in unicodedata.normalize("NFKD", out) if not unicodedata.combining(ch))
+        for a, b in NAME_ACCENT_FOLD.items():
+            out = out.replace(a, b)
         out = out.replace("(", "").replace(")", "")
-    out = re.sub(r"[ \-]", "_", out)
-    return out.strip()
+    return out
 
 
 def dec4_text(c) -> Column:

@@ -315,7 +315,7 @@ def time_extent(df: DataFrame, ts: str, region: str) -> DataFrame:
 
 
 def region_directory(records: DataFrame, code: str = "code_insee", name: str = "region",
-                     order: Sequence[str] = ("timestamp",), collation: str = "UNICODE_CI") -> DataFrame:
+                     order: Sequence[str] = ("timestamp",), collation: str = "fr") -> DataFrame:
     """Distinct regions (first non-blank name) ordered by name, locale-aware."""
     from voltaic.operators.dedup import distinct_first_label
     d = distinct_first_label(records, code, name, order, code_alias="code_insee", label_alias="region")

@@ -53,7 +53,7 @@ def read_capacity_csv(spark: SparkSession, path: str, sep: str | None = None) ->
     df = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
           .option("inferSchema", False).csv(path))
     from voltaic.functions.columns import normalize_name
-    df = df.toDF(*[normalize_name(c.lstrip("﻿")) for c in df.columns])
+    df = df.toDF(*[normalize_name(c.lstrip("﻿"), fold_accents=True) for c in df.columns])
     return df.withColumn("_file", F.col("_metadata.file_path")) \
              .withColumn("_row", F.monotonically_increasing_id())
 
