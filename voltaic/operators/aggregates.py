@@ -369,3 +369,16 @@ def load_factor(long: DataFrame, capacity: DataFrame, region: str = "id_region",
     cap = F.coalesce(F.col("_cap_r"), F.col("_cap_n"))
     return j.withColumn(out, F.try_divide(F.col(mw).cast("double"), cap.cast("double"))) \
             .drop("_cr", "_cs", "_cap_r", "_ns", "_cap_n")
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Combine one-row frames with distinct columns into one row, without a join.
+
+    The rows are stacked (``unionByName`` with missing columns as NULL) and
+    folded with ``first(ignorenulls)`` per column.
+    """
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    cols = [c for f in frames for c in f.columns]
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

@@ -501,8 +501,7 @@ def j05(spark, d):
     """Weather rows resolved against the region dimension; unmatched counted via anti-join."""
     m = gold.meteo(spark, d).withColumnRenamed("code_insee", "id_region")
     resolved, unmatched = J.resolve_keys(m, [(S.dim_region(spark, d).select("id_region"), "id_region")])
-    r = resolved.agg(F.count(F.lit(1)).alias("resolved_rows")).withColumn("_k", F.lit(1))
-    return r.join(unmatched.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return A.side_by_side(resolved.agg(F.count(F.lit(1)).alias("resolved_rows")), unmatched)
 
 
 @query("j06_orphans", _with(S.SQL_METEO_ROWS, S.SQL_DIM_REGION) + """SELECT code_insee, COUNT(*) AS orphan_rows
@@ -860,9 +859,8 @@ def s11(spark, d):
     state_path = scratch_path(spark, "s11-state")
     state.write.mode("overwrite").parquet(state_path)
     todo2, _ = F_.skip_unchanged(spark, root, spark.read.parquet(state_path))
-    first = todo.agg(F.sum("records").alias("first_records")).withColumn("_k", F.lit(1))
-    second = todo2.agg(F.count(F.lit(1)).alias("second_files")).withColumn("_k", F.lit(1))
-    return first.join(second, "_k").drop("_k")
+    return A.side_by_side(todo.agg(F.sum("records").alias("first_records")),
+                          todo2.agg(F.count(F.lit(1)).alias("second_files")))
 
 
 @query("s06_write_silver_daily", _with(S.SQL_SILVER) + "SELECT *, " + ", ".join(
