@@ -148,14 +148,19 @@ def test_export_fr_csv_bytes(spark, tmp_dir):
                                 ("84", "A", dt.datetime(2025, 1, 1, 0, 30), "gaz", 0.12345, 0.05)],
                                "code_insee string, nom_region string, horodatage timestamp_ntz, "
                                "source_name string, valeur_mw double, facteur_charge double")
-    out = sinks.export_fr_csv(df, os.path.join(tmp_dir, "x"), order=[("horodatage", False), "code_insee"])
+    out = sinks.export_fr_csv(df, os.path.join(tmp_dir, "x"), order=[("horodatage", False), "code_insee"],
+                              max_rows=1000)
     part = glob.glob(os.path.join(out, "part-*"))[0]
     data = open(part, "rb").read()
     assert data.startswith(b"\xef\xbb\xbf") and b"\r\n" in data
     text = data.decode("utf-8-sig").split("\r\n")
     assert text[0] == "Code INSEE;Région;Horodatage;Source;Valeur (MW);Facteur de charge"
-    assert "11;Île;2025-01-01 00:15:00;eolien;12345678,5;" in text
-    assert "84;A;2025-01-01 00:30:00;gaz;0,1235;0,05" in text  # 0.12345 -> 4 dp (half-up)
+    assert text[1] == "84;A;2025-01-01 00:30:00;gaz;0,1235;0,05"  # newest first; 0.12345 -> 4 dp (half-up)
+    assert text[2] == "11;Île;2025-01-01 00:15:00;eolien;12345678,5;"
+    # without a cap the export is written in parallel: every part is a complete CSV
+    many = sinks.export_fr_csv(df.repartition(2), os.path.join(tmp_dir, "y"))
+    for f in glob.glob(os.path.join(many, "part-*")):
+        assert open(f, "rb").read().startswith(b"\xef\xbb\xbfCode INSEE;")
 
 
 def test_profile_schema(spark):

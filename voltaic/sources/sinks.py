@@ -147,27 +147,36 @@ def fr_csv_lines(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def export_fr_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None,
                   labels: Mapping[str, str] = EXPORT_COLUMN_LABELS, max_rows: int | None = None,
                   order: Sequence = ()) -> str:
-    """Write one French-locale CSV file (BOM, ';', decimal comma, CRLF, French header).
+    """French-locale CSV (UTF-8 BOM, ';', decimal comma, CRLF, French header).
 
-    Rows are formatted by Spark in parallel; the single output file is the
-    export's contract, so the final sort and write run in one task. ``order``
-    (names, or ``(name, ascending)`` pairs) fixes the row order; ``max_rows`` is an
-    explicit, optional cap.
+    Cells are formatted by Spark. ``order`` (names, or ``(name, ascending)``
+    pairs) fixes the row order with a global, range-partitioned sort, so the
+    part files concatenate in order; each part file is a complete CSV with
+    its own BOM and header. With ``max_rows`` (an explicit, optional cap) the
+    bounded result is written as one file, as the download endpoint does.
     """
     cols = list(cols or labels)
     spec = [(o, True) if isinstance(o, str) else (o[0], bool(o[1])) for o in order]
     sort_of = lambda c, asc: F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last()
-    src = df
+    src = df.orderBy(*[sort_of(c, a) for c, a in spec]) if spec else df
     if max_rows is not None:
-        src = src.orderBy(*[sort_of(c, a) for c, a in spec]).limit(max_rows) if spec else src.limit(max_rows)
-    keys = [F.col(c) for c, _ in spec]
-    lines = src.select(_line_expr(src, cols).alias("line"), F.lit(1).alias("_o"),
-                       *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-    header = "\ufeff" + CSV_DELIMITER.join(labels.get(c, c) for c in cols)
-    head = df.sparkSession.createDataFrame([(header,)], "line string").select(
-        "line", F.lit(0).alias("_o"), *[F.lit(None).cast(lines.schema[f"_k{i}"].dataType).alias(f"_k{i}")
-                                        for i in range(len(keys))])
-    sort_cols = [F.col("_o")] + [sort_of(f"_k{i}", a) for i, (_, a) in enumerate(spec)]
-    (head.unionByName(lines).repartition(1).sortWithinPartitions(*sort_cols).select("line")
-        .write.mode("overwrite").option("lineSep", "\r\n").text(path))
+        src = src.limit(max_rows)
+    types = dict(df.dtypes)
+    out_names = [labels.get(c, c) for c in cols]
+    out_names[0] = "\ufeff" + out_names[0]
+    cells = []
+    for c, name in zip(cols, out_names):
+        t = types[c]
+        if t in ("double", "float") or t.startswith("decimal"):
+            v = fr_number(c)
+        elif t.startswith("timestamp"):
+            v = F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+        else:
+            v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        cells.append(v.alias(name))
+    out = src.select(*cells)
+    if max_rows is not None:
+        out = out.coalesce(1)
+    (out.write.mode("overwrite").option("header", True).option("sep", CSV_DELIMITER)
+        .option("lineSep", "\r\n").option("emptyValue", "").option("encoding", "UTF-8").csv(path))
     return path
