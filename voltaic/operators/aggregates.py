@@ -40,16 +40,17 @@ def production_records(long: DataFrame, code: str = "code_insee", name: str = "n
     entry = F.struct(F.col(source).alias("key"), F.col(mw).cast("double").alias("value"))
     first = F.min_by(F.struct(F.col(load_factor).cast("double").alias("fc"),
                               F.col(conso).cast("double").alias("conso")), F.col(source))
+    value = F.col(mw)
     rec = (long.groupBy(F.col(code).alias("code_insee"), F.col(name).alias("region"),
                         F.col(ts).alias("timestamp"))
-               .agg(F.array_sort(F.collect_list(entry)).alias("_e"), first.alias("_f")))
-    rec = rec.select("code_insee", "region", "timestamp",
-                     F.map_from_entries("_e").alias("sources"),
-                     F.col("_f.fc").alias("facteur_charge"),
-                     F.col("_f.conso").alias("consommation_mw"))
+               .agg(F.array_sort(F.collect_list(entry)).alias("_e"), first.alias("_f"),
+                    F.bool_or(value.isNull() | (value != 0)).alias("_keep")))
     if drop_all_zero:
-        rec = rec.where(any_nonzero("sources"))
-    return rec
+        rec = rec.where(F.col("_keep"))
+    return rec.select("code_insee", "region", "timestamp",
+                      F.map_from_entries("_e").alias("sources"),
+                      F.col("_f.fc").alias("facteur_charge"),
+                      F.col("_f.conso").alias("consommation_mw"))
 
 
 def production_wide(long: DataFrame, keys: Sequence[str] = ("code_insee", "horodatage"),
