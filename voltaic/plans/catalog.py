@@ -9,6 +9,7 @@ text and every computed column is aliased identically on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ from voltaic.operators import quality as Q
 from voltaic.operators import upsert as U
 from voltaic.operators import windows as W
 from voltaic.plans import gold, silver, standins as S
-from voltaic.session import scratch_path
+from voltaic.session import apply_core_conf, scratch_path
 from voltaic.sources import files as F_
 from voltaic.sources import html_events, profile, sinks
 from voltaic.sources import weather as W_
@@ -46,8 +47,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; the session gets the core settings (UTC, AQE) first."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_core_conf(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
