@@ -1011,6 +1011,105 @@ def t02(spark, d):
     return _append_and_read(s.select("code_insee_region", F.col("date_heure").cast("timestamp_ntz")), "t02")
 
 
+# ---------------------------------------------------------------------------
+# Individual quality checks (Q01-Q06), fill-zero (N02) and the weather upsert
+# ---------------------------------------------------------------------------
+
+_Q_COLS = "name, check_type, status, severity"
+
+
+def _check_out(df: DataFrame) -> DataFrame:
+    return df.select("name", "check_type", "status", "severity")
+
+
+@query("q01_null_check", _with(S.SQL_SILVER) + f"""SELECT 'q01' AS name, 'null_check' AS check_type,
+  CASE WHEN COUNT(*) FILTER (WHERE code_insee_region IS NULL OR date_heure IS NULL OR nucleaire_mw IS NULL) > 0
+       THEN 'FAIL' ELSE 'PASS' END AS status, 'CRITICAL' AS severity FROM silver""")
+def q01(spark, d):
+    sil, _ = gold.silver_readings(spark, d)
+    return _check_out(Q.null_check(sil, ["code_insee_region", "date_heure", "nucleaire_mw"], "q01", "CRITICAL"))
+
+
+@query("q02_range_check", _with(S.SQL_SILVER) + """SELECT 'q02' AS name, 'range_check' AS check_type,
+  CASE WHEN COUNT(*) FILTER (WHERE consommation_mw < 0 OR consommation_mw > 500) > 0 THEN 'FAIL' ELSE 'PASS' END
+    AS status, 'WARNING' AS severity FROM silver""")
+def q02(spark, d):
+    sil, _ = gold.silver_readings(spark, d)
+    return _check_out(Q.range_check(sil, "consommation_mw", 0, 500, "q02", "WARNING"))
+
+
+@query("q03_row_count", _with(S.SQL_SILVER) + """, c AS (SELECT (SELECT COUNT(*) FROM silver) AS a,
+  (SELECT COUNT(*) FROM raw_readings) AS e)
+SELECT 'q03' AS name, 'row_count' AS check_type,
+  CASE WHEN e = 0 THEN CASE WHEN a = 0 THEN 'PASS' ELSE 'WARN' END
+       WHEN abs(a - e) * 100.0 / e <= 5 THEN 'PASS' WHEN abs(a - e) * 100.0 / e <= 10 THEN 'WARN'
+       ELSE 'FAIL' END AS status, 'WARNING' AS severity FROM c""")
+def q03(spark, d):
+    """Q03: Silver row count against the raw batch (5 % tolerance)."""
+    sil, _ = gold.silver_readings(spark, d)
+    return _check_out(Q.row_count_check(sil, S.raw_readings(spark, d), name="q03", severity="WARNING"))
+
+
+@query("q04_freshness", _with(S.SQL_SILVER) + f"""SELECT 'q04' AS name, 'freshness' AS check_type,
+  CASE WHEN MAX(date_heure) IS NULL THEN 'FAIL'
+       WHEN epoch(TIMESTAMP '2024-02-01 06:00:00') - epoch(MAX(date_heure)) <= 24 * 3600 THEN 'PASS'
+       WHEN epoch(TIMESTAMP '2024-02-01 06:00:00') - epoch(MAX(date_heure)) <= 48 * 3600 THEN 'WARN'
+       ELSE 'FAIL' END AS status, 'WARNING' AS severity FROM silver""")
+def q04(spark, d):
+    sil, _ = gold.silver_readings(spark, d)
+    return _check_out(Q.freshness_check(sil, "date_heure", 24, "2024-02-01 06:00:00", "q04", "WARNING"))
+
+
+@query("q05_fk_integrity", _with(S.SQL_METEO_ROWS, S.SQL_DIM_REGION) + """SELECT 'q05' AS name,
+  'fk_integrity' AS check_type,
+  CASE WHEN COUNT(*) FILTER (WHERE code_insee IS NOT NULL AND code_insee NOT IN (SELECT id_region FROM dim_region)) > 0
+       THEN 'FAIL' ELSE 'PASS' END AS status, 'CRITICAL' AS severity FROM meteo""")
+def q05(spark, d):
+    m = gold.meteo(spark, d)
+    return _check_out(Q.fk_integrity(m, {"code_insee": (S.dim_region(spark, d), "id_region")}, "q05", "CRITICAL"))
+
+
+@query("q06_load_factor_range", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + """SELECT 'q06' AS name,
+  'facteur_charge_range' AS check_type,
+  CASE WHEN COUNT(*) FILTER (WHERE facteur_charge < 0 OR facteur_charge > 1.5) > 0 THEN 'FAIL' ELSE 'PASS' END
+    AS status, 'WARNING' AS severity FROM fact""")
+def q06(spark, d):
+    return _check_out(Q.load_factor_range(gold.fact(spark, d), name="q06", severity="WARNING"))
+
+
+@query("n02_fill_zero", _with(S.SQL_SILVER) + """SELECT code_insee_region, date_heure,
+  COALESCE(nucleaire_mw, 0.0) AS nucleaire_mw, COALESCE(eolien_mw, 0.0) AS eolien_mw,
+  COALESCE(solaire_mw, 0.0) AS solaire_mw, COALESCE(hydraulique_mw, 0.0) AS hydraulique_mw,
+  COALESCE(gaz_mw, 0.0) AS gaz_mw FROM silver""")
+def n02(spark, d):
+    """NULL MW -> 0.0 on the Silver readings."""
+    sil, _ = gold.silver_readings(spark, d)
+    cols = ["nucleaire_mw", "eolien_mw", "solaire_mw", "hydraulique_mw", "gaz_mw"]
+    return N.null_fill_zero(sil.select("code_insee_region", "date_heure", *cols), cols)
+
+
+@query("u05_upsert_fact_meteo", _with(S.SQL_METEO_ROWS) + """, b AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY code_insee, timestamp ORDER BY load_ordinal DESC) AS rn
+                 FROM meteo_rows WHERE timestamp < TIMESTAMP '2024-01-15 00:00:00') x WHERE rn = 1),
+i AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY code_insee, timestamp ORDER BY load_ordinal DESC) AS rn
+                 FROM meteo_rows WHERE temperature_c IS NOT NULL) x WHERE rn = 1)
+SELECT COALESCE(i.code_insee, b.code_insee) AS id_region, COALESCE(i.timestamp, b.timestamp) AS timestamp,
+  CASE WHEN i.code_insee IS NOT NULL THEN i.temperature_c ELSE b.temperature_c END AS temperature_c,
+  CASE WHEN i.code_insee IS NOT NULL THEN i.wind_speed_10m ELSE b.wind_speed_10m END AS wind_speed_10m,
+  CASE WHEN i.code_insee IS NOT NULL THEN i.cloudcover_pct ELSE b.cloudcover_pct END AS cloudcover_pct
+FROM b FULL OUTER JOIN i ON b.code_insee = i.code_insee AND b.timestamp = i.timestamp""")
+def u05(spark, d):
+    """Weather base (before 15 Jan) merged with the batch of temperature readings (all dates)."""
+    rows = S.meteo_rows(spark, d).withColumnRenamed("code_insee", "id_region")
+    keys = ["id_region", "timestamp"]
+    base = K.dedup_keep_last(rows.where(F.col("timestamp") < F.lit("2024-01-15").cast("timestamp_ntz")),
+                             keys, ["load_ordinal"]).drop("load_ordinal")
+    inc = rows.where(F.col("temperature_c").isNotNull())
+    merged = U.merge_frames(base, inc.select(*base.columns, "load_ordinal"), keys, order=["load_ordinal"])
+    return merged.select("id_region", "timestamp", "temperature_c", "wind_speed_10m", "cloudcover_pct")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
