@@ -78,3 +78,16 @@ def test_normalize_names_and_collation(spark):
     rec = spark.createDataFrame([("76", "Occitanie", 1), ("11", "Île-de-France", 1), ("53", "Bretagne", 1)],
                                 "code_insee string, region string, timestamp int")
     assert [r.region for r in region_directory(rec).collect()] == ["Bretagne", "Île-de-France", "Occitanie"]
+
+
+def test_silver_column_steps(spark):
+    from voltaic.plans.silver import drop_artifacts, readings_columns, rename_columns, safe_numeric
+    raw = spark.createDataFrame([("11", "2025-02-20T10:30:00+01:00", "0", " 12 ", None, 495.0)],
+                                "code_insee_region string, date_heure string, pompage string, eolien string, "
+                                "column_68 string, consommation double")
+    assert "column_68" not in drop_artifacts(raw).columns
+    typed = safe_numeric(raw)
+    assert dict(typed.dtypes)["pompage"] == "double" and typed.first().eolien == 12.0
+    assert {"pompage_mw", "eolien_mw", "consommation_mw"} <= set(rename_columns(typed).columns)
+    r = readings_columns(raw).first()
+    assert r.date_heure == dt.datetime(2025, 2, 20, 9, 30) and r.pompage_mw == 0.0

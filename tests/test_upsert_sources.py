@@ -186,6 +186,10 @@ def test_sinks_layouts(spark, tmp_dir):
     assert run.first().run_status == "partial"
     land = sinks.land_raw(df, os.path.join(tmp_dir, "bronze"), "rte", "regional", NOWTS, "job-1")
     assert spark.read.parquet(land).select("job_id").distinct().first()[0] == "job-1"
+    clim = spark.createDataFrame([(dt.datetime(2025, 6, 15, 1), "11", 1.0), (dt.datetime(2025, 7, 1, 1), "84", 2.0)],
+                                 "valid_time timestamp_ntz, region_code string, t double")
+    croot = sinks.write_bronze_climate(clim, os.path.join(tmp_dir, "climate"))
+    assert os.path.isdir(os.path.join(croot, "year=2025", "month=06", "region_code=11"))
     snap = sinks.snapshot_tables({"dim": df}, os.path.join(tmp_dir, "snap"), "2025-06-20")
     assert spark.read.parquet(snap["dim"]).where(F.col("snapshot_date") == "2025-06-20").count() == 2
 

@@ -92,17 +92,19 @@ REC_COLS_SQL = "code_insee, region, timestamp, sources_text, n_sources, facteur_
 
 @query("a01_production_regional", _with(GOLD, S.SQL_RECORDS) + f"SELECT {REC_COLS_SQL} FROM records")
 def a01(spark, d):
-    """K01 keep-last -> J01 star join -> A01 pivot to records (all-zero records dropped)."""
+    """K01 keep-last -> J01 star join -> A01 pivot to records (all-zero records dropped; L07 filters none)."""
     return _rec_out(gold.records(spark, d))
 
 
 @query("j01_star_join", _with(GOLD) + "SELECT * FROM prod_long")
 def j01(spark, d):
+    """Fact ⋈ region ⋈ time ⋈ source."""
     return gold.prod_long(spark, d)
 
 
 @query("k01_dedup_keep_last", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + "SELECT * FROM fact")
 def k01(spark, d):
+    """Keep-last per (region, time, source) in load order."""
     return gold.fact(spark, d)
 
 
@@ -110,6 +112,7 @@ def k01(spark, d):
     f"MAX(CASE WHEN source_name = '{s}' THEN valeur_mw END) AS {s}" for s in SOURCES) +
     " FROM rec_long GROUP BY 1, 2")
 def a02(spark, d):
+    """One column per source (fixed source list)."""
     long = gold.records_long(gold.records(spark, d))
     return A.production_wide(long, keys=("code_insee", "timestamp"))
 
@@ -117,12 +120,14 @@ def a02(spark, d):
 @query("l02_page", _with(GOLD, S.SQL_RECORDS) +
        f"SELECT {REC_COLS_SQL} FROM records ORDER BY timestamp DESC, code_insee LIMIT 100 OFFSET 50")
 def l02(spark, d):
+    """Newest-first total order, exact page after the pivot."""
     rows, _ = L.page(gold.records(spark, d), limit=100, offset=50)
     return _rec_out(rows)
 
 
 @query("l02_page_total", _with(GOLD, S.SQL_RECORDS) + "SELECT COUNT(*) AS total_records FROM records")
 def l02_total(spark, d):
+    """Exact total of records behind the page."""
     _, total = L.page(gold.records(spark, d), limit=100, offset=50)
     return total
 
@@ -139,7 +144,7 @@ recs AS (
   FROM flt GROUP BY 1, 2, 3 HAVING bool_or(valeur_mw IS NULL OR valeur_mw <> 0))
 SELECT * FROM recs""")
 def l07(spark, d):
-    """L07 + P18: region / start / date-only end (whole day) / source filters before the pivot."""
+    """Region / start / date-only end (whole day) / source filters before the pivot."""
     recs = gold.records(spark, d, region="7", start="1996-01-01", end="1997-12-31", source="eolien")
     return _rec_out(recs)
 
@@ -168,11 +173,13 @@ def s14(spark, d):
   COUNT(DISTINCT id_region) AS regions, COUNT(DISTINCT id_source) AS sources, COUNT(DISTINCT id_date) AS dates,
   ROUND(AVG(valeur_mw), 2) AS avg_mw, COUNT(facteur_charge) AS rows_with_load_factor FROM fact""")
 def a04(spark, d):
+    """Loader summary of the fact."""
     return A.fact_summary(gold.fact(spark, d))
 
 
 @query("a05_fact_count", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + "SELECT COUNT(*) AS n FROM fact")
 def a05(spark, d):
+    """Fact row count."""
     return A.fact_count(gold.fact(spark, d))
 
 
@@ -182,6 +189,7 @@ def a05(spark, d):
   CAST(minute(horodatage) AS INTEGER) AS minute, CAST(isodow(horodatage) AS INTEGER) AS jour_semaine,
   isodow(horodatage) >= 6 AS est_weekend FROM dim_time""")
 def p15(spark, d):
+    """Calendar parts of the time dimension."""
     f = gold.fact(spark, d)
     return calendar_parts(S.dim_time_from(f), "horodatage")
 
@@ -207,7 +215,7 @@ FROM base b FULL OUTER JOIN inc i ON b.id_region = i.id_region AND b.id_date = i
 
 @query("u04_upsert_fact_energy", _UPSERT_SQL)
 def u04(spark, d):
-    """base = loads shipped before 1998, incoming = the 'R' batch (all dates); merge on the fact key."""
+    """base = loads shipped before 1998, incoming = the 'R' batch (all dates); merge on the key."""
     staged = S.fact_staged(spark, d)
     base = gold.fact_from_staged(staged.where(F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz")))
     inc = S.to_fact_rows(staged.where(F.col("batch_tag") == "R"))
@@ -233,6 +241,7 @@ def u02(spark, d):
 
 @query("a08_national_by_timestamp", _with(NAT) + "SELECT timestamp, sources_text, consommation_mw FROM national")
 def a08(spark, d):
+    """National positive MW per source and timestamp, summed consumption."""
     n = gold.national(spark, d)
     return n.select("timestamp", map_as_text("sources").alias("sources_text"), "consommation_mw")
 
@@ -245,6 +254,7 @@ SELECT l.code_insee, l.region, l.timestamp,
      AND p.horodatage = l.timestamp AND p.valeur_mw > 0), 0) AS DOUBLE) AS total_mw, l.consommation_mw
 FROM last l""")
 def a10(spark, d):
+    """A10: newest record per region with total positive MW."""
     return A.latest_by_region(gold.records(spark, d)).drop("sources")
 
 
@@ -263,18 +273,21 @@ SELECT code_insee, region, timestamp, total_mw, consommation_mw,
        ELSE 'balanced' END AS state
 FROM tot""")
 def a11(spark, d):
+    """supply/demand state per region at its newest record (±15 %)."""
     return A.region_balance(A.latest_by_region(gold.records(spark, d)))
 
 
 @query("a12_total_mw", _with(NAT) + """SELECT timestamp, floor(CAST(total_pos AS DOUBLE) + 0.5) AS total_mw
 FROM national ORDER BY timestamp DESC LIMIT 1""")
 def a12(spark, d):
+    """Rounded national total at the newest timestamp."""
     return A.total_mw(gold.national(spark, d))
 
 
 @query("a13_dominant_source", _with(NAT) + """SELECT timestamp, source_name AS source, mw FROM nat_src
 WHERE timestamp = (SELECT MAX(timestamp) FROM national) ORDER BY mw DESC, source_name LIMIT 1""")
 def a13(spark, d):
+    """Dominant source at the newest national timestamp."""
     return A.dominant_source(gold.national(spark, d))
 
 
@@ -287,6 +300,7 @@ pos AS (SELECT p.code_insee, p.horodatage AS timestamp, p.source_name AS source,
         WHERE p.valeur_mw > 0)
 SELECT code_insee, timestamp, CAST(rank AS INTEGER) AS rank, source, mw FROM pos WHERE rank <= 7""")
 def a14(spark, d):
+    """Top 7 positive sources of each region's newest record."""
     return A.top_sources(gold.records(spark, d), n=7).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -304,12 +318,13 @@ ci2 AS (SELECT timestamp, CASE WHEN t IS NULL OR t = 0 THEN 0.0 ELSE floor(w / t
 @query("a15_carbon_intensity", _CI_SQL + f"""SELECT timestamp, intensity,
   {BAND_SQL.format(x='intensity')} AS band, LEAST(intensity, {float(CARBON_GAUGE_MAX)}) AS gauge FROM ci2""")
 def a15(spark, d):
-    """A15 + A16 + J10: carbon intensity of every national point, its band and gauge value."""
+    """Carbon intensity of every national point, its band and gauge value."""
     return A.carbon_intensity(gold.national(spark, d))
 
 
 @query("a17_carbon_series", _CI_SQL + "SELECT timestamp, intensity FROM ci2 ORDER BY timestamp DESC LIMIT 96")
 def a17(spark, d):
+    """Carbon intensity of the newest 96 national points."""
     return A.carbon_series(gold.national(spark, d), n=96)
 
 
@@ -318,24 +333,28 @@ def a17(spark, d):
   FROM national)
 SELECT timestamp, prod, conso, CASE WHEN conso IS NOT NULL AND prod > conso THEN prod END AS surplus_zone FROM pc""")
 def a19(spark, d):
+    """Rounded production vs consumption and the surplus zone."""
     return A.prod_vs_conso(gold.national(spark, d))
 
 
 @query("a20_source_universe", _with(REC) +
        "SELECT string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources FROM rec_long")
 def a20(spark, d):
+    """Union of source keys over all records."""
     return A.source_universe(gold.records(spark, d)).select(F.array_join("sources", ",").alias("sources"))
 
 
 @query("a22_region_directory", _with(GOLD, S.SQL_RECORDS) +
        "SELECT code_insee, arg_min(region, timestamp) AS region FROM records GROUP BY code_insee")
 def a22(spark, d):
+    """Region directory, first name per code, French collation order."""
     return A.region_directory(gold.records(spark, d))
 
 
 @query("a23_active_regions", _with(GOLD, S.SQL_RECORDS) +
        "SELECT COUNT(DISTINCT code_insee) AS active_regions, COUNT(*) AS data_points FROM records")
 def a23(spark, d):
+    """Regions with data and number of records."""
     return A.active_regions(gold.records(spark, d))
 
 
@@ -377,6 +396,7 @@ def w03_last(spark, d):
 @query("l08_last_period", _with(NAT) + """SELECT timestamp, sources_text, consommation_mw FROM national
 WHERE timestamp >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 30 DAY AND timestamp <= TIMESTAMP '1998-08-02 00:00:00'""")
 def l08(spark, d):
+    """The 30-day preset before an explicit reference time."""
     n = L.last_period(gold.national(spark, d), "timestamp", "1998-08-02 00:00:00", "30d")
     return n.select("timestamp", map_as_text("sources").alias("sources_text"), "consommation_mw")
 
@@ -391,7 +411,7 @@ _SILVER_OUT_SQL = _with(S.SQL_SILVER) + "SELECT *, " + ", ".join(
 
 @query("p04_silver_readings", _SILVER_OUT_SQL)
 def p04(spark, d):
-    """P01-P04 + K01 + N01/N04 over the raw readings."""
+    """P01, P02, P03, P04, K01, N01, N04, N06 over the raw readings (Silver step)."""
     out, _ = gold.silver_readings(spark, d)
     return out
 
@@ -412,6 +432,7 @@ SELECT 'rte' AS source, (SELECT COUNT(*) FROM silver) AS input_rows,
   (SELECT CAST(SUM(n) AS BIGINT) FROM nn WHERE c NOT IN ('code_insee_region', 'date_heure')) AS values_flagged,
   (SELECT COUNT(*) FROM silver) AS output_rows""")
 def n05(spark, d):
+    """Quality metrics of the RTE rule set."""
     """Metrics of the RTE rule set over the de-duplicated readings."""
     _, m = gold.silver_readings(spark, d)
     return m.withColumn("nulls_found", map_as_text("nulls_found"))
@@ -459,6 +480,7 @@ _GATES_SQL = _with(S.SQL_SILVER, GOLD) + f""", g AS (
 
 @query("q07_run_gates", _GATES_SQL + "SELECT * FROM g")
 def q07(spark, d):
+    """Q07 (with Q01, Q02, Q04, Q05, Q06): the default gate list, one aggregation pass per table."""
     return _gates(spark, d).drop("details")
 
 
@@ -467,6 +489,7 @@ def q07(spark, d):
   COUNT(*) FILTER (WHERE status = 'FAIL') AS failed,
   COALESCE(bool_or(status = 'FAIL' AND severity = 'CRITICAL'), false) AS halt FROM g""")
 def q08(spark, d):
+    """Q08: gate summary and halt flag."""
     return Q.gate_summary(_gates(spark, d))
 
 
@@ -491,12 +514,14 @@ def _gates(spark, d):
     AS cloudcover_pct
 FROM meteo GROUP BY timestamp""")
 def a09(spark, d):
+    """National weather means per hour (NULL-skipping)."""
     return A.national_meteo(gold.meteo(spark, d))
 
 
 @query("l03_meteo_regional", _with(S.SQL_METEO_ROWS) +
        "SELECT * FROM meteo ORDER BY timestamp DESC, code_insee LIMIT 500")
 def l03(spark, d):
+    """Newest 500 weather rows."""
     return L.meteo_regional(gold.meteo(spark, d), limit=500)
 
 
@@ -513,6 +538,7 @@ def j05(spark, d):
 @query("j06_orphans", _with(S.SQL_METEO_ROWS, S.SQL_DIM_REGION) + """SELECT code_insee, COUNT(*) AS orphan_rows
 FROM meteo WHERE code_insee IS NOT NULL AND code_insee NOT IN (SELECT id_region FROM dim_region) GROUP BY code_insee""")
 def j06(spark, d):
+    """Weather rows whose region is not in the region dimension (NOT IN semantics)."""
     o = J.orphans(gold.meteo(spark, d), "code_insee", S.dim_region(spark, d), "id_region")
     return o.groupBy("code_insee").agg(F.count(F.lit(1)).alias("orphan_rows"))
 
@@ -523,7 +549,7 @@ def j06(spark, d):
 
 @query("a07_capacity_by_region_source", _with(S.SQL_CAPACITY) + "SELECT * FROM capacity")
 def a07(spark, d):
-    """P11-P13 + A07: canonical source, region code, kW -> MW, sum per (region, source, year)."""
+    """Canonical source, region code, kW -> MW, sum per (region, source, year)."""
     return gold.capacity(spark, d)
 
 
@@ -532,11 +558,13 @@ def a07(spark, d):
     SELECT *, ROW_NUMBER() OVER (PARTITION BY source_name ORDER BY annee DESC, code_insee_region) AS rn
     FROM capacity) x WHERE rn = 1""")
 def a18(spark, d):
+    """Per source, the newest year's capacity (rounded)."""
     return A.capacity_latest_year(gold.capacity(spark, d))
 
 
 @query("l05_capacity_regional", _with(S.SQL_CAPACITY) + "SELECT * FROM capacity WHERE annee = 2024")
 def l05(spark, d):
+    """Capacity rows of one year in region / year / source order."""
     return L.capacity_regional(gold.capacity(spark, d), year=2024)
 
 
@@ -549,7 +577,7 @@ _MAINT_COLS = "event_id, unit_name, affected_area, event_type, start_date, end_d
 
 @query("k01_maintenance_silver", _with(S.SQL_MAINTENANCE_RAW) + f"SELECT {_MAINT_COLS} FROM maintenance")
 def k01m(spark, d):
-    """P04 + P07 + P10 + K01 over outage reports (repeated reports of one event collapse to the last)."""
+    """P04, P07, P10, K01 over outage reports (repeated reports of one event collapse to the last)."""
     return gold.maintenance(spark, d)
 
 
@@ -565,6 +593,7 @@ def j04(spark, d):
 @query("l04_maintenance_events", _with(S.SQL_MAINTENANCE_RAW) +
        f"SELECT {_MAINT_COLS} FROM maintenance ORDER BY start_date DESC NULLS LAST, event_id LIMIT 100")
 def l04(spark, d):
+    """Newest 100 outage events."""
     return L.maintenance_events(gold.maintenance(spark, d), limit=100)
 
 
@@ -576,12 +605,14 @@ def l04(spark, d):
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, region_code, alert_type, CAST(sent_at AS DATE)
                                    ORDER BY sent_at, alert_id) AS rn FROM alerts) x WHERE rn = 1""")
 def k04(spark, d):
+    """One alert per (user, region, type, day), the earliest kept."""
     return K.daily_alert_dedup(S.alert_log(spark, d), tie=["alert_id"])
 
 
 @query("k02_distinct_first_label", _with(S.SQL_ALERTS) +
        "SELECT user_id, arg_min(region_code, (sent_at, alert_id)) AS region_code FROM alerts GROUP BY user_id")
 def k02(spark, d):
+    """First region label per user in time order."""
     return K.distinct_first_label(S.alert_log(spark, d), "user_id", "region_code", ["sent_at", "alert_id"])
 
 
@@ -604,18 +635,20 @@ def _marked(spark, d):
 
 @query("y02_mark_status", _LAST_SEEN_SQL + "SELECT * FROM marked")
 def y02(spark, d):
-    """Last reading per region, then stale (>24 h) / inactive (>168 h) marking."""
+    """Y02 (with T05 semantics in batch): last reading per region, then stale (>24 h) / inactive (>168 h)."""
     return _marked(spark, d)
 
 
 @query("a06_status_summary", _LAST_SEEN_SQL + "SELECT status, COUNT(*) AS n FROM marked GROUP BY status")
 def a06(spark, d):
+    """Regions per lifecycle status."""
     return A.status_summary(_marked(spark, d))
 
 
 @query("y03_lifecycle_summary", _LAST_SEEN_SQL + """SELECT status, COUNT(*) AS changed,
   string_agg(code_insee, ',' ORDER BY code_insee) AS codes FROM marked WHERE status <> previous_status GROUP BY status""")
 def y03(spark, d):
+    """Regions whose status changed, per new status."""
     s = Y.lifecycle_summary(_marked(spark, d))
     return s.withColumn("codes", F.array_join("codes", ","))
 
@@ -625,6 +658,7 @@ def y03(spark, d):
 SELECT code_insee, CASE WHEN code_insee IN (SELECT code_insee FROM dim_region) THEN 'updated' ELSE 'new' END AS kind
 FROM seen""")
 def j07(spark, d):
+    """Regions seen in the readings split into new and known."""
     sil, _ = gold.silver_readings(spark, d)
     seen = sil.select(F.col("code_insee_region").alias("code_insee")).distinct()
     new, upd = J.diff_known(seen, S.dim_region(spark, d), "code_insee")
@@ -643,7 +677,7 @@ SELECT COALESCE(b.code_insee, s.code_insee) AS code_insee, COALESCE(s.nom_region
        WHEN s.code_insee IS NOT NULL THEN TIMESTAMP '{REF_NOW}' ELSE b.last_seen_at END AS last_seen_at
 FROM base b FULL OUTER JOIN seen s ON b.code_insee = s.code_insee""")
 def y01(spark, d):
-    """Y01 + U08: regions seen in the readings merged into a stale region dimension."""
+    """Regions seen in the readings merged into a stale region dimension."""
     sil, _ = gold.silver_readings(spark, d)
     base = S.dim_region(spark, d).select(
         "code_insee", "nom_region", F.lit("stale").alias("status"),
@@ -687,7 +721,7 @@ SELECT region_code, valid_time, ROUND(COALESCE(wind_speed_100m, 0), 4) AS wind_s
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS temperature_c,
   ROUND(COALESCE(ssrd, 0), 2) AS ssrd, grid_points FROM agg""")
 def p09(spark, d):
-    """P08/P09/P14/J08 + mean per (region, hour) + ERA5 rules (fill zero, forward fill)."""
+    """Climate grid to Silver (mean per region-hour, ERA5 rules)."""
     out, _ = silver.transform_climate(S.grid_points(spark, d))
     return out.select("region_code", "valid_time", F.round("wind_speed_100m", 4).alias("wind_speed_100m"),
                       F.round("temperature_c", 4).alias("temperature_c"), F.round("ssrd", 2).alias("ssrd"),
@@ -789,7 +823,7 @@ def t04(spark, d):
 
 @query("t05_stream_last_seen", _LAST_SEEN_SQL + "SELECT * FROM marked")
 def t05(spark, d):
-    """Last reading per region kept as streaming state, merged per batch, then marked."""
+    """Last reading per region kept as streaming state, merged per batch, then marked."""
     sdf = silver.readings_columns(S.raw_readings_from(_events_stream(spark, d)))
     root = scratch_path(spark, "t05")
     q = (T.stream_last_seen(sdf).writeStream.outputMode("update")
@@ -838,7 +872,7 @@ def _capacity_csv(spark, d, sep, names=None):
 
 @query("s02_read_capacity_csv", _with(S.SQL_CAPACITY) + "SELECT * FROM capacity")
 def s02(spark, d):
-    """S02 + P05/P06: ';' register written by Spark, delimiter sniffed, names resolved, then A07."""
+    """S02, P05, P06: ';' register written by Spark, delimiter sniffed, names resolved, then A07."""
     root = _capacity_csv(spark, d, ";")
     df = F_.read_capacity_csv(spark, root)
     df = F_.resolve_aliases(df, {"code": REGION_CODE_CANDIDATES, "name": REGION_NAME_CANDIDATES,
@@ -874,7 +908,7 @@ def s11(spark, d):
   CAST(year(date_heure) AS INTEGER) AS year, CAST(month(date_heure) AS INTEGER) AS month,
   CAST(day(date_heure) AS INTEGER) AS day FROM silver WHERE date_heure >= TIMESTAMP '2024-01-15 00:00:00'""")
 def s06(spark, d):
-    """S06 + S03 + S12: Silver written as year/month/day partitions, read back, pruned incrementally."""
+    """Silver written as year/month/day partitions, read back, pruned incrementally."""
     out, _ = gold.silver_readings(spark, d)
     root = scratch_path(spark, "s06")
     sinks.write_silver_daily(out, root)
@@ -895,7 +929,7 @@ def s07(spark, d):
 @query("s15_explode_hourly_payload", _with(S.SQL_METEO_ROWS) + """SELECT code_insee, timestamp, temperature_c,
   wind_speed_10m, cloudcover_pct FROM meteo WHERE temperature_c IS NOT NULL""")
 def s15(spark, d):
-    """S15 + P16: hourly payloads (parallel arrays per region and local day) exploded and moved to UTC."""
+    """Hourly payloads (parallel arrays per region and local day) exploded and moved to UTC."""
     m = gold.meteo(spark, d)
     local = F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), "Europe/Paris")
     e = m.select("code_insee", F.to_date(local).alias("day"), F.struct(
@@ -928,6 +962,7 @@ def a03(spark, d):
   COUNT(*) AS rows, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT code_insee_region AS c FROM silver))
   AS regions FROM silver""")
 def a21(spark, d):
+    """Time extent and sorted region list of the Silver readings."""
     out, _ = gold.silver_readings(spark, d)
     return A.time_extent(out, "date_heure", "code_insee_region").withColumn(
         "regions", F.array_join("regions", ","))
@@ -935,6 +970,7 @@ def a21(spark, d):
 
 @query("k03_distinct_pairs", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + "SELECT DISTINCT id_region, id_source FROM fact")
 def k03(spark, d):
+    """Distinct (region, source) pairs of the fact."""
     return K.distinct_pairs(gold.fact(spark, d), ["id_region", "id_source"])
 
 

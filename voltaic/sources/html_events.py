@@ -85,7 +85,7 @@ def _extract(batches, id_col, html_col, url_col):
 
 def extract_events_html(pages: DataFrame, html_col: str = "html", url_col: str = "url",
                         id_col: str = "page_id", scraped_at: str | None = None) -> DataFrame:
-    """Every event row of every page, MW parsed (P10), provenance url and scrape time."""
+    """Every event row of every page, MW parsed (P10), provenance url and scrape time."""
     raw = pages.select(id_col, html_col, url_col).mapInPandas(
         lambda it: _extract(it, id_col, html_col, url_col), EVENT_SCHEMA)
     ts = F.current_timestamp() if scraped_at is None else F.lit(scraped_at).cast("timestamp")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def profile_schema(df: DataFrame, hash_long_text: Sequence[str] = ()) -> DataFrame:
-    """Per column: type, NULL count, a sample value (the minimum) and the total row count.
+    """Per column type, NULL count, a sample value (the minimum) and the total row count.
 
     One ``agg`` over the table, then the wide row is unpivoted to one row per column.
     """
