@@ -68,7 +68,7 @@ GOLD = S.SQL_GOLD
 REC = ",\n".join([GOLD, S.SQL_RECORDS, S.SQL_REC_LONG])
 NAT = ",\n".join([REC, S.SQL_NATIONAL])
 FACTORS = "factors AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{k}', {float(v)})" for k, v in EMISSION_FACTORS.items()) + ") t(source_name, factor))"
+    f"('{k}', CAST({float(v)} AS DOUBLE))" for k, v in EMISSION_FACTORS.items()) + ") t(source_name, factor))"
 CENTROIDS = "centroids AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{code}', {v[-2]}, {v[-1]})" for i, (code, v) in enumerate(REGION_CENTROIDS.items())) + \
     ") t(ord, code, lat, lon))"
@@ -1007,7 +1007,7 @@ def j03(spark, d):
 
 
 @query("j10_factor_lookup", _with(NAT, FACTORS) + """SELECT s.timestamp, s.source_name, s.mw,
-  COALESCE(f.factor, 0.0) AS factor FROM nat_src s LEFT JOIN factors f ON s.source_name = f.source_name""")
+  COALESCE(f.factor, CAST(0 AS DOUBLE)) AS factor FROM nat_src s LEFT JOIN factors f ON s.source_name = f.source_name""")
 def j10(spark, d):
     """Emission factor per national source value (unknown source -> 0)."""
     n = gold.national(spark, d).select("timestamp", F.explode("sources").alias("source_name", "mw"))
