@@ -223,3 +223,17 @@ def test_all_table_policies(spark):
     mt = spark.createDataFrame([("E1", "u", 1.0)], "event_id string, unit_name string, unavailable_mw double")
     out = U.upsert_fact_maintenance(mt, spark.createDataFrame([("E1", "v", 2.0), ("E2", "w", 3.0)], mt.schema))
     assert sorted(tuple(r) for r in out.collect()) == [("E1", "v", 2.0), ("E2", "w", 3.0)]
+
+
+def test_merge_with_batch_order_and_missing_columns(spark, tmp_dir):
+    base = spark.createDataFrame([("11", 1.0, "a")], "k string, v double, note string")
+    inc = spark.createDataFrame([("11", 2.0, 1), ("11", 3.0, 2), ("84", 4.0, 1)], "k string, v double, ord int")
+    out = U.merge_frames(base, inc, ["k"], order=["ord"], keep_non_null=["note"])
+    assert sorted(tuple(r) for r in out.collect()) == [("11", 3.0, "a"), ("84", 4.0, None)]
+    path = os.path.join(tmp_dir, "p")
+    first = spark.createDataFrame([("d1", "11", 1.0, 1)], "day string, k string, v double, ord int")
+    U.upsert_table(spark, path, first, ["day", "k"], partition_by=["day"], order=["ord"])
+    U.upsert_table(spark, path, inc.withColumn("day", F.lit("d1")), ["day", "k"], partition_by=["day"], order=["ord"])
+    table = spark.read.parquet(path)
+    assert "ord" not in table.columns
+    assert sorted((r.k, r.v) for r in table.collect()) == [("11", 3.0), ("84", 4.0)]

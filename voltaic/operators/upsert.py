@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voltaic.operators.dedup import dedup_keep_last
 from voltaic.session import scratch_path
@@ -34,10 +35,13 @@ def merge_frames(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
     cols = base.columns
     non_key = [c for c in cols if c not in keys]
     upd = set(non_key if update_cols is None else update_cols)
-    inc = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
-                            for c in cols])
-    if order is not None:
-        inc = dedup_keep_last(incoming, list(keys), order).select(*inc.columns)
+    inc = incoming
+    for c in cols:  # columns the batch does not carry are NULL (and kept from base where policy says so)
+        if c not in inc.columns:
+            inc = inc.withColumn(c, F.lit(None).cast(base.schema[c].dataType))
+    if order is not None:  # the batch's own keep-last, on its extra order columns
+        inc = dedup_keep_last(inc, list(keys), order)
+    inc = inc.select(*cols)
     b = base.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in non_key], F.lit(True).alias("_in_b"))
     i = inc.select(*keys, *[F.col(c).alias(f"_i_{c}") for c in non_key], F.lit(True).alias("_in_i"))
     j = b.join(i, on=list(keys), how="full_outer")
@@ -70,13 +74,18 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
     exists = _exists(spark, path)
     if partition_by:
         if exists:
-            # read with the batch's schema so partition values keep their declared types
-            base = spark.read.schema(incoming.schema).parquet(path)
+            # read with the batch's schema (minus its order columns) so partition values
+            # keep their declared types
+            order = set(policy.get("order") or [])
+            schema = StructType([f for f in incoming.schema.fields if f.name not in order])
+            base = spark.read.schema(schema).parquet(path)
             touched = incoming.select(*partition_by).distinct()
             base = base.join(touched, on=partition_by, how="left_semi")
-            merged = merge_frames(base, incoming.select(*base.columns), keys, **policy)
+            merged = merge_frames(base, incoming, keys, **policy)
         else:
-            merged = incoming
+            order = policy.get("order")
+            merged = (dedup_keep_last(incoming, list(keys), order) if order else incoming)
+            merged = merged.select(*[c for c in incoming.columns if c not in (order or [])])
         stage = scratch_path(spark, "upsert-stage")
         merged.write.mode("overwrite").partitionBy(*partition_by).parquet(stage)
         staged = spark.read.parquet(stage)
@@ -87,10 +96,12 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
     if exists:
         latest = latest_version(spark, path)
         version = latest + 1
-        base = spark.read.parquet(f"{path}/v={latest}")
-        merged = merge_frames(base, incoming.select(*base.columns), keys, **policy)
+        base = spark.read.parquet(f"{path}/v={latest}").drop("v")
+        merged = merge_frames(base, incoming, keys, **policy)
     else:
-        merged = incoming
+        order = policy.get("order")
+        merged = (dedup_keep_last(incoming, list(keys), order) if order else incoming)
+        merged = merged.select(*[c for c in incoming.columns if c not in (order or [])])
     target = f"{path}/v={version}"
     merged.write.mode("overwrite").parquet(target)
     return target
