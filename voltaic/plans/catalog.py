@@ -798,7 +798,7 @@ def t03(spark, d):
     root = scratch_path(spark, "t03")
     T.stream_upsert(sdf, f"{root}/table", ["code_insee_region", "date_heure"], ["load_ordinal"],
                     checkpoint=f"{root}/ckpt")
-    return T.read_upserted(spark, f"{root}/table").drop("load_ordinal", "v")
+    return T.read_upserted(spark, f"{root}/table").drop("v")
 
 
 @query("t04_stream_national", (_with(S.SQL_RAW_READINGS) + """, long AS (

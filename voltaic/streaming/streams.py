@@ -62,7 +62,7 @@ def stream_upsert(sdf: DataFrame, path: str, keys: Sequence[str], order: Sequenc
     """Idempotent upsert of every micro-batch into the table at ``path``.
 
     Within a batch the last row per key in ``order`` wins; across batches the
-    merge overwrites matched keys. Unpartitioned tables get one snapshot
+    later batch overwrites matched keys. The order columns are not stored. Unpartitioned tables get one snapshot
     version per batch id (``path/v=<batch_id>``), so a replayed batch rewrites
     the same version; partitioned tables rewrite only the touched partitions.
     """
@@ -75,7 +75,7 @@ def stream_upsert(sdf: DataFrame, path: str, keys: Sequence[str], order: Sequenc
             upsert_table(spark, path, inc, keys, partition_by=parts, order=order)
             return
         base = _latest_before(spark, path, batch_id)
-        merged = inc if base is None else merge_frames(base, inc.select(*base.columns), keys, order=order)
+        merged = inc.drop(*order) if base is None else merge_frames(base, inc, keys)
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     q = _run(sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), trigger)
