@@ -19,7 +19,7 @@ from voltaic.constants import (
     FILIERE_MAP, REGION_BALANCE_TOLERANCE, SOURCE_COLUMN_MAP, SOURCES,
 )
 from voltaic.functions.columns import canonical_region_code, js_round, kw_to_mw
-from voltaic.functions.maps import any_nonzero, map_total_positive, positive_only
+from voltaic.functions.maps import map_total_positive, positive_only
 from voltaic.operators.joins import factor_map
 
 # ----------------------------------------------------------------------------

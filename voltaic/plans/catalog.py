@@ -24,8 +24,8 @@ from voltaic.constants import (
     NATIONAL_BALANCE_TOLERANCE, REGION_BALANCE_TOLERANCE, REGION_CENTROIDS, SOURCES,
 )
 from voltaic.functions.calendar import calendar_parts
-from voltaic.functions.columns import clean_text, js_round
-from voltaic.functions.maps import entries_as_text, map_as_text
+from voltaic.functions.columns import clean_text
+from voltaic.functions.maps import map_as_text
 from voltaic.operators import aggregates as A
 from voltaic.operators import dedup as K
 from voltaic.operators import joins as J
@@ -1153,5 +1153,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
-
-_ = (js_round, entries_as_text)

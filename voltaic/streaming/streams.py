@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from voltaic.functions.maps import positive_only  # noqa: F401  (re-export for callers)
 from voltaic.operators.dedup import dedup_keep_last
 from voltaic.operators.upsert import merge_frames, upsert_table
 
