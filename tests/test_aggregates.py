@@ -133,3 +133,15 @@ def test_source_universe_and_extent(spark):
     assert A.source_universe(rec).first().sources == ["a", "b", "c"]
     ext = A.time_extent(rec, "timestamp", "code_insee").first()
     assert ext.regions == ["11", "84"] and ext.rows == 2
+
+
+def test_thermal_source_kept(spark):
+    from voltaic.plans.silver import transform_readings
+    raw = spark.createDataFrame([("11", "2025-02-20T10:30:00+01:00", "120", "5", 1)],
+                                "code_insee_region string, date_heure string, thermique string, eolien string, "
+                                "load_ordinal int")
+    sil, _ = transform_readings(raw)
+    assert "thermique_mw_is_null" in sil.columns
+    long = A.unpivot_sources(sil, ["code_insee_region", "date_heure"])
+    assert sorted((r.source_name, r.valeur_mw) for r in long.collect()) == [("eolien", 5.0), ("thermique", 120.0)]
+    assert A.unpivot_sources(sil, ["code_insee_region"], include_thermal=False).count() == 1

@@ -50,6 +50,9 @@ SOURCE_COLUMN_MAP = {
     "bioenergies_mw": "bioenergies",
 }
 
+# Thermal output of the regional feed (D19): raw column, Silver column, source name.
+THERMAL_RAW, THERMAL_MW, THERMAL_SOURCE = "thermique", "thermique_mw", "thermique"
+
 # Default source dimension: (source_name, is_green).
 DEFAULT_SOURCES = [
     ("nucleaire", False),

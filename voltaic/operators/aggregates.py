@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltaic.constants import (
-    FILIERE_MAP, REGION_BALANCE_TOLERANCE, SOURCE_COLUMN_MAP, SOURCES,
+    FILIERE_MAP, REGION_BALANCE_TOLERANCE, SOURCE_COLUMN_MAP, SOURCES, THERMAL_MW, THERMAL_SOURCE,
 )
 from voltaic.functions.columns import canonical_region_code, js_round, kw_to_mw
 from voltaic.functions.maps import map_total_positive, positive_only
@@ -63,8 +63,15 @@ def production_wide(long: DataFrame, keys: Sequence[str] = ("code_insee", "horod
 
 def unpivot_sources(wide: DataFrame, ids: Sequence[str],
                     mapping: Mapping[str, str] = SOURCE_COLUMN_MAP,
-                    source_col: str = "source_name", value_col: str = "valeur_mw") -> DataFrame:
-    """Wide Silver rows -> long rows for the mapped sources; NULL MW dropped."""
+                    source_col: str = "source_name", value_col: str = "valeur_mw",
+                    include_thermal: bool = True) -> DataFrame:
+    """Wide Silver rows -> long rows for the mapped sources; NULL MW dropped.
+
+    D19: a ``thermique_mw`` column, when present, becomes source ``thermique``
+    (``include_thermal=False`` restores the 8-source behaviour).
+    """
+    if include_thermal and THERMAL_MW in wide.columns:
+        mapping = {**mapping, THERMAL_MW: THERMAL_SOURCE}
     present = [c for c in mapping if c in wide.columns]
     if not present:
         return wide.select(*ids, F.lit(None).cast("string").alias(source_col),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voltaic.constants import (
     CAPACITY_QUALITY_RULES, DROP_COLUMNS, ERA5_QUALITY_RULES, MW_CAST_COLUMNS, RENAME_MAP,
-    RTE_QUALITY_RULES,
+    RTE_QUALITY_RULES, THERMAL_MW, THERMAL_RAW,
 )
 from voltaic.functions.columns import (
     clean_text, kelvin_to_celsius, parse_mw, parse_utc, safe_double, wind_speed,
@@ -45,13 +45,18 @@ def parse_times(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: parse_utc(c).cast("timestamp_ntz") for c in cols if c in df.columns})
 
 
-def readings_columns(raw: DataFrame) -> DataFrame:
-    """Row-local part of the readings Silver step (P01-P04); usable on a stream."""
+def readings_columns(raw: DataFrame, include_thermal: bool = True) -> DataFrame:
+    """Row-local part of the readings Silver step (P01-P04); usable on a stream.
+
+    With ``include_thermal`` (D19) a ``thermique`` feed column is typed and
+    kept as ``thermique_mw`` instead of being lost.
+    """
     df = drop_artifacts(raw)
-    df = safe_numeric(df)
+    extra = [THERMAL_RAW] if include_thermal and THERMAL_RAW in df.columns else []
+    df = safe_numeric(df, list(MW_CAST_COLUMNS) + extra)
     if "consommation" in df.columns:
         df = df.withColumn("consommation", F.col("consommation").cast("double"))
-    df = rename_columns(df)
+    df = rename_columns(df, {**RENAME_MAP, **({THERMAL_RAW: THERMAL_MW} if extra else {})})
     return parse_times(df, ["date_heure"])
 
 
@@ -60,6 +65,8 @@ def transform_readings(raw: DataFrame, order: Sequence[str] = ("load_ordinal",),
                        rules=RTE_QUALITY_RULES) -> tuple[DataFrame, DataFrame]:
     """Regional readings -> Silver (P01-P04, K01, N01/N04); returns (silver, metrics)."""
     df = readings_columns(raw)
+    if THERMAL_MW in df.columns:
+        rules = {**rules, THERMAL_MW: "flag"}
     drop_cols = [c for c, s in rules.items() if s == DROP]
     df = null_drop(df, drop_cols)
     df = dedup_keep_last(df, list(keys), list(order))
