@@ -60,10 +60,12 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     On a cluster reading many files the scan already has thousands of splits
     and this is a no-op.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        planned = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote session without RDD access: leave the plan alone
+        return df
+    return df.repartition(target) if planned < target else df
 
 
 def _case(col, pairs, default):
