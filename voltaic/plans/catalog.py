@@ -195,12 +195,12 @@ def p15(spark, d):
 
 
 _UPSERT_SQL = _with(S.SQL_FACT_STAGED) + """, keep AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY region_code, ts, source_name ORDER BY load_batch DESC, load_pos DESC) AS rn
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY region_code, ts, source_name ORDER BY load_batch DESC, load_pos DESC, valeur_mw DESC, facteur_charge DESC, consommation_mw DESC) AS rn
   FROM fact_staged WHERE ts < TIMESTAMP '1998-01-01 00:00:00'),
 base AS (SELECT region_code AS id_region, CAST(strftime(ts, '%Y%m%d%H%M') AS BIGINT) AS id_date,
                 source_name AS id_source, valeur_mw, facteur_charge, consommation_mw FROM keep WHERE rn = 1),
 keepi AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY region_code, ts, source_name ORDER BY load_batch DESC, load_pos DESC) AS rn
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY region_code, ts, source_name ORDER BY load_batch DESC, load_pos DESC, valeur_mw DESC, facteur_charge DESC, consommation_mw DESC) AS rn
   FROM fact_staged WHERE batch_tag = 'R'),
 inc AS (SELECT region_code AS id_region, CAST(strftime(ts, '%Y%m%d%H%M') AS BIGINT) AS id_date,
                source_name AS id_source, valeur_mw, facteur_charge, consommation_mw FROM keepi WHERE rn = 1)
@@ -220,7 +220,7 @@ def u04(spark, d):
     base = gold.fact_from_staged(staged.where(F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz")))
     inc = S.to_fact_rows(staged.where(F.col("batch_tag") == "R"))
     return U.upsert_fact_energy(base, inc.select(*gold.FACT_COLS, "load_batch", "load_pos"),
-                                order=["load_batch", "load_pos"])
+                                order=gold.LOAD_ORDER)
 
 
 @query("u02_upsert_dim_time", _with(S.SQL_FACT_STAGED) + """, t AS (

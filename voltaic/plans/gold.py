@@ -20,10 +20,15 @@ FACT_KEYS = ["id_region", "id_date", "id_source"]
 FACT_COLS = ["id_region", "id_date", "id_source", "valeur_mw", "facteur_charge", "consommation_mw"]
 
 
+# Load order of staged rows. (batch, position) repeats in the bound data, so the
+# values themselves break remaining ties: the order is total over distinct outcomes.
+LOAD_ORDER = ["load_batch", "load_pos", "valeur_mw", "facteur_charge", "consommation_mw"]
+
+
 def fact_from_staged(staged: DataFrame) -> DataFrame:
     """K01 on staged rows: keep-last per (region, date key, source) in load order."""
     rows = standins.to_fact_rows(staged)
-    return dedup_keep_last(rows, FACT_KEYS, ["load_batch", "load_pos"]).select(*FACT_COLS)
+    return dedup_keep_last(rows, FACT_KEYS, LOAD_ORDER).select(*FACT_COLS)
 
 
 def fact(spark: SparkSession, d: str, region: str | None = None, start: str | None = None,

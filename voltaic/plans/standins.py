@@ -85,7 +85,8 @@ def _sql_case(col: str, pairs, default: str) -> str:
 # Staged production rows (lineitem ⋈ supplier ⋈ part)
 # region = supplier nation, ts = ship date, source = part type,
 # MW = 10·quantity − 100, load factor = discount, consumption = price / 100,
-# load order = (orderkey, linenumber)
+# load order = (orderkey, linenumber); that pair repeats in the data, so keep-last
+# breaks the remaining ties on the values (plans.gold.LOAD_ORDER)
 # ---------------------------------------------------------------------------
 
 def fact_staged(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +136,8 @@ SQL_FACT = """fact AS (
   SELECT region_code AS id_region, CAST(strftime(ts, '%Y%m%d%H%M') AS BIGINT) AS id_date,
          source_name AS id_source, valeur_mw, facteur_charge, consommation_mw
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY region_code, ts, source_name
-                                     ORDER BY load_batch DESC, load_pos DESC) AS rn
+                                     ORDER BY load_batch DESC, load_pos DESC, valeur_mw DESC,
+                                              facteur_charge DESC, consommation_mw DESC) AS rn
         FROM fact_staged) x
   WHERE rn = 1)"""
 
