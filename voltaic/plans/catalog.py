@@ -1146,6 +1146,128 @@ def u05(spark, d):
     return merged.select("id_region", "timestamp", "temperature_c", "wind_speed_10m", "cloudcover_pct")
 
 
+# ---------------------------------------------------------------------------
+# Remaining upserts and landing sinks
+# ---------------------------------------------------------------------------
+
+_U06_BRAND = "Brand#1"
+
+
+def _cap_fact(cap: DataFrame) -> DataFrame:
+    return cap.select(F.col("code_insee_region").alias("id_region"), F.col("source_name").alias("id_source"),
+                      "annee", "puissance_installee_mw")
+
+
+@query("u06_upsert_fact_capacity", _with(S.sql_capacity(), S.sql_capacity("_i", _U06_BRAND)) + """
+SELECT COALESCE(i.code_insee_region, b.code_insee_region) AS id_region,
+  COALESCE(i.source_name, b.source_name) AS id_source, COALESCE(i.annee, b.annee) AS annee,
+  CASE WHEN i.code_insee_region IS NOT NULL THEN i.puissance_installee_mw ELSE b.puissance_installee_mw END
+    AS puissance_installee_mw
+FROM capacity b FULL OUTER JOIN capacity_i i
+  ON b.code_insee_region = i.code_insee_region AND b.source_name = i.source_name AND b.annee = i.annee""")
+def u06(spark, d):
+    """Capacity fact from the whole register merged with one operator's re-delivered register."""
+    base = _cap_fact(gold.capacity(spark, d))
+    inc = _cap_fact(gold.capacity(spark, d, brand=_U06_BRAND))
+    return U.upsert_fact_capacity(base, inc)
+
+
+def _fact_maintenance(spark, d, statuses):
+    """Outage Silver of one scrape with its region resolved from the area name."""
+    m = gold.maintenance(spark, d, statuses).withColumn("_area", F.lower(F.trim("affected_area")))
+    r = S.dim_region(spark, d).select(F.lower(F.trim("nom_region")).alias("_area"),
+                                      F.col("code_insee").alias("id_region"))
+    return J.maintenance_join(m, r, region_key="_area").drop("_area")
+
+
+_MAINT_FACT = _MAINT_COLS.split(", ") + ["id_region"]
+_MAINT_FACT_SQL = ",\n".join(
+    f"fm{sfx} AS (SELECT m.*, r.code_insee AS id_region FROM maintenance{sfx} m LEFT JOIN dim_region r"
+    f" ON lower(trim(m.affected_area)) = lower(trim(r.nom_region)))" for sfx in ("_b", "_i"))
+
+
+@query("u07_upsert_fact_maintenance", _with(S.sql_maintenance("_b", ("F", "O")), S.sql_maintenance("_i", ("O", "P")),
+                                             S.SQL_DIM_REGION, _MAINT_FACT_SQL) +
+       "SELECT COALESCE(i.event_id, b.event_id) AS event_id, " + ", ".join(
+           f"CASE WHEN i.event_id IS NOT NULL THEN i.{c} ELSE b.{c} END AS {c}" for c in _MAINT_FACT[1:]) +
+       "\nFROM fm_b b FULL OUTER JOIN fm_i i ON b.event_id = i.event_id")
+def u07(spark, d):
+    """Outage fact of an earlier scrape (status F, O) merged with a later one (O, P) on event id."""
+    base = _fact_maintenance(spark, d, ("F", "O")).select(*_MAINT_FACT)
+    inc = _fact_maintenance(spark, d, ("O", "P")).select(*_MAINT_FACT)
+    return U.upsert_fact_maintenance(base, inc)
+
+
+@query("u01_upsert_dim_region", _with(S.SQL_SILVER, S.SQL_DIM_REGION, S.SQL_REGION_ATTRS) + """, seen AS (
+  SELECT code_insee_region AS code_insee, arg_min(libelle_region, date_heure) AS nom_region FROM silver
+  WHERE trim(libelle_region) <> '' GROUP BY 1)
+SELECT COALESCE(b.code_insee, s.code_insee) AS code_insee,
+  CASE WHEN s.code_insee IS NOT NULL THEN s.nom_region ELSE b.nom_region END AS nom_region,
+  b.population, b.superficie_km2
+FROM region_attrs b FULL OUTER JOIN seen s ON b.code_insee = s.code_insee""")
+def u01(spark, d):
+    """U01, K02 (D16): region dimension merged with the regions seen in the readings; the batch carries
+    no population or area, and those known values survive the NULLs."""
+    sil, _ = gold.silver_readings(spark, d)
+    seen = K.distinct_first_label(sil, "code_insee_region", "libelle_region", ["date_heure"],
+                                  code_alias="code_insee", label_alias="nom_region")
+    return U.upsert_dim_region(S.region_attrs(spark, d), seen)
+
+
+@query("u03_upsert_dim_source", _with(S.SQL_FACT_STAGED, S.SQL_DIM_SOURCE) + """, seen AS (
+  SELECT DISTINCT source_name FROM fact_staged),
+inc AS (SELECT s.source_name, d.is_green FROM seen s LEFT JOIN dim_source d ON s.source_name = d.source_name)
+SELECT COALESCE(i.source_name, b.source_name) AS source_name,
+  CASE WHEN i.source_name IS NOT NULL THEN i.is_green ELSE b.is_green END AS is_green
+FROM dim_source b FULL OUTER JOIN inc i ON b.source_name = i.source_name""")
+def u03(spark, d):
+    """Sources seen in the staged production rows merged into the source dimension; the green flag
+    is overwritten from the fixed source list (NULL for a source outside it)."""
+    base = S.dim_source(spark).select("source_name", "is_green")
+    seen = S.fact_staged(spark, d).select("source_name").distinct()
+    inc = seen.join(base, "source_name", "left")
+    return U.upsert_dim_source(base, inc)
+
+
+_LAND_JOB = "job-" + REF_NOW[:10].replace("-", "")
+
+
+@query("s05_land_raw", _with(S.SQL_RAW_READINGS) + f"""SELECT *, '{_LAND_JOB}' AS job_id,
+  TIMESTAMP '{REF_NOW}' AS ingested_at, DATE '{REF_NOW[:10]}' AS ingest_date FROM raw_readings""")
+def s05(spark, d):
+    """The raw regional batch appended under source/sub-path/ingest_date= with job id and time, read back."""
+    root = scratch_path(spark, "s05")
+    out = sinks.land_raw(S.raw_readings(spark, d), root, "rte", "regional", ts=REF_NOW, job_id=_LAND_JOB)
+    return spark.read.parquet(out)
+
+
+@query("s08_write_bronze_climate", _with(S.SQL_GRID, CENTROIDS) + f""", d AS (
+  SELECT g.*, c.code AS region_code,
+         ROW_NUMBER() OVER (PARTITION BY g.vec_id ORDER BY (g.latitude - c.lat) * (g.latitude - c.lat)
+                            + (g.longitude - c.lon) * (g.longitude - c.lon), c.ord) AS rn
+  FROM grid g, centroids c WHERE {_GRID_IN_BOX})
+SELECT vec_id, valid_time, latitude, longitude, u100, v100, t2m, ssrd, region_code,
+  lpad(CAST(year(valid_time) AS VARCHAR), 4, '0') AS year, lpad(CAST(month(valid_time) AS VARCHAR), 2, '0') AS month
+FROM d WHERE rn = 1""")
+def s08(spark, d):
+    """Grid points tagged with their region, landed as year/month/region file groups, read back."""
+    g = J.nearest_centroid(silver.bbox_filter(S.grid_points(spark, d)), "latitude", "longitude")
+    root = scratch_path(spark, "s08")
+    sinks.write_bronze_climate(g, root)
+    schema = StructType([f for f in g.schema.fields if f.name != "region_code"] +
+                        [StructField(c, StringType()) for c in ("year", "month", "region_code")])
+    return spark.read.schema(schema).parquet(root)
+
+
+@query("s10_snapshot_tables", _with(S.SQL_CAPACITY) + f"SELECT *, DATE '{REF_NOW[:10]}' AS snapshot_date FROM capacity")
+def s10(spark, d):
+    """Dated snapshot of the region dimension and the capacity fact; the capacity snapshot read back."""
+    root = scratch_path(spark, "s10")
+    paths = sinks.snapshot_tables({"dim_region": S.dim_region(spark, d), "fact_capacity": gold.capacity(spark, d)},
+                                  root, REF_NOW[:10])
+    return spark.read.parquet(paths["fact_capacity"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

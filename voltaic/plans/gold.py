@@ -97,16 +97,17 @@ def meteo(spark: SparkSession, d: str) -> DataFrame:
     return dedup_keep_last(rows, ["code_insee", "timestamp"], ["load_ordinal"]).drop("load_ordinal")
 
 
-def capacity(spark: SparkSession, d: str) -> DataFrame:
+def capacity(spark: SparkSession, d: str, brand: str | None = None) -> DataFrame:
     """A07 over the bound capacity register (year taken from its column)."""
     from voltaic.operators.aggregates import capacity_by_region_source
-    raw = standins.capacity_raw(spark, d)
+    raw = standins.capacity_raw(spark, d, brand=brand)
     return capacity_by_region_source(raw, "coderegion", "region", "filiere", "puismaxinstallee",
                                      ["load_ordinal"], year_col="annee")
 
 
-def maintenance(spark: SparkSession, d: str) -> DataFrame:
-    return silver.transform_maintenance(standins.maintenance_raw(spark, d))
+def maintenance(spark: SparkSession, d: str, statuses=None) -> DataFrame:
+    """Outage Silver (optionally one scrape's reports)."""
+    return silver.transform_maintenance(standins.maintenance_raw(spark, d, statuses=statuses))
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:

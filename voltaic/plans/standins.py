@@ -21,6 +21,8 @@ FIXED VALUES of the bindings (role of each driver value):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +157,26 @@ SQL_DIM_REGION = """dim_region AS (
          n_name AS nom_region FROM nation)"""
 
 
+def region_attrs(spark: SparkSession, d: str) -> DataFrame:
+    """Region dimension with attributes: population = customers of the nation, area = its suppliers
+    (NULL for a nation without suppliers)."""
+    r = dim_region(spark, d).select("code_insee", "nom_region")
+    pop = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("code_insee")) \
+        .agg(F.count(F.lit(1)).alias("population"))
+    area = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("code_insee")) \
+        .agg(F.count(F.lit(1)).cast("double").alias("superficie_km2"))
+    return r.join(pop, "code_insee", "left").join(area, "code_insee", "left") \
+        .select("code_insee", "nom_region", "population", "superficie_km2")
+
+
+SQL_REGION_ATTRS = """region_attrs AS (
+  SELECT r.code_insee, r.nom_region, p.population, a.superficie_km2 FROM dim_region r
+  LEFT JOIN (SELECT CAST(c_nationkey AS VARCHAR) AS code_insee, COUNT(*) AS population FROM customer GROUP BY 1) p
+    ON r.code_insee = p.code_insee
+  LEFT JOIN (SELECT CAST(s_nationkey AS VARCHAR) AS code_insee, CAST(COUNT(*) AS DOUBLE) AS superficie_km2
+             FROM supplier GROUP BY 1) a ON r.code_insee = a.code_insee)"""
+
+
 def dim_source(spark: SparkSession) -> DataFrame:
     """Source dimension: the 8 production sources (fixed; a literal table, broadcast)."""
     rows = ", ".join(f"('{s}', '{s}', {str(g).lower()})" for s, g in DEFAULT_SOURCES)
@@ -328,8 +350,11 @@ meteo AS (
 # label by part type, kW = retail price with a decimal comma, year by price.
 # ---------------------------------------------------------------------------
 
-def capacity_raw(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+def capacity_raw(spark: SparkSession, d: str, brand: str | None = None) -> DataFrame:
+    """Capacity register rows; ``brand`` keeps one operator's re-delivered part of it."""
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice", "p_brand")
+    if brand is not None:
+        p = p.where(F.col("p_brand") == brand)
     return p.select(
         F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("coderegion"),
         F.concat(F.lit("Region "), F.col("p_size").cast("string")).alias("region"),
@@ -340,40 +365,47 @@ def capacity_raw(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-SQL_CAPACITY_RAW = f"""capacity_raw AS (
+def sql_capacity(suffix: str = "", brand: str | None = None) -> str:
+    """CTEs ``capacity_raw<suffix>``, ``cap_staged<suffix>``, ``capacity<suffix>`` (P11-P13 + A07)."""
+    where = f" WHERE p_brand = '{brand}'" if brand is not None else ""
+    return f"""capacity_raw{suffix} AS (
   SELECT CAST(p_size AS VARCHAR) || '.0' AS coderegion, 'Region ' || CAST(p_size AS VARCHAR) AS region,
          {_sql_case('p_type', P_TYPE_FILIERE, 'p_type')} AS filiere,
          replace(CAST(p_retailprice AS VARCHAR), '.', ',') AS puismaxinstallee,
          CASE WHEN p_retailprice < 1500 THEN 2023 ELSE 2024 END AS annee,
          p_partkey AS load_ordinal
-  FROM part)"""
-
-# capacity in SQL after P11-P13 + A07
-SQL_CAPACITY = SQL_CAPACITY_RAW + """,
-cap_staged AS (
+  FROM part{where}),
+cap_staged{suffix} AS (
   SELECT CAST(CAST(TRY_CAST(trim(coderegion) AS DOUBLE) AS BIGINT) AS VARCHAR) AS code_insee_region,
-         region, """ + _sql_case("lower(trim(filiere))", list(FILIERE_MAP.items()), "NULL") + """ AS source_name,
+         region, """ + _sql_case("lower(trim(filiere))", list(FILIERE_MAP.items()), "NULL") + f""" AS source_name,
          TRY_CAST(replace(puismaxinstallee, ',', '.') AS DOUBLE) / 1000.0 AS mw,
          annee, load_ordinal
-  FROM capacity_raw),
-capacity AS (
+  FROM capacity_raw{suffix}),
+capacity{suffix} AS (
   SELECT code_insee_region, arg_max(region, load_ordinal) AS libelle_region, source_name, annee,
          CAST(ROUND(SUM(CAST(mw AS DECIMAL(28,6))), 2) AS DOUBLE) AS puissance_installee_mw
-  FROM cap_staged
+  FROM cap_staged{suffix}
   WHERE code_insee_region IS NOT NULL AND code_insee_region <> '0' AND source_name IS NOT NULL
   GROUP BY code_insee_region, source_name, annee
   HAVING CAST(ROUND(SUM(CAST(mw AS DECIMAL(28,6))), 2) AS DOUBLE) > 0)"""
 
 
+# capacity in SQL after P11-P13 + A07
+SQL_CAPACITY = sql_capacity()
+
+
 # ---------------------------------------------------------------------------
 # Outage events (orders ⋈ customer ⋈ nation): id from customer and order day
 # (so repeated reports of one event occur), area = customer's nation name,
 # MW = total price as text with a decimal comma, description padded.
 # ---------------------------------------------------------------------------
 
-def maintenance_raw(spark: SparkSession, d: str) -> DataFrame:
+def maintenance_raw(spark: SparkSession, d: str, statuses: Sequence[str] | None = None) -> DataFrame:
+    """Outage reports; ``statuses`` keeps the reports of one scrape (order status as scrape tag)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                          "o_orderdate", "o_orderpriority")
+    if statuses is not None:
+        o = o.where(F.col("o_orderstatus").isin(list(statuses)))
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -410,6 +442,16 @@ maintenance AS (
         FROM maint_raw) x WHERE rn = 1)"""
 
 
+def sql_maintenance(suffix: str = "", statuses: Sequence[str] | None = None) -> str:
+    """CTEs ``maint_raw<suffix>`` and ``maintenance<suffix>``, optionally one scrape's reports."""
+    sql = SQL_MAINTENANCE_RAW
+    if statuses is not None:
+        join = "JOIN nation n ON c.c_nationkey = n.n_nationkey)"
+        sql = sql.replace(join, join[:-1] + " WHERE o.o_orderstatus IN ("
+                          + ", ".join(f"'{x}'" for x in statuses) + "))")
+    return sql.replace("maint_raw", f"maint_raw{suffix}").replace("maintenance AS (", f"maintenance{suffix} AS (")
+
+
 # ---------------------------------------------------------------------------
 # Climate grid points (embeddings): lat/lon from the first two components
 # scaled around France, wind components, 2 m temperature (K) and radiation
