@@ -182,6 +182,11 @@ def test_sinks_layouts(spark, tmp_dir):
     assert sinks.audit_append(e, os.path.join(tmp_dir, "audit"))
     rep = sinks.audit_report(spark.read.parquet(os.path.join(tmp_dir, "audit"))).first()
     assert rep.runs == 1 and rep.records == 10
+    st = spark.createDataFrame([("a.csv", "PASS", None, 4), ("b.csv", "FAIL", "empty file", 0)],
+                               "file string, status string, error string, rows long")
+    assert sinks.audit_append(sinks.audit_from_status(st, "cap", NOWTS), os.path.join(tmp_dir, "audit2"))
+    rep2 = {r.status: r for r in sinks.audit_report(spark.read.parquet(os.path.join(tmp_dir, "audit2"))).collect()}
+    assert rep2["success"].records == 4 and rep2["failure"].runs == 1 and rep2["failure"].records == 0
     _, run = sinks.stage_report(spark, [("bronze", "success", 5, None), ("gold", "failure", None, "x")])
     assert run.first().run_status == "partial"
     land = sinks.land_raw(df, os.path.join(tmp_dir, "bronze"), "rte", "regional", NOWTS, "job-1")

@@ -891,6 +891,19 @@ def s04(spark, d):
     return st.groupBy("status").agg(F.sum("rows").alias("rows"))
 
 
+@query("s09_audit_report", f"""SELECT 'capacity_csv' AS source, 'success' AS status, CAST(3 AS BIGINT) AS runs,
+  COUNT(*) AS records, TIMESTAMP '{REF_NOW}' AS last_run FROM part""")
+def s09(spark, d):
+    """One audit record per validated register file (Spark wrote 3) appended to the audit table,
+    read back and reported per source and status."""
+    root = _capacity_csv(spark, d, ",", {"coderegion": "code_insee_region",
+                                         "puismaxinstallee": "puissance_installee_mw"})
+    st = F_.validate_and_route_csv(spark, root)
+    path = scratch_path(spark, "s09-audit")
+    sinks.audit_append(sinks.audit_from_status(st, "capacity_csv", REF_NOW), path)
+    return sinks.audit_report(spark.read.parquet(path))
+
+
 @query("s11_skip_unchanged", "SELECT COUNT(*) AS first_records, CAST(0 AS BIGINT) AS second_files FROM part")
 def s11(spark, d):
     """Checksum-based change detection: every file is new once, unchanged on the second pass."""

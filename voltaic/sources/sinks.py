@@ -76,6 +76,16 @@ def audit_entry(spark: SparkSession, job_id: str, source: str, status: str, reco
         AUDIT_SCHEMA).withColumn("timestamp", F.lit(ts).cast("timestamp"))
 
 
+def audit_from_status(status: DataFrame, source: str, ts: str) -> DataFrame:
+    """One audit record per validated file (S04 status rows): success or failure, rows, reason."""
+    return status.select(
+        F.col("file").alias("job_id"), F.lit(ts).cast("timestamp").alias("timestamp"),
+        F.lit(source).alias("source"),
+        F.when(F.col("status") == "PASS", "success").otherwise("failure").alias("status"),
+        F.col("rows").cast("long").alias("record_count"), F.col("error").alias("error_details"),
+        F.lit(None).cast("string").alias("details"))
+
+
 def audit_append(entry: DataFrame, path: str) -> bool:
     """Append to the audit table; a failure to persist never raises (returns False)."""
     try:
