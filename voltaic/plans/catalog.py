@@ -752,6 +752,17 @@ def s16(spark, d):
     return html_events.extract_events_html(pages, "html", "url")
 
 
+@query("s16_extract_outage_pages", _with(S.SQL_MAINTENANCE_RAW) + f"""SELECT load_ordinal // 10 AS page_id,
+  event_id, unit_name, affected_area, event_type, strftime(start_date, '%Y-%m-%dT%H:%M:%SZ') AS start_date,
+  strftime(end_date, '%Y-%m-%dT%H:%M:%SZ') AS end_date,
+  CASE WHEN event_type = '5-LOW' THEN CAST(0 AS DOUBLE) ELSE CAST(unavailable_mw AS DOUBLE) END AS unavailable_mw,
+  trim(description) AS description, 'https://outages.example/page/' || CAST(load_ordinal // 10 AS VARCHAR) AS source_url,
+  TIMESTAMP '{REF_NOW}' AS scraped_at FROM maint_raw""")
+def s16b(spark, d):
+    """Every event row of outage pages rendered from the outage reports (ten orders per page)."""
+    return html_events.extract_events_html(S.outage_pages(spark, d), "html", "url", scraped_at=REF_NOW)
+
+
 @query("s17_profile_schema", """SELECT 'doc_id' AS column_name, 'bigint' AS data_type,
   COUNT(*) FILTER (WHERE doc_id IS NULL) AS null_count, CAST(MIN(doc_id) AS VARCHAR) AS sample_value,
   COUNT(*) AS total_rows FROM documents

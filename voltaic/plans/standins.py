@@ -452,6 +452,31 @@ def sql_maintenance(suffix: str = "", statuses: Sequence[str] | None = None) ->
     return sql.replace("maint_raw", f"maint_raw{suffix}").replace("maintenance AS (", f"maintenance{suffix} AS (")
 
 
+def outage_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Outage pages rendered from the outage reports: one table row per report, the reports of ten
+    consecutive order keys per page (so a page stays small whatever the key distribution). Rows of
+    priority '4-NOT SPECIFIED' carry their id only in ``data-event-id``; rows of '5-LOW' have no MW cell."""
+    m = maintenance_raw(spark, d)
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")),
+                                        F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda cls, c: F.concat(F.lit(f'<td class="{cls}">'), esc(c), F.lit("</td>"))
+    row = F.concat(
+        F.lit('<tr class="event-row" data-event-id="'), esc("event_id"), F.lit('">'),
+        F.when(F.col("event_type") == "4-NOT SPECIFIED", F.lit('<td class="event-id"></td>'))
+         .otherwise(cell("event-id", "event_id")),
+        cell("unit-name", "unit_name"), cell("area", "affected_area"), cell("event-type", "event_type"),
+        cell("start-date", "start_date"), cell("end-date", "end_date"),
+        F.when(F.col("event_type") == "5-LOW", F.lit(""))
+         .otherwise(F.concat(F.lit('<td class="unavail-mw"> '), esc("unavailable_mw"), F.lit(" </td>"))),
+        cell("description", "description"), F.lit("</tr>\n"))
+    pages = m.groupBy(F.floor(F.col("load_ordinal") / 10).alias("page_id")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("load_ordinal", row.alias("r")))).getField("r"), "")
+        .alias("_rows"))
+    return pages.select(
+        "page_id", F.concat(F.lit("https://outages.example/page/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit("<html><body><table>\n"), F.col("_rows"), F.lit("</table></body></html>")).alias("html"))
+
+
 # ---------------------------------------------------------------------------
 # Climate grid points (embeddings): lat/lon from the first two components
 # scaled around France, wind components, 2 m temperature (K) and radiation
