@@ -344,7 +344,9 @@ def data_points(records: DataFrame, code: str) -> DataFrame:
 def emission_factor_dim(raw: DataFrame) -> DataFrame:
     """Typed emission-factor dimension, latest year per (filiere, source).
 
-    Output column ``factor`` (kg CO2 per MWh = g per kWh) feeds J10.
+    Several lines of one key and year are resolved by the largest factors
+    (CO2, then CH4, N2O, publisher), so the pick is a total order. Output
+    column ``factor`` (kg CO2 per MWh = g per kWh) feeds J10.
     """
     typed = raw.select(
         F.lower(F.trim("filiere")).alias("filiere"),
@@ -355,7 +357,8 @@ def emission_factor_dim(raw: DataFrame) -> DataFrame:
         F.col("source").alias("reference"),
         F.col("annee").try_cast("int").alias("annee"),
     )
-    last = F.max_by(F.struct("co2_kg_mwh", "ch4_kg_mwh", "n2o_kg_mwh", "reference", "annee"), "annee")
+    last = F.max_by(F.struct("co2_kg_mwh", "ch4_kg_mwh", "n2o_kg_mwh", "reference", "annee"),
+                    F.struct("annee", "co2_kg_mwh", "ch4_kg_mwh", "n2o_kg_mwh", "reference"))
     g = typed.groupBy("filiere", "source_name").agg(last.alias("_r"))
     return g.select("filiere", "source_name", "_r.*").withColumn("factor", F.col("co2_kg_mwh"))
 

@@ -1030,6 +1030,20 @@ def j03(spark, d):
         "code_insee", "nom_region", "source_name", "is_green", "annee", "puissance_installee_mw")
 
 
+@query("a24_emission_factor_dim", _with(S.SQL_EMISSION_RAW) + """SELECT filiere, source_name,
+  co2 AS co2_kg_mwh, ch4 AS ch4_kg_mwh, n2o AS n2o_kg_mwh, reference, annee, co2 AS factor FROM (
+  SELECT lower(trim(filiere)) AS filiere, lower(trim(source_energie)) AS source_name, co2, ch4, n2o, reference, annee,
+         ROW_NUMBER() OVER (PARTITION BY lower(trim(filiere)), lower(trim(source_energie))
+                            ORDER BY annee DESC, co2 DESC, ch4 DESC, n2o DESC, reference DESC) AS rn
+  FROM emission_raw) x WHERE rn = 1""")
+def a24(spark, d):
+    """Emission-factor register written as CSV by Spark, read back as text, typed, latest year per
+    (sector, energy)."""
+    root = scratch_path(spark, "efcsv")
+    S.emission_raw(spark, d).write.option("header", True).csv(root)
+    return A.emission_factor_dim(spark.read.option("header", True).csv(root))
+
+
 @query("j10_factor_lookup", _with(NAT, FACTORS) + """SELECT s.timestamp, s.source_name, s.mw,
   COALESCE(f.factor, CAST(0 AS DOUBLE)) AS factor FROM nat_src s LEFT JOIN factors f ON s.source_name = f.source_name""")
 def j10(spark, d):

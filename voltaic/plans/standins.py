@@ -394,6 +394,28 @@ capacity{suffix} AS (
 SQL_CAPACITY = sql_capacity()
 
 
+def emission_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Emission-factor register lines (part): sector by part type, energy = brand, CO2 = retail
+    price / 10, CH4 = size / 100, N2O = size / 1000 kg/MWh, publisher = part name, year by price."""
+    p = table(spark, d, "part").select("p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    return p.select(
+        F.concat(F.lit(" "), _case(F.col("p_type"), P_TYPE_FILIERE, F.col("p_type"))).alias("filiere"),
+        F.col("p_brand").alias("source_energie"),
+        (F.col("p_retailprice") / 10).alias("facteur_emission_co2_kg_mwh"),
+        (F.col("p_size") / 100).alias("facteur_emission_ch4_kg_mwh"),
+        (F.col("p_size") / 1000).alias("facteur_emission_n2o_kg_mwh"),
+        F.col("p_name").alias("source"),
+        F.when(F.col("p_retailprice") < 1500, 2023).otherwise(2024).alias("annee"),
+    )
+
+
+SQL_EMISSION_RAW = f"""emission_raw AS (
+  SELECT ' ' || {_sql_case('p_type', P_TYPE_FILIERE, 'p_type')} AS filiere, p_brand AS source_energie,
+         p_retailprice / 10 AS co2, p_size / 100 AS ch4, p_size / 1000 AS n2o, p_name AS reference,
+         CASE WHEN p_retailprice < 1500 THEN 2023 ELSE 2024 END AS annee
+  FROM part)"""
+
+
 # ---------------------------------------------------------------------------
 # Outage events (orders ⋈ customer ⋈ nation): id from customer and order day
 # (so repeated reports of one event occur), area = customer's nation name,
