@@ -187,6 +187,14 @@ def test_sinks_layouts(spark, tmp_dir):
     assert sinks.audit_append(sinks.audit_from_status(st, "cap", NOWTS), os.path.join(tmp_dir, "audit2"))
     rep2 = {r.status: r for r in sinks.audit_report(spark.read.parquet(os.path.join(tmp_dir, "audit2"))).collect()}
     assert rep2["success"].records == 4 and rep2["failure"].runs == 1 and rep2["failure"].records == 0
+    aud = os.path.join(tmp_dir, "audit3")
+    assert sinks.write_audited(df, os.path.join(tmp_dir, "w1"), aud, "j3", "rte", NOWTS)
+    blocker = os.path.join(tmp_dir, "not_a_dir")
+    open(blocker, "w").close()
+    assert not sinks.write_audited(df, os.path.join(blocker, "x"), aud, "j4", "rte", NOWTS)
+    rep3 = {r.job_id: r for r in spark.read.parquet(aud).collect()}
+    assert rep3["j3"].status == "success" and rep3["j3"].record_count == 2
+    assert rep3["j4"].status == "failure" and rep3["j4"].record_count is None and rep3["j4"].error_details
     _, run = sinks.stage_report(spark, [("bronze", "success", 5, None), ("gold", "failure", None, "x")])
     assert run.first().run_status == "partial"
     land = sinks.land_raw(df, os.path.join(tmp_dir, "bronze"), "rte", "regional", NOWTS, "job-1")

@@ -75,6 +75,7 @@ CENTROIDS = "centroids AS (SELECT * FROM (VALUES " + ", ".join(
 BAND_SQL = "CASE " + " ".join(f"WHEN {{x}} < {b} THEN '{lab}'" for b, lab in CARBON_BANDS) + " ELSE 'high' END"
 SILVER_FLAG_COLS = ["consommation_mw", "nucleaire_mw", "eolien_mw", "solaire_mw", "hydraulique_mw", "gaz_mw"]
 REF_NOW = "2024-01-31 00:00:00"
+_LAND_JOB = "job-" + REF_NOW[:10].replace("-", "")
 
 
 def _rec_out(recs: DataFrame) -> DataFrame:
@@ -915,6 +916,16 @@ def s09(spark, d):
     return sinks.audit_report(spark.read.parquet(path))
 
 
+@query("s09_audited_write", f"""SELECT 'rte' AS source, 'success' AS status, CAST(1 AS BIGINT) AS runs,
+  COUNT(*) AS records, TIMESTAMP '{REF_NOW}' AS last_run FROM events""")
+def s09b(spark, d):
+    """The raw regional batch written with its row count observed during the write, one audit
+    record appended, the audit table reported per source and status."""
+    root = scratch_path(spark, "s09-write")
+    sinks.write_audited(S.raw_readings(spark, d), f"{root}/bronze", f"{root}/audit", _LAND_JOB, "rte", REF_NOW)
+    return sinks.audit_report(spark.read.parquet(f"{root}/audit"))
+
+
 @query("s11_skip_unchanged", "SELECT COUNT(*) AS first_records, CAST(0 AS BIGINT) AS second_files FROM part")
 def s11(spark, d):
     """Checksum-based change detection: every file is new once, unchanged on the second pass."""
@@ -1267,9 +1278,6 @@ def u03(spark, d):
     return U.upsert_dim_source(base, inc)
 
 
-_LAND_JOB = "job-" + REF_NOW[:10].replace("-", "")
-
-
 @query("s05_land_raw", _with(S.SQL_RAW_READINGS) + f"""SELECT *, '{_LAND_JOB}' AS job_id,
   TIMESTAMP '{REF_NOW}' AS ingested_at, DATE '{REF_NOW[:10]}' AS ingest_date FROM raw_readings""")
 def s05(spark, d):

@@ -95,6 +95,32 @@ def audit_append(entry: DataFrame, path: str) -> bool:
         return False
 
 
+def write_audited(df: DataFrame, path: str, audit_path: str, job_id: str, source: str, ts: str,
+                  partition_by: Sequence[str] = (), mode: str = "append") -> bool:
+    """Write ``df`` and append one audit record for the write.
+
+    The record count is an ``Observation`` collected by the write itself (no
+    second scan). A failed write is audited as ``failure`` with its error text
+    and reported by the return value; the audit append never raises.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(f"audit-{job_id}")
+    try:
+        w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        entry = audit_entry(df.sparkSession, job_id, source, "success", int(obs.get["rows"]), ts,
+                            details={"path": path})
+        ok = True
+    except Exception as e:  # noqa: BLE001 - the failure is what gets audited
+        entry = audit_entry(df.sparkSession, job_id, source, "failure", None, ts, error=str(e)[:2000],
+                            details={"path": path})
+        ok = False
+    audit_append(entry, audit_path)
+    return ok
+
+
 def audit_report(audit: DataFrame) -> DataFrame:
     """Per source, runs by status and records ingested."""
     return audit.groupBy("source", "status").agg(F.count(F.lit(1)).alias("runs"),
