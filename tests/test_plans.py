@@ -54,3 +54,38 @@ def test_no_cross_products(spark, name):
     p = plan(entry_mod.queries()[name](spark, SMOKE), "simple")
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p  # no row-at-a-time Python UDF anywhere
+
+
+def _hot(spark, n=30000):
+    """One key holds a third of the rows."""
+    return spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000 + 1).cast("string").alias("k"),
+        F.col("id").alias("ord"),
+        F.concat(F.lit("L"), F.col("id").cast("string")).alias("label"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("ts"))
+
+
+def test_hot_keys_are_combined_before_the_shuffle(spark):
+    from voltaic.operators.dedup import daily_alert_dedup, distinct_first_label
+    df = _hot(spark)
+    first = distinct_first_label(df, "k", "label", ["ord"])
+    p = plan(first, "simple")  # physical tree, top-down: the partial aggregate sits below the exchange
+    assert "partial_min_by" in p and p.index("partial_min_by") > p.index("Exchange hashpartitioning")
+    assert first.where("k = '0'").first().label == "L0"
+    alerts = df.select(F.lit(1).alias("user_id"), F.col("k").alias("region_code"), F.lit("t").alias("alert_type"),
+                       F.col("ts").alias("sent_at"), F.col("ord").alias("alert_id"))
+    ded = daily_alert_dedup(alerts, tie=["alert_id"])
+    assert "partial_min_by" in plan(ded)
+    assert ded.where("region_code = '0'").count() == alerts.where("region_code = '0'") \
+        .select(F.to_date("sent_at")).distinct().count()
+
+
+def test_forward_fill_windows_are_bucketed(spark):
+    from voltaic.operators.nulls import null_forward_fill
+    df = _hot(spark).withColumn("v", F.when(F.col("ord") % 7 == 0, F.col("ord").cast("double")))
+    out = null_forward_fill(df, ["v"], ["k"], "ts")
+    p = plan(out, "extended")
+    # every window over the rows is partitioned by entity and time bucket, never by the entity alone
+    assert "_ff_bucket" in p
+    row = out.where("k = '0' and ord = 3").first()
+    assert row.v == 0.0  # carried from ord 0 (same key, earlier time)
