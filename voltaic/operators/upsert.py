@@ -87,7 +87,10 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
             merged = (dedup_keep_last(incoming, list(keys), order) if order else incoming)
             merged = merged.select(*[c for c in incoming.columns if c not in (order or [])])
         stage = scratch_path(spark, "upsert-stage")
-        merged.write.mode("overwrite").partitionBy(*partition_by).parquet(stage)
+        # rebalanced on the partition columns (AQE splits a hot partition, merges small ones) and sorted by
+        # key within files, so the Parquet statistics of a partition act as a key index
+        (merged.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *keys)
+            .write.mode("overwrite").partitionBy(*partition_by).parquet(stage))
         staged = spark.read.parquet(stage)
         (staged.select(*merged.columns).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))

@@ -34,13 +34,17 @@ def _partition_cols(df: DataFrame, ts_col: str, parts: Sequence[str]) -> DataFra
 def write_silver_daily(df: DataFrame, root: str, ts_col: str = "date_heure") -> str:
     """Hive layout year=/month=/day= (zero-padded); only touched days are replaced.
 
+    Rows are rebalanced on the partition columns: AQE keeps a day's rows in
+    few files but splits a day that is too large for one task, so a hot day
+    is written by several tasks.
+
     Without the time column the frame is written as a single unpartitioned table.
     """
     if ts_col not in df.columns:
         df.write.mode("overwrite").parquet(root)
         return root
     out = _partition_cols(df, ts_col, ["year", "month", "day"])
-    (out.repartition("year", "month", "day").sortWithinPartitions(ts_col)
+    (out.hint("rebalance", "year", "month", "day").sortWithinPartitions("year", "month", "day", ts_col)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month", "day").parquet(root))
     return root
@@ -53,16 +57,16 @@ def write_silver_monthly(df: DataFrame, root: str, ts_col: str,
     if quarantine is not None:
         df.where(F.col(ts_col).isNull()).write.mode("append").parquet(quarantine)
     out = _partition_cols(good, ts_col, ["year", "month"])
-    (out.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month").parquet(root))
     return root
 
 
 def write_bronze_climate(df: DataFrame, root: str, ts_col: str = "valid_time",
                          region_col: str = "region_code") -> str:
-    """One file group per (year, month, region)."""
+    """One file group per (year, month, region); rebalanced, so a large group is split over tasks."""
     out = _partition_cols(df, ts_col, ["year", "month"])
-    (out.repartition("year", "month", region_col).write.mode("overwrite")
+    (out.hint("rebalance", "year", "month", region_col).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", region_col).parquet(root))
     return root
 
