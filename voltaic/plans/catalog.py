@@ -878,7 +878,9 @@ def _capacity_csv(spark, d, sep, names=None):
     if names:
         raw = raw.withColumnsRenamed(names)
     root = scratch_path(spark, "capcsv")
-    raw.repartition(3).write.mode("overwrite").option("header", True).option("sep", sep).csv(root)
+    # several files, as many as the session's shuffle partitions (sized for the cluster), written in parallel
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    raw.repartition(n).write.mode("overwrite").option("header", True).option("sep", sep).csv(root)
     return root
 
 
@@ -903,17 +905,18 @@ def s04(spark, d):
     return st.groupBy("status").agg(F.sum("rows").alias("rows"))
 
 
-@query("s09_audit_report", f"""SELECT 'capacity_csv' AS source, 'success' AS status, CAST(3 AS BIGINT) AS runs,
+@query("s09_audit_report", f"""SELECT 'capacity_csv' AS source, 'success' AS status,
   COUNT(*) AS records, TIMESTAMP '{REF_NOW}' AS last_run FROM part""")
 def s09(spark, d):
-    """One audit record per validated register file (Spark wrote 3) appended to the audit table,
-    read back and reported per source and status."""
+    """One audit record per validated register file appended to the audit table, read back and
+    reported per source and status (records, last run; the run count is the number of files the write
+    produced, a session setting, so it is left out of the result)."""
     root = _capacity_csv(spark, d, ",", {"coderegion": "code_insee_region",
                                          "puismaxinstallee": "puissance_installee_mw"})
     st = F_.validate_and_route_csv(spark, root)
     path = scratch_path(spark, "s09-audit")
     sinks.audit_append(sinks.audit_from_status(st, "capacity_csv", REF_NOW), path)
-    return sinks.audit_report(spark.read.parquet(path))
+    return sinks.audit_report(spark.read.parquet(path)).drop("runs")
 
 
 @query("s09_audited_write", f"""SELECT 'rte' AS source, 'success' AS status, CAST(1 AS BIGINT) AS runs,
