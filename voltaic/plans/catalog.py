@@ -746,11 +746,35 @@ def p07(spark, d):
     return docs.select("doc_id", F.md5(c).alias("text_md5"), F.length(c).cast("long").alias("n_chars_clean"))
 
 
-@query("s16_extract_events_html", None)
+def _cell_sql(cls: str) -> str:
+    inner = f"regexp_extract(tr, '<td[^>]*class=\"{cls}\"[^>]*>(.*?)</td>', 1, 's')"
+    text = f"replace(replace(replace({inner}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+_HTML_ROWS_SQL = f"""rows AS (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<tr[^>]*class="[^"]*event-row[^"]*"[^>]*>.*?</tr>', 0, 's'))
+    AS tr FROM pages),
+cells AS (
+  SELECT page_id, url, regexp_extract(tr, 'data-event-id="([^"]*)"', 1) AS data_id,
+         {_cell_sql('event-id')} AS id_cell, {_cell_sql('unit-name')} AS unit_name, {_cell_sql('area')} AS affected_area,
+         {_cell_sql('event-type')} AS event_type, {_cell_sql('start-date')} AS start_date,
+         {_cell_sql('end-date')} AS end_date,
+         CASE WHEN tr LIKE '%class="unavail-mw"%' THEN {_cell_sql('unavail-mw')} ELSE '0' END AS mw_text,
+         {_cell_sql('description')} AS description
+  FROM rows)"""
+
+
+@query("s16_extract_events_html", _with(_HTML_ROWS_SQL) + f"""SELECT page_id,
+  COALESCE(NULLIF(id_cell, ''), data_id) AS event_id, unit_name, affected_area, event_type, start_date, end_date,
+  COALESCE(TRY_CAST(replace(replace(trim(mw_text), ',', '.'), ' ', '') AS DOUBLE), 0.0) AS unavailable_mw,
+  description, url AS source_url, TIMESTAMP '{REF_NOW}' AS scraped_at
+FROM cells WHERE COALESCE(NULLIF(id_cell, ''), data_id) <> ''""")
 def s16(spark, d):
-    """S16 over every page (the driver's pages hold no outage rows; checked on a fixture in tests)."""
+    """S16 over every page of the driver's ``pages`` table (they hold no outage rows; the extractor is
+    checked with rows on rendered outage pages and on a fixture in tests)."""
     pages = S.table(spark, d, "pages").select("page_id", "url", "html")
-    return html_events.extract_events_html(pages, "html", "url")
+    return html_events.extract_events_html(pages, "html", "url", scraped_at=REF_NOW)
 
 
 @query("s16_extract_outage_pages", _with(S.SQL_MAINTENANCE_RAW) + f"""SELECT load_ordinal // 10 AS page_id,
