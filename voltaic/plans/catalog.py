@@ -953,6 +953,23 @@ def s09b(spark, d):
     return sinks.audit_report(spark.read.parquet(f"{root}/audit"))
 
 
+_GOLD_SOURCE_COLS = [c for c in SOURCE_COLUMN_MAP if c in ("nucleaire_mw", "eolien_mw", "solaire_mw",
+                                                           "hydraulique_mw", "gaz_mw")]
+
+
+@query("s09_ingest_run_stages", _with(S.SQL_SILVER) + """SELECT 'bronze' AS stage, 'success' AS status,
+  COUNT(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM raw_readings
+UNION ALL SELECT 'silver', 'success', COUNT(*), NULL FROM silver
+UNION ALL SELECT 'gold', 'success', """ + " + ".join(f"COUNT({c})" for c in _GOLD_SOURCE_COLS) + """, NULL
+FROM silver""")
+def s09c(spark, d):
+    """One ingest run of the raw regional batch (Bronze landing, Silver day layout,
+    Gold fact merged into the touched days), each stage's rows observed during its write; the stage table."""
+    from voltaic.plans.ingest import ingest_run
+    stages, _ = ingest_run(spark, S.raw_readings(spark, d), scratch_path(spark, "run"), _LAND_JOB, REF_NOW)
+    return stages
+
+
 @query("s11_skip_unchanged", "SELECT COUNT(*) AS first_records, CAST(0 AS BIGINT) AS second_files FROM part")
 def s11(spark, d):
     """Checksum-based change detection: every file is new once, unchanged on the second pass."""

@@ -99,6 +99,18 @@ def audit_append(entry: DataFrame, path: str) -> bool:
         return False
 
 
+def observed_write(df: DataFrame, write) -> int:
+    """Run ``write(df')`` where ``df'`` counts its rows as it is written; returns that count.
+
+    The count is an ``Observation`` collected by the write action itself (no
+    second scan of the data).
+    """
+    from pyspark.sql import Observation
+    obs = Observation()
+    write(df.observe(obs, F.count(F.lit(1)).alias("rows")))
+    return int(obs.get["rows"])
+
+
 def write_audited(df: DataFrame, path: str, audit_path: str, job_id: str, source: str, ts: str,
                   partition_by: Sequence[str] = (), mode: str = "append") -> bool:
     """Write ``df`` and append one audit record for the write.
@@ -107,15 +119,15 @@ def write_audited(df: DataFrame, path: str, audit_path: str, job_id: str, source
     second scan). A failed write is audited as ``failure`` with its error text
     and reported by the return value; the audit append never raises.
     """
-    from pyspark.sql import Observation
-    obs = Observation(f"audit-{job_id}")
-    try:
-        w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    def write(d: DataFrame) -> None:
+        w = d.write.mode(mode)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        entry = audit_entry(df.sparkSession, job_id, source, "success", int(obs.get["rows"]), ts,
-                            details={"path": path})
+
+    try:
+        rows = observed_write(df, write)
+        entry = audit_entry(df.sparkSession, job_id, source, "success", rows, ts, details={"path": path})
         ok = True
     except Exception as e:  # noqa: BLE001 - the failure is what gets audited
         entry = audit_entry(df.sparkSession, job_id, source, "failure", None, ts, error=str(e)[:2000],
