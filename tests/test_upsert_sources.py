@@ -81,13 +81,20 @@ def test_capacity_csv_sniff_and_validation(spark, tmp_dir):
         f.write("a,b\n1,2\n")
     with open(os.path.join(d, "empty.csv"), "w") as f:
         f.write("")
+    with open(os.path.join(d, "blank.csv"), "w") as f:
+        f.write("  \n\t\n\n")  # whitespace only: empty, as str.strip() sees it
+    with open(os.path.join(d, "late header+1 %.csv"), "w", newline="") as f:
+        f.write("\r\n   \r\nCODE_INSEE_REGION,puissance_installee_mw\r\n11,1\r\n\r\n24,2\r\n")
     st = {os.path.basename(r.file): (r.status, r.error, r.rows)
           for r in files.validate_and_route_csv(spark, d, landing=os.path.join(tmp_dir, "land"),
                                                 quarantine=os.path.join(tmp_dir, "q"), ts=NOWTS).collect()}
     assert st["ok.csv"] == ("PASS", None, 2)
     assert st["hdr.csv"][1] == "header only" and st["miss.csv"][0] == "FAIL"
-    assert spark.read.parquet(os.path.join(tmp_dir, "land")).count() == 2
-    assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 3
+    assert st["empty.csv"] == ("FAIL", "empty file", 0) and st["blank.csv"] == ("FAIL", "empty file", 0)
+    assert st["late header+1 %.csv"] == ("PASS", None, 2)  # header = first non-blank line; CRLF; odd name
+    assert len(st) == 6
+    assert spark.read.parquet(os.path.join(tmp_dir, "land")).count() == 4
+    assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 4
     semi = os.path.join(tmp_dir, "semi.csv")
     with open(semi, "w") as f:
         f.write("code_insee_region;filiere;puissance\n11;Eolien;1,5\n")

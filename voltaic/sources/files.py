@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -76,33 +76,42 @@ def read_parquet_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def _strip_ws(c) -> Column:
+    """Both ends stripped of any Unicode whitespace (Python's ``str.strip()``)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def validate_and_route_csv(spark: SparkSession, path: str,
                            required: Sequence[str] = ("code_insee_region", "puissance_installee_mw"),
                            landing: str | None = None, quarantine: str | None = None,
                            ts: str | None = None, sep: str = ",") -> DataFrame:
     """Per-file validation; returns one status row per file.
 
-    FAIL when the file is empty, has no header, misses a required column
-    (header names trimmed, case-insensitive, BOM ignored) or has no data row.
-    Good files are appended to ``landing`` (as text columns), bad files'
-    reasons to ``quarantine``.
+    FAIL when the file is empty (nothing but whitespace), misses a required
+    column (header names trimmed, case-insensitive, BOM ignored) or has no
+    data row. Good files are appended to ``landing`` (as text columns), bad
+    files' reasons to ``quarantine``.
+
+    Files are read line by line by the text source, so a large file is split
+    over tasks; the header of a file is its first non-blank line, found by a
+    ``min_by`` over (split start, row position) and combined map-side.
     """
-    # binaryFile lists every file, empty ones included (the text source skips them)
-    files = (spark.read.format("binaryFile").load(path)
-             .select(F.col("path").alias("file"),
-                     F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content")))
-    lines = F.filter(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n"), lambda x: F.trim(x) != "")
-    header = F.transform(F.split(F.element_at(lines, 1), sep), lambda h: F.lower(F.trim(h)))
+    import re
+    lines = spark.read.text(path).select(
+        # the metadata path is a URI (percent-encoded); the listing below gives plain paths
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_pos"),
+        F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    per_file = lines.where(_strip_ws(F.col("line")) != "").groupBy("file").agg(
+        F.min_by("line", "_pos").alias("_header"), F.count(F.lit(1)).alias("_n"))
+    header = F.transform(F.split("_header", re.escape(sep)), lambda h: F.lower(_strip_ws(h)))
     missing = F.array_except(F.array(*[F.lit(r.lower()) for r in required]), header)
-    n_lines = F.size(lines)
-    checked = files.select(
+    checked = per_file.select(
         "file",
-        F.when(F.trim("content") == "", "empty file")
-         .when(n_lines == 0, "no header")
-         .when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
-         .when(n_lines == 1, "header only").alias("error"),
-        (n_lines - 1).cast("long").alias("rows"))
-    # zero-length files yield no record in any file source: take them from the listing
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
+         .when(F.col("_n") == 1, "header only").alias("error"),
+        (F.col("_n") - 1).cast("long").alias("rows"))
+    # files without a non-blank line (zero-length or whitespace only) come from the listing
     listed = spark.createDataFrame([(f,) for f in list_files(spark, path)], "file string")
     checked = listed.join(checked.withColumn("_read", F.lit(True)), "file", "left").select(
         "file", F.when(F.col("_read").isNull(), F.lit("empty file")).otherwise(F.col("error")).alias("error"),
