@@ -93,7 +93,11 @@ def test_capacity_csv_sniff_and_validation(spark, tmp_dir):
     assert st["empty.csv"] == ("FAIL", "empty file", 0) and st["blank.csv"] == ("FAIL", "empty file", 0)
     assert st["late header+1 %.csv"] == ("PASS", None, 2)  # header = first non-blank line; CRLF; odd name
     assert len(st) == 6
-    assert spark.read.parquet(os.path.join(tmp_dir, "land")).count() == 4
+    land = spark.read.parquet(os.path.join(tmp_dir, "land"))
+    assert sorted(land.columns) == ["_file", "code_insee_region", "libelle", "puissance_installee_mw"]
+    # each file's rows are named by its own header, whatever the column order
+    got = sorted((r.code_insee_region, r.libelle or "", r.puissance_installee_mw) for r in land.collect())
+    assert got == [("11", "", "1"), ("11", "Ile", "12.5"), ("24", "", "2"), ("84", "Auv", "3")]
     assert spark.read.parquet(os.path.join(tmp_dir, "q")).count() == 4
     semi = os.path.join(tmp_dir, "semi.csv")
     with open(semi, "w") as f:

@@ -970,6 +970,19 @@ def s09c(spark, d):
     return stages
 
 
+@query("s04_land_good_csv", _with(S.sql_capacity()) + """SELECT coderegion AS code_insee_region, region, filiere,
+  puismaxinstallee AS puissance_installee_mw, CAST(annee AS VARCHAR) AS annee,
+  CAST(load_ordinal AS VARCHAR) AS load_ordinal FROM capacity_raw""")
+def s04b(spark, d):
+    """Register files written by Spark validated, and the rows of the good ones landed as text
+    columns named by each file's own header (quoted decimal-comma values parsed by ``from_csv``)."""
+    root = _capacity_csv(spark, d, ",", {"coderegion": "code_insee_region",
+                                         "puismaxinstallee": "puissance_installee_mw"})
+    land = scratch_path(spark, "s04-land")
+    F_.validate_and_route_csv(spark, root, landing=land)
+    return spark.read.parquet(land).drop("_file")
+
+
 @query("s11_skip_unchanged", "SELECT COUNT(*) AS first_records, CAST(0 AS BIGINT) AS second_files FROM part")
 def s11(spark, d):
     """Checksum-based change detection: every file is new once, unchanged on the second pass."""

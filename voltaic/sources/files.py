@@ -103,7 +103,7 @@ def validate_and_route_csv(spark: SparkSession, path: str,
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_pos"),
         F.regexp_replace("value", "^\ufeff", "").alias("line"))
     per_file = lines.where(_strip_ws(F.col("line")) != "").groupBy("file").agg(
-        F.min_by("line", "_pos").alias("_header"), F.count(F.lit(1)).alias("_n"))
+        F.min_by("line", "_pos").alias("_header"), F.min("_pos").alias("_hpos"), F.count(F.lit(1)).alias("_n"))
     header = F.transform(F.split("_header", re.escape(sep)), lambda h: F.lower(_strip_ws(h)))
     missing = F.array_except(F.array(*[F.lit(r.lower()) for r in required]), header)
     checked = per_file.select(
@@ -123,14 +123,34 @@ def validate_and_route_csv(spark: SparkSession, path: str,
             .withColumn("quarantined_at", F.lit(ts).cast("timestamp") if ts else F.current_timestamp())
             .write.mode("append").parquet(quarantine))
     if landing is not None:
-        good = [r["file"] for r in status.where(F.col("status") == "PASS").select("file").collect()]
-        if good:
-            df = spark.read.option("header", True).option("sep", sep).csv(good)
-            df.toDF(*[c.strip().lstrip("﻿").lower() for c in df.columns]) \
-              .withColumn("_file", F.col("_metadata.file_path")).write.mode("append").parquet(landing)
+        _land_good_rows(lines, per_file.join(status.where(F.col("status") == "PASS"), "file", "left_semi"),
+                        header, sep, landing)
     return status
 
 
+def _land_good_rows(lines: DataFrame, good: DataFrame, header, sep: str, landing: str) -> None:
+    """Append the data lines of the good files to ``landing`` as text columns named by each file's own
+    header (files may order or choose their columns differently), plus ``_file``.
+
+    Lines are parsed with ``from_csv`` (quoting as the CSV source); only the
+    column names and the widest header reach the driver.
+    """
+    heads = good.select("file", "_hpos", F.transform(header, lambda h: F.lower(h)).alias("_cols"))
+    names = sorted(r.c for r in heads.select(F.explode("_cols").alias("c")).where(F.col("c") != "")
+                   .distinct().collect())
+    width = heads.agg(F.max(F.size("_cols"))).first()[0] or 0
+    if not names:
+        return
+    parsed = F.from_csv(F.col("line"), ", ".join(f"_c{i} string" for i in range(width)), {"sep": sep})
+    rows = (lines.join(heads, "file")
+                 .where((F.col("_pos") > F.col("_hpos")) & (_strip_ws(F.col("line")) != ""))
+                 .withColumn("_v", F.array(*[parsed[f"_c{i}"] for i in range(width)])))
+    out = [F.when(F.array_position("_cols", c) > 0,
+                  F.try_element_at("_v", F.greatest(F.array_position("_cols", c).cast("int"), F.lit(1))))
+           .alias(c) for c in names]
+    rows.select(*out, F.col("file").alias("_file")).write.mode("append").parquet(landing)
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Qualified paths of the files directly under ``path`` (file names only, no data)."""
     jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem listing
