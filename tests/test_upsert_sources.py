@@ -234,6 +234,11 @@ def test_emission_factor_dim_and_lookup(spark, tmp_dir):
     long = spark.createDataFrame([("gaz", 2.0), ("nucleaire", 1.0)], "source_name string, mw double")
     out = {r.source_name: r.factor for r in factor_lookup(long, "source_name", dim).collect()}
     assert out == {"gaz": 420.0, "nucleaire": 0.0}
+    # a source listed under two sectors: one factor (the largest), no duplicated rows
+    two = dim.unionByName(dim.where("source_name = 'gaz'").withColumn("filiere", F.lit("autre"))
+                          .withColumn("factor", F.lit(500.0)))
+    rows = factor_lookup(long, "source_name", two).collect()
+    assert len(rows) == 2 and {r.source_name: r.factor for r in rows}["gaz"] == 500.0
 
 
 def test_all_table_policies(spark):

@@ -119,12 +119,14 @@ def factor_lookup(df: DataFrame, source_col: str, factors=None, out: str = "fact
 
     ``factors`` may be a dict (inlined map literal) or a factor DataFrame with
     columns (source_name, factor) — e.g. the emission dimension (A24) — joined
-    on the source (left).
+    on the source (left). The dimension is first reduced to one factor per
+    source (the largest, when a source is listed under several sectors), so
+    the join never multiplies rows.
     """
     if factors is None or isinstance(factors, Mapping):
         return df.withColumn(out, F.coalesce(F.element_at(factor_map(factors), F.col(source_col)),
                                              F.lit(default)))
-    fdim = factors.select(F.col("source_name").alias("_fsrc"), F.col("factor").alias("_f"))
+    fdim = factors.groupBy(F.col("source_name").alias("_fsrc")).agg(F.max(F.col("factor").cast("double")).alias("_f"))
     return (df.join(fdim, F.col(source_col) == F.col("_fsrc"), "left")
               .withColumn(out, F.coalesce(F.col("_f").cast("double"), F.lit(default)))
               .drop("_fsrc", "_f"))
