@@ -98,6 +98,11 @@ def test_load_factor(spark):
                                 "id_region string, id_source string, puissance_installee_mw double")
     got = {(r.id_region, r.id_source): r.facteur_charge for r in A.load_factor(long, cap).collect()}
     assert got == {("11", "eolien"): 0.32, ("84", "eolien"): 0.1, ("11", "gaz"): None}
+    # a register with several years: the latest year's capacity, one output row per fact row
+    years = spark.createDataFrame([("11", "eolien", 2023, 8000.0), ("11", "eolien", 2024, 10000.0)],
+                                  "id_region string, id_source string, annee int, puissance_installee_mw double")
+    rows = A.load_factor(long, years).collect()
+    assert len(rows) == 3 and {(r.id_region, r.id_source): r.facteur_charge for r in rows}[("11", "eolien")] == 0.32
 
 
 def test_meteo_mean_null_policy(spark):

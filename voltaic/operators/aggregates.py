@@ -369,12 +369,16 @@ def load_factor(long: DataFrame, capacity: DataFrame, region: str = "id_region",
 
     ``capacity`` has (region, source, puissance_installee_mw) with region NULL
     for national figures. A missing or zero capacity gives NULL (``try_divide``).
-    The capacity table is one row per (region, source): a dimension-sized side.
+    The capacity side is reduced to one row per (region, source) first (the
+    latest ``annee`` when the register has years, else the largest value), so
+    the joins never multiply fact rows; it is a dimension-sized side.
     """
-    reg = capacity.where(F.col(region).isNotNull()).select(
-        F.col(region).alias("_cr"), F.col(source).alias("_cs"), F.col("puissance_installee_mw").alias("_cap_r"))
-    nat = capacity.where(F.col(region).isNull()).select(
-        F.col(source).alias("_ns"), F.col("puissance_installee_mw").alias("_cap_n"))
+    mw_cap = F.col("puissance_installee_mw").cast("double")
+    pick = (F.max_by(mw_cap, F.struct(F.col("annee"), mw_cap)) if "annee" in capacity.columns
+            else F.max(mw_cap))
+    reg = capacity.where(F.col(region).isNotNull()).groupBy(
+        F.col(region).alias("_cr"), F.col(source).alias("_cs")).agg(pick.alias("_cap_r"))
+    nat = capacity.where(F.col(region).isNull()).groupBy(F.col(source).alias("_ns")).agg(pick.alias("_cap_n"))
     j = (long.join(reg, (F.col(region) == F.col("_cr")) & (F.col(source) == F.col("_cs")), "left")
              .join(nat, F.col(source) == F.col("_ns"), "left"))
     cap = F.coalesce(F.col("_cap_r"), F.col("_cap_n"))
