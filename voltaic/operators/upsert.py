@@ -26,6 +26,10 @@ def merge_frames(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
                  greatest_cols: Sequence[str] = (), keep_first_cols: Sequence[str] = ()) -> DataFrame:
     """Merge ``incoming`` into ``base`` on ``keys``; result has ``base``'s columns.
 
+    ``base`` is unique per key (a table). ``incoming`` is reduced to its last
+    row per key in ``order`` when ``order`` is given; without it, it must be
+    unique per key already (the join would otherwise repeat base rows).
+
     * matched + ``insert_only``: base row kept (DO NOTHING)
     * matched, column in ``update_cols`` (default: all non-key): incoming value;
       for ``keep_non_null`` columns a NULL incoming value keeps the base value;
