@@ -266,3 +266,25 @@ def test_merge_with_batch_order_and_missing_columns(spark, tmp_dir):
     table = spark.read.parquet(path)
     assert "ord" not in table.columns
     assert sorted((r.k, r.v) for r in table.collect()) == [("11", 3.0), ("84", 4.0)]
+
+
+def test_extractor_runs_where_workers_lack_the_package(tmp_dir):
+    """The page parser runs in Python workers: it must work when only the driver can import the package
+    (cluster workers, or a driver started outside the repository)."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = os.path.join(tmp_dir, "run.py")
+    with open(script, "w") as f:
+        f.write(f"""import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from voltaic.sources import html_events
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+pages = spark.createDataFrame([(1, "u", {PAGE!r})], "page_id long, url string, html string")
+print("EVENTS", sorted(r.event_id for r in html_events.extract_events_html(pages).collect()))
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, script], cwd=tmp_dir, env=env, capture_output=True, text=True,
+                         timeout=300)
+    assert "EVENTS ['EVT-1', 'EVT-2']" in out.stdout, out.stderr[-2000:]

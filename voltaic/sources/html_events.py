@@ -8,15 +8,21 @@ helper; the distribution, typing and downstream cleaning are Spark's.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaic.constants import EVENT_CELL_CLASSES, EVENT_ROW_CLASS
 from voltaic.functions.columns import parse_mw
 
+# The parser runs in Python workers, which need not have this package installed: ship this
+# module's code with the task (by value) instead of importing it there by name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EVENT_SCHEMA = ("page_id long, event_id string, unit_name string, affected_area string, event_type string, "
                 "start_date string, end_date string, unavailable_mw string, description string, "
                 "source_url string")
