@@ -152,8 +152,16 @@ def _land_good_rows(lines: DataFrame, good: DataFrame, header, sep: str, landing
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Qualified paths of the files directly under ``path`` (file names only, no data)."""
-    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem listing
+    """Qualified paths of the files directly under ``path`` (file names only, no data).
+
+    Hadoop's listing includes zero-length files, which no file source returns
+    as rows. A session without a JVM handle (Spark Connect) falls back to the
+    ``binaryFile`` listing, which misses only zero-length files.
+    """
+    try:
+        jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem listing
+    except Exception:  # noqa: BLE001
+        return sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
     return sorted(st.getPath().toString() for st in fs.listStatus(p)
