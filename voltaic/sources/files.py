@@ -7,55 +7,145 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
-def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
-                     with_ordinal: bool = True) -> DataFrame:
-    """Every JSON file under ``path`` (recursive), in path order.
-
-    A file may hold an array of records, an envelope ``{"records": [...]}``,
-    a single object or JSON Lines. Each file is one text value, parsed with the given
-    schema and exploded with its position, so ``(_file, _pos)`` is a total
-    load order for keep-last. A missing path raises; an empty directory gives
-    an empty frame.
-    """
+def _bronze_records(spark: SparkSession, path: str, schema: StructType, glob: str) -> DataFrame:
+    """_file, _pos, _rec (struct or NULL), _raw: every record of every JSON file, unreadable ones with a NULL ``_rec``."""
     raw = (spark.read.option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.json").text(path, wholetext=True)
+           .option("pathGlobFilter", glob).text(path, wholetext=True)
            .select(F.col("value"), F.col("_metadata.file_path").alias("_file")))
     txt = F.ltrim(F.col("value"))
-    arr = F.from_json("value", ArrayType(schema))
-    env = F.from_json("value", StructType([StructField("records", ArrayType(schema))]))["records"]
-    # JSON Lines (Spark's own landing format): every non-blank line is one object
+    valid = lambda c: F.get_json_object(c, "$").isNotNull()  # noqa: E731 - NULL for damaged or cut JSON
+    part = lambda rec, text: F.struct(rec.alias("rec"), text.alias("raw"))
+    none = F.lit(None).cast(schema)
+    whole = F.array(part(none, F.col("value")))
+    arr = F.transform(F.from_json("value", ArrayType(schema)), lambda r: part(r, F.lit(None).cast("string")))
+    env = F.transform(F.from_json("value", StructType([StructField("records", ArrayType(schema))]))["records"],
+                      lambda r: part(r, F.lit(None).cast("string")))
+    # JSON Lines (Spark's own landing format): at least half of the lines are objects of their own; each line counts for itself
     lines = F.filter(F.split(F.col("value"), "\r?\n"), lambda x: F.trim(x) != "")
-    is_jsonl = (F.size(lines) > 1) & F.forall(lines, lambda x: F.get_json_object(x, "$").isNotNull())
-    per_line = F.transform(lines, lambda x: F.from_json(x, schema))
-    one = F.array(F.from_json("value", schema))
-    has_env = F.get_json_object("value", "$.records").isNotNull()
-    recs = (F.when(F.startswith(txt, F.lit("[")), arr)
-             .when(has_env, env)
-             .when(is_jsonl, per_line)
+    whole_line = lambda x: F.startswith(F.trim(x), F.lit("{")) & F.endswith(F.trim(x), F.lit("}")) & valid(x)
+    is_lines = (F.size(lines) > 1) & (2 * F.size(F.filter(lines, whole_line)) >= F.size(lines))
+    per_line = F.transform(lines, lambda x: part(F.when(whole_line(x), F.from_json(x, schema)), x))
+    one = F.array(part(F.from_json("value", schema), F.lit(None).cast("string")))
+    recs = (F.when(F.size(lines) == 0, F.slice(whole, 1, 0))
+             .when(is_lines, per_line)
+             .when(~valid(F.col("value")), whole)
+             .when(F.startswith(txt, F.lit("[")), arr)
+             .when(F.get_json_object("value", "$.records").isNotNull(), env)
              .otherwise(one))
-    out = raw.select("_file", F.posexplode(recs).alias("_pos", "_rec")).select("_file", "_pos", "_rec.*")
+    return raw.select("_file", F.posexplode(recs).alias("_pos", "_r")).select(
+        "_file", "_pos", F.col("_r.rec").alias("_rec"), F.col("_r.raw").alias("_raw"))
+
+
+def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
+                     with_ordinal: bool = True, on_damage: str = "fail", quarantine: str | None = None,
+                     glob: str = "*.json") -> DataFrame:
+    """Every JSON file under ``path`` (recursive), in path order.
+
+    A file may hold an array of records, an envelope ``{"records": [...]}``,
+    a single object or JSON Lines. ``(_file, _pos)`` is a total load order for
+    keep-last. A missing path raises; an empty directory gives an empty frame.
+
+    Nothing is lost silently: with ``on_damage="fail"`` a file (or a line of JSON
+    Lines) that is no JSON ends the read with an error naming the file; with
+    ``"quarantine"`` the damaged texts are appended whole to ``quarantine``
+    (file, position, text) and the good records are returned.
+
+    A payload file is one value, as the feed lands it; large JSON Lines files
+    belong to ``spark.read.json``, which splits them.
+    """
+    if on_damage not in ("fail", "quarantine") or (on_damage == "quarantine") != (quarantine is not None):
+        raise ValueError("on_damage is 'fail', or 'quarantine' with a quarantine path")
+    recs = _bronze_records(spark, path, schema, glob)
+    damaged = F.col("_raw").isNotNull() & F.col("_rec").isNull()
+    if on_damage == "quarantine":
+        recs.where(damaged).select("_file", "_pos", F.col("_raw").alias("text")).write.mode("append").parquet(quarantine)
+        recs = recs.where(~damaged)
+    else:
+        stop = F.raise_error(F.concat(F.lit("damaged JSON in "), F.col("_file"), F.lit(", record "), F.col("_pos").cast("string")))
+        recs = recs.withColumn("_rec", F.when(damaged, stop.cast(schema)).otherwise(F.col("_rec")))
+    out = recs.select("_file", "_pos", "_rec.*")
     return out if with_ordinal else out.drop("_file", "_pos")
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The header line decides: ';' if it has more semicolons than commas, else ','."""
-    first = spark.read.text(path).limit(1).collect()
-    head = first[0][0] if first else ""
-    return ";" if head.count(";") > head.count(",") else ","
+MAX_COLUMNS = 256
+
+
+def _csv_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """file, _id, _v: every CSV record (quoted and multi-line cells joined) of every file, its cells as an array of text.
+
+    Blank records are left out. A file is read by one task, as multi-line cells ask for; ``_id`` ascends within a file.
+    """
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(MAX_COLUMNS)])
+    rows = (spark.read.schema(schema).option("multiLine", True).option("sep", sep).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("encoding", "UTF-8").csv(path))
+    cells = F.array(*[F.col(f"_c{i}") for i in range(MAX_COLUMNS)])
+    width = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1)))
+    rows = rows.select(_plain_path(F.col("_metadata.file_path")).alias("file"), F.monotonically_increasing_id().alias("_id"),
+                       F.slice(cells, 1, F.coalesce(width, F.lit(0))).alias("_v"))
+    return rows.where(F.exists("_v", lambda c: _strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")) != ""))
+
+
+def _plain_path(uri) -> Column:
+    """The metadata path is a URI (percent-encoded); listings give plain paths."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def _headers(records: DataFrame) -> DataFrame:
+    """file, _hid, _header (cells of its first record, byte-order mark removed), _n (records, header included)."""
+    heads = records.groupBy("file").agg(F.min_by("_v", "_id").alias("_header"), F.min("_id").alias("_hid"),
+                                        F.count(F.lit(1)).alias("_n"))
+    return heads.withColumn("_header", F.transform("_header", lambda h, i: F.when(
+        i == 0, F.regexp_replace(F.coalesce(h, F.lit("")), "^\ufeff", "")).otherwise(F.coalesce(h, F.lit("")))))
+
+
+def _named_rows(records: DataFrame, heads: DataFrame, names: Sequence[str], norm) -> DataFrame:
+    """Data records as text columns ``names``, each cell found by its own file's header (``norm``: header cell -> name)."""
+    keyed = heads.select("file", "_hid", F.transform("_header", norm).alias("_cols"))
+    rows = records.join(keyed, "file").where(F.col("_id") > F.col("_hid"))
+    cell = [F.when(F.array_position("_cols", c) > 0,
+                   F.try_element_at("_v", F.greatest(F.array_position("_cols", c).cast("int"), F.lit(1)))).alias(c) for c in names]
+    return rows.select(*cell, "file", "_id")
+
+
+def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """file, sep: a file's first line decides: ';' if it has more semicolons than commas, else ','."""
+    lines = spark.read.text(path).select(
+        _plain_path(F.col("_metadata.file_path")).alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))
+    first = lines.groupBy("file").agg(F.min_by("value", "_at").alias("h"))
+    count = lambda c: F.char_length("h") - F.char_length(F.replace("h", F.lit(c), F.lit("")))
+    return first.select("file", F.when(count(";") > count(","), ";").otherwise(",").alias("sep"))
 
 
 def read_capacity_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Capacity CSV (file or directory), every column as text; load order columns added."""
-    sep = sep or sniff_delimiter(spark, path)
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-          .option("inferSchema", False).csv(path))
+    """Capacity CSV (file or directory), every column as text; load order columns ``_file``, ``_row`` added.
+
+    Each file's rows are named by its own header, so files may order or choose
+    their columns differently, and each file has its own delimiter (unless ``sep``
+    names one). Only header names reach the driver; ``_row`` ascends within a file.
+    """
     from voltaic.functions.columns import normalize_name
-    df = df.toDF(*[normalize_name(c.lstrip("﻿"), fold_accents=True) for c in df.columns])
-    return df.withColumn("_file", F.col("_metadata.file_path")) \
-             .withColumn("_row", F.monotonically_increasing_id())
+    kinds = None if sep else sniff_delimiters(spark, path)
+    out = None
+    for one in [sep] if sep else [r["sep"] for r in kinds.select("sep").distinct().orderBy("sep").collect()]:
+        records = _csv_records(spark, path, one)
+        if kinds is not None:
+            records = records.join(kinds.where(F.col("sep") == one).select("file"), "file", "left_semi")
+        heads = _headers(records)
+        # distinct header cells (names of columns, not data), normalised on the driver
+        cells = [r["c"] for r in heads.select(F.explode("_header").alias("c")).distinct().collect()]
+        pairs = {c: normalize_name(c, fold_accents=True) for c in cells}
+        mapping = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else None
+        names = sorted({n for n in pairs.values() if n})
+        if not names:
+            continue
+        rows = _named_rows(records, heads, names, lambda h: F.element_at(mapping, h))  # noqa: B023
+        rows = rows.withColumnsRenamed({"file": "_file", "_id": "_row"})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return spark.createDataFrame([], "_file string, _row long") if out is None else out
 
 
 def resolve_aliases(df: DataFrame, candidates: dict[str, Sequence[str]]) -> DataFrame:
@@ -90,65 +180,49 @@ def validate_and_route_csv(spark: SparkSession, path: str,
     FAIL when the file is empty (nothing but whitespace), misses a required
     column (header names trimmed, case-insensitive, BOM ignored) or has no
     data row. Good files are appended to ``landing`` (as text columns), bad
-    files' reasons to ``quarantine``.
+    files' lines and reason to ``quarantine``.
 
-    Files are read line by line by the text source, so a large file is split
-    over tasks; the header of a file is its first non-blank line, found by a
-    ``min_by`` over (split start, row position) and combined map-side.
+    Records are Spark's CSV records, so quoted headers and multi-line cells
+    count as what they are; the header of a file is its first non-blank record
+    (``min_by``, combined map-side). One task reads a file, as multi-line cells
+    ask for. Of the files only names (as in any file scan) and header names
+    reach the driver.
     """
-    import re
-    lines = spark.read.text(path).select(
-        # the metadata path is a URI (percent-encoded); the listing below gives plain paths
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_pos"),
-        F.regexp_replace("value", "^\ufeff", "").alias("line"))
-    per_file = lines.where(_strip_ws(F.col("line")) != "").groupBy("file").agg(
-        F.min_by("line", "_pos").alias("_header"), F.min("_pos").alias("_hpos"), F.count(F.lit(1)).alias("_n"))
-    header = F.transform(F.split("_header", re.escape(sep)), lambda h: F.lower(_strip_ws(h)))
-    missing = F.array_except(F.array(*[F.lit(r.lower()) for r in required]), header)
-    checked = per_file.select(
+    records = _csv_records(spark, path, sep)
+    heads = _headers(records)
+    name = lambda h: F.lower(_strip_ws(h))
+    missing = F.array_except(F.array(*[F.lit(r.lower()) for r in required]), F.transform("_header", name))
+    checked = heads.select(
         "file",
         F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
          .when(F.col("_n") == 1, "header only").alias("error"),
         (F.col("_n") - 1).cast("long").alias("rows"))
-    # files without a non-blank line (zero-length or whitespace only) come from the listing
-    listed = spark.createDataFrame([(f,) for f in list_files(spark, path)], "file string")
-    checked = listed.join(checked.withColumn("_read", F.lit(True)), "file", "left").select(
+    # files without a record (zero-length or whitespace only) come from the listing
+    contents = _listed(spark, path)
+    checked = contents.join(checked.withColumn("_read", F.lit(True)), "file", "left").select(
         "file", F.when(F.col("_read").isNull(), F.lit("empty file")).otherwise(F.col("error")).alias("error"),
-        F.coalesce("rows", F.lit(0)).alias("rows"))
+        F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
     status = checked.select("file", F.when(F.col("error").isNull(), "PASS").otherwise("FAIL").alias("status"),
                             "error", F.greatest(F.col("rows"), F.lit(0)).alias("rows"))
     if quarantine is not None:
-        (status.where(F.col("status") == "FAIL")
+        # the bad file's own lines are kept beside the reason
+        text = (spark.read.text(path).select(_plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("line"),
+                                             F.col("_metadata.file_block_start").alias("block"),
+                                             F.monotonically_increasing_id().alias("position")))
+        (status.where(F.col("status") == "FAIL").join(text, "file", "left")
             .withColumn("quarantined_at", F.lit(ts).cast("timestamp") if ts else F.current_timestamp())
             .write.mode("append").parquet(quarantine))
     if landing is not None:
-        _land_good_rows(lines, per_file.join(status.where(F.col("status") == "PASS"), "file", "left_semi"),
-                        header, sep, landing)
+        good = heads.join(status.where(F.col("status") == "PASS"), "file", "left_semi")
+        names = sorted(r["c"] for r in good.select(F.explode(F.transform("_header", name)).alias("c")).distinct().collect() if r["c"])
+        if names:
+            _named_rows(records, good, names, name).withColumnRenamed("file", "_file").drop("_id").write.mode("append").parquet(landing)
     return status
 
 
-def _land_good_rows(lines: DataFrame, good: DataFrame, header, sep: str, landing: str) -> None:
-    """Append the data lines of the good files to ``landing`` as text columns named by each file's own
-    header (files may order or choose their columns differently), plus ``_file``.
-
-    Lines are parsed with ``from_csv`` (quoting as the CSV source); only the
-    column names and the widest header reach the driver.
-    """
-    heads = good.select("file", "_hpos", F.transform(header, lambda h: F.lower(h)).alias("_cols"))
-    names = sorted(r.c for r in heads.select(F.explode("_cols").alias("c")).where(F.col("c") != "")
-                   .distinct().collect())
-    width = heads.agg(F.max(F.size("_cols"))).first()[0] or 0
-    if not names:
-        return
-    parsed = F.from_csv(F.col("line"), ", ".join(f"_c{i} string" for i in range(width)), {"sep": sep})
-    rows = (lines.join(heads, "file")
-                 .where((F.col("_pos") > F.col("_hpos")) & (_strip_ws(F.col("line")) != ""))
-                 .withColumn("_v", F.array(*[parsed[f"_c{i}"] for i in range(width)])))
-    out = [F.when(F.array_position("_cols", c) > 0,
-                  F.try_element_at("_v", F.greatest(F.array_position("_cols", c).cast("int"), F.lit(1))))
-           .alias(c) for c in names]
-    rows.select(*out, F.col("file").alias("_file")).write.mode("append").parquet(landing)
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """file: the data files directly under ``path``, zero-length ones included, as the driver's file index lists them."""
+    return spark.createDataFrame([(f,) for f in list_files(spark, path)], "file string")
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
@@ -202,8 +276,11 @@ def incremental_filter(df: DataFrame, since: str | None = None, region: str | No
         lo = F.lit(since).cast("timestamp_ntz")
         out = out.where(F.col(ts_col) >= lo)
         if partition_cols:
-            y = F.year(lo)
-            out = out.where((F.col("year") > y) | ((F.col("year") == y) & (F.col("month") >= F.month(lo))))
+            at = F.struct(F.year(lo), F.month(lo), F.dayofmonth(lo))
+            y, m = at["col1"], at["col2"]
+            days = F.lit(True) if "day" not in df.columns else (F.col("day") >= at["col3"])
+            out = out.where((F.col("year") > y) | ((F.col("year") == y) & (
+                (F.col("month") > m) | ((F.col("month") == m) & days))))
     if region is not None:
         out = out.where(F.col(region_col) == region)
     return out
