@@ -36,31 +36,41 @@ class _RowParser(HTMLParser):
         self.rows: list[dict] = []
         self._row: dict | None = None
         self._cell: str | None = None
-        self._buf: list[str] = []
+        self._depth = 0  # tags open inside the cell
+
+    def _close_row(self):
+        if self._row is not None:
+            self.rows.append(self._row)
+        self._row = self._cell = None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         classes = (a.get("class") or "").split()
-        if tag == "tr" and EVENT_ROW_CLASS in classes:
-            self._row = {"_data_id": a.get("data-event-id") or ""}
-        elif tag == "td" and self._row is not None:
-            hit = [c for c in classes if c in EVENT_CELL_CLASSES]
-            self._cell = hit[0] if hit else None
-            self._buf = []
+        if tag == "tr":  # an open row ends where the next one begins
+            self._close_row()
+            if EVENT_ROW_CLASS in classes:
+                self._row = {"_data_id": a.get("data-event-id") or ""}
+        elif tag in ("td", "th") and self._row is not None:
+            hit = [c for c in classes if c in EVENT_CELL_CLASSES] if tag == "td" else []
+            self._cell, self._depth = (hit[0] if hit else None), 0
+        elif self._cell is not None and tag not in ("br", "img", "input", "hr", "wbr"):
+            self._depth += 1
 
     def handle_data(self, data):
-        if self._cell is not None:
-            self._buf.append(data)
+        if self._cell is not None and not self._depth:
+            self._row.setdefault(EVENT_CELL_CLASSES[self._cell], data)  # the cell's first own text
 
     def handle_endtag(self, tag):
-        if tag == "td" and self._row is not None and self._cell is not None:
-            key = EVENT_CELL_CLASSES[self._cell]
-            if key not in self._row:
-                self._row[key] = "".join(self._buf)
+        if tag in ("td", "th"):
             self._cell = None
-        elif tag == "tr" and self._row is not None:
-            self.rows.append(self._row)
-            self._row = None
+        elif tag in ("tr", "table", "tbody"):
+            self._close_row()
+        elif self._cell is not None and self._depth:
+            self._depth -= 1
+
+    def close(self):
+        super().close()
+        self._close_row()
 
 
 def parse_event_rows(html: str) -> list[dict]:
@@ -92,7 +102,8 @@ def _extract(batches, id_col, html_col, url_col):
 def extract_events_html(pages: DataFrame, html_col: str = "html", url_col: str = "url",
                         id_col: str = "page_id", scraped_at: str | None = None) -> DataFrame:
     """Every event row of every page, MW parsed (P10), provenance url and scrape time."""
-    raw = pages.select(id_col, html_col, url_col).mapInPandas(
+    # only pages that name the row class can hold a row: the others never reach Python
+    raw = pages.select(id_col, html_col, url_col).where(F.contains(F.col(html_col), F.lit(EVENT_ROW_CLASS))).mapInPandas(
         lambda it: _extract(it, id_col, html_col, url_col), EVENT_SCHEMA)
     ts = F.current_timestamp() if scraped_at is None else F.lit(scraped_at).cast("timestamp")
     return raw.withColumn("unavailable_mw", parse_mw("unavailable_mw")).withColumn("scraped_at", ts)
