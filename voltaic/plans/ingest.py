@@ -48,7 +48,7 @@ def ingest_run(spark: SparkSession, raw: DataFrame, root: str, job_id: str, ts:
         rows = sinks.observed_write(raw, lambda d: d.write.mode("overwrite").parquet(bronze))
         record("bronze", "success", rows)
     except Exception as e:  # noqa: BLE001 - the stage table carries the failure
-        record("bronze", "failure", None, str(e)[:2000])
+        record("bronze", "failure", None, str(e))
         return sinks.stage_report(spark, stages)
 
     silver_df = None
@@ -57,7 +57,7 @@ def ingest_run(spark: SparkSession, raw: DataFrame, root: str, job_id: str, ts:
         rows = sinks.observed_write(silver_df, lambda d: sinks.write_silver_daily(d, f"{root}/silver"))
         record("silver", "success", rows)
     except Exception as e:  # noqa: BLE001
-        record("silver", "failure", None, str(e)[:2000])
+        record("silver", "failure", None, str(e))
         return sinks.stage_report(spark, stages)
 
     try:
@@ -67,5 +67,5 @@ def ingest_run(spark: SparkSession, raw: DataFrame, root: str, job_id: str, ts:
         upsert_table(spark, f"{root}/gold/fact_energy", spark.read.parquet(stage), FACT_KEYS, partition_by=["day"])
         record("gold", "success", rows)
     except Exception as e:  # noqa: BLE001
-        record("gold", "failure", None, str(e)[:2000])
+        record("gold", "failure", None, str(e))
     return sinks.stage_report(spark, stages)

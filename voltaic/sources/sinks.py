@@ -130,7 +130,7 @@ def write_audited(df: DataFrame, path: str, audit_path: str, job_id: str, source
         entry = audit_entry(df.sparkSession, job_id, source, "success", rows, ts, details={"path": path})
         ok = True
     except Exception as e:  # noqa: BLE001 - the failure is what gets audited
-        entry = audit_entry(df.sparkSession, job_id, source, "failure", None, ts, error=str(e)[:2000],
+        entry = audit_entry(df.sparkSession, job_id, source, "failure", None, ts, error=str(e),
                             details={"path": path})
         ok = False
     audit_append(entry, audit_path)
@@ -177,6 +177,12 @@ def fr_number(c) -> Column:
     return F.coalesce(F.replace(txt, F.lit("."), F.lit(CSV_DECIMAL_SEP)), F.lit(""))
 
 
+def _quoted(c: Column) -> Column:
+    """A text cell as the CSV format has it: quoted if it holds the delimiter, a quote or a line end."""
+    special = c.rlike(f'[{CSV_DELIMITER}"\\r\\n]')
+    return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def _line_expr(df: DataFrame, cols: Sequence[str]) -> Column:
     cells = []
     types = dict(df.dtypes)
@@ -187,7 +193,7 @@ def _line_expr(df: DataFrame, cols: Sequence[str]) -> Column:
         elif t.startswith("timestamp"):
             cells.append(F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")))
         else:
-            cells.append(F.coalesce(F.col(c).cast("string"), F.lit("")))
+            cells.append(_quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     return F.concat_ws(CSV_DELIMITER, *cells)
 
 
@@ -203,8 +209,8 @@ def export_fr_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None,
 
     Cells are formatted by Spark. ``order`` (names, or ``(name, ascending)``
     pairs) fixes the row order with a global, range-partitioned sort, so the
-    part files concatenate in order; each part file is a complete CSV with
-    its own BOM and header. With ``max_rows`` (an explicit, optional cap) the
+    part files are in order; each part file is a complete CSV with its own BOM
+    and header (to join them, drop those of all but the first). With ``max_rows`` (an explicit, optional cap) the
     bounded result is written as one file, as the download endpoint does.
     """
     cols = list(cols or labels)
@@ -230,5 +236,5 @@ def export_fr_csv(df: DataFrame, path: str, cols: Sequence[str] | None = None,
     if max_rows is not None:
         out = out.coalesce(1)
     (out.write.mode("overwrite").option("header", True).option("sep", CSV_DELIMITER)
-        .option("lineSep", "\r\n").option("emptyValue", "").option("encoding", "UTF-8").csv(path))
+        .option("lineSep", "\r\n").option("emptyValue", "").option("escape", '"').option("encoding", "UTF-8").csv(path))
     return path
