@@ -55,14 +55,19 @@ def parse_mw(c) -> Column:
     return F.coalesce(nan_to_null(_try_double(txt)), F.lit(0.0))
 
 
+# What the reference's float() accepts, less digit separators: Java's suffixes (100d) and hexadecimal floats are text.
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
+
+
 def _try_double(c: Column) -> Column:
-    return c.try_cast("double")
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def canonical_region_code(c) -> Column:
     """P12: '11.0' -> '11'; NULL for blank, unparsable or 0 (caller filters)."""
     num = _try_double(F.trim(as_col(c).cast("string")))
-    code = num.cast("long").cast("string")
+    # towards zero, then exact; numbers of more than 38 digits have no code
+    code = (num - num % 1).try_cast("decimal(38,0)").cast("string")
     return F.when(num.isNull() | F.isnan(num) | (code == "0"), None).otherwise(code)
 
 

@@ -16,15 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltaic.constants import EMISSION_FACTORS, REGION_CENTROIDS
+from voltaic.functions.calendar import from_date_key
 
 
-def star_join(fact: DataFrame, region: DataFrame, time: DataFrame, source: DataFrame,
+def star_join(fact: DataFrame, region: DataFrame, time: DataFrame | None, source: DataFrame,
               region_key: str = "id_region", time_key: str = "id_date",
-              source_key: str = "id_source") -> DataFrame:
-    """Fact ⋈ region ⋈ time ⋈ source (inner equi-joins on the natural keys)."""
-    return (fact.join(region, on=region_key, how="inner")
-                .join(time, on=time_key, how="inner")
-                .join(source, on=source_key, how="inner"))
+              source_key: str = "id_source", instant: str = "horodatage") -> DataFrame:
+    """Fact ⋈ region ⋈ time ⋈ source (inner equi-joins on the natural keys).
+
+    Without a stored ``time`` dimension its only attribute here, the instant, is computed from the key
+    (yyyyMMddHHmm), which saves the join and the scan behind it.
+    """
+    timed = (fact.withColumn(instant, from_date_key(time_key)) if time is None
+             else fact.join(time, on=time_key, how="inner"))
+    return timed.join(region, on=region_key, how="inner").join(source, on=source_key, how="inner")
 
 
 def meteo_join(fact: DataFrame, time: DataFrame, region: DataFrame,
@@ -54,19 +59,14 @@ def resolve_keys(staged: DataFrame, dims: Sequence[tuple[DataFrame, str]]) -> tu
     ``dims`` is a list of (dimension, key) pairs. Returns (rows whose keys all
     resolve, one-row frame with the number of rows that did not).
     """
-    resolved = staged
-    for dim, key in dims:
+    resolved = flagged = staged
+    missed = F.lit(False)
+    for n, (dim, key) in enumerate(dims):
         resolved = resolved.join(dim, on=key, how="inner")
-    # a row is unmatched if any key misses; anti-join each key and union the misses
-    misses = None
-    for dim, key in dims:
-        miss = staged.join(dim.select(key), on=key, how="left_anti")
-        misses = miss if misses is None else misses.unionByName(miss)
-    if misses is None:
-        count = staged.limit(0).agg(F.count(F.lit(1)).alias("unmatched_rows"))
-    else:
-        count = misses.distinct().agg(F.count(F.lit(1)).alias("unmatched_rows"))
-    return resolved, count
+        # one left join per dimension with a hit flag: every staged row is counted once, repeated rows each
+        flagged = flagged.join(dim.select(key).distinct().withColumn(f"_hit{n}", F.lit(True)), on=key, how="left")
+        missed = missed | F.col(f"_hit{n}").isNull()
+    return resolved, flagged.agg(F.count_if(missed).alias("unmatched_rows"))
 
 
 def orphans(fact: DataFrame, fk: str, dim: DataFrame, pk: str) -> DataFrame:

@@ -127,9 +127,15 @@ def quality_metrics(df: DataFrame, rules: Mapping[str, str], source: str,
 
 def apply_quality_rules(df: DataFrame, rules: Mapping[str, str], source: str,
                         entity: Sequence[str] | None = None, order: str | None = None,
-                        bucket: str = "month") -> tuple[DataFrame, DataFrame]:
-    """Apply a rule set; returns (clean frame, one-row metrics frame)."""
+                        bucket: str = "month", dedup=None) -> tuple[DataFrame, DataFrame]:
+    """Apply a rule set; returns (clean frame, one-row metrics frame).
+
+    ``dedup`` (frame -> frame) runs after the drop and before the fills, so forward fill never sees duplicates;
+    NULL counts and dropped rows are always those of ``df`` as it came in.
+    """
     out = null_drop(df, _by_strategy(df, rules, DROP))
+    if dedup is not None:
+        out = dedup(out)
     out = null_fill_zero(out, _by_strategy(df, rules, FILL_ZERO))
     ff = _by_strategy(df, rules, FORWARD_FILL)
     if ff:
@@ -137,4 +143,4 @@ def apply_quality_rules(df: DataFrame, rules: Mapping[str, str], source: str,
             raise ValueError("forward fill needs an order column")
         out = null_forward_fill(out, ff, entity or [], order, bucket=bucket)
     out = null_flag(out, _by_strategy(df, rules, FLAG))
-    return out, quality_metrics(df, rules, source, cleaned=out if ff else None)
+    return out, quality_metrics(df, rules, source, cleaned=out if ff and dedup is None else None)

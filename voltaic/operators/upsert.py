@@ -11,6 +11,8 @@ dimensions get a new snapshot version.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,8 @@ from voltaic.session import scratch_path
 def merge_frames(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
                  update_cols: Sequence[str] | None = None, insert_only: bool = False,
                  keep_non_null: Sequence[str] = (), order: Sequence | None = None,
-                 greatest_cols: Sequence[str] = (), keep_first_cols: Sequence[str] = ()) -> DataFrame:
+                 greatest_cols: Sequence[str] = (), keep_first_cols: Sequence[str] = (),
+                 least_cols: Sequence[str] = ()) -> DataFrame:
     """Merge ``incoming`` into ``base`` on ``keys``; result has ``base``'s columns.
 
     ``base`` is unique per key (a table). ``incoming`` is reduced to its last
@@ -33,7 +36,7 @@ def merge_frames(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
     * matched + ``insert_only``: base row kept (DO NOTHING)
     * matched, column in ``update_cols`` (default: all non-key): incoming value;
       for ``keep_non_null`` columns a NULL incoming value keeps the base value;
-      ``greatest_cols`` take the larger of both; ``keep_first_cols`` keep base
+      ``greatest_cols`` / ``least_cols`` take the larger / smaller of both; ``keep_first_cols`` keep base
     * unmatched incoming rows are inserted; unmatched base rows stay.
     """
     cols = base.columns
@@ -55,8 +58,9 @@ def merge_frames(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
         bc, ic = F.col(f"_b_{c}"), F.col(f"_i_{c}")
         if insert_only or c in keep_first_cols or c not in upd:
             v = F.when(in_b, bc).otherwise(ic)
-        elif c in greatest_cols:
-            v = F.when(in_b & in_i, F.greatest(bc, ic)).when(in_b, bc).otherwise(ic)
+        elif c in greatest_cols or c in least_cols:
+            both = F.greatest(bc, ic) if c in greatest_cols else F.least(bc, ic)
+            v = F.when(in_b & in_i, both).when(in_b, bc).otherwise(ic)
         elif c in keep_non_null:
             v = F.when(in_i, F.coalesce(ic, bc)).otherwise(bc)
         else:
@@ -69,8 +73,8 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
                  partition_by: Sequence[str] = (), **policy) -> str:
     """Persist a merge into the Parquet table at ``path``; returns the live path.
 
-    Partitioned: read only partitions present in ``incoming`` (partition
-    pruning through a semi-join on partition values), merge, stage under the
+    Partitioned: read only partitions present in ``incoming`` (their values,
+    bounded by the batch, become a partition filter), merge, stage under the
     shared checkpoint root, then dynamic-overwrite those partitions.
     Unpartitioned: write a new version directory ``path/v=<n>`` and return it.
     """
@@ -83,8 +87,10 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequ
             order = set(policy.get("order") or [])
             schema = StructType([f for f in incoming.schema.fields if f.name not in order])
             base = spark.read.schema(schema).parquet(path)
-            touched = incoming.select(*partition_by).distinct()
-            base = base.join(touched, on=partition_by, how="left_semi")
+            # the partitions a batch touches are few (its days or months): as literals they prune the listing
+            touched = incoming.select(*partition_by).distinct().collect()
+            base = base.where(reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition_by])
+                                           for r in touched], F.lit(False)))
             merged = merge_frames(base, incoming, keys, **policy)
         else:
             order = policy.get("order")

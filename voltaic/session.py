@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -64,7 +65,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = sc.getCheckpointDir()
     if not root:
         master = spark.conf.get("spark.master", "") or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder shared by all executors "
                                "(a machine-local folder does not survive executor loss)")
         root = tempfile.mkdtemp(prefix="voltaic-ckpt-")

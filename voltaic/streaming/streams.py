@@ -132,7 +132,7 @@ def merge_last_seen(path: str) -> Callable[[DataFrame, int], None]:
             merged = inc
         else:
             merged = merge_frames(base, inc.select(*base.columns), ["code_insee"],
-                                  greatest_cols=["last_seen_at"], keep_first_cols=["first_seen_at"],
+                                  greatest_cols=["last_seen_at"], least_cols=["first_seen_at"],
                                   keep_non_null=["nom_region"])
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
     return merge
