@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from voltaic.constants import (
     FILIERE_MAP, REGION_BALANCE_TOLERANCE, SOURCE_COLUMN_MAP, SOURCES, THERMAL_MW, THERMAL_SOURCE,
 )
-from voltaic.functions.columns import canonical_region_code, js_round, kw_to_mw
+from voltaic.functions.columns import canonical_region_code, js_round, kw_to_mw, safe_double
 from voltaic.functions.maps import map_total_positive, positive_only
 from voltaic.operators.joins import factor_map
 
@@ -55,10 +55,15 @@ def production_records(long: DataFrame, code: str = "code_insee", name: str = "n
 
 def production_wide(long: DataFrame, keys: Sequence[str] = ("code_insee", "horodatage"),
                     source: str = "source_name", mw: str = "valeur_mw",
-                    sources: Sequence[str] = SOURCES) -> DataFrame:
-    """One column per source (fixed list -> no extra job to discover values)."""
-    return (long.groupBy(*keys).pivot(source, list(sources))
-                .agg(F.max(F.col(mw).cast("double"))))
+                    sources: Sequence[str] = SOURCES, drop_all_zero: bool = False) -> DataFrame:
+    """One column per source (fixed list), one aggregation on the keys.
+
+    ``drop_all_zero`` leaves out rows whose MW are all exactly 0, as A01 does (a NULL counts as non-zero).
+    """
+    value = F.col(mw).cast("double")
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col(source) == s, value)).alias(s) for s in sources],
+                                   F.bool_or(value.isNull() | (value != 0)).alias("_keep"))
+    return (wide.where("_keep") if drop_all_zero else wide).drop("_keep")
 
 
 def unpivot_sources(wide: DataFrame, ids: Sequence[str],
@@ -136,7 +141,7 @@ def capacity_by_region_source(raw: DataFrame, code: str, name: str, filiere: str
         F.col(name).alias("_name"),
         canonical_source(filiere).alias("source_name"),
         kw_to_mw(F.col(kw)).alias("_mw"),
-        (F.col(year_col).cast("int") if year_col else F.lit(year).cast("int")).alias("annee"),
+        (safe_double(F.col(year_col)).try_cast("int") if year_col else F.lit(year).cast("int")).alias("annee"),
         F.struct(*[F.col(o) for o in order]).alias("_ord"),
     ).where(F.col("code_insee_region").isNotNull() & F.col("source_name").isNotNull())
     agg = staged.groupBy("code_insee_region", "source_name", "annee").agg(
@@ -152,25 +157,23 @@ def capacity_by_region_source(raw: DataFrame, code: str, name: str, filiere: str
 # ----------------------------------------------------------------------------
 
 
-def national_by_timestamp(records: DataFrame) -> DataFrame:
+def national_by_timestamp(records: DataFrame, sources: Sequence[str] = (*SOURCES, THERMAL_SOURCE)) -> DataFrame:
     """Per timestamp, sum of positive MW per source and sum of non-NULL consumption.
 
-    Two partial aggregations: (ts, source) sums on exploded positive entries,
-    then per ts a map of at most |sources| entries. Consumption rides on the
-    first exploded entry of each record so it is summed once per record.
+    One aggregation on the timestamp with a partial sum per source of the fixed list (the production sources
+    and the thermal feed column); the map holds the sources with a positive reading.
     """
-    ex = records.select("timestamp", "consommation_mw",
-                        F.posexplode_outer(positive_only("sources")).alias("_pos", "source", "mw"))
-    ex = ex.withColumn("_conso", F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0,
-                                        F.col("consommation_mw")))
-    per_src = ex.groupBy("timestamp", "source").agg(
-        F.sum(F.col("mw").cast("decimal(28,4)")).cast("double").alias("mw"),
-        F.sum(F.col("_conso").cast("decimal(28,4)")).alias("conso"))
-    return per_src.groupBy("timestamp").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("key"),
-                                                         F.col("mw").alias("value")))))).alias("sources"),
-        F.sum("conso").cast("double").alias("consommation_mw"))
+    def total(s: str):
+        v = F.try_element_at("sources", F.lit(s))
+        return F.sum(F.when(v > 0, v.cast("decimal(28,4)"))).cast("double").alias(f"_mw_{s}")
+
+    names = sorted(sources)
+    sums = records.groupBy("timestamp").agg(*[total(s) for s in names],
+                                            F.sum(F.col("consommation_mw").cast("decimal(28,4)")).cast("double")
+                                            .alias("consommation_mw"))
+    entries = F.array(*[F.struct(F.lit(s).alias("key"), F.col(f"_mw_{s}").alias("value")) for s in names])
+    return sums.select("timestamp", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("sources"),
+                       "consommation_mw")
 
 
 def national_meteo(meteo: DataFrame, ts: str = "timestamp", temp: str = "temperature_c",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,12 @@ def capacity_regional(capacity: DataFrame, region: str | None = None, year: int
     return f.orderBy(F.col("code_insee_region").asc(), F.col("annee").desc(), F.col("source_name").asc())
 
 
+def period_bounds(ref: str, preset: str = "7d") -> tuple[str, str]:
+    """The preset's bounds (both inclusive) as text, for filters that reach a scan."""
+    end = datetime.fromisoformat(ref)
+    return str(end - timedelta(days=PERIOD_PRESETS[preset])), str(end)
+
+
 def last_period(df: DataFrame, ts: str, ref: str, preset: str = "7d") -> DataFrame:
     """Rows within the last 24 h / 7 d / 30 d before an explicit reference time."""
     days = PERIOD_PRESETS[preset]

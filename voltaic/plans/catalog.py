@@ -99,8 +99,8 @@ def a01(spark, d):
 
 @query("j01_star_join", _with(GOLD) + "SELECT * FROM prod_long")
 def j01(spark, d):
-    """Fact ⋈ region ⋈ time ⋈ source."""
-    return gold.prod_long(spark, d)
+    """Fact ⋈ region ⋈ time ⋈ source, all three dimensions stored."""
+    return gold.prod_long(spark, d, stored_time=True)
 
 
 @query("k01_dedup_keep_last", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + "SELECT * FROM fact")
@@ -114,8 +114,8 @@ def k01(spark, d):
     " FROM rec_long GROUP BY 1, 2")
 def a02(spark, d):
     """One column per source (fixed source list)."""
-    long = gold.records_long(gold.records(spark, d))
-    return A.production_wide(long, keys=("code_insee", "timestamp"))
+    long = gold.prod_long(spark, d).withColumnRenamed("horodatage", "timestamp")
+    return A.production_wide(long, keys=("code_insee", "timestamp"), drop_all_zero=True)
 
 
 @query("l02_page", _with(GOLD, S.SQL_RECORDS) +
@@ -166,6 +166,21 @@ def s14(spark, d):
     return sinks.fr_csv_lines(gold.prod_long(spark, d), list(EXPORT_COLUMN_LABELS))
 
 
+@query("s14_export_fr_csv", _with(S.SQL_MAINTENANCE_RAW) + """SELECT event_id AS "Code", unit_name || ';"' || event_type || '"' AS "Unit",
+  COALESCE(replace(CASE WHEN right(rtrim(t, '0'), 1) = '.' THEN rtrim(t, '0') || '0' ELSE rtrim(t, '0') END, '.', ','), '') AS "MW"
+FROM (SELECT *, CAST(CAST(ROUND(unavailable_mw, 4) AS DECIMAL(38,4)) AS VARCHAR) AS t FROM maintenance)""")
+def s14_export(spark, d):
+    """The French export written as files and read back with a CSV reader: text with delimiters and quotes,
+    decimal commas, one header per part file."""
+    rows = gold.maintenance(spark, d).select("event_id", F.concat("unit_name", F.lit(';"'), "event_type", F.lit('"')).alias("unit_name"),
+                                             "unavailable_mw")
+    path = sinks.export_fr_csv(rows, scratch_path(spark, "s14"), ["event_id", "unit_name", "unavailable_mw"],
+                               {"event_id": "Code", "unit_name": "Unit", "unavailable_mw": "MW"}, order=["event_id"])
+    back = spark.read.schema("c0 string, c1 string, c2 string").option("sep", ";").option("escape", '"').option("lineSep", "\r\n").csv(path)
+    header = F.regexp_replace("c0", "^\ufeff", "") == "Code"
+    return back.where(~header).select(F.col("c0").alias("Code"), F.col("c1").alias("Unit"), F.coalesce("c2", F.lit("")).alias("MW"))
+
+
 # ---------------------------------------------------------------------------
 # Loader summaries, upserts, dimensions
 # ---------------------------------------------------------------------------
@@ -398,7 +413,9 @@ def w03_last(spark, d):
 WHERE timestamp >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 30 DAY AND timestamp <= TIMESTAMP '1998-08-02 00:00:00'""")
 def l08(spark, d):
     """The 30-day preset before an explicit reference time."""
-    n = L.last_period(gold.national(spark, d), "timestamp", "1998-08-02 00:00:00", "30d")
+    ref = "1998-08-02 00:00:00"  # the period bounds reach the fact's scan; the preset itself cuts the series
+    start, end = L.period_bounds(ref, "30d")
+    n = L.last_period(gold.national(spark, d, start=start, end=end), "timestamp", ref, "30d")
     return n.select("timestamp", map_as_text("sources").alias("sources_text"), "consommation_mw")
 
 
@@ -417,28 +434,55 @@ def p04(spark, d):
     return out
 
 
-@query("n05_quality_metrics", _with(S.SQL_SILVER) + """, nn AS (
-  SELECT 'consommation_mw' AS c, COUNT(*) FILTER (WHERE consommation_mw IS NULL) AS n FROM silver
-  UNION ALL SELECT 'eolien_mw', COUNT(*) FILTER (WHERE eolien_mw IS NULL) FROM silver
-  UNION ALL SELECT 'gaz_mw', COUNT(*) FILTER (WHERE gaz_mw IS NULL) FROM silver
-  UNION ALL SELECT 'hydraulique_mw', COUNT(*) FILTER (WHERE hydraulique_mw IS NULL) FROM silver
-  UNION ALL SELECT 'nucleaire_mw', COUNT(*) FILTER (WHERE nucleaire_mw IS NULL) FROM silver
-  UNION ALL SELECT 'solaire_mw', COUNT(*) FILTER (WHERE solaire_mw IS NULL) FROM silver
-  UNION ALL SELECT 'code_insee_region', COUNT(*) FILTER (WHERE code_insee_region IS NULL) FROM silver
-  UNION ALL SELECT 'date_heure', COUNT(*) FILTER (WHERE date_heure IS NULL) FROM silver)
-SELECT 'rte' AS source, (SELECT COUNT(*) FROM silver) AS input_rows,
+@query("n05_quality_metrics", _with(S.SQL_RAW_DAMAGED) + """, nn AS (
+  SELECT c, COUNT(*) FILTER (WHERE gone) AS n, COUNT(*) FILTER (WHERE gone AND kept) AS n_kept FROM (
+    SELECT unnest(['code_insee_region', 'consommation_mw', 'date_heure', 'eolien_mw', 'gaz_mw', 'hydraulique_mw',
+                   'nucleaire_mw', 'solaire_mw']) AS c,
+           unnest([code_insee_region IS NULL, consommation_mw IS NULL, date_heure IS NULL, eolien_mw IS NULL, gaz_mw IS NULL,
+                   hydraulique_mw IS NULL, nucleaire_mw IS NULL, solaire_mw IS NULL]) AS gone,
+           code_insee_region IS NOT NULL AND date_heure IS NOT NULL AS kept FROM damaged) GROUP BY c),
+t AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE code_insee_region IS NULL OR date_heure IS NULL) AS gone FROM damaged)
+SELECT 'rte' AS source, t.n AS input_rows,
   COALESCE((SELECT string_agg(c || ':' || CAST(CAST(n AS DECIMAL(18,4)) AS VARCHAR), ';' ORDER BY c)
             FROM nn WHERE n > 0), '') AS nulls_found,
-  CAST(0 AS BIGINT) AS rows_dropped, CAST(0 AS BIGINT) AS values_filled,
-  (SELECT CAST(SUM(n) AS BIGINT) FROM nn WHERE c NOT IN ('code_insee_region', 'date_heure')) AS values_flagged,
-  (SELECT COUNT(*) FROM silver) AS output_rows""")
+  t.gone AS rows_dropped, CAST(0 AS BIGINT) AS values_filled,
+  (SELECT CAST(SUM(n_kept) AS BIGINT) FROM nn WHERE c NOT IN ('code_insee_region', 'date_heure')) AS values_flagged,
+  t.n - t.gone AS output_rows FROM t""")
 def n05(spark, d):
-    """Quality metrics of the RTE rule set."""
-    """Metrics of the RTE rule set over the de-duplicated readings."""
-    _, m = gold.silver_readings(spark, d)
+    """Metrics of the RTE rule set over readings as they came in, before any row is dropped."""
+    _, m = silver.transform_readings(S.raw_readings_damaged(spark, d))
     return m.withColumn("nulls_found", map_as_text("nulls_found"))
 
 
+@query("n01_null_drop", _with(S.SQL_RAW_DAMAGED) + """SELECT code_insee_region, libelle_region, date_heure, consommation_mw,
+  nucleaire_mw, eolien_mw, solaire_mw, hydraulique_mw, gaz_mw, load_ordinal FROM damaged
+WHERE code_insee_region IS NOT NULL AND date_heure IS NOT NULL""")
+def n01(spark, d):
+    """Readings without a key are dropped, artefact columns with them."""
+    typed = silver.readings_columns(S.raw_readings_damaged(spark, d))
+    return N.null_drop(typed, ["code_insee_region", "date_heure"])
+
+
+@query("n06_capacity_silver", _with(S.SQL_CAPACITY_SILVER_RAW) + """SELECT code_insee_region, filiere,
+  COALESCE(puissance_installee_mw, 0.0) AS puissance_installee_mw, load_ordinal FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY code_insee_region, filiere ORDER BY load_ordinal DESC) AS rn
+    FROM capacity_silver_raw WHERE code_insee_region IS NOT NULL) WHERE rn = 1""")
+def n06_capacity(spark, d):
+    """Capacity Silver (drop without region, keep-last per region and branch, unreadable MW -> 0)."""
+    out, _ = silver.transform_capacity(S.capacity_silver_raw(spark, d))
+    return out
+
+
+@query("n05_capacity_metrics", _with(S.SQL_CAPACITY_SILVER_RAW) + """SELECT 'capacity' AS source, COUNT(*) AS input_rows,
+  COUNT(*) FILTER (WHERE code_insee_region IS NULL) AS rows_dropped,
+  COUNT(*) FILTER (WHERE code_insee_region IS NOT NULL AND puissance_installee_mw IS NULL) AS values_filled,
+  COUNT(*) FILTER (WHERE code_insee_region IS NOT NULL) AS output_rows FROM capacity_silver_raw""")
+def n05_capacity(spark, d):
+    """Metrics of the capacity rule set."""
+    _, m = silver.transform_capacity(S.capacity_silver_raw(spark, d))
+    return m.select("source", "input_rows", "rows_dropped", "values_filled", "output_rows")
+
+
 @query("n03_forward_fill", _with(S.SQL_METEO_ROWS) + """SELECT code_insee, timestamp,
   LAST_VALUE(temperature_c IGNORE NULLS) OVER (PARTITION BY code_insee ORDER BY timestamp
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS temperature_c,
@@ -468,7 +512,7 @@ _GATES_SQL = _with(S.SQL_SILVER, GOLD) + f""", g AS (
          CASE WHEN (SELECT COUNT(*) FROM fact WHERE id_region IS NOT NULL
                       AND id_region NOT IN (SELECT id_region FROM dim_region))
                  + (SELECT COUNT(*) FROM fact WHERE id_date IS NOT NULL
-                      AND id_date NOT IN (SELECT id_date FROM dim_time))
+                      AND id_date >= 199801010000)
                  + (SELECT COUNT(*) FROM fact WHERE id_source IS NOT NULL
                       AND id_source NOT IN (SELECT id_source FROM dim_source)) > 0
               THEN 'FAIL' ELSE 'PASS' END, 'CRITICAL'
@@ -481,7 +525,10 @@ _GATES_SQL = _with(S.SQL_SILVER, GOLD) + f""", g AS (
 
 @query("q07_run_gates", _GATES_SQL + "SELECT * FROM g")
 def q07(spark, d):
-    """Q07 (with Q01, Q02, Q04, Q05, Q06): the default gate list, one aggregation pass per table."""
+    """Q07 (with Q01, Q02, Q04, Q05, Q06): the default gate list, one aggregation pass per table.
+
+    The time dimension is the one the loads before 1998 left, so later facts are orphans and a CRITICAL gate fails.
+    """
     return _gates(spark, d).drop("details")
 
 
@@ -497,8 +544,9 @@ def q08(spark, d):
 def _gates(spark, d):
     sil, _ = gold.silver_readings(spark, d)
     f = gold.fact(spark, d)
-    region, time, source = gold.dims(spark, d, f)
-    dims = {"DIM_REGION": (region, "id_region"), "DIM_TIME": (time, "id_date"), "DIM_SOURCE": (source, "id_source")}
+    time = S.dim_time(spark, d).where(F.col("id_date") < 199801010000)
+    dims = {"DIM_REGION": (S.dim_region(spark, d), "id_region"), "DIM_TIME": (time, "id_date"),
+            "DIM_SOURCE": (S.dim_source(spark), "id_source")}
     return Q.run_gates(DEFAULT_GATES, {"rte_production": sil, "FACT_ENERGY_FLOW": f}, ref=REF_NOW, dims=dims)
 
 
@@ -526,13 +574,18 @@ def l03(spark, d):
     return L.meteo_regional(gold.meteo(spark, d), limit=500)
 
 
-@query("j05_resolve_keys", _with(S.SQL_METEO_ROWS, S.SQL_DIM_REGION) + """SELECT
-  (SELECT COUNT(*) FROM meteo m JOIN dim_region r ON m.code_insee = r.id_region) AS resolved_rows,
-  (SELECT COUNT(*) FROM meteo m WHERE m.code_insee NOT IN (SELECT id_region FROM dim_region)) AS unmatched_rows""")
+@query("j05_resolve_keys", _with(S.SQL_FACT_STAGED, S.SQL_DIM_REGION, S.SQL_DIM_SOURCE) + """, base AS (
+  SELECT DISTINCT ts FROM fact_staged WHERE ts < TIMESTAMP '1998-01-01 00:00:00'),
+hit AS (SELECT region_code IN (SELECT id_region FROM dim_region) AND ts IN (SELECT ts FROM base)
+               AND source_name IN (SELECT id_source FROM dim_source) AS ok FROM fact_staged)
+SELECT COUNT(*) FILTER (WHERE ok) AS resolved_rows, COUNT(*) FILTER (WHERE NOT ok) AS unmatched_rows FROM hit""")
 def j05(spark, d):
-    """Weather rows resolved against the region dimension; unmatched counted via anti-join."""
-    m = gold.meteo(spark, d).withColumnRenamed("code_insee", "id_region")
-    resolved, unmatched = J.resolve_keys(m, [(S.dim_region(spark, d).select("id_region"), "id_region")])
+    """Staged rows (repeats included) against the region, time and source dimensions; the time dimension is
+    the one the loads before 1998 left."""
+    rows = S.to_fact_rows(S.fact_staged(spark, d))
+    time = S.dim_time_from(rows).where(F.col("id_date") < 199801010000).select("id_date")
+    resolved, unmatched = J.resolve_keys(rows, [(S.dim_region(spark, d).select("id_region"), "id_region"),
+                                                (time, "id_date"), (S.dim_source(spark).select("id_source"), "id_source")])
     return A.side_by_side(resolved.agg(F.count(F.lit(1)).alias("resolved_rows")), unmatched)
 
 
@@ -897,6 +950,47 @@ def s01(spark, d):
     return F_.read_bronze_json(spark, root, _RAW_SCHEMA).drop("_file", "_pos")
 
 
+def _mixed_bronze(spark, d) -> str:
+    """Readings landed in every shape the feed has: JSON Lines (click), one array per region (view), one envelope per
+    region (purchase), JSON Lines with cut lines ('ND' signups), and arrays cut in half (error)."""
+    root = scratch_path(spark, "s01-mixed")
+    raw = S.raw_readings(spark, d)
+    body = F.to_json(F.struct(*raw.columns))
+    own = {e: F.col(c).isNotNull() for e, c in S.EVENT_COLUMN}
+    raw.where(own["click"]).select(body.alias("value")).write.text(f"{root}/lines")
+    for kind, event in (("array", "view"), ("envelope", "purchase"), ("cut", "error")):
+        per = raw.where(own[event]).groupBy("code_insee_region").agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
+        text = F.to_json(F.struct(F.col("r").alias("records"))) if kind == "envelope" else F.to_json("r")
+        if kind == "cut":
+            text = F.substring(text, F.lit(1), (F.char_length(text) / 2).cast("int"))
+        # one value per file, as the feed lands one payload per file
+        (per.select(F.col("code_insee_region").alias("part"), text.alias("value")).repartition("part")
+            .write.partitionBy("part").text(f"{root}/{kind}"))
+    cut = F.when(F.col("hydraulique") == "ND", F.substring(body, F.lit(1), F.char_length(body) - 5)).otherwise(body)
+    raw.where(own["signup"]).select(cut.alias("value")).write.text(f"{root}/damaged")
+    return root
+
+
+@query("s01_mixed_json", _with(S.SQL_RAW_READINGS) + """SELECT * FROM raw_readings
+WHERE gaz IS NULL AND (hydraulique IS NULL OR hydraulique <> 'ND')""")
+def s01_mixed(spark, d):
+    """Good records of JSON Lines, arrays, envelopes and damaged files read together."""
+    q = scratch_path(spark, "s01-quarantine")
+    return F_.read_bronze_json(spark, _mixed_bronze(spark, d), _RAW_SCHEMA, on_damage="quarantine", quarantine=q,
+                               glob="*.txt").drop("_file", "_pos")
+
+
+@query("s01_quarantine", _with(S.SQL_RAW_READINGS) + """SELECT 'cut line' AS kind, COUNT(*) AS texts FROM raw_readings
+WHERE hydraulique = 'ND'
+UNION ALL SELECT 'cut file', COUNT(DISTINCT code_insee_region) FROM raw_readings WHERE gaz IS NOT NULL""")
+def s01_quarantine(spark, d):
+    """Damaged texts kept whole in the quarantine, by kind."""
+    q = scratch_path(spark, "s01-quarantine")
+    F_.read_bronze_json(spark, _mixed_bronze(spark, d), _RAW_SCHEMA, on_damage="quarantine", quarantine=q, glob="*.txt")
+    kind = F.when(F.startswith("text", F.lit("[")), "cut file").otherwise("cut line")
+    return spark.read.parquet(q).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("texts"))
+
+
 def _capacity_csv(spark, d, sep, names=None):
     raw = S.capacity_raw(spark, d)
     if names:
@@ -920,6 +1014,21 @@ def s02(spark, d):
     return A.capacity_by_region_source(df, "code", "name", "fil", "kw", ["_ord"], year_col="year")
 
 
+@query("s02_mixed_headers", _with(S.SQL_CAPACITY) + "SELECT * FROM capacity")
+def s02_mixed(spark, d):
+    """Register files with other column orders and delimiters, each read by its own header, then A07."""
+    raw = S.capacity_raw(spark, d)
+    root = scratch_path(spark, "s02-mixed")
+    halves = ((F.col("puismaxinstallee") < "95", raw.columns, ";"), (F.col("puismaxinstallee") >= "95", raw.columns[::-1], ","))
+    for part, cols, sep in halves:
+        raw.where(part).select(*cols).write.mode("append").option("header", True).option("sep", sep).csv(root)
+    df = F_.resolve_aliases(F_.read_capacity_csv(spark, root), {
+        "code": REGION_CODE_CANDIDATES, "name": REGION_NAME_CANDIDATES, "fil": FILIERE_CANDIDATES,
+        "kw": PUISSANCE_CANDIDATES, "year": ANNEE_CANDIDATES})
+    return A.capacity_by_region_source(df.withColumn("_ord", F.col("load_ordinal").cast("long")), "code", "name", "fil", "kw",
+                                       ["_ord"], year_col="year")
+
+
 @query("s04_validate_csv", "SELECT 'PASS' AS status, COUNT(*) AS rows FROM part")
 def s04(spark, d):
     """Per-file validation of CSV files written by Spark (required columns present)."""
@@ -1243,13 +1352,13 @@ SELECT COALESCE(i.code_insee, b.code_insee) AS id_region, COALESCE(i.timestamp,
 FROM b FULL OUTER JOIN i ON b.code_insee = i.code_insee AND b.timestamp = i.timestamp""")
 def u05(spark, d):
     """Weather base (before 15 Jan) merged with the batch of temperature readings (all dates)."""
-    rows = S.meteo_rows(spark, d).withColumnRenamed("code_insee", "id_region")
-    keys = ["id_region", "timestamp"]
-    base = K.dedup_keep_last(rows.where(F.col("timestamp") < F.lit("2024-01-15").cast("timestamp_ntz")),
+    rows = S.meteo_rows(spark, d).withColumnsRenamed({"code_insee": "id_region", "timestamp": "id_date"})
+    keys = ["id_region", "id_date"]
+    base = K.dedup_keep_last(rows.where(F.col("id_date") < F.lit("2024-01-15").cast("timestamp_ntz")),
                              keys, ["load_ordinal"]).drop("load_ordinal")
-    inc = rows.where(F.col("temperature_c").isNotNull())
-    merged = U.merge_frames(base, inc.select(*base.columns, "load_ordinal"), keys, order=["load_ordinal"])
-    return merged.select("id_region", "timestamp", "temperature_c", "wind_speed_10m", "cloudcover_pct")
+    inc = K.dedup_keep_last(rows.where(F.col("temperature_c").isNotNull()), keys, ["load_ordinal"])
+    merged = U.upsert_fact_meteo(base, inc.select(*base.columns))
+    return merged.select("id_region", F.col("id_date").alias("timestamp"), "temperature_c", "wind_speed_10m", "cloudcover_pct")
 
 
 # ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 Each builder is a lazy DataFrame; the catalog composes them. Reused inputs are
 cheap to recompute at test scale; on a cluster the fact and the record table
-are the natural points to persist (``persist_table``).
+are the natural points to persist.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from voltaic.operators.aggregates import national_by_timestamp, production_recor
 from voltaic.operators.dedup import dedup_keep_last
 from voltaic.operators.joins import star_join
 from voltaic.plans import silver, standins
-from voltaic.session import scratch_path
 
 FACT_KEYS = ["id_region", "id_date", "id_source"]
 FACT_COLS = ["id_region", "id_date", "id_source", "valeur_mw", "facteur_charge", "consommation_mw"]
@@ -47,16 +46,13 @@ def fact(spark: SparkSession, d: str, region: str | None = None, start: str | No
     return fact_from_staged(staged)
 
 
-def dims(spark: SparkSession, d: str, f: DataFrame | None = None):
-    """(region, time, source) dimensions; ``f`` is accepted for symmetry and unused."""
-    return standins.dim_region(spark, d), standins.dim_time(spark, d), standins.dim_source(spark)
+def prod_long(spark: SparkSession, d: str, stored_time: bool = False, **filters) -> DataFrame:
+    """Fact ⋈ region ⋈ time ⋈ source, flat rows of the serving query (optional L07 filters).
 
-
-def prod_long(spark: SparkSession, d: str, **filters) -> DataFrame:
-    """Fact ⋈ region ⋈ time ⋈ source, flat rows of the serving query (optional L07 filters)."""
-    f = fact(spark, d, **filters)
-    region, time, source = dims(spark, d, f)
-    j = star_join(f, region, time, source)
+    ``stored_time`` joins the stored time dimension; otherwise the instant comes from the date key.
+    """
+    time = standins.dim_time(spark, d) if stored_time else None
+    j = star_join(fact(spark, d, **filters), standins.dim_region(spark, d), time, standins.dim_source(spark))
     return j.select("code_insee", "nom_region", "horodatage", "source_name", "valeur_mw",
                     "facteur_charge", "consommation_mw")
 
@@ -66,24 +62,15 @@ def records(spark: SparkSession, d: str, **filters) -> DataFrame:
     return production_records(prod_long(spark, d, **filters))
 
 
-def production_regional(spark: SparkSession, d: str, region: str | None = None, start: str | None = None,
-                        end: str | None = None, source: str | None = None, limit: int = 100,
-                        offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A01 + L07 + L02: filtered records, newest first, exact page and exact total."""
-    from voltaic.operators.paging import page
-    recs = records(spark, d, region=region, start=start, end=end, source=source)
-    return page(recs, limit=limit, offset=offset)
-
-
 def records_long(recs: DataFrame) -> DataFrame:
     """Records back to (code, ts, source, MW) rows (at most |sources| per record)."""
     return recs.select("code_insee", "region", "timestamp", "facteur_charge", "consommation_mw",
                        F.explode("sources").alias("source_name", "valeur_mw"))
 
 
-def national(spark: SparkSession, d: str) -> DataFrame:
-    """A08 national series."""
-    return national_by_timestamp(records(spark, d))
+def national(spark: SparkSession, d: str, **filters) -> DataFrame:
+    """A08 national series (optional L07 filters, applied to the fact's scan)."""
+    return national_by_timestamp(records(spark, d, **filters))
 
 
 def silver_readings(spark: SparkSession, d: str):
@@ -108,11 +95,3 @@ def capacity(spark: SparkSession, d: str, brand: str | None = None) -> DataFrame
 def maintenance(spark: SparkSession, d: str, statuses=None) -> DataFrame:
     """Outage Silver (optionally one scrape's reports)."""
     return silver.transform_maintenance(standins.maintenance_raw(spark, d, statuses=statuses))
-
-
-def persist_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

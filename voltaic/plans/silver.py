@@ -20,7 +20,7 @@ from voltaic.functions.columns import (
     clean_text, kelvin_to_celsius, parse_mw, parse_utc, safe_double, wind_speed,
 )
 from voltaic.operators.dedup import dedup_keep_last
-from voltaic.operators.nulls import DROP, apply_quality_rules, null_drop
+from voltaic.operators.nulls import apply_quality_rules, null_drop
 from voltaic.operators.joins import nearest_centroid
 from voltaic.constants import FRANCE_LAT_MAX, FRANCE_LAT_MIN, FRANCE_LON_MAX, FRANCE_LON_MIN
 
@@ -55,7 +55,7 @@ def readings_columns(raw: DataFrame, include_thermal: bool = True) -> DataFrame:
     extra = [THERMAL_RAW] if include_thermal and THERMAL_RAW in df.columns else []
     df = safe_numeric(df, list(MW_CAST_COLUMNS) + extra)
     if "consommation" in df.columns:
-        df = df.withColumn("consommation", F.col("consommation").cast("double"))
+        df = df.withColumn("consommation", safe_double("consommation"))
     df = rename_columns(df, {**RENAME_MAP, **({THERMAL_RAW: THERMAL_MW} if extra else {})})
     return parse_times(df, ["date_heure"])
 
@@ -67,11 +67,7 @@ def transform_readings(raw: DataFrame, order: Sequence[str] = ("load_ordinal",),
     df = readings_columns(raw)
     if THERMAL_MW in df.columns:
         rules = {**rules, THERMAL_MW: "flag"}
-    drop_cols = [c for c, s in rules.items() if s == DROP]
-    df = null_drop(df, drop_cols)
-    df = dedup_keep_last(df, list(keys), list(order))
-    df = df.drop(*[o for o in order if o in df.columns])
-    return apply_quality_rules(df, rules, "rte")
+    return apply_quality_rules(df, rules, "rte", dedup=lambda d: dedup_keep_last(d, list(keys), list(order)).drop(*order))
 
 
 def transform_capacity(raw: DataFrame, order: Sequence[str] = ("load_ordinal",),
@@ -80,9 +76,8 @@ def transform_capacity(raw: DataFrame, order: Sequence[str] = ("load_ordinal",),
     df = raw
     if "puissance_installee_mw" in df.columns:
         df = df.withColumn("puissance_installee_mw", safe_double("puissance_installee_mw"))
-    df = null_drop(df, [c for c, s in rules.items() if s == DROP])
-    df = dedup_keep_last(df, ["code_insee_region", "filiere"], list(order))
-    return apply_quality_rules(df, rules, "capacity")
+    keys = ["code_insee_region", "filiere"]
+    return apply_quality_rules(df, rules, "capacity", dedup=lambda d: dedup_keep_last(d, keys, list(order)))
 
 
 def bbox_filter(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

@@ -43,31 +43,8 @@ P_TYPE_FILIERE = [
 ]
 
 
-# Tables that are the large (probe) side of their queries; dimensions are left alone.
-FACT_TABLES = {"lineitem", "events", "orders", "documents", "pages", "embeddings", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small_scan(df) if name in FACT_TABLES else df
-
-
-def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a large table that arrives in fewer input splits than cores.
-
-    A Parquet file with a single row group is one split, so everything up to
-    the first shuffle would run in one task. When the planned scan has fewer
-    partitions than the default parallelism, a round-robin repartition spreads
-    the map-side work; filters and column pruning still reach the scan.
-    On a cluster reading many files the scan already has thousands of splits
-    and this is a no-op.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        planned = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a remote session without RDD access: leave the plan alone
-        return df
-    return df.repartition(target) if planned < target else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _case(col, pairs, default):
@@ -255,7 +232,7 @@ SQL_GOLD = ",\n".join([SQL_FACT_STAGED, SQL_FACT, SQL_DIM_REGION, SQL_DIM_SOURCE
 # Raw regional readings (events): one raw feed record per event.
 # region = user, time slot = 15-minute slot of ts written as Paris winter
 # local time (+01:00), the event value lands in the column of its type as
-# text ('ND' when above 450 for signup), consumption = 10·props.k,
+# text ('ND' when above 150 for signup), consumption = 10·props.k,
 # load order = event_id.
 # ---------------------------------------------------------------------------
 
@@ -272,7 +249,7 @@ def raw_readings_from(events: DataFrame) -> DataFrame:
     for etype, col in EVENT_COLUMN:
         txt = F.col("value").cast("string")
         if col == "hydraulique":
-            txt = F.when(F.col("value") > 450, F.lit("ND")).otherwise(txt)
+            txt = F.when(F.col("value") > 150, F.lit("ND")).otherwise(txt)
         cols[col] = F.when(F.col("event_type") == etype, txt)
     return ev.select(
         F.col("user_id").cast("string").alias("code_insee_region"),
@@ -289,11 +266,29 @@ SQL_RAW_READINGS = "raw_readings AS (\n  SELECT CAST(user_id AS VARCHAR) AS code
     "         strftime(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') || '+01:00'" \
     " AS date_heure,\n" + "".join(
         f"         CASE WHEN event_type = '{e}' THEN "
-        + ("CASE WHEN value > 450 THEN 'ND' ELSE CAST(value AS VARCHAR) END" if c == "hydraulique"
+        + ("CASE WHEN value > 150 THEN 'ND' ELSE CAST(value AS VARCHAR) END" if c == "hydraulique"
            else "CAST(value AS VARCHAR)") + f" END AS {c},\n" for e, c in EVENT_COLUMN) + \
     "         CAST(json_extract_string(props, '$.k') AS DOUBLE) * 10 AS consommation,\n" \
     "         event_id AS load_ordinal\n  FROM events)"
 
+
+def raw_readings_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Raw readings whose 'ND' records lost their region code, with an artefact column (``column_68``)."""
+    raw = raw_readings(spark, d)
+    lost = F.coalesce(F.col("hydraulique") == "ND", F.lit(False))
+    return raw.withColumns({"code_insee_region": F.when(~lost, F.col("code_insee_region")),
+                            "column_68": F.col("libelle_region")})
+
+
+SQL_RAW_DAMAGED = SQL_RAW_READINGS + """,
+damaged AS (
+  SELECT CASE WHEN hydraulique = 'ND' THEN NULL ELSE code_insee_region END AS code_insee_region, libelle_region,
+         CAST(substr(date_heure, 1, 19) AS TIMESTAMP) - INTERVAL 1 HOUR AS date_heure,
+         consommation AS consommation_mw, TRY_CAST(trim(nucleaire) AS DOUBLE) AS nucleaire_mw,
+         TRY_CAST(trim(eolien) AS DOUBLE) AS eolien_mw, TRY_CAST(trim(solaire) AS DOUBLE) AS solaire_mw,
+         TRY_CAST(trim(hydraulique) AS DOUBLE) AS hydraulique_mw, TRY_CAST(trim(gaz) AS DOUBLE) AS gaz_mw, load_ordinal
+  FROM raw_readings)"""
+
 # Silver readings in SQL: cast, rename, UTC, keep-last per (region, slot), drop null keys
 SQL_SILVER = SQL_RAW_READINGS + """,
 silver AS (
@@ -360,11 +355,28 @@ def capacity_raw(spark: SparkSession, d: str, brand: str | None = None) -> DataF
         F.concat(F.lit("Region "), F.col("p_size").cast("string")).alias("region"),
         _case(F.col("p_type"), P_TYPE_FILIERE, F.col("p_type")).alias("filiere"),
         F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(",")).alias("puismaxinstallee"),
-        F.when(F.col("p_retailprice") < 1500, 2023).otherwise(2024).alias("annee"),
+        F.when(F.col("p_retailprice") < 950, 2023).otherwise(2024).alias("annee"),
         F.col("p_partkey").alias("load_ordinal"),
     )
 
 
+def capacity_silver_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the capacity CSV as Silver receives them: MW as text ('n.c.' from 990 up), no region code for size 50."""
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return p.select(F.when(F.col("p_size") < 50, F.col("p_size").cast("string")).alias("code_insee_region"),
+                    _case(F.col("p_type"), P_TYPE_FILIERE, F.col("p_type")).alias("filiere"),
+                    F.when(F.col("p_retailprice") >= 990, F.lit("n.c.")).otherwise(F.col("p_retailprice").cast("string"))
+                    .alias("puissance_installee_mw"), F.col("p_partkey").alias("load_ordinal"))
+
+
+SQL_CAPACITY_SILVER_RAW = f"""capacity_silver_raw AS (
+  SELECT CASE WHEN p_size < 50 THEN CAST(p_size AS VARCHAR) END AS code_insee_region,
+         {_sql_case('p_type', P_TYPE_FILIERE, 'p_type')} AS filiere,
+         CASE WHEN p_retailprice >= 990 THEN NULL ELSE p_retailprice END AS puissance_installee_mw,
+         p_partkey AS load_ordinal
+  FROM part)"""
+
+
 def sql_capacity(suffix: str = "", brand: str | None = None) -> str:
     """CTEs ``capacity_raw<suffix>``, ``cap_staged<suffix>``, ``capacity<suffix>`` (P11-P13 + A07)."""
     where = f" WHERE p_brand = '{brand}'" if brand is not None else ""
@@ -372,7 +384,7 @@ def sql_capacity(suffix: str = "", brand: str | None = None) -> str:
   SELECT CAST(p_size AS VARCHAR) || '.0' AS coderegion, 'Region ' || CAST(p_size AS VARCHAR) AS region,
          {_sql_case('p_type', P_TYPE_FILIERE, 'p_type')} AS filiere,
          replace(CAST(p_retailprice AS VARCHAR), '.', ',') AS puismaxinstallee,
-         CASE WHEN p_retailprice < 1500 THEN 2023 ELSE 2024 END AS annee,
+         CASE WHEN p_retailprice < 950 THEN 2023 ELSE 2024 END AS annee,
          p_partkey AS load_ordinal
   FROM part{where}),
 cap_staged{suffix} AS (
@@ -405,14 +417,14 @@ def emission_raw(spark: SparkSession, d: str) -> DataFrame:
         (F.col("p_size") / 100).alias("facteur_emission_ch4_kg_mwh"),
         (F.col("p_size") / 1000).alias("facteur_emission_n2o_kg_mwh"),
         F.col("p_name").alias("source"),
-        F.when(F.col("p_retailprice") < 1500, 2023).otherwise(2024).alias("annee"),
+        F.when(F.col("p_retailprice") < 950, 2023).otherwise(2024).alias("annee"),
     )
 
 
 SQL_EMISSION_RAW = f"""emission_raw AS (
   SELECT ' ' || {_sql_case('p_type', P_TYPE_FILIERE, 'p_type')} AS filiere, p_brand AS source_energie,
          p_retailprice / 10 AS co2, p_size / 100 AS ch4, p_size / 1000 AS n2o, p_name AS reference,
-         CASE WHEN p_retailprice < 1500 THEN 2023 ELSE 2024 END AS annee
+         CASE WHEN p_retailprice < 950 THEN 2023 ELSE 2024 END AS annee
   FROM part)"""
 
 
