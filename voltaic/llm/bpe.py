@@ -104,7 +104,7 @@ def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "do
     return rows.mapInArrow(_encode(shared, key, offsets), schema)
 
 
-def _decode(model, at_once: int = 1 << 20):
+def _decode(model, with_text: bool, at_once: int = 1 << 20):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -115,13 +115,16 @@ def _decode(model, at_once: int = 1 << 20):
             table[i] = bytes(back[c] for c in token)
         for batch in batches:
             schema = batch.schema.append(pa.field("decoded", pa.binary()))
+            if with_text:
+                schema = schema.append(pa.field("text", pa.string()))
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 decoded = []
                 for raw in part.column("ids").to_pylist():
                     ids = np.frombuffer(raw, "<u4")
                     decoded.append(b"".join(b"".join(map(table.__getitem__, ids[k:k + at_once].tolist()))
                                             for k in range(0, len(ids), at_once)))
-                yield pa.record_batch([*part.columns, pa.array(decoded, pa.binary())], schema=schema)
+                texts = [pa.array([d.decode(errors="replace") for d in decoded], pa.string())] if with_text else []
+                yield pa.record_batch([*part.columns, pa.array(decoded, pa.binary()), *texts], schema=schema)
     return run
 
 
@@ -130,6 +133,5 @@ def decode(encoded: DataFrame, model: str, text: bool = True) -> DataFrame:
     cut id sequences, become U+FFFD)."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
-    out = encoded.mapInArrow(_decode(shared), schema)
-    return out.withColumn("text", F.decode("decoded", F.lit("UTF-8"))) if text else out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary" + ", text string" * text
+    return encoded.mapInArrow(_decode(shared, text), schema)
