@@ -59,7 +59,7 @@ def test_held_out_accuracy(spark):
     held = [(rows[x["doc_id"]]["predicted"], x["toxic"]) for x in labels if rows[x["doc_id"]]["held_out"]]
     found = sum(p and y for p, y in held) / sum(y for _, y in held)
     wrong = sum(p and not y for p, y in held) / sum(not y for _, y in held)
-    assert found > 0.8 and wrong < 0.01
+    assert found > 0.88 and wrong < 0.025
 
 
 def corpus(spark, n=400):
@@ -80,7 +80,8 @@ def corpus(spark, n=400):
 def test_passages_are_found_and_held_out_labels_unused(spark):
     docs, labels = corpus(spark)
     model = queries.toxicity_model(docs, labels)
-    assert set(model.scores) == {b"vileword", b"nastyword", "grössling".encode()}
+    assert {w for w in model.scores if "*" not in w} >= {"vileword", "nastyword", "grössling"}
+    assert all(any(w.startswith(t.rstrip("*")) for w in ("vileword", "nastyword", "grössling")) for t in model.scores)
     other = labels.withColumn("toxic", F.when(queries.id_remainder(4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert queries.toxicity_model(docs, other) == model
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -93,9 +94,9 @@ def test_passages_are_found_and_held_out_labels_unused(spark):
 
 
 def test_edge_rows_and_empty_tables(spark):
-    docs, labels = corpus(spark, 100)
+    docs, labels = corpus(spark)
     model = queries.toxicity_model(docs, labels.unionByName(spark.createDataFrame([(None, 1), (3, None), (3, 0)], labels.schema)))
-    edge = brute.edge_docs(spark, [*brute.EDGE_TEXTS, "vileword nastyword", brute.LONG + " vileword nastyword vileword vileword"])
+    edge = brute.edge_docs(spark, [*brute.EDGE_TEXTS, "vileword nastyword", brute.LONG + " vileword nastyword" * 4])
     got = toxicity.score(edge, model, carry=edge.columns).collect()
     assert len(got) == edge.count() and got[0]["row"].asDict().keys() == dict.fromkeys(edge.columns).keys()
     assert sum(r["score"] >= 0.3 for r in got) == 2

@@ -1,28 +1,31 @@
 """Operator 7: toxic passages as maximum-scoring segments, calibrated by extreme-value statistics.
 
-Training: words of toxic and clean labelled texts get log-odds with an
-informative Dirichlet prior, the prior being each word's share of the *whole*
-corpus. A word scores the lower confidence bound of its log-odds if that is
-positive, else nothing; every word also pays a drift, so a random text scores
-below zero in the long run. ``passage_share`` is the share of significant
-words that a toxic passage is expected to have; it sets the drift.
-
-Scoring: one scan per text (Ruzzo-Tompa, linear in the significant words)
-finds every maximal scoring segment. With the background distribution of word
-scores, lambda solves E[exp(lambda s)] = 1, a segment of score S in a text of n
-words is expected K n exp(-lambda S) times by chance, and the best r segments
-are aggregated by the sum statistic, corrected for the choice of r. The
-text's p-value is turned into a score by the prior share of toxic texts:
-prior / (prior + (1 - prior) p).
+Training: the tokens are whole words and word stems (a word's first 3 to 8
+characters, so that inflected and compounded insults count together). Tokens
+get log-odds of toxic against clean labelled texts with an informative
+Dirichlet prior, the prior being each token's share of the *whole* corpus; a
+text counts a token once, so one repetitive text is no evidence. A token
+scores the lower confidence bound of its log-odds if that is positive; a word
+scores its best token, less a drift, so a random text scores below zero in the
+long run. ``passage_share`` is the share of telling words that a toxic passage
+is expected to have; it sets the drift.
+
+Scoring: one scan per text (Ruzzo-Tompa, linear in the telling words) finds
+every maximal scoring segment. With the word scores of the clean labelled
+texts as background, lambda solves E[exp(lambda s)] = 1, a segment of score S in
+a text of n words is expected K n exp(-lambda S) times by chance, and the best r
+segments are aggregated by the sum statistic, corrected for the choice of r.
+The text's p-value becomes a score through the prior share of toxic texts and
+the largest evidence a p-value can stand for: odds against = -e p log p.
 
 Labels are learnt from at most ``max_labelled`` rows (those of smallest id
-hash), which bounds the joins that bring the labels to the texts and the
-words that can become significant; the corpus counts behind the prior cover
-every document. Nothing but the significant words reaches the driver.
+hash): that bounds the join that brings labels to texts, the candidate tokens
+sent to the tasks (each is in ``least`` or more toxic texts of the sample) and
+the tokens that reach the driver. The corpus shares cover every document.
 
 Edge cases: NULL and empty texts have no words, hence no passage, and score
 the prior; label rows with NULL id or label are left out, repeated label rows
-count once (toxic wins); without toxic or without clean labels no word is
+count once (toxic wins); without toxic or without clean labels no token is
 significant; an empty table gives an empty result; other columns are never read.
 """
 
@@ -35,25 +38,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from voltaic.llm.common import carried, stored, words
+from voltaic.llm.common import carried, stored
 
 _PASSAGE = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()),
                        StructField("score", DoubleType()), StructField("e_value", DoubleType())])
 _OUT = [StructField("n_words", LongType()), StructField("score", DoubleType()), StructField("passages", ArrayType(_PASSAGE))]
 
-# Words as bytes of lower-cased UTF-8: the same cut as common.WORD_PATTERN
-WORD_BYTES = rb"[0-9a-z\x80-\xff]+"
+STEMS = range(3, 9)
 
 
 @dataclass
 class Model:
-    scores: dict[bytes, float] = field(default_factory=dict)
-    drift: float = 0.1
+    scores: dict[str, float] = field(default_factory=dict)
+    drift: float = 0.05
     rate: float = 1.0  # lambda
-    k: float = 0.1
+    k: float = 0.05
     prior: float = 0.05
 
 
+def find_words(raw: bytes | None) -> list[str]:
+    """Words of a UTF-8 text, A-Z lower-cased: the same cut as ``common.WORD_PATTERN``."""
+    import re
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (raw or b"").lower().decode())
+
+
+def tokens(word: str) -> list[str]:
+    """The word and its stems (marked with an asterisk, which no word holds)."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+def word_scores(model: Model, most: int = 400_000):
+    """word -> score of its best token, with a cache that starts anew when it is full."""
+    known, memo = model.scores, {}
+
+    def of(word: str) -> float:
+        value = memo.get(word)
+        if value is None:
+            if len(memo) >= most:
+                memo.clear()
+            value = memo[word] = max((known.get(t, 0.0) for t in tokens(word)), default=0.0) if known else 0.0
+        return value
+    return of
+
+
 def sample_labels(labels: DataFrame, keep: Column, label_col: str, max_labelled: int) -> DataFrame:
     """doc_id, label of at most ``max_labelled`` labelled documents that satisfy ``keep``, by smallest id hash."""
     known = (labels.where(keep & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
@@ -76,45 +103,91 @@ def solve_rate(points: list[tuple[float, float]]) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", max_labelled: int = 20_000,
-          passage_share: float = 0.1, prior_share: float = 0.01, confidence: float = 2.0, least: int = 3) -> Model:
-    """Fit the word scores on labelled rows that satisfy ``keep`` (a condition on the label rows)."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+          passage_share: float = 0.05, prior_share: float = 0.01, confidence: float = 2.0, least: int = 4) -> Model:
+    """Fit the token scores on labelled rows that satisfy ``keep`` (a condition on the label rows)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     picked = stored(sample_labels(labels, keep, label_col, max_labelled), "toxicity-labels")
-    own = rows.join(F.broadcast(picked), "doc_id")  # at most max_labelled rows
-    counted = stored(own.select("label", F.explode(words(F.col("text"))).alias("word")).groupBy("word")
-                     .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "toxicity-words")
+    # at most max_labelled rows are sent, and as many texts kept
+    own = stored(rows.join(F.broadcast(picked), "doc_id").select("label", "text"), "toxicity-texts")
+    counted = (own.mapInArrow(_document_tokens, "label int, token string, n long").groupBy("token")
+               .agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean")))
+    counted = stored(counted, "toxicity-tokens")
+    words_of = counted.where("token IS NULL").first()  # all (text, word) pairs stand under NULL
+    n_toxic, n_clean = (int(words_of[c] or 0) for c in ("toxic", "clean")) if words_of else (0, 0)
     share = picked.agg(F.avg("label")).first()[0]
-    sums = counted.agg(F.sum("toxic"), F.sum("clean")).first()
-    n_toxic, n_clean = (int(v or 0) for v in sums)
-    model = Model(drift=-math.log1p(-passage_share), prior=min(0.2, max(0.01, share or 0.05)))
+    model = Model(drift=-math.log1p(-passage_share), k=passage_share, prior=min(0.2, max(0.01, share or 0.05)))
     if not n_toxic or not n_clean:
         return model
-    # a word needs `least` occurrences in toxic labelled texts: at most n_toxic / least candidates
-    maybe = stored(counted.where((F.col("toxic") >= least) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic)), "toxicity-maybe")
-    corpus = _corpus_counts(rows, maybe)
-    total = corpus.agg(F.sum("n")).first()[0] or 0
+    maybe = counted.where((F.col("toxic") >= least) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic))
+    maybe = stored(maybe, "toxicity-candidates")
+    listed = docs.sparkSession.sparkContext.broadcast({r["token"] for r in maybe.select("token").collect()})
+    corpus = stored(rows.select("text").mapInArrow(_corpus_tokens(listed), "token string, n long").groupBy("token")
+                    .agg(F.sum("n").alias("n")), "toxicity-corpus")
+    total = corpus.where("token IS NULL").first()["n"]
     prior = prior_share * (n_toxic + n_clean)
-    joined = maybe.join(corpus, "word").withColumn("a", prior * F.col("n") / F.lit(max(1, total)))
+    joined = maybe.join(corpus, "token").withColumn("a", prior * F.col("n") / F.lit(total))
     up, down = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
     odds = F.log(up / (n_toxic + prior - up)) - F.log(down / (n_clean + prior - down))
     bound = odds - confidence * F.sqrt(1 / up + 1 / down)
-    share_clean = down / (n_clean + prior)
-    chosen = joined.select("word", bound.alias("score"), share_clean.alias("p")).where("score > 0").collect()
-    model.scores = {r["word"].encode(): r["score"] for r in chosen}
-    points = [(r["score"] - model.drift, r["p"]) for r in chosen]
-    points.append((-model.drift, max(0.0, 1 - sum(p for _, p in points))))
+    model.scores = {r["token"]: r["score"] for r in joined.select("token", bound.alias("score")).where("score > 0").collect()}
+    scale = own.where("label = 0").mapInArrow(_score_counts(model), "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+    counts = scale.collect()  # scores in steps of 0.01
+    n = sum(r["n"] for r in counts)
+    points = [(r["score"] - model.drift, r["n"] / n) for r in counts]
     model.rate = solve_rate(points)
-    model.k = min(1.0, sum(p * math.exp(min(700.0, model.rate * s)) for s, p in points[:-1]) or 0.1)
+    model.k = min(1.0, sum(p * math.exp(min(700.0, model.rate * s)) for s, p in points if s > 0) or passage_share)
     return model
 
 
-def _corpus_counts(rows: DataFrame, maybe: DataFrame) -> DataFrame:
-    """word, n over the whole corpus for the candidate words; all other words together under NULL."""
-    listed = F.broadcast(maybe.select("word", F.lit(True).alias("listed")))
-    counts = (rows.select(F.explode(words(F.col("text"))).alias("word")).join(listed, "word", "left")
-              .groupBy(F.when(F.col("listed"), F.col("word")).alias("word")).agg(F.count("*").alias("n")))
-    return stored(counts, "toxicity-corpus")
+def _document_tokens(batches):
+    """label, token, texts that hold it; under a NULL token the number of (text, word) pairs."""
+    import pyarrow as pa
+    for batch in batches:
+        counts: dict = {}
+        for label, raw in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own = set(find_words(raw))
+            for t in {t for w in own for t in tokens(w)}:
+                counts[label, t] = counts.get((label, t), 0) + 1
+            counts[label, None] = counts.get((label, None), 0) + len(own)
+        if counts:
+            yield pa.record_batch([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()),
+                                   pa.array(list(counts.values()), pa.int64())], names=["label", "token", "n"])
+
+
+def _corpus_tokens(listed, most: int = 400_000):
+    """token, texts of the corpus that hold it, for the listed tokens; under NULL all (text, word) pairs."""
+    def run(batches):
+        import pyarrow as pa
+        wanted, memo, counts = listed.value, {}, {None: 0}
+        for batch in batches:
+            for raw in batch.column("text").to_pylist():
+                own = set(find_words(raw))
+                counts[None] += len(own)
+                held = set()
+                for w in own:
+                    hit = memo.get(w)
+                    if hit is None:
+                        if len(memo) >= most:
+                            memo.clear()
+                        hit = memo[w] = tuple(t for t in tokens(w) if t in wanted)
+                    held.update(hit)
+                for t in held:
+                    counts[t] = counts.get(t, 0) + 1
+        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+    return run
+
+
+def _score_counts(model: Model):
+    def run(batches):
+        import pyarrow as pa
+        of, counts = word_scores(model), {}
+        for batch in batches:
+            for raw in batch.column("text").to_pylist():
+                for w in find_words(raw):
+                    s = round(of(w), 2)
+                    counts[s] = counts.get(s, 0) + 1
+        yield pa.record_batch([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["score", "n"])
+    return run
 
 
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -155,12 +228,16 @@ def p_value(scores: list[float], n: int, rate: float, k: float, most: int = 5) -
     return best
 
 
+def posterior(p: float, prior: float) -> float:
+    """Chance of a toxic text from its p-value: the evidence against chance is at most 1 / (-e p log p)."""
+    against = 1.0 if p >= 1 / math.e else -math.e * p * math.log(max(p, 1e-300))
+    return prior / (prior + (1 - prior) * against)
+
+
 def _score(model: Model, e_value: float):
     def run(batches):
-        import re
-
         import pyarrow as pa
-        find, known = re.compile(WORD_BYTES).findall, model.scores
+        of, drift = word_scores(model), model.drift
         schema = pa.schema([("n_words", pa.int64()), ("score", pa.float64()),
                             ("passages", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()),
                                                              ("score", pa.float64()), ("e_value", pa.float64())])))])
@@ -168,22 +245,21 @@ def _score(model: Model, e_value: float):
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 sizes, values, found = [], [], []
                 for raw in part.column("text").to_pylist():
-                    tokens = find((raw or b"").lower())
-                    n = len(tokens)
-                    hits = [(i, known[t]) for i, t in enumerate(tokens) if t in known and known[t] > model.drift] if known else []
-                    own = segments(hits, model.drift)
-                    p = p_value([s for _, _, s in own], n, model.rate, model.k) if own else 1.0
-                    expected = [(a, b, s, model.k * n * math.exp(-min(700.0, model.rate * s))) for a, b, s in own]
+                    own = [of(w) for w in find_words(raw)]
+                    n = len(own)
+                    parts = segments([(i, s) for i, s in enumerate(own) if s > drift], drift)
+                    p = p_value([s for _, _, s in parts], n, model.rate, model.k) if parts else 1.0
+                    expected = [(a, b, s, model.k * n * math.exp(-min(700.0, model.rate * s))) for a, b, s in parts]
                     found.append([dict(zip(("start", "end", "score", "e_value"), x)) for x in expected if x[3] <= e_value])
                     sizes.append(n)
-                    values.append(model.prior / (model.prior + (1 - model.prior) * p))
+                    values.append(posterior(p, model.prior))
                 yield pa.record_batch([part.column("row"), pa.array(sizes, pa.int64()), pa.array(values, pa.float64()),
                                        pa.array(found, schema.field("passages").type)],
                                       schema=pa.schema([batch.schema.field("row"), *schema]))
     return run
 
 
-def score(docs: DataFrame, model: Model, e_value: float = 0.5, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, e_value: float = 0.05, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """row (struct of the columns in ``carry``, doc_id if none are named), n_words, score, passages (start, end in
     words, score, e_value: the ones expected at most ``e_value`` times by chance)."""
     rows = docs.select(*carried(carry or ["doc_id"]), F.col(text_col).cast("string").cast("binary").alias("text"))
