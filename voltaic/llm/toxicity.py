@@ -111,15 +111,14 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "to
     own = stored(rows.join(F.broadcast(picked), "doc_id").select("label", "text"), "toxicity-texts")
     counted = (own.mapInArrow(_document_tokens, "label int, token string, n long").groupBy("token")
                .agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean")))
-    counted = stored(counted, "toxicity-tokens")
+    counted = stored(counted.where((F.col("toxic") >= least) | F.col("token").isNull()), "toxicity-tokens")
     words_of = counted.where("token IS NULL").first()  # all (text, word) pairs stand under NULL
     n_toxic, n_clean = (int(words_of[c] or 0) for c in ("toxic", "clean")) if words_of else (0, 0)
     share = picked.agg(F.avg("label")).first()[0]
     model = Model(drift=-math.log1p(-passage_share), k=passage_share, prior=min(0.2, max(0.01, share or 0.05)))
     if not n_toxic or not n_clean:
         return model
-    maybe = counted.where((F.col("toxic") >= least) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic))
-    maybe = stored(maybe, "toxicity-candidates")
+    maybe = counted.where(F.col("token").isNotNull() & (F.col("toxic") * n_clean > F.col("clean") * n_toxic))
     listed = docs.sparkSession.sparkContext.broadcast({r["token"] for r in maybe.select("token").collect()})
     corpus = stored(rows.select("text").mapInArrow(_corpus_tokens(listed), "token string, n long").groupBy("token")
                     .agg(F.sum("n").alias("n")), "toxicity-corpus")

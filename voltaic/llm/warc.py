@@ -14,8 +14,9 @@ skew-join splitting for a hot payload, and every task of the join writes one
 file. The payload is written once per distinct content.
 
 The dictionary is trained on at most ``sample_bytes`` of records at the head
-of the file's input, which is in digest order and so a uniform sample of its
-contents; it only affects size, never content. A file with too few records
+of the file's input (in digest order, and so a uniform sample, where the join
+shuffles; in the table's order where it needs no shuffle); it only affects
+size, never content. A file with too few records
 to train on has no dictionary frame.
 
 Edge cases: NULL html is an empty payload; NULL url gives no target URI, and
