@@ -137,7 +137,8 @@ def test_source_universe_and_extent(spark):
                                 "code_insee string, timestamp timestamp_ntz, sources map<string,double>")
     assert A.source_universe(rec).first().sources == ["a", "b", "c"]
     ext = A.time_extent(rec, "timestamp", "code_insee").first()
-    assert ext.regions == ["11", "84"] and ext.rows == 2
+    assert ext.regions == 2 and ext.rows == 2
+    assert sorted(r.region for r in A.regions_processed(rec, "code_insee").collect()) == ["11", "84"]
 
 
 def test_thermal_source_kept(spark):

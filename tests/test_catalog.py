@@ -24,4 +24,5 @@ def test_oracle_keys_are_registered():
 def test_query_runs(spark, name):
     df = entry_mod.queries()[name](spark, SMOKE)
     assert len(df.columns) == len(set(df.columns))
-    assert df.count() >= 0
+    # the driver's pages hold no outage rows; every other query has rows
+    assert df.count() > 0 or name == "s16_extract_events_html"

@@ -4,7 +4,7 @@ import pytest
 
 from voltaic.constants import DEFAULT_GATES
 from voltaic.operators import quality as Q
-from voltaic.operators.lifecycle import lifecycle_summary, mark_status
+from voltaic.operators.lifecycle import changed_regions, lifecycle_summary, mark_status
 from voltaic.operators.upsert import upsert_region_seen
 
 NOW = "2025-06-20 12:00:00"
@@ -73,8 +73,18 @@ def test_staleness_and_inactivity(spark):
                     ("27", "d", "active", now, now - dt.timedelta(hours=24))])  # exactly 24 h: not stale (strict)
     got = {r.code_insee: r.status for r in mark_status(d, NOW).collect()}
     assert got == {"11": "stale", "84": "inactive", "24": "active", "27": "active"}
-    summ = {r.status: (r.changed, r.codes) for r in lifecycle_summary(mark_status(d, NOW)).collect()}
-    assert summ == {"stale": (1, ["11"]), "inactive": (1, ["84"])}
+    summ = {r.status: r.changed for r in lifecycle_summary(mark_status(d, NOW)).collect()}
+    assert summ == {"stale": 1, "inactive": 1}
+    assert {(r.status, r.code) for r in changed_regions(mark_status(d, NOW)).collect()} == {("stale", "11"), ("inactive", "84")}
+
+
+def test_lifecycle_thresholds_come_from_the_environment(spark, monkeypatch):
+    now = dt.datetime(2025, 6, 20, 12)
+    d = dim(spark, [("11", "a", "active", now, now - dt.timedelta(hours=5))])
+    monkeypatch.setenv("STALENESS_THRESHOLD_HOURS", "4")
+    assert mark_status(d, NOW).first().status == "stale"
+    monkeypatch.setenv("STALENESS_THRESHOLD_HOURS", "x")
+    assert mark_status(d, NOW).first().status == "active"
 
 
 def test_reactivation_keeps_first_seen(spark):

@@ -10,7 +10,7 @@ from voltaic.constants import NAME_ACCENT_FOLD
 __all__ = [
     "as_col", "safe_double", "parse_utc", "clean_text", "wind_speed", "kelvin_to_celsius",
     "parse_mw", "canonical_region_code", "kw_to_mw", "js_round", "nan_to_null",
-    "end_of_day_bound", "normalize_name", "dec4_text", "decimal_sum", "json_safe", "to_json_records",
+    "end_of_day_bound", "normalize_name", "json_safe",
 ]
 
 
@@ -114,17 +114,6 @@ def normalize_name(name: str, fold_accents: bool = False) -> str:
     return out
 
 
-def dec4_text(c) -> Column:
-    """Exact fixed-point text of a double (4 decimals), 'null' for NULL."""
-    return F.coalesce(as_col(c).cast("decimal(18,4)").cast("string"), F.lit("null"))
-
-
-def decimal_sum(c, scale: int = 4) -> Column:
-    """Order-independent sum of doubles (exact in decimal, returned as double)."""
-    return F.sum(as_col(c).cast(f"decimal(28,{scale})")).cast("double")
-
-
-
 def json_safe(df, ts_format: str = "yyyy-MM-dd'T'HH:mm:ss"):
     """Timestamps -> ISO text, decimals -> double; NULLs kept (API-ready rows)."""
     from pyspark.sql import functions as _F
@@ -137,10 +126,3 @@ def json_safe(df, ts_format: str = "yyyy-MM-dd'T'HH:mm:ss"):
         else:
             cols.append(_F.col(name))
     return df.select(*cols)
-
-
-def to_json_records(df):
-    """One JSON object per row, NULL fields written as null."""
-    from pyspark.sql import functions as _F
-    return json_safe(df).select(_F.to_json(_F.struct(*df.columns),
-                                           {"ignoreNullFields": "false"}).alias("json"))

@@ -318,11 +318,15 @@ def source_universe(records: DataFrame) -> DataFrame:
 
 
 def time_extent(df: DataFrame, ts: str, region: str) -> DataFrame:
-    """First and last timestamp and the sorted list of regions processed."""
-    # the region set is bounded by the region dimension; collect_set is combined map-side
-    return df.agg(F.min(ts).alias("start"), F.max(ts).alias("end"),
-                  F.count(F.lit(1)).alias("rows"),
-                  F.sort_array(F.collect_set(region)).alias("regions"))
+    """First and last timestamp, number of rows and of regions processed (``regions_processed`` names them)."""
+    per_region = df.groupBy(region).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n"))
+    return per_region.agg(F.min("lo").alias("start"), F.max("hi").alias("end"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                          F.count(region).alias("regions"))
+
+
+def regions_processed(df: DataFrame, region: str) -> DataFrame:
+    """The regions processed, one row each."""
+    return df.select(F.col(region).alias("region")).where("region IS NOT NULL").distinct()
 
 
 def region_directory(records: DataFrame, code: str = "code_insee", name: str = "region",

@@ -9,6 +9,7 @@ from voltaic.constants import DEFAULT_INACTIVE_HOURS, DEFAULT_STALENESS_HOURS
 from voltaic.operators.dedup import distinct_first_label
 from voltaic.operators.joins import diff_known
 from voltaic.operators.upsert import upsert_region_seen
+from voltaic.session import env_int
 
 
 def discover_regions(readings: DataFrame, dim_region: DataFrame, now: str,
@@ -22,12 +23,18 @@ def discover_regions(readings: DataFrame, dim_region: DataFrame, now: str,
     return new, updated, merged
 
 
-def mark_status(dim_region: DataFrame, now: str, stale_hours: int = DEFAULT_STALENESS_HOURS,
-                inactive_hours: int = DEFAULT_INACTIVE_HOURS) -> DataFrame:
+def mark_status(dim_region: DataFrame, now: str, stale_hours: int | None = None,
+                inactive_hours: int | None = None) -> DataFrame:
     """Inactive first (from active or stale), then stale (from active); strict ``<``.
 
+    Thresholds not given come from ``STALENESS_THRESHOLD_HOURS`` and
+    ``INACTIVE_THRESHOLD_HOURS`` of the environment, else the defaults (24, 168).
     A soft status change: no row is ever removed. Adds ``previous_status``.
     """
+    if stale_hours is None:
+        stale_hours = env_int("STALENESS_THRESHOLD_HOURS", DEFAULT_STALENESS_HOURS)
+    if inactive_hours is None:
+        inactive_hours = env_int("INACTIVE_THRESHOLD_HOURS", DEFAULT_INACTIVE_HOURS)
     now_ts = F.lit(now).cast("timestamp_ntz")
     seen = F.col("last_seen_at").cast("timestamp_ntz")
     inactive_bound = now_ts - F.expr(f"INTERVAL {int(inactive_hours)} HOURS")
@@ -40,10 +47,13 @@ def mark_status(dim_region: DataFrame, now: str, stale_hours: int = DEFAULT_STAL
 
 
 def lifecycle_summary(marked: DataFrame, code: str = "code_insee") -> DataFrame:
-    """Per new status, how many regions changed and their codes (bounded by the dimension)."""
-    changed = marked.where(F.col("status") != F.col("previous_status"))
-    return changed.groupBy("status").agg(F.count(F.lit(1)).alias("changed"),
-                                         F.sort_array(F.collect_list(code)).alias("codes"))
+    """Per new status, how many regions changed."""
+    return changed_regions(marked, code).groupBy("status").agg(F.count(F.lit(1)).alias("changed"))
+
+
+def changed_regions(marked: DataFrame, code: str = "code_insee") -> DataFrame:
+    """The regions whose status changed, one row each."""
+    return marked.where(F.col("status") != F.col("previous_status")).select("status", F.col(code).alias("code"))
 
 
 def last_seen(readings: DataFrame, code: str = "code_insee_region", label: str = "libelle_region",

@@ -699,12 +699,18 @@ def a06(spark, d):
     return A.status_summary(_marked(spark, d))
 
 
-@query("y03_lifecycle_summary", _LAST_SEEN_SQL + """SELECT status, COUNT(*) AS changed,
-  string_agg(code_insee, ',' ORDER BY code_insee) AS codes FROM marked WHERE status <> previous_status GROUP BY status""")
+@query("y03_lifecycle_summary", _LAST_SEEN_SQL +
+       "SELECT status, COUNT(*) AS changed FROM marked WHERE status <> previous_status GROUP BY status")
 def y03(spark, d):
-    """Regions whose status changed, per new status."""
-    s = Y.lifecycle_summary(_marked(spark, d))
-    return s.withColumn("codes", F.array_join("codes", ","))
+    """Number of regions whose status changed, per new status."""
+    return Y.lifecycle_summary(_marked(spark, d))
+
+
+@query("y03_changed_regions", _LAST_SEEN_SQL +
+       "SELECT status, code_insee AS code FROM marked WHERE status <> previous_status")
+def y03_regions(spark, d):
+    """The regions whose status changed."""
+    return Y.changed_regions(_marked(spark, d))
 
 
 @query("j07_diff_known", _with(S.SQL_SILVER, S.SQL_DIM_REGION) + """, seen AS (
@@ -1160,13 +1166,39 @@ def a03(spark, d):
 
 
 @query("a21_time_extent", _with(S.SQL_SILVER) + """SELECT MIN(date_heure) AS start, MAX(date_heure) AS "end",
-  COUNT(*) AS rows, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT code_insee_region AS c FROM silver))
-  AS regions FROM silver""")
+  COUNT(*) AS rows, COUNT(DISTINCT code_insee_region) AS regions FROM silver""")
 def a21(spark, d):
-    """Time extent and sorted region list of the Silver readings."""
+    """Time extent, rows and regions of the Silver readings."""
+    out, _ = gold.silver_readings(spark, d)
+    return A.time_extent(out, "date_heure", "code_insee_region")
+
+
+@query("a21_regions", _with(S.SQL_SILVER) + "SELECT DISTINCT code_insee_region AS region FROM silver")
+def a21_regions(spark, d):
+    """The regions processed."""
     out, _ = gold.silver_readings(spark, d)
-    return A.time_extent(out, "date_heure", "code_insee_region").withColumn(
-        "regions", F.array_join("regions", ","))
+    return A.regions_processed(out, "code_insee_region")
+
+
+@query("w04_top_n_per_group", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + """SELECT id_region, id_date, id_source, valeur_mw,
+  CAST(rank AS INTEGER) AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id_region
+    ORDER BY valeur_mw DESC NULLS LAST, id_date, id_source) AS rank FROM fact) WHERE rank <= 5""")
+def w04(spark, d):
+    """The five largest readings of every region."""
+    f = gold.fact(spark, d).select("id_region", "id_date", "id_source", "valeur_mw")
+    return W.top_n_per_group(f, ["id_region"], [F.col("valeur_mw").desc_nulls_last(), "id_date", "id_source"], 5)
+
+
+@query("w05_last_n", _with(NAT) + "SELECT timestamp, consommation_mw FROM national ORDER BY timestamp DESC LIMIT 96")
+def w05(spark, d):
+    """The newest 96 national points."""
+    return W.last_n(gold.national(spark, d).select("timestamp", "consommation_mw"), "timestamp", 96)
+
+
+@query("a23_data_points", _with(GOLD, S.SQL_RECORDS) + "SELECT COUNT(*) AS data_points FROM records WHERE code_insee = '7'")
+def a23_points(spark, d):
+    """Records of one region."""
+    return A.data_points(gold.records(spark, d), "7")
 
 
 @query("k03_distinct_pairs", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + "SELECT DISTINCT id_region, id_source FROM fact")
@@ -1269,24 +1301,29 @@ def t02(spark, d):
 _Q_COLS = "name, check_type, status, severity"
 
 
-def _check_out(df: DataFrame) -> DataFrame:
-    return df.select("name", "check_type", "status", "severity")
+def _check_out(df: DataFrame, counted: str) -> DataFrame:
+    """The check's row with the number it counted (a field of its details)."""
+    return df.select("name", "check_type", "status", "severity",
+                     F.get_json_object("details", f"$.{counted}").cast("double").alias("counted"))
 
 
 @query("q01_null_check", _with(S.SQL_SILVER) + f"""SELECT 'q01' AS name, 'null_check' AS check_type,
   CASE WHEN COUNT(*) FILTER (WHERE code_insee_region IS NULL OR date_heure IS NULL OR nucleaire_mw IS NULL) > 0
-       THEN 'FAIL' ELSE 'PASS' END AS status, 'CRITICAL' AS severity FROM silver""")
+       THEN 'FAIL' ELSE 'PASS' END AS status, 'CRITICAL' AS severity,
+  CAST(COUNT(*) FILTER (WHERE nucleaire_mw IS NULL) AS DOUBLE) AS counted FROM silver""")
 def q01(spark, d):
     sil, _ = gold.silver_readings(spark, d)
-    return _check_out(Q.null_check(sil, ["code_insee_region", "date_heure", "nucleaire_mw"], "q01", "CRITICAL"))
+    return _check_out(Q.null_check(sil, ["code_insee_region", "date_heure", "nucleaire_mw"], "q01", "CRITICAL"),
+                      "null_counts.nucleaire_mw")
 
 
 @query("q02_range_check", _with(S.SQL_SILVER) + """SELECT 'q02' AS name, 'range_check' AS check_type,
   CASE WHEN COUNT(*) FILTER (WHERE consommation_mw < 0 OR consommation_mw > 500) > 0 THEN 'FAIL' ELSE 'PASS' END
-    AS status, 'WARNING' AS severity FROM silver""")
+    AS status, 'WARNING' AS severity,
+  CAST(COUNT(*) FILTER (WHERE consommation_mw < 0 OR consommation_mw > 500) AS DOUBLE) AS counted FROM silver""")
 def q02(spark, d):
     sil, _ = gold.silver_readings(spark, d)
-    return _check_out(Q.range_check(sil, "consommation_mw", 0, 500, "q02", "WARNING"))
+    return _check_out(Q.range_check(sil, "consommation_mw", 0, 500, "q02", "WARNING"), "out_of_range")
 
 
 @query("q03_row_count", _with(S.SQL_SILVER) + """, c AS (SELECT (SELECT COUNT(*) FROM silver) AS a,
@@ -1294,38 +1331,42 @@ def q02(spark, d):
 SELECT 'q03' AS name, 'row_count' AS check_type,
   CASE WHEN e = 0 THEN CASE WHEN a = 0 THEN 'PASS' ELSE 'WARN' END
        WHEN abs(a - e) * 100.0 / e <= 5 THEN 'PASS' WHEN abs(a - e) * 100.0 / e <= 10 THEN 'WARN'
-       ELSE 'FAIL' END AS status, 'WARNING' AS severity FROM c""")
+       ELSE 'FAIL' END AS status, 'WARNING' AS severity, CAST(a AS DOUBLE) AS counted FROM c""")
 def q03(spark, d):
     """Q03: Silver row count against the raw batch (5 % tolerance)."""
     sil, _ = gold.silver_readings(spark, d)
-    return _check_out(Q.row_count_check(sil, S.raw_readings(spark, d), name="q03", severity="WARNING"))
+    return _check_out(Q.row_count_check(sil, S.raw_readings(spark, d), name="q03", severity="WARNING"), "actual")
 
 
 @query("q04_freshness", _with(S.SQL_SILVER) + f"""SELECT 'q04' AS name, 'freshness' AS check_type,
   CASE WHEN MAX(date_heure) IS NULL THEN 'FAIL'
        WHEN epoch(TIMESTAMP '2024-02-01 06:00:00') - epoch(MAX(date_heure)) <= 24 * 3600 THEN 'PASS'
        WHEN epoch(TIMESTAMP '2024-02-01 06:00:00') - epoch(MAX(date_heure)) <= 48 * 3600 THEN 'WARN'
-       ELSE 'FAIL' END AS status, 'WARNING' AS severity FROM silver""")
+       ELSE 'FAIL' END AS status, 'WARNING' AS severity,
+  ROUND((epoch(TIMESTAMP '2024-02-01 06:00:00') - epoch(MAX(date_heure))) / 3600.0, 2)::DOUBLE AS counted FROM silver""")
 def q04(spark, d):
     sil, _ = gold.silver_readings(spark, d)
-    return _check_out(Q.freshness_check(sil, "date_heure", 24, "2024-02-01 06:00:00", "q04", "WARNING"))
+    return _check_out(Q.freshness_check(sil, "date_heure", 24, "2024-02-01 06:00:00", "q04", "WARNING"), "age_hours")
 
 
 @query("q05_fk_integrity", _with(S.SQL_METEO_ROWS, S.SQL_DIM_REGION) + """SELECT 'q05' AS name,
   'fk_integrity' AS check_type,
   CASE WHEN COUNT(*) FILTER (WHERE code_insee IS NOT NULL AND code_insee NOT IN (SELECT id_region FROM dim_region)) > 0
-       THEN 'FAIL' ELSE 'PASS' END AS status, 'CRITICAL' AS severity FROM meteo""")
+       THEN 'FAIL' ELSE 'PASS' END AS status, 'CRITICAL' AS severity,
+  CAST(COUNT(*) FILTER (WHERE code_insee IS NOT NULL AND code_insee NOT IN (SELECT id_region FROM dim_region)) AS DOUBLE)
+    AS counted FROM meteo""")
 def q05(spark, d):
     m = gold.meteo(spark, d)
-    return _check_out(Q.fk_integrity(m, {"code_insee": (S.dim_region(spark, d), "id_region")}, "q05", "CRITICAL"))
+    return _check_out(Q.fk_integrity(m, {"code_insee": (S.dim_region(spark, d), "id_region")}, "q05", "CRITICAL"), "orphans.code_insee")
 
 
 @query("q06_load_factor_range", _with(S.SQL_FACT_STAGED, S.SQL_FACT) + """SELECT 'q06' AS name,
   'facteur_charge_range' AS check_type,
   CASE WHEN COUNT(*) FILTER (WHERE facteur_charge < 0 OR facteur_charge > 1.5) > 0 THEN 'FAIL' ELSE 'PASS' END
-    AS status, 'WARNING' AS severity FROM fact""")
+    AS status, 'WARNING' AS severity,
+  CAST(COUNT(*) FILTER (WHERE facteur_charge < 0 OR facteur_charge > 1.5) AS DOUBLE) AS counted FROM fact""")
 def q06(spark, d):
-    return _check_out(Q.load_factor_range(gold.fact(spark, d), name="q06", severity="WARNING"))
+    return _check_out(Q.load_factor_range(gold.fact(spark, d), name="q06", severity="WARNING"), "out_of_range")
 
 
 @query("n02_fill_zero", _with(S.SQL_SILVER) + """SELECT code_insee_region, date_heure,

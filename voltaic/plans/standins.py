@@ -524,7 +524,7 @@ def grid_points(spark: SparkSession, d: str) -> DataFrame:
         "vec_id",
         (F.lit("2025-06-15 00:00:00").cast("timestamp_ntz") +
          F.make_dt_interval(hours=F.col("label"))).alias("valid_time"),
-        (x(0) * 12 + 46.2).alias("latitude"),
+        (x(0) * 24 + 46.2).alias("latitude"),
         (x(1) * 18 + 2.2).alias("longitude"),
         (x(2) * 30).alias("u100"),
         (x(3) * 30).alias("v100"),
@@ -535,7 +535,7 @@ def grid_points(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_GRID = """grid AS (
   SELECT vec_id, TIMESTAMP '2025-06-15 00:00:00' + to_hours(label) AS valid_time,
-         CAST(embedding[1] AS DOUBLE) * 12 + 46.2 AS latitude,
+         CAST(embedding[1] AS DOUBLE) * 24 + 46.2 AS latitude,
          CAST(embedding[2] AS DOUBLE) * 18 + 2.2 AS longitude,
          CAST(embedding[3] AS DOUBLE) * 30 AS u100,
          CAST(embedding[4] AS DOUBLE) * 30 AS v100,
