@@ -11,13 +11,14 @@ so hash collisions add nothing. Items shorter than ``span`` words count only
 as a whole; their fingerprint is the hash of all their words, looked up among
 the document's grams of that many words.
 
-Plan: the fingerprints of a document are exploded with nothing but its key and
-joined to the distinct benchmark hashes (sent to every task only if their
-counted number is at most ``broadcast_rows``, else a shuffle join with
-adaptive skew splitting); the few hits are grouped per document with the items
-they name and joined back to the texts on (id, hash of the text). The
-extension runs inside the row: no positions or pairs are exploded, so a
-passage in a third of all documents costs one row per document.
+Plan: if the benchmark has at most ``listed`` distinct fingerprint hashes (they
+are counted first), they travel with the tasks as a set: every document looks
+its own hashes up in place, and only documents with a hit, with their texts,
+take part in the shuffles that bring the items to them. A larger benchmark is
+joined by hash (shuffle join, adaptive skew splitting): documents' hashes are
+exploded with nothing but the document's key. Both ways end in the same
+extension, inside the row: no positions or pairs are exploded, so a passage in
+a third of all documents costs one row per document.
 
 Edge cases: NULL and empty texts have no words and no hits; items without
 words are ignored; a NULL item id counts as the empty string; equal item ids
@@ -95,11 +96,12 @@ def _item_prints(items: DataFrame, sizes: list[int], span: int, gram: int) -> Da
     out = []
     for pos, size in enumerate(sizes):
         own = items.where(F.col("n") >= span) if pos == 0 else items.where(F.col("n") == size)
-        hashed = own.select("item", grams(word_hashes(F.col("words")), size).alias("g"))
-        kept = winnowed(F.col("g"), span - gram + 1 if pos == 0 else 1)
-        at = hashed.withColumn("kept", kept).select("item", "kept", F.posexplode("g").alias("at", "hash"))
-        out.append(at.where(F.array_contains("kept", F.col("hash")))
-                   .select("item", F.lit(size if pos == 0 else -size).alias("k"), "hash", "at"))
+        window, k = (span - gram + 1, size) if pos == 0 else (1, -size)
+        both = let(word_hashes(F.col("words")), lambda t: let(
+            grams(t, size), lambda g: F.struct(g.alias("g"), winnowed(g, window).alias("kept"))))  # noqa: B023
+        places = let(both, lambda x: F.filter(F.transform(x["g"], lambda h, i: F.struct(h.alias("hash"), i.alias("at"))),
+                                              lambda p: F.array_contains(x["kept"], p["hash"])))
+        out.append(own.select("item", F.explode(places).alias("p")).select("item", F.lit(k).alias("k"), "p.hash", "p.at"))
     return reduce(DataFrame.union, out)
 
 
@@ -146,7 +148,26 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
 
 
-def shared_spans(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, broadcast_rows: int = 500_000,
+def _hits(rows: DataFrame, prints: DataFrame, sizes: list[int], span: int, gram: int, listed: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with ``own``: the benchmark hashes they hold, or NULL; key, k, hash of every hash held)."""
+    wanted = prints.select("k", "hash").distinct()
+    doc_prints = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
+                                                              _prints(w, sizes, span, gram).alias("prints")))
+    hashes = [r["hash"] for r in wanted.select("hash").distinct().limit(listed + 1).collect()]
+    if len(hashes) <= listed:
+        own = F.filter("r.prints", lambda p: p["hash"].isin(hashes) if hashes else F.lit(False))
+        marked = rows.withColumn("r", doc_prints).withColumn("own", own)
+        marked = marked.select(*rows.columns, "r.n_words", F.when(F.size("own") > 0, F.col("own")).alias("own"))
+        # from here on only the extension needs a text
+        marked = stored(marked.withColumn("text", F.when(F.col("own").isNotNull(), F.col("text"))), "winnow-documents")
+        found = marked.where("own IS NOT NULL").select(*KEY, F.explode("own").alias("p")).select(*KEY, "p.k", "p.hash").distinct()
+        return marked, found
+    exploded = rows.select(*KEY, F.explode(doc_prints["prints"]).alias("p")).select(*KEY, "p.k", "p.hash")
+    found = stored(exploded.join(wanted, ["k", "hash"]).distinct(), "winnow-found")
+    return rows.withColumns({"n_words": F.size(words(F.col("text"))).cast("long"), "own": F.array(F.lit(True))}), found
+
+
+def shared_spans(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, listed: int = 50_000,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, hits: array of (item_id, spans: array of (start, end) in words) per document; with ``carry``
@@ -154,23 +175,19 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: in
     items = stored(benchmark_items(benchmark, item_col, item_text_col), "winnow-items")
     sizes = _sizes(items, span, gram)
     prints = stored(_item_prints(items, sizes, span, gram), "winnow-prints")
-    wanted = prints.select("k", "hash").distinct()
-    if prints.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
     rows = docs.select(*carried(carry), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    found = (rows.select(*KEY, F.explode(let(words(F.col("text")), lambda w: _prints(w, sizes, span, gram))).alias("p"))
-             .select(*KEY, "p.k", "p.hash").join(wanted, ["k", "hash"]))
-    found = stored(found.distinct(), "winnow-found")
+    marked, found = _hits(rows, prints, sizes, span, gram, listed)
     named = (found.join(prints, ["k", "hash"]).groupBy(*KEY, "item", "k")
              .agg(F.collect_set(F.struct("hash", "at")).alias("places")).join(items.select("item", "item_id", "words"), "item")
              .groupBy(*KEY).agg(F.collect_list(F.struct("k", "item_id", "words", "places")).alias("entries")))
     named = stored(named, "winnow-named").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "entries")
-    joined = rows.join(named, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash"))
+    joined = marked.where("own IS NOT NULL").join(named, same, "left")
     none = F.array().cast("array<struct<item_id:string,spans:array<struct<start:int,end:int>>>>")
-    result = let(words(F.col("text")), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.when(F.col("entries").isNull(), none).otherwise(_spans(w, F.col("entries"), sizes, span)).alias("hits")))
-    extra = ["row"] if carry else []
-    return joined.select(*extra, "doc_id", result.alias("r")).select(*extra, "doc_id", "r.n_words", "r.hits")
+    hits = F.when(F.col("entries").isNull(), none).otherwise(
+        let(words(F.col("text")), lambda w: _spans(w, F.col("entries"), sizes, span)))
+    out = ["row"] * bool(carry) + ["doc_id", "n_words"]
+    clean = marked.where("own IS NULL").select(*out, none.alias("hits"))
+    return joined.select(*out, hits.alias("hits")).unionByName(clean)
