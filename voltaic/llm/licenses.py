@@ -99,10 +99,13 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, id_col
             prefix.add(word)
     index = spark.createDataFrame(index, "word string, template int, label string, at int, size int, need int, own array<string>")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+    first = _literal([w for w in order if w in prefix])
+    # a text without any prefix word has no block with one: it is not cut into blocks at all
+    some = docs.where(F.size(F.array_intersect(first, words(F.col(text_col).cast("string")))) > 0)
+    lines = some.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                         F.posexplode(F.split(text, "\n", -1)).alias("block", "line"))
     held = let(words(F.col("line")), lambda w: F.struct(
-        F.array_intersect(_literal([w_ for w_ in order if w_ in prefix]), w).alias("hits"),
+        F.array_intersect(first, w).alias("hits"),
         F.size(F.array_distinct(w)).alias("n"), F.array_intersect(_literal(order), w).alias("known")))
     blocks = lines.select("doc_id", "text_hash", "block", held.alias("b")).where((F.size("b.hits") > 0) & (F.col("b.n") >= shortest))
     # the index has at most one row per template word: its size is that of the fixed list
