@@ -25,6 +25,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltaic.llm.common import small_batches
 from voltaic.llm.encoder import byte_table, worker_encoder
 
 # FIXED VALUE: the split pattern of the rank files that ship with the public tokenizers
@@ -56,7 +57,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 def _options(model: str) -> dict:
     split = json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
-    return {"splits_at_space": split == SPACE_SAFE_PATTERN}
+    return {"splits_at_space": split == SPACE_SAFE_PATTERN, "cache_pieces": 150_000}
 
 
 def _encode(model, key: str, offsets: bool, part_rows: int = 256):
@@ -97,6 +98,7 @@ def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "do
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, split_chars (tokens that begin inside a
     character); with ``offsets`` also starts and ends of every token in characters."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # one vocabulary
     key = "bpe-" + hashlib.md5(model.encode()).hexdigest()
     schema = "doc_id long, ids binary, n_tokens long, split_chars long" + ", starts array<int>, ends array<int>" * offsets

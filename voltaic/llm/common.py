@@ -13,6 +13,7 @@ from voltaic.session import scratch_path
 # FIXED VALUES (stated by the operators' contracts)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD_PATTERN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -26,8 +27,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    """Words of a text by the contracts' pattern, A-Z lower-cased; NULL has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(col, F.lit(""))), F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    """Words of a text by the contracts' pattern, A-Z lower-cased; NULL has none.
+
+    Cut at runs of the other characters, which is several times faster than extracting the matches.
+    """
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col, F.lit(""))), NO_WORD_PATTERN, -1), "")
 
 
 def carried(carry: list[str] | None) -> list[Column]:
@@ -53,6 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in an Arrow batch of this session: texts make batches of the default 10 000 rows large,
+    and a task holds several of them on both sides of its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaic.llm.common import shuffle_partitions, stored
+from voltaic.llm.common import shuffle_partitions, small_batches, stored
 
 SEED = 42
 
@@ -75,6 +75,7 @@ def _fingerprint(words: int, seed: int):
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = SEED, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and fingerprint (signed long with the fingerprint's 64 bits), one row per document."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                        text.cast("binary").alias("text"))
