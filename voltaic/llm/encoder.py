@@ -66,7 +66,9 @@ class Encoder:
         self.pieces = splits_at_space and not spec.get("normalizer")
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.cache_pieces, self.slice_chars, self.group = cache_pieces, slice_chars, group
+        # two generations: a full one becomes the old one, pieces in use move on from there
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype)
@@ -108,12 +110,13 @@ class Encoder:
         return out + self._look_up(todo)
 
     def _look_up(self, texts: list[list[str]]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > self.cache_pieces:  # only a cache: start anew
-            memo.clear()
-        new = {p for t in texts for p in t if p not in memo}
-        if new:
-            self._learn(list(new))
+        if len(self.memo) > self.cache_pieces // 2:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        new = set().union(*texts) - memo.keys()
+        kept = new & old.keys()
+        memo.update((p, old[p]) for p in kept)
+        self._learn(list(new - kept))
         return [b"".join(map(memo.__getitem__, t)) for t in texts]
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from voltaic.llm.common import carried, stored
+from voltaic.llm.common import carried, small_batches, stored
 
 _PASSAGE = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()),
                        StructField("score", DoubleType()), StructField("e_value", DoubleType())])
@@ -67,7 +67,7 @@ def tokens(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def word_scores(model: Model, most: int = 400_000):
+def word_scores(model: Model, most: int = 150_000):
     """word -> score of its best token, with a cache that starts anew when it is full."""
     known, memo = model.scores, {}
 
@@ -105,6 +105,7 @@ def solve_rate(points: list[tuple[float, float]]) -> float:
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", max_labelled: int = 20_000,
           passage_share: float = 0.05, prior_share: float = 0.01, confidence: float = 2.0, least: int = 4) -> Model:
     """Fit the token scores on labelled rows that satisfy ``keep`` (a condition on the label rows)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     picked = stored(sample_labels(labels, keep, label_col, max_labelled), "toxicity-labels")
     # at most max_labelled rows are sent, and as many texts kept
@@ -138,40 +139,49 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "to
     return model
 
 
-def _document_tokens(batches):
-    """label, token, texts that hold it; under a NULL token the number of (text, word) pairs."""
+def _document_tokens(batches, most: int = 200_000):
+    """label, token, texts that hold it; under a NULL token the number of (text, word) pairs. Counts are handed on
+    whenever there are more than ``most`` of them."""
     import pyarrow as pa
+
+    def rows(counts):
+        return pa.record_batch([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()),
+                                pa.array(list(counts.values()), pa.int64())], names=["label", "token", "n"])
+    counts: dict = {}
     for batch in batches:
-        counts: dict = {}
-        for label, raw in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = set(find_words(raw))
-            for t in {t for w in own for t in tokens(w)}:
-                counts[label, t] = counts.get((label, t), 0) + 1
-            counts[label, None] = counts.get((label, None), 0) + len(own)
-        if counts:
-            yield pa.record_batch([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()),
-                                   pa.array(list(counts.values()), pa.int64())], names=["label", "token", "n"])
+        for part in (batch.slice(i, 50) for i in range(0, batch.num_rows, 50)):
+            for label, raw in zip(part.column("label").to_pylist(), part.column("text").to_pylist(), strict=True):
+                own = set(find_words(raw))
+                for t in {t for w in own for t in tokens(w)}:
+                    counts[label, t] = counts.get((label, t), 0) + 1
+                counts[label, None] = counts.get((label, None), 0) + len(own)
+            if len(counts) > most:
+                yield rows(counts)
+                counts = {}
+    if counts:
+        yield rows(counts)
 
 
-def _corpus_tokens(listed, most: int = 400_000):
+def _corpus_tokens(listed, most: int = 150_000):
     """token, texts of the corpus that hold it, for the listed tokens; under NULL all (text, word) pairs."""
     def run(batches):
         import pyarrow as pa
         wanted, memo, counts = listed.value, {}, {None: 0}
-        for batch in batches:
-            for raw in batch.column("text").to_pylist():
-                own = set(find_words(raw))
-                counts[None] += len(own)
-                held = set()
-                for w in own:
-                    hit = memo.get(w)
-                    if hit is None:
-                        if len(memo) >= most:
-                            memo.clear()
-                        hit = memo[w] = tuple(t for t in tokens(w) if t in wanted)
-                    held.update(hit)
-                for t in held:
-                    counts[t] = counts.get(t, 0) + 1
+        texts = (raw for batch in batches for i in range(0, batch.num_rows, 200)
+                 for raw in batch.slice(i, 200).column("text").to_pylist())
+        for raw in texts:
+            own = set(find_words(raw))
+            counts[None] += len(own)
+            held = set()
+            for w in own:
+                hit = memo.get(w)
+                if hit is None:
+                    if len(memo) >= most:
+                        memo.clear()
+                    hit = memo[w] = tuple(t for t in tokens(w) if t in wanted)
+                held.update(hit)
+            for t in held:
+                counts[t] = counts.get(t, 0) + 1
         yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
     return run
 
@@ -261,6 +271,7 @@ def _score(model: Model, e_value: float):
 def score(docs: DataFrame, model: Model, e_value: float = 0.05, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """row (struct of the columns in ``carry``, doc_id if none are named), n_words, score, passages (start, end in
     words, score, e_value: the ones expected at most ``e_value`` times by chance)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*carried(carry or ["doc_id"]), F.col(text_col).cast("string").cast("binary").alias("text"))
     out = StructType([rows.schema["row"], *_OUT])
     return rows.mapInArrow(_score(model, e_value), out)
