@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -48,6 +49,46 @@ def test_longer_texts_need_more_evidence():
     assert toxicity.p_value([6.0, 6.0], 100, 1.0, 0.1) < one
 
 
+def test_the_sum_tail_is_that_of_random_scores():
+    rng = random.Random(5)
+    sums = []
+    for _ in range(20_000):
+        g, total = 0.0, 0.0
+        for _ in range(6):
+            g += rng.expovariate(1.0)
+            total -= math.log(g)
+        sums.append(total)
+    for t in (-6.0, -3.0, 0.6, 3.0):
+        assert abs(toxicity.sum_tail(6, t) - sum(x >= t for x in sums) / len(sums)) < 0.012
+    for r, t in ((2, 30.0), (5, 60.0)):  # the limit for large sums
+        limit = math.exp(-t + (r - 1) * math.log(t) - math.lgamma(r + 1) - math.lgamma(r))
+        assert abs(toxicity.sum_tail(r, t) / limit - 1) < 0.1
+    tails = [toxicity.sum_tail(60, float(t)) for t in range(-300, 300, 20)]
+    assert all(a >= b >= 0 for a, b in zip(tails, tails[1:])) and tails[0] > 0.999 and tails[-1] < 1e-60
+
+
+def test_every_moderate_passage_of_a_long_text_counts():
+    n, rate, k = 20_000, 1.0, 0.05
+    score = lambda many, over: toxicity.posterior(
+        toxicity.p_value([math.log(k * n) + over] * many, n, rate, k), 0.05)
+    assert score(6, 1.0) < 0.3 < 0.99 < score(20, 1.0) <= score(40, 1.0) <= 1.0
+    assert score(6, 1.7) < score(10, 1.7) and score(10, 1.7) > 0.95
+    assert score(400, 0.5) == 1.0  # no overflow
+    # passages that chance alone brings are no evidence, however many
+    assert score(1, 0.0) < 0.1 and score(3, 0.05) < 0.1 and score(40, -0.5) < 0.1
+
+
+def test_a_long_text_with_many_moderate_passages_is_toxic(spark):
+    model = toxicity.Model(scores={"slur": 4.0}, drift=0.05, rate=1.0, k=0.05, prior=0.05)
+    def text(many, words=600, filler="plain"):
+        return " ".join(" ".join(["slur"] + [filler] * (words // many - 1)) for _ in range(many))
+    one = toxicity.segments([(0, 4.0)], 0.05)[0][2]
+    assert one - math.log(0.05 * 600) > 0
+    docs = spark.createDataFrame([(m, text(m)) for m in (1, 5, 20)], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[1] < 0.3 < got[20]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r["doc_id"]: r for r in queries.op7_toxicity(spark, sf).collect()}

@@ -14,7 +14,8 @@ Scoring: one scan per text (Ruzzo-Tompa, linear in the telling words) finds
 every maximal scoring segment. With the word scores of the clean labelled
 texts as background, lambda solves E[exp(lambda s)] = 1, a segment of score S in
 a text of n words is expected K n exp(-lambda S) times by chance, and the best r
-segments are aggregated by the sum statistic, corrected for the choice of r.
+segments are aggregated by the sum statistic, corrected for the choice of r; r
+takes in every segment expected less than once by chance, however many.
 The text's p-value becomes a score through the prior share of toxic texts and
 the largest evidence a p-value can stand for: odds against = -e p log p.
 
@@ -221,19 +222,42 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     return [(int(x[0]), int(x[1]), x[3] - x[2]) for x in stack]
 
 
-def p_value(scores: list[float], n: int, rate: float, k: float, most: int = 5) -> float:
+def sum_tail(r: int, total: float) -> float:
+    """Chance that the r best normalised segment scores of a random text sum to ``total`` or more.
+
+    The scores x are the points of a Poisson process of rate exp(-x). Given g, the expected number of points above
+    the r-th best (a gamma variable of shape r), the others exceed it by r - 1 exponential variables, so the chance
+    is the mean over g of the gamma tail Q(r - 1, total + r log g). The usual exp(-t) t^(r-1) / (r! (r-1)!) is its
+    limit for a large t and far too small for many moderate scores.
+    """
+    if r == 1:
+        return -math.expm1(-math.exp(min(700.0, -total)))
+    import numpy as np
+    # the integrand is negligible outside: it rises to at most its value at log g = -total / r and is log-concave
+    u = np.linspace(min(math.log(r), -total / r) - 40 / r - 4 / math.sqrt(r), math.log(r + 12 * math.sqrt(r) + 40), 600)
+    z = np.maximum(0.0, total + r * u)
+    log_z = np.log(np.maximum(z, 1e-300))
+    term, tail = -z, np.where(z > 0, -z, 0.0)  # logs of exp(-z) z^j / j! and of their sum
+    for j in range(1, r - 1):
+        term = term + log_z - math.log(j)
+        tail = np.logaddexp(tail, term)
+    f = np.exp(r * u - np.exp(u) - math.lgamma(r) + np.where(z > 0, tail, 0.0))
+    return min(1.0, float((f[1:] + f[:-1]).sum() * (u[1] - u[0]) / 2))
+
+
+def p_value(scores: list[float], n: int, rate: float, k: float) -> float:
     """Chance of the best segment scores in a random text of n words: the smallest over r of the sum statistic of
-    the r best, times 2^r for having chosen r."""
+    the r best, times 2^r for having chosen r. r runs over every segment expected less than once by chance; it ends
+    early only where the chance is so small that the score is 1 already."""
     best, total = 1.0, 0.0
-    for r, s in enumerate(sorted(scores, reverse=True)[:most], 1):
-        total += rate * s - math.log(max(k * n, 1e-9))
-        if r == 1:
-            p = -math.expm1(-math.exp(min(700.0, -total)))
-        elif total <= 0:
+    chance = math.log(max(k * n, 1e-9))
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
+        if rate * s <= chance and r > 1:
+            break
+        total += rate * s - chance
+        best = min(best, sum_tail(r, total) * 2.0 ** r)
+        if best < 1e-30:
             break
-        else:
-            p = math.exp(-total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r))
-        best = min(best, p * 2 ** r)
     return best
 
 
