@@ -1,4 +1,6 @@
+import random
 import re
+import textwrap
 
 import pytest
 
@@ -64,3 +66,44 @@ def test_words_are_ordered_by_the_documents_that_hold_them(spark):
     docs = spark.createDataFrame([(1, "a a a b"), (2, "a c"), (3, "a b c"), (4, None)], "doc_id long, text string")
     assert licenses.word_order(docs, ["a", "b", "c", "d"]) == ["d", "b", "c", "a"]
     assert re.match("mit", licenses.PHRASES[0][1])
+
+
+def test_notices_are_found_however_lines_are_broken(spark, monkeypatch):
+    long = [(label, t) for label, t in licenses.TEMPLATES if len(t) > 100]
+    assert {label for label, _ in long} == {"mit", "apache-2", "bsd", "gpl", "isc"}
+    filler = "lorem ipsum dolor sit amet " * 40
+    shapes = {"one line": lambda t: filler + t + " " + filler,
+              "wrapped": lambda t: "\n".join(textwrap.wrap(filler + t + " " + filler, 78)),
+              "comment": lambda t: filler + "\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 30)),
+              "a word a line": lambda t: "\r\n".join((filler + t).split())}
+    texts = [(label, shape(t)) for label, t in long for shape in shapes.values()]
+    texts += [("all-rights-reserved", "x\nCopyright (c) 2015 The Regents of the University of California. All rights reserved.\nx")]
+    texts += [("apache-2", "mit\nLicensed under the Apache\nLicense, Version 2.0")]
+    # the words of a notice far from each other are no notice, on one line or on many
+    far = [" ".join(w + " " + filler for w in "copyright all rights reserved".split()),
+           "\n".join(w + " " + filler for w in licenses.template_words(long[0][1]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate([*texts, *(("", t) for t in far)])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(monkeypatch, spark, docs)}
+    for i, (label, _) in enumerate(texts):
+        assert got[i]["labels"] == label and got[i]["score"] >= 0.9
+    for i in range(len(texts), len(texts) + len(far)):
+        assert got[i]["labels"] == "" and got[i]["score"] == 0.0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 1.0])
+def test_every_window_is_looked_at(spark, threshold):
+    templates = [("a", "alpha beta gamma delta"), ("b", "beta gamma epsilon beta"), ("c", "zeta")]
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", *["x"] * 30]) + rng.choice(["", "\n"])
+                      for _ in range(rng.randint(0, 120))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (set(r["matched"]), r["containment"]) for r in licenses.scan(docs, templates=templates, threshold=threshold).collect()}
+    for i, text in enumerate(texts):
+        w, want = text.split(), {}
+        for label, t in templates:
+            own, (across, within) = set(t.split()), licenses.reach(t, threshold)
+            blocks = [(w, across), *((line.split(), within) for line in text.split("\n"))]
+            best = max((len(own & set(x[k:k + n])) / len(own) for x, n in blocks for k in range(len(x))), default=0.0)
+            if best and best >= threshold:
+                want[label] = best
+        assert got[i] == (set(want), max(want.values(), default=0.0))

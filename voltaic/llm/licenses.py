@@ -1,6 +1,14 @@
 """Operator 5: license scan by an exact set-similarity join (DataFrame functions only).
 
-``matches`` finds every text block (line) that holds at least ``threshold`` of
+``scan`` looks for license notices wherever lines are broken: a block is any run
+of at most words / threshold consecutive words (of the template's length, so to
+say), or a longer run within one line, up to twice the template's words and 16
+more (names, years). A template matches where a block holds at least
+``threshold`` of its distinct words. A best block can be moved on to its first
+template word without loss, so only blocks that start at one are built, and only
+in texts that pass the filters below as a whole; the scan is exact.
+
+``matches`` is the join for given blocks: it finds every line that holds at least ``threshold`` of
 a license template's distinct words. Words are put in one global order, rarest
 first by the number of documents that hold them; a block can only reach the
 threshold if it holds one of the template's first ``|t| - need + 1`` words
@@ -29,7 +37,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaic.llm.common import WORD_PATTERN, stored, words
+from voltaic.llm.common import WORD_PATTERN, words
 from voltaic.llm.winnow import let
 
 # FIXED VALUES: phrases of the contract and their labels
@@ -119,10 +127,50 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, id_col
             .distinct())
 
 
-def phrases(docs: DataFrame, wanted=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_words, places: array of (label, start, end) in words, of every place of a phrase."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def reach(text: str, threshold: float = 0.9) -> tuple[int, int]:
+    """Words that a block of this template may have: across line breaks, within a line."""
+    n = len(re.findall(WORD_PATTERN, text.lower()))
+    return int(n / threshold + 1e-9), 2 * n + 16
 
+
+def _notices(templates, threshold: float, order: list[str]):
+    """words, text -> array of (label, share) of the templates that some block of the text matches, by the best block."""
+    rank = {w: i for i, w in enumerate(order)}
+    listed = []
+    for label, text in templates:
+        own = sorted(template_words(text), key=rank.get)
+        need = max(1, math.ceil(threshold * len(own) - 1e-9))
+        listed.append(F.struct(F.lit(label).alias("label"), _literal(own).alias("own"),
+                               _literal(own[:len(own) - need + 1]).alias("prefix"), F.lit(need).alias("need"),
+                               *[F.lit(n).alias(k) for k, n in zip(("across", "within"), reach(text, threshold), strict=True)]))
+    fixed, vocabulary = F.array(*listed), _literal(order)
+
+    def held(w: Column, own: Column, reach: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(own, F.get(w, i)))
+        return F.coalesce(F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(own, F.slice(w, i + 1, reach))))), F.lit(0))
+
+    def of(w: Column, text: Column) -> Column:
+        def best(t: Column, lines: Column) -> Column:
+            return F.greatest(held(w, t["own"], t["across"]), F.array_max(F.transform(lines, lambda x: held(x, t["own"], t["within"]))))
+
+        def shares(some: Column) -> Column:
+            lines = F.filter(F.transform(F.split(text, "\n", -1), words), lambda x: F.size(x) > 0)
+            every = let(lines, lambda x: F.transform(some, lambda t: F.struct(
+                t["label"].alias("label"), best(t, x).alias("common"), t["need"].alias("need"), F.size(t["own"]).alias("size"))))
+            return F.transform(F.filter(every, lambda b: b["common"] >= b["need"]),
+                               lambda b: F.struct(b["label"].alias("label"), (b["common"] / b["size"]).alias("share")))
+
+        def found(known: Column) -> Column:
+            some = F.filter(fixed, lambda t: F.arrays_overlap(t["prefix"], known)
+                            & (F.size(F.array_intersect(t["own"], known)) >= t["need"]))
+            return let(some, lambda x: F.when(F.size(x) > 0, shares(x)).otherwise(none))
+        none = F.array().cast("array<struct<label:string,share:double>>")
+        return let(F.array_intersect(vocabulary, w), lambda known: F.when(F.size(known) > 0, found(known)).otherwise(none))
+    return of
+
+
+def _places(wanted):
+    """words -> struct of n_words and places, array of (label, start, end) of every place of a phrase."""
     def places(w: Column) -> Column:
         out = []
         for phrase, label in wanted:
@@ -140,17 +188,24 @@ def phrases(docs: DataFrame, wanted=PHRASES, id_col: str = "doc_id", text_col: s
             none = F.array().cast("array<struct<label:string,start:int,end:int>>")
             out.append(F.when((F.size(w) >= len(tokens)) & F.array_contains(w, rarest), hits).otherwise(none))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.concat(*out).alias("places"))
+    return places
+
+
+def phrases(docs: DataFrame, wanted=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_words, places: array of (label, start, end) in words, of every place of a phrase."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                       let(words(text), places).alias("r")).select("doc_id", "text_hash", "r.n_words", "r.places")
+                       let(words(text), _places(wanted)).alias("r")).select("doc_id", "text_hash", "r.n_words", "r.places")
 
 
 def scan(docs: DataFrame, wanted=PHRASES, templates=TEMPLATES, threshold: float = 0.9, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """One row per document: its phrase places, and label and containment of the templates its blocks match."""
-    found = matches(docs, templates, threshold, id_col, text_col)
-    per_doc = stored(found.groupBy(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
-                     .agg(F.collect_set("label").alias("matched"), F.max("containment").alias("containment")), "license-matches")
-    own = phrases(docs, wanted, id_col, text_col)
-    return (own.join(per_doc, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")), "left")
-            .select("doc_id", "n_words", "places", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"),
-                    F.coalesce("containment", F.lit(0.0)).alias("containment")))
+    order = word_order(docs, sorted({w for _, text in templates for w in template_words(text)}), text_col)
+    places, notices = _places(wanted), _notices(templates, threshold, order)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    both = let(words(text), lambda w: F.struct(places(w).alias("p"), notices(w, text).alias("found")))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), both.alias("r"))
+            .select("doc_id", "r.p.n_words", "r.p.places",
+                    F.array_distinct(F.transform("r.found", lambda f: f["label"])).alias("matched"),
+                    F.coalesce(F.array_max(F.transform("r.found", lambda f: f["share"])), F.lit(0.0)).alias("containment")))
