@@ -42,6 +42,25 @@ def test_damaged_json_fails_or_is_quarantined(spark, tmp_dir):
     assert kept == {("lines.json", 0): '{"a": "1"', ("cut.json", 0): '[{"a": "5"}, {"a": '}
 
 
+def test_mostly_damaged_json_lines_lose_nothing(spark, tmp_dir):
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType([StructField("a", StringType())])
+    root, q = os.path.join(tmp_dir, "m"), os.path.join(tmp_dir, "q")
+    files_ = {"first.json": '{"a": "1"}\n{"a": "2"}\n{"a": "3"\n{"a": \ncut"}\n', "later.json": '{"a": "4"\n{"a": \n{"a": "5"}\n',
+              "after.json": '{"a": "6"} {"a": "7"}', "closed.json": '{"a": "8"}] x', "array.json": '[{"a": "9"}]\n]',
+              "pretty.json": '[\n{"a": "10"},\n{"a": "11"}\n]', "object.json": '{\n "a": "12"\n}\n', "cut.json": '[\n{"a": "13"},\n{"a": "14"}\n'}
+    for name, text in files_.items():
+        write(f"{root}/{name}", text)
+    for name in ("first", "after"):
+        with pytest.raises(Exception, match="damaged JSON"):
+            files.read_bronze_json(spark, root, schema, glob=f"{name}.json").collect()
+    good = files.read_bronze_json(spark, root, schema, on_damage="quarantine", quarantine=q)
+    assert sorted(int(r.a) for r in good.collect()) == [1, 2, 5, 10, 11, 12]
+    kept = sorted((os.path.basename(r._file), r.text) for r in spark.read.parquet(q).collect())
+    assert kept == sorted([("first.json", '{"a": "3"'), ("first.json", '{"a": '), ("first.json", 'cut"}'), ("later.json", '{"a": "4"'),
+                           ("later.json", '{"a": '), *((n, files_[n]) for n in ("after.json", "closed.json", "array.json", "cut.json"))])
+
+
 def test_capacity_files_are_read_by_their_own_headers(spark, tmp_dir):
     root = os.path.join(tmp_dir, "c")
     write(f"{root}/a.csv", "code_insee_region;filiere;puissance\n11;Éolien;1,5\n")

@@ -16,17 +16,23 @@ def _bronze_records(spark: SparkSession, path: str, schema: StructType, glob: st
            .option("pathGlobFilter", glob).text(path, wholetext=True)
            .select(F.col("value"), F.col("_metadata.file_path").alias("_file")))
     txt = F.ltrim(F.col("value"))
-    valid = lambda c: F.get_json_object(c, "$").isNotNull()  # noqa: E731 - NULL for damaged or cut JSON
+    # one JSON value and nothing after it: a parser that stops at the end of the first value takes neither wrapping
+    valid = lambda c: (F.get_json_object(F.concat(F.lit("["), c, F.lit("]")), "$").isNotNull()
+                       & F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$").isNotNull())
     part = lambda rec, text: F.struct(rec.alias("rec"), text.alias("raw"))
     none = F.lit(None).cast(schema)
     whole = F.array(part(none, F.col("value")))
     arr = F.transform(F.from_json("value", ArrayType(schema)), lambda r: part(r, F.lit(None).cast("string")))
     env = F.transform(F.from_json("value", StructType([StructField("records", ArrayType(schema))]))["records"],
                       lambda r: part(r, F.lit(None).cast("string")))
-    # JSON Lines (Spark's own landing format): at least half of the lines are objects of their own; each line counts for itself
+    # JSON Lines (Spark's own landing format) by their shape: no single value, and the first line is an object of its own, or
+    # all lines open one and some are whole, or half of them are whole; each line counts for itself
     lines = F.filter(F.split(F.col("value"), "\r?\n"), lambda x: F.trim(x) != "")
-    whole_line = lambda x: F.startswith(F.trim(x), F.lit("{")) & F.endswith(F.trim(x), F.lit("}")) & valid(x)
-    is_lines = (F.size(lines) > 1) & (2 * F.size(F.filter(lines, whole_line)) >= F.size(lines))
+    opens = lambda x: F.startswith(F.trim(x), F.lit("{"))
+    whole_line = lambda x: opens(x) & F.endswith(F.trim(x), F.lit("}")) & valid(x)
+    is_lines = (F.size(lines) > 1) & ~valid(F.col("value")) & (
+        whole_line(F.get(lines, F.lit(0))) | (F.forall(lines, opens) & F.exists(lines, whole_line))
+        | (2 * F.size(F.filter(lines, whole_line)) >= F.size(lines)))
     per_line = F.transform(lines, lambda x: part(F.when(whole_line(x), F.from_json(x, schema)), x))
     one = F.array(part(F.from_json("value", schema), F.lit(None).cast("string")))
     recs = (F.when(F.size(lines) == 0, F.slice(whole, 1, 0))
@@ -49,7 +55,7 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
     keep-last. A missing path raises; an empty directory gives an empty frame.
 
     Nothing is lost silently: with ``on_damage="fail"`` a file (or a line of JSON
-    Lines) that is no JSON ends the read with an error naming the file; with
+    Lines) that is no JSON, or holds anything after its value, ends the read with an error naming the file; with
     ``"quarantine"`` the damaged texts are appended whole to ``quarantine``
     (file, position, text) and the good records are returned.
 
