@@ -190,3 +190,16 @@ def test_shared_folder_rule(spark, monkeypatch):
     session.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: {"spark.master": "local-cluster[3,2,1000]"}.get(k, d))})
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(session)
+
+
+def test_a_hot_region_has_many_payloads_of_bounded_size(spark):
+    from voltaic.plans import catalog
+    root = catalog._mixed_bronze(spark, SMOKE, block=100)
+    events = spark.read.parquet(f"{SMOKE}/events.parquet").withColumn("slot", F.floor(F.col("event_id") / 100))
+    for kind, event in (("array", "view"), ("envelope", "purchase"), ("cut", "error")):
+        values = [v for v in (open(f).read() for f in glob.glob(f"{root}/{kind}/**/*.txt".removeprefix("file:"), recursive=True)) if v.strip()]
+        want = events.where(F.col("event_type") == event)
+        assert len(values) == want.select("user_id", "slot").distinct().count() > want.select("user_id").distinct().count()
+        if kind != "cut":
+            assert sum(v.count('"load_ordinal"') for v in values) == want.count()
+        assert max(v.count('"load_ordinal"') for v in values) <= 100

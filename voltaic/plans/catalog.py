@@ -956,22 +956,23 @@ def s01(spark, d):
     return F_.read_bronze_json(spark, root, _RAW_SCHEMA).drop("_file", "_pos")
 
 
-def _mixed_bronze(spark, d) -> str:
-    """Readings landed in every shape the feed has: JSON Lines (click), one array per region (view), one envelope per
-    region (purchase), JSON Lines with cut lines ('ND' signups), and arrays cut in half (error)."""
+def _mixed_bronze(spark, d, block: int = 100_000) -> str:
+    """Readings landed in every shape the feed has: JSON Lines (click), arrays per region (view), envelopes per region
+    (purchase), JSON Lines with cut lines ('ND' signups), and arrays cut in half (error). A payload holds a region's
+    readings out of ``block`` consecutive event ids, so none grows with a hot region."""
     root = scratch_path(spark, "s01-mixed")
     raw = S.raw_readings(spark, d)
     body = F.to_json(F.struct(*raw.columns))
     own = {e: F.col(c).isNotNull() for e, c in S.EVENT_COLUMN}
     raw.where(own["click"]).select(body.alias("value")).write.text(f"{root}/lines")
     for kind, event in (("array", "view"), ("envelope", "purchase"), ("cut", "error")):
-        per = raw.where(own[event]).groupBy("code_insee_region").agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
+        slot = F.floor(F.col("load_ordinal") / block).alias("slot")
+        per = raw.where(own[event]).groupBy("code_insee_region", slot).agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
         text = F.to_json(F.struct(F.col("r").alias("records"))) if kind == "envelope" else F.to_json("r")
         if kind == "cut":
             text = F.substring(text, F.lit(1), (F.char_length(text) / 2).cast("int"))
         # one value per file, as the feed lands one payload per file
-        (per.select(F.col("code_insee_region").alias("part"), text.alias("value")).repartition("part")
-            .write.partitionBy("part").text(f"{root}/{kind}"))
+        per.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/{kind}")
     cut = F.when(F.col("hydraulique") == "ND", F.substring(body, F.lit(1), F.char_length(body) - 5)).otherwise(body)
     raw.where(own["signup"]).select(cut.alias("value")).write.text(f"{root}/damaged")
     return root
@@ -990,11 +991,15 @@ def s01_mixed(spark, d):
 WHERE hydraulique = 'ND'
 UNION ALL SELECT 'cut file', COUNT(DISTINCT code_insee_region) FROM raw_readings WHERE gaz IS NOT NULL""")
 def s01_quarantine(spark, d):
-    """Damaged texts kept whole in the quarantine, by kind."""
+    """Damaged texts kept whole in the quarantine: cut lines, and the regions of cut files (a region's readings can be
+    several files)."""
     q = scratch_path(spark, "s01-quarantine")
     F_.read_bronze_json(spark, _mixed_bronze(spark, d), _RAW_SCHEMA, on_damage="quarantine", quarantine=q, glob="*.txt")
     kind = F.when(F.startswith("text", F.lit("[")), "cut file").otherwise("cut line")
-    return spark.read.parquet(q).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("texts"))
+    region = F.when(kind == "cut file", F.regexp_extract("text", '"code_insee_region":"([^"]*)"', 1))
+    texts = spark.read.parquet(q).groupBy(kind.alias("kind"), region.alias("region")).agg(F.count(F.lit(1)).alias("n"))
+    counted = F.when(F.col("kind") == "cut line", F.col("n")).otherwise((F.col("region") != "").cast("long"))
+    return texts.groupBy("kind").agg(F.sum(counted).alias("texts"))
 
 
 def _capacity_csv(spark, d, sep, names=None):
