@@ -1,11 +1,12 @@
-"""The ten operators bound to the driver's tables: ``opN_<name>`` queries over whole tables, and their DuckDB SQL."""
+"""The operators bound to the driver's tables: ``opN_<name>`` queries over whole tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltaic.llm import bpe, licenses, line_runs, prefix_hash, quality, simhash, token_files, toxicity, warc, winnow
+from voltaic.llm import (bpe, collocations, filter_audit, licenses, line_runs, prefix_hash, quality, simhash, token_files, toxicity,
+                         url_templates, warc, winnow)
 from voltaic.llm.common import LOWER, UPPER, WORD_PATTERN, stored, table
 from voltaic.session import scratch_path
 
@@ -110,8 +111,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, subsume_percent=50, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# FIXED VALUES: rules of the contract
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # rules label whole branches, not a random part of each: a template needs labels on half of its pages
+    judged = url_templates.decide(table(spark, sf_dir, "pages"), URL_RULES, carry=["page_id"], min_labelled=0.5)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_byte_bpe, op4_simhash, op5_licenses, op6_quality, op7_toxicity,
-                                   op8_decontaminate, op9_prefix_fingerprints, op10_line_dedup)}
+                                   op8_decontaminate, op9_prefix_fingerprints, op10_line_dedup, op11_collocations, op12_url_filters,
+                                   op13_filter_audit)}
 
 # --- DuckDB SQL ---------------------------------------------------------------------------------------------------
 
@@ -195,4 +216,57 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.key)::BIGINT AS n_dropp
 FROM line LEFT JOIN common ON line.key = common.key GROUP BY r, doc_id"""
 
 
-ORACLE_SQL = {"op2_warc": _op2_sql(), "op5_licenses": _op5_sql(), "op8_decontaminate": _op8_sql(), "op10_line_dedup": _op10_sql()}
+def _op11_sql() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT r, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:(i + m - 1)], ' '))) AS phrase
+      FROM (SELECT *, unnest([1, 2, 3]) AS m FROM w) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+cut AS (SELECT *, array_to_string(w[1:k], ' ') AS first, array_to_string(w[(k + 1):], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.m, cut.phrase, a, k, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f * y.f) AS score
+      FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = first JOIN f AS y ON y.lang = cut.lang AND y.phrase = rest),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+lo AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3),
+longer AS (SELECT lang, phrase, max(a) AS a FROM lo GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase)
+         WHERE low.m = 3 OR longer.a IS NULL OR 100 * longer.a < 50 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+def _op13_sql() -> str:
+    return f"""
+WITH lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT documents.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM documents LEFT JOIN lab ON documents.doc_id = lab.doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+x AS (SELECT part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+             100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+             coalesce(doc_id > first, false)] AS fails FROM w),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+l AS (SELECT unnest(string_split('ABCDE', '')) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+step AS (SELECT filter_order, step, filter_order[step] AS f, strpos('ABCDE', filter_order[step]) AS bit,
+                list_transform(range(1, step), lambda j: strpos('ABCDE', filter_order[j])) AS before FROM o, range(1, 6) AS k(step)),
+e AS (SELECT part, filter_order, step, f, n, good, toxic, fails[bit] AS fail,
+             len(list_filter(before, lambda b: fails[b])) > 0 AS gone, len(list_filter(fails, lambda y: y)) AS n_fails
+      FROM m, step),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fail), 0) AS kept,
+             coalesce(sum(n) FILTER (WHERE NOT gone AND fail), 0) AS removed, coalesce(sum(n) FILTER (WHERE gone AND fail), 0) AS redundant,
+             coalesce(sum(n) FILTER (WHERE fail AND n_fails = 1), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE NOT gone AND fail), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (WHERE NOT gone AND fail), 0) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r"""
+
+
+ORACLE_SQL = {"op11_collocations": _op11_sql(), "op13_filter_audit": _op13_sql(), "op2_warc": _op2_sql(), "op5_licenses": _op5_sql(), "op8_decontaminate": _op8_sql(), "op10_line_dedup": _op10_sql()}
