@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
 from test_plans import plan
-from voltaic.functions.columns import canonical_region_code, parse_mw, safe_double
+from voltaic.functions.columns import canonical_region_code, kw_to_mw, parse_mw, safe_double
 from voltaic.operators import joins as J
 from voltaic.operators import upsert as U
 from voltaic.plans import silver
@@ -61,6 +61,40 @@ def test_mostly_damaged_json_lines_lose_nothing(spark, tmp_dir):
                            ("later.json", '{"a": '), *((n, files_[n]) for n in ("after.json", "closed.json", "array.json", "cut.json"))])
 
 
+def test_every_element_of_a_payload_is_judged_alone(spark, tmp_dir):
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+    schema = StructType([StructField("a", StringType()), StructField("x", DoubleType()), StructField("n", LongType())])
+    root, q = os.path.join(tmp_dir, "e"), os.path.join(tmp_dir, "q")
+    texts = {"array": '[{"a":"1","x":1.5}, 5]', "envelope": '{"records":[{"a":"2"},7,null,"t",[1]]}', "number": '{"records":5}',
+             "scalar": "42", "null": "null", "cell": '[{"a":"3","x":"abc","n":true},{"a":"4","x":"2.5","n":4}]', "none": "[]",
+             "nulls": '{"a":null,"x":null,"more":{"y":1}}', "twice": '{"a":"5","a":"6"}', "no": '{"records":null}',
+             "lines": '{"a":"7"}\n{"records":[{"a":"8"},{"a":"9","n":"1.x"}]}\n{"a":"10","x":1e3}\n'}
+    for name, text in texts.items():
+        write(f"{root}/{name}.json", text)
+        if name not in ("none", "nulls"):
+            with pytest.raises(Exception, match="damaged JSON"):
+                files.read_bronze_json(spark, root, schema, glob=f"{name}.json").collect()
+    rows = files.read_bronze_json(spark, root, schema, on_damage="quarantine", quarantine=q)
+    got = sorted(((os.path.basename(r._file)[:-5], r._pos % 2**32, r.a, r.x, r.n) for r in rows.collect()), key=str)
+    assert got == sorted([("array", 0, "1", 1.5, None), ("envelope", 0, "2", None, None), ("cell", 1, "4", 2.5, 4), ("nulls", 0, None, None, None),
+                          ("lines", 0, "7", None, None), ("lines", 0, "8", None, None), ("lines", 0, "10", 1000.0, None)], key=str)
+    kept = sorted((os.path.basename(r._file)[:-5], r.text, r.reason) for r in spark.read.parquet(q).collect())
+    assert kept == sorted([("array", "5", "no object"), *(("envelope", t, "no object") for t in ("7", "null", '"t"', "[1]")),
+                           ("number", texts["number"], "records is no array"), ("no", texts["no"], "records is no array"),
+                           ("scalar", "42", "no object"), ("null", "null", "no object"), ("twice", texts["twice"], "no JSON"),
+                           ("cell", '{"a":"3","n":true,"x":"abc"}', "unreadable: x"), ("lines", '{"a":"9","n":"1.x"}', "unreadable: n")])
+    order = [r._pos for r in rows.where("_file LIKE '%lines.json'").orderBy("_pos").collect()]
+    assert len(set(order)) == 3
+
+
+def test_payloads_are_parsed_once(spark, tmp_dir):
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType([StructField("a", StringType())])
+    write(f"{tmp_dir}/p/x.json", '[{"a":"1"},2]')
+    rows = files.read_bronze_json(spark, f"{tmp_dir}/p", schema, on_damage="quarantine", quarantine=f"{tmp_dir}/q")
+    assert "parse_json" not in plan(rows) and "Generate" not in plan(rows)
+
+
 def test_capacity_files_are_read_by_their_own_headers(spark, tmp_dir):
     root = os.path.join(tmp_dir, "c")
     write(f"{root}/a.csv", "code_insee_region;filiere;puissance\n11;Éolien;1,5\n")
@@ -70,6 +104,50 @@ def test_capacity_files_are_read_by_their_own_headers(spark, tmp_dir):
     assert got == [("11", "Éolien", "1,5", None), ("84", "Gaz, vapeur", "2.5", "x"), ("93", "two\nlines", "3", None)]
 
 
+def test_wide_files_are_read_and_landed_whole(spark, tmp_dir):
+    root, land = os.path.join(tmp_dir, "w"), os.path.join(tmp_dir, "l")
+    names = [f"c{i}" for i in range(300)] + ["Code_Insee_Region", "puissance_installee_mw"]
+    write(f"{root}/wide.csv", ",".join(names) + "\n" + ",".join(str(i) for i in range(302)) + "\n")
+    got = files.read_capacity_csv(spark, root).drop("_file", "_row").first().asDict()
+    assert got == {n.lower(): str(i) for i, n in enumerate(names)}
+    assert [(r.status, r.rows, r.error) for r in files.validate_and_route_csv(spark, root, landing=land).collect()] == [("PASS", 1, None)]
+    assert spark.read.parquet(land).drop("_file").first().asDict() == got
+
+
+def test_repeated_header_cells_and_records_wider_than_their_header(spark, tmp_dir):
+    root, land = os.path.join(tmp_dir, "r"), os.path.join(tmp_dir, "l")
+    write(f"{root}/twice.csv", "a;A; a ;b;;code_insee_region;puissance_installee_mw\n1;2;3;4;5;6;7\n8\n")
+    rows = files.read_capacity_csv(spark, root).orderBy("_row").collect()
+    assert [(r.a, r.a_2, r.a_3, r.b, r.column_5) for r in rows] == [("1", "2", "3", "4", "5"), ("8", None, None, None, None)]
+    st = files.validate_and_route_csv(spark, root, landing=land, sep=";").first()
+    assert (st.status, st.error, st.rows) == ("PASS", "repeated columns: a", 2) and spark.read.parquet(land).count() == 2
+    write(f"{root}/wide.csv", 'code_insee_region;puissance_installee_mw\n1;"2;x"\n3;4;"5;;";6\n')
+    with pytest.raises(Exception, match="more cells than the header in .*wide.csv"):
+        files.read_capacity_csv(spark, root).collect()
+    files.validate_and_route_csv(spark, root, landing=f"{land}2", sep=";")
+    kept = spark.read.parquet(f"{land}2").where("_file LIKE '%wide.csv'").orderBy("code_insee_region").collect()
+    assert [(r.code_insee_region, r.puissance_installee_mw, (r._beyond or "").strip()) for r in kept] == [("1", "2;x", ""), ("3", "4", '3;4;"5;;";6')]
+
+
+def test_headers_behind_blank_records_and_over_several_lines(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "h")
+    write(f"{root}/late [1].csv", ' ; \n;;\n\ncode;n\n1;2\n \n;\n3;4\n')
+    write(f"{root}/open.csv", '"co\nde";"n;m"\n5;"6\n7"\n')
+    write(f"{root}/blank.csv", " \n;;\n")
+    rows = files.read_capacity_csv(spark, root, sep=";")
+    got = sorted((r["code"] or r["co\nde"], r["n"] or r["n;m"]) for r in rows.collect())
+    assert got == [("1", "2"), ("3", "4"), ("5", "6\n7")]
+
+
+def test_files_of_one_header_are_parsed_once(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "o")
+    for i in range(4):
+        write(f"{root}/{i}.csv", f"code_insee_region,puissance_installee_mw\n{i},1\n")
+    assert plan(files.read_capacity_csv(spark, root), "simple").count("FileScan csv") == 1
+    assert plan(files.validate_and_route_csv(spark, root), "simple").count("FileScan csv") == 1
+    assert "FileScan csv" not in plan(files.validate_and_route_csv(spark, root, landing=f"{tmp_dir}/l"), "simple")
+
+
 def test_validation_reads_csv_records_and_keeps_bad_files(spark, tmp_dir):
     root, q = os.path.join(tmp_dir, "v"), os.path.join(tmp_dir, "q")
     write(f"{root}/quoted.csv", '"code_insee_region","puissance_installee_mw","note"\n11,2,"two\nlines"\n')
@@ -99,11 +177,14 @@ def test_open_rows_and_nested_tags_in_pages(spark):
 
 
 @pytest.mark.parametrize("text,number", [("100d", None), ("0x1p3", None), ("1f", None), (" 12.5 ", 12.5), ("1e3", 1000.0), ("-.5", -0.5),
-                                         ("nan", None), ("", None), ("ND", None)])
+                                         ("nan", None), ("", None), ("ND", None), ("\t12", 12.0), ("12\u00a0", 12.0), ("\u2003-3.5\r\n", -3.5),
+                                         ("1 2", None), ("\x1c7\x85", 7.0)])
 def test_numbers_are_what_python_reads(spark, text, number):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(safe_double("t")).first()[0] == number
-    assert df.select(parse_mw("t")).first()[0] == (number or 0.0)
+    assert df.select(parse_mw("t")).first()[0] == (12.0 if text == "1 2" else number or 0.0)
+    assert df.select(kw_to_mw("t")).first()[0] == (None if number is None else number / 1000.0)
+    assert df.select(canonical_region_code("t")).first()[0] == (None if number is None or not int(number) else str(int(number)))
 
 
 def test_region_codes_never_end_the_job(spark):

@@ -93,6 +93,10 @@ FILIERE_MAP = {
     "bioénergie": "bioenergies",
 }
 
+# Unicode white space, as text cells are stripped of it.
+WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # Accent folding applied to capacity-register column names.
 NAME_ACCENT_FOLD = {"é": "e", "è": "e", "ê": "e", "â": "a", "î": "i"}
 

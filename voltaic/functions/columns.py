@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voltaic.constants import NAME_ACCENT_FOLD
+from voltaic.constants import NAME_ACCENT_FOLD, WHITE_SPACE
 
 __all__ = [
     "as_col", "safe_double", "parse_utc", "clean_text", "wind_speed", "kelvin_to_celsius",
     "parse_mw", "canonical_region_code", "kw_to_mw", "js_round", "nan_to_null",
-    "end_of_day_bound", "normalize_name", "json_safe",
+    "end_of_day_bound", "normalize_name", "json_safe", "strip_ws",
 ]
 
 
@@ -18,6 +18,11 @@ def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip_ws(c) -> Column:
+    """Both ends without any Unicode white space (``trim`` takes blanks only)."""
+    return F.btrim(as_col(c), F.lit(WHITE_SPACE))
+
+
 def nan_to_null(c) -> Column:
     """NaN -> NULL (Spark orders NaN above every number and sums propagate it)."""
     return F.nanvl(as_col(c), F.lit(None).cast("double"))
@@ -25,7 +30,7 @@ def nan_to_null(c) -> Column:
 
 def safe_double(c) -> Column:
     """Value -> text -> trimmed -> double; unparsable text becomes NULL."""
-    return nan_to_null(_try_double(F.trim(as_col(c).cast("string"))))
+    return nan_to_null(_try_double(strip_ws(as_col(c).cast("string"))))
 
 
 def parse_utc(c) -> Column:
@@ -51,7 +56,7 @@ def kelvin_to_celsius(t) -> Column:
 
 def parse_mw(c) -> Column:
     """P10: trim, decimal comma -> dot, blanks removed; unparsable -> 0.0."""
-    txt = F.replace(F.replace(F.trim(as_col(c)), F.lit(","), F.lit(".")), F.lit(" "), F.lit(""))
+    txt = F.replace(F.replace(strip_ws(c), F.lit(","), F.lit(".")), F.lit(" "), F.lit(""))
     return F.coalesce(nan_to_null(_try_double(txt)), F.lit(0.0))
 
 
@@ -65,15 +70,15 @@ def _try_double(c: Column) -> Column:
 
 def canonical_region_code(c) -> Column:
     """P12: '11.0' -> '11'; NULL for blank, unparsable or 0 (caller filters)."""
-    num = _try_double(F.trim(as_col(c).cast("string")))
+    num = _try_double(strip_ws(as_col(c).cast("string")))
     # towards zero, then exact; numbers of more than 38 digits have no code
     code = (num - num % 1).try_cast("decimal(38,0)").cast("string")
     return F.when(num.isNull() | F.isnan(num) | (code == "0"), None).otherwise(code)
 
 
 def kw_to_mw(c) -> Column:
-    """kW text (decimal comma accepted) -> MW; unparsable -> NULL (summed as absent)."""
-    return nan_to_null(_try_double(F.replace(as_col(c).cast("string"), F.lit(","), F.lit(".")))) / 1000.0
+    """kW text (padding and decimal comma accepted) -> MW; unparsable -> NULL (summed as absent)."""
+    return nan_to_null(_try_double(F.replace(strip_ws(as_col(c).cast("string")), F.lit(","), F.lit(".")))) / 1000.0
 
 
 def js_round(c, digits: int = 0) -> Column:

@@ -24,6 +24,7 @@ from voltaic.constants import (
     NATIONAL_BALANCE_TOLERANCE, REGION_BALANCE_TOLERANCE, REGION_CENTROIDS, SOURCES,
 )
 from voltaic.functions.calendar import calendar_parts
+from voltaic.functions import columns as C
 from voltaic.functions.columns import clean_text
 from voltaic.functions.maps import map_as_text
 from voltaic.operators import aggregates as A
@@ -601,6 +602,23 @@ def j06(spark, d):
 # Capacity
 # ---------------------------------------------------------------------------
 
+_PADS = ("\t", "\u00a0", " \r\n", "\u2003", "")
+
+
+@query("p13_padded_cells", """SELECT p_partkey AS load_ordinal, p_retailprice AS safe, p_retailprice AS mw, CAST(p_size AS VARCHAR) AS code,
+  p_retailprice / 1000.0 AS kw_mw FROM part""")
+def p13_padded(spark, d):
+    """Register cells padded with tabs, no-break and other white space read as their numbers."""
+    raw = S.table(spark, d, "part")
+    pad = F.get(F.array(*map(F.lit, _PADS)), (F.col("p_partkey") % len(_PADS)).cast("int"))
+    padded = lambda c: F.concat(pad, c, F.reverse(pad))
+    price, comma = F.col("p_retailprice").cast("string"), F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))
+    return raw.select(F.col("p_partkey").alias("load_ordinal"), C.safe_double(padded(price)).alias("safe"),
+                      C.parse_mw(padded(comma)).alias("mw"),
+                      C.canonical_region_code(padded(F.concat(F.col("p_size").cast("string"), F.lit(".0")))).alias("code"),
+                      C.kw_to_mw(padded(comma)).alias("kw_mw"))
+
+
 @query("a07_capacity_by_region_source", _with(S.SQL_CAPACITY) + "SELECT * FROM capacity")
 def a07(spark, d):
     """Canonical source, region code, kW -> MW, sum per (region, source, year)."""
@@ -957,9 +975,10 @@ def s01(spark, d):
 
 
 def _mixed_bronze(spark, d, block: int = 100_000) -> str:
-    """Readings landed in every shape the feed has: JSON Lines (click), arrays per region (view), envelopes per region
-    (purchase), JSON Lines with cut lines ('ND' signups), and arrays cut in half (error). A payload holds a region's
-    readings out of ``block`` consecutive event ids, so none grows with a hot region."""
+    """Readings landed in every shape the feed has: JSON Lines (click), arrays per region (view) that begin with a
+    number, envelopes per region (purchase) that begin with a text and a null, JSON Lines with cut lines ('ND' signups),
+    and arrays cut in half (error). A payload holds a region's readings out of ``block`` consecutive event ids, so none
+    grows with a hot region."""
     root = scratch_path(spark, "s01-mixed")
     raw = S.raw_readings(spark, d)
     body = F.to_json(F.struct(*raw.columns))
@@ -968,8 +987,13 @@ def _mixed_bronze(spark, d, block: int = 100_000) -> str:
     for kind, event in (("array", "view"), ("envelope", "purchase"), ("cut", "error")):
         slot = F.floor(F.col("load_ordinal") / block).alias("slot")
         per = raw.where(own[event]).groupBy("code_insee_region", slot).agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
-        text = F.to_json(F.struct(F.col("r").alias("records"))) if kind == "envelope" else F.to_json("r")
-        if kind == "cut":
+        text = F.to_json("r")
+        rest = F.substring(text, F.lit(2), F.char_length(text))
+        if kind == "array":
+            text = F.concat(F.lit("[7,"), rest)
+        elif kind == "envelope":
+            text = F.concat(F.lit('{"records":["x",null,'), rest, F.lit("}"))
+        else:
             text = F.substring(text, F.lit(1), (F.char_length(text) / 2).cast("int"))
         # one value per file, as the feed lands one payload per file
         per.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/{kind}")
@@ -987,19 +1011,22 @@ def s01_mixed(spark, d):
                                glob="*.txt").drop("_file", "_pos")
 
 
-@query("s01_quarantine", _with(S.SQL_RAW_READINGS) + """SELECT 'cut line' AS kind, COUNT(*) AS texts FROM raw_readings
+_PAYLOADS = "COUNT(DISTINCT code_insee_region || '/' || (load_ordinal // 100000)) FROM raw_readings WHERE"
+
+
+@query("s01_quarantine", _with(S.SQL_RAW_READINGS) + f"""SELECT 'cut line' AS kind, COUNT(*) AS texts FROM raw_readings
 WHERE hydraulique = 'ND'
-UNION ALL SELECT 'cut file', COUNT(DISTINCT code_insee_region) FROM raw_readings WHERE gaz IS NOT NULL""")
+UNION ALL SELECT 'cut file', {_PAYLOADS} gaz IS NOT NULL
+UNION ALL SELECT 'number', {_PAYLOADS} eolien IS NOT NULL
+UNION ALL SELECT 'text', {_PAYLOADS} solaire IS NOT NULL
+UNION ALL SELECT 'null', {_PAYLOADS} solaire IS NOT NULL""")
 def s01_quarantine(spark, d):
-    """Damaged texts kept whole in the quarantine: cut lines, and the regions of cut files (a region's readings can be
-    several files)."""
+    """Damaged texts kept in the quarantine: cut lines, cut files and the elements of good payloads that are no records."""
     q = scratch_path(spark, "s01-quarantine")
     F_.read_bronze_json(spark, _mixed_bronze(spark, d), _RAW_SCHEMA, on_damage="quarantine", quarantine=q, glob="*.txt")
-    kind = F.when(F.startswith("text", F.lit("[")), "cut file").otherwise("cut line")
-    region = F.when(kind == "cut file", F.regexp_extract("text", '"code_insee_region":"([^"]*)"', 1))
-    texts = spark.read.parquet(q).groupBy(kind.alias("kind"), region.alias("region")).agg(F.count(F.lit(1)).alias("n"))
-    counted = F.when(F.col("kind") == "cut line", F.col("n")).otherwise((F.col("region") != "").cast("long"))
-    return texts.groupBy("kind").agg(F.sum(counted).alias("texts"))
+    kind = (F.when(F.col("reason") == "no JSON", F.when(F.startswith("text", F.lit("[")), "cut file").otherwise("cut line"))
+            .when(F.col("text") == "7", "number").when(F.col("text") == '"x"', "text").when(F.col("text") == "null", "null"))
+    return spark.read.parquet(q).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("texts"))
 
 
 def _capacity_csv(spark, d, sep, names=None):

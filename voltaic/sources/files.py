@@ -3,46 +3,82 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from voltaic.constants import WHITE_SPACE
+from voltaic.functions.columns import normalize_name, strip_ws
+from voltaic.session import scratch_path
+
+
+def _one_value(text: Column) -> Column:
+    """The text as Variant if it is one JSON value and nothing else, or NULL.
+
+    The parser stops behind the first value, so the text is parsed as the first element of an array whose second
+    one is the text's own hash: a text that closes the array early or holds more values does not lead there."""
+    mark = F.xxhash64(text)
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+
+    def first(both: Column) -> Column:
+        whole = (F.try_variant_get(both, "$[1]", "bigint") == mark) & F.try_variant_get(both, "$[2]", "variant").isNull()
+        return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
+    return F.get(F.transform(F.array(parsed), first), F.lit(0))
 
 
 def _bronze_records(spark: SparkSession, path: str, schema: StructType, glob: str) -> DataFrame:
-    """_file, _pos, _rec (struct or NULL), _raw: every record of every JSON file, unreadable ones with a NULL ``_rec``."""
-    raw = (spark.read.option("recursiveFileLookup", True)
-           .option("pathGlobFilter", glob).text(path, wholetext=True)
-           .select(F.col("value"), F.col("_metadata.file_path").alias("_file")))
-    txt = F.ltrim(F.col("value"))
-    # one JSON value and nothing after it: a parser that stops at the end of the first value takes neither wrapping
-    valid = lambda c: (F.get_json_object(F.concat(F.lit("["), c, F.lit("]")), "$").isNotNull()
-                       & F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$").isNotNull())
-    part = lambda rec, text: F.struct(rec.alias("rec"), text.alias("raw"))
-    none = F.lit(None).cast(schema)
-    whole = F.array(part(none, F.col("value")))
-    arr = F.transform(F.from_json("value", ArrayType(schema)), lambda r: part(r, F.lit(None).cast("string")))
-    env = F.transform(F.from_json("value", StructType([StructField("records", ArrayType(schema))]))["records"],
-                      lambda r: part(r, F.lit(None).cast("string")))
+    """_file, _pos, _rec (struct or NULL), _raw (text of what is damaged), _why: every record of every JSON file."""
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+           .select(F.col("value"), F.col("_metadata.file_path").alias("_file"), _one_value(F.col("value")).alias("_whole")))
     # JSON Lines (Spark's own landing format) by their shape: no single value, and the first line is an object of its own, or
     # all lines open one and some are whole, or half of them are whole; each line counts for itself
-    lines = F.filter(F.split(F.col("value"), "\r?\n"), lambda x: F.trim(x) != "")
+    unit = lambda text, v: F.struct(text.alias("text"), v.alias("v"))
     opens = lambda x: F.startswith(F.trim(x), F.lit("{"))
-    whole_line = lambda x: opens(x) & F.endswith(F.trim(x), F.lit("}")) & valid(x)
-    is_lines = (F.size(lines) > 1) & ~valid(F.col("value")) & (
-        whole_line(F.get(lines, F.lit(0))) | (F.forall(lines, opens) & F.exists(lines, whole_line))
-        | (2 * F.size(F.filter(lines, whole_line)) >= F.size(lines)))
-    per_line = F.transform(lines, lambda x: part(F.when(whole_line(x), F.from_json(x, schema)), x))
-    one = F.array(part(F.from_json("value", schema), F.lit(None).cast("string")))
-    recs = (F.when(F.size(lines) == 0, F.slice(whole, 1, 0))
-             .when(is_lines, per_line)
-             .when(~valid(F.col("value")), whole)
-             .when(F.startswith(txt, F.lit("[")), arr)
-             .when(F.get_json_object("value", "$.records").isNotNull(), env)
-             .otherwise(one))
-    return raw.select("_file", F.posexplode(recs).alias("_pos", "_r")).select(
-        "_file", "_pos", F.col("_r.rec").alias("_rec"), F.col("_r.raw").alias("_raw"))
+    lines = F.filter(F.split(F.col("value"), "\r?\n"), lambda x: F.trim(x) != "")
+    per_line = F.transform(lines, lambda x: unit(x, F.when(opens(x) & F.endswith(F.trim(x), F.lit("}")), _one_value(x))))
+    whole = F.array(unit(F.col("value"), F.col("_whole")))
+
+    def units(parsed: Column) -> Column:
+        good = lambda u: u["v"].isNotNull()
+        is_lines = (F.size(parsed) > 1) & (good(F.get(parsed, F.lit(0)))
+                                           | (F.forall(parsed, lambda u: opens(u["text"])) & F.exists(parsed, good))
+                                           | (2 * F.size(F.filter(parsed, good)) >= F.size(parsed)))
+        return F.when(F.size(parsed) == 0, parsed).when(is_lines, parsed).otherwise(whole)
+    found = F.when(F.col("_whole").isNotNull(), whole).otherwise(F.get(F.transform(F.array(per_line), units), F.lit(0)))
+    split = raw.select("_file", F.posexplode(found).alias("_line", "_u"))
+
+    # a unit is an array of records, an envelope of one, or a record
+    v = F.col("_u.v")
+    array, fields = F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$", "map<string,variant>")
+    envelope = F.lit(False) if "records" in schema.names else F.map_contains_key(fields, "records")
+    records = F.try_variant_get(v, "$.records", "array<variant>")
+    item = lambda v, why=None, alone=True: F.struct(v.alias("v"), F.lit(why).cast("string").alias("why"), F.lit(alone).alias("alone"))
+    nothing = F.lit(None).cast("variant")
+    items = (F.when(v.isNull(), F.array(item(nothing, "no JSON")))
+              .when(array.isNotNull(), F.transform(array, lambda x: item(x, alone=False)))
+              .when(envelope & records.isNotNull(), F.transform(records, lambda x: item(x, alone=False)))
+              .when(envelope, F.array(item(nothing, "records is no array")))
+              .otherwise(F.array(item(v))))
+    each = split.select("_file", "_line", F.col("_u.text").alias("_text"), F.posexplode(items).alias("_item", "_i"))
+    each = each.select("_file", (F.shiftleft(F.col("_line").cast("long"), 32) + F.col("_item")).alias("_pos"), "_i.*",
+                       F.when(F.col("_i.alone"), F.col("_text")).alias("_text"),
+                       F.try_variant_get("_i.v", "$", "map<string,variant>").alias("_m"))
+
+    # a record is an object whose cells can be read as their columns' types (NULL and absent ones are NULL)
+    cell = lambda name: F.element_at("_m", F.lit(name))
+    typed = {f.name: F.try_variant_get(cell(f.name), "$", f.dataType.simpleString()) for f in schema.fields}
+    wrong = [F.when(cell(n).isNotNull() & ~F.is_variant_null(cell(n)) & c.isNull(), F.lit(n)) for n, c in typed.items()]
+    bad = F.array_join(F.array_compact(F.array(*wrong)), ", ") if wrong else F.lit("")
+    why = F.coalesce("why", F.when(F.col("_m").isNull(), "no object").when(bad != "", F.concat(F.lit("unreadable: "), bad)))
+    record = F.struct(*[c.cast(schema[n].dataType).alias(n) for n, c in typed.items()])
+    return each.select("_file", "_pos", F.when(why.isNull(), record).alias("_rec"),
+                       F.when(why.isNotNull(), F.coalesce("_text", F.to_json("v"), F.lit("null"))).alias("_raw"), why.alias("_why"))
 
 
 def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
@@ -52,46 +88,121 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
 
     A file may hold an array of records, an envelope ``{"records": [...]}``,
     a single object or JSON Lines. ``(_file, _pos)`` is a total load order for
-    keep-last. A missing path raises; an empty directory gives an empty frame.
-
-    Nothing is lost silently: with ``on_damage="fail"`` a file (or a line of JSON
-    Lines) that is no JSON, or holds anything after its value, ends the read with an error naming the file; with
-    ``"quarantine"`` the damaged texts are appended whole to ``quarantine``
-    (file, position, text) and the good records are returned.
-
-    A payload file is one value, as the feed lands it; large JSON Lines files
-    belong to ``spark.read.json``, which splits them.
+    keep-last (line number * 2^32 + place in the line's array or envelope). A missing path raises; an empty directory gives an empty frame.
+
+    Every text is parsed once, into a Variant, and every element of an array or
+    envelope is judged alone. Nothing is lost silently: a file or line of JSON
+    Lines that is no JSON or holds anything after its value, an envelope whose
+    ``records`` is no array, an element that is no object and a record with a
+    cell that its column's type cannot hold are damaged. With ``on_damage="fail"``
+    they end the read with an error naming the file, the reason and the text;
+    with ``"quarantine"`` their texts are appended to ``quarantine`` (file,
+    position, text, reason) and the good records are returned. Numbers in text
+    columns are spelled without trailing zeros.
+
+    A payload file is one value, as the feed lands it (at most Spark's limit for a
+    Variant, beyond it the file counts as damaged); large JSON Lines files belong
+    to ``spark.read.json``, which splits them.
     """
     if on_damage not in ("fail", "quarantine") or (on_damage == "quarantine") != (quarantine is not None):
         raise ValueError("on_damage is 'fail', or 'quarantine' with a quarantine path")
     recs = _bronze_records(spark, path, schema, glob)
-    damaged = F.col("_raw").isNotNull() & F.col("_rec").isNull()
+    damaged = F.col("_why").isNotNull()
     if on_damage == "quarantine":
-        recs.where(damaged).select("_file", "_pos", F.col("_raw").alias("text")).write.mode("append").parquet(quarantine)
+        # parsed once: good and damaged records come from one staged table
+        staged = scratch_path(spark, "bronze-records")
+        recs.write.parquet(staged)
+        recs = spark.read.schema(recs.schema).parquet(staged)
+        (recs.where(damaged).select("_file", "_pos", F.col("_raw").alias("text"), F.col("_why").alias("reason"))
+         .write.mode("append").parquet(quarantine))
         recs = recs.where(~damaged)
     else:
-        stop = F.raise_error(F.concat(F.lit("damaged JSON in "), F.col("_file"), F.lit(", record "), F.col("_pos").cast("string")))
+        stop = F.raise_error(F.concat(F.lit("damaged JSON in "), F.col("_file"), F.lit(", "), F.col("_why"), F.lit(": "), F.col("_raw")))
         recs = recs.withColumn("_rec", F.when(damaged, stop.cast(schema)).otherwise(F.col("_rec")))
     out = recs.select("_file", "_pos", "_rec.*")
     return out if with_ordinal else out.drop("_file", "_pos")
 
 
-MAX_COLUMNS = 256
+@dataclass(frozen=True)
+class CsvLayout:
+    """Files that share a delimiter and a header (its cells, byte-order mark removed)."""
+    sep: str
+    header: tuple[str, ...]
+    late: bool  # records of blank cells stand before the header
+    files: tuple[str, ...]
 
 
-def _csv_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """file, _id, _v: every CSV record (quoted and multi-line cells joined) of every file, its cells as an array of text.
+def _count(text: Column, what) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, what if isinstance(what, Column) else F.lit(what), F.lit("")))
 
-    Blank records are left out. A file is read by one task, as multi-line cells ask for; ``_id`` ascends within a file.
+
+def csv_layouts(spark: SparkSession, path: str, sep: str | None = None) -> list[CsvLayout]:
+    """The header layouts of the CSV files at ``path`` (file names and header cells only, no data); blank files have none.
+
+    The header is a file's first line that holds more than blanks, quotes and delimiters; if it breaks off inside
+    quotes, the record is completed from the whole text of that file. Without ``sep`` it decides the delimiter itself:
+    ';' if it has more semicolons than commas, else ','.
     """
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(MAX_COLUMNS)])
-    rows = (spark.read.schema(schema).option("multiLine", True).option("sep", sep).option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("encoding", "UTF-8").csv(path))
-    cells = F.array(*[F.col(f"_c{i}") for i in range(MAX_COLUMNS)])
-    width = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1)))
-    rows = rows.select(_plain_path(F.col("_metadata.file_path")).alias("file"), F.monotonically_increasing_id().alias("_id"),
-                       F.slice(cells, 1, F.coalesce(width, F.lit(0))).alias("_v"))
-    return rows.where(F.exists("_v", lambda c: _strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")) != ""))
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(_plain_path(F.col("_metadata.file_path")).alias("file"), "value", at.alias("at"))
+    marks = "".join({";", ",", '"', "\ufeff", sep or ";"})
+    blank = strip_ws(F.translate("value", marks, "")) == ""
+    first = lines.groupBy("file").agg(F.min_by("value", F.when(~blank, F.col("at"))).alias("h"), F.min(F.when(~blank, F.col("at"))).alias("at"),
+                                      F.min(F.when(F.length("value") > 0, F.col("at"))).alias("begin")).where("h IS NOT NULL")
+    heads = first.select("file", "h", (F.col("at") != F.col("begin")).alias("late")).collect()  # one header line per file
+    open_ = [r["file"] for r in heads if r["h"].count('"') % 2]
+    whole = {}
+    if open_:
+        record = r'(?s)^(?:[\s;,"\ufeff]*\R)?((?:"(?:[^"]|"")*+"|[^"\r\n])++)'
+        texts = spark.read.text([_literal_path(f) for f in open_], wholetext=True)
+        whole = {r["file"]: r["h"] for r in texts.select(_plain_path(F.col("_metadata.file_path")).alias("file"),
+                                                         F.regexp_extract("value", record, 1).alias("h")).collect()}
+    found: dict[tuple, list[str]] = {}
+    for r in heads:
+        head = (whole.get(r["file"]) or r["h"]).removeprefix("\ufeff")
+        own = sep or (";" if head.count(";") > head.count(",") else ",")
+        cells = next(csv.reader([*head.splitlines(keepends=True)], delimiter=own), [])
+        found.setdefault((own, tuple(cells), r["late"]), []).append(r["file"])
+    return [CsvLayout(own, cells, late, tuple(sorted(own_files))) for (own, cells, late), own_files in sorted(found.items())]
+
+
+def _literal_path(path: str) -> str:
+    """A path whose name means itself where globs are read."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def column_names(header: Sequence[str], norm) -> tuple[list[str], list[str]]:
+    """(a column name per header cell, the names that came more than once): repeats get ``_2``, ``_3``, ...; blank
+    cells ``column_<place>``."""
+    names, seen, repeated = [], {}, []
+    for i, cell in enumerate(header, 1):
+        name = norm(cell) or f"column_{i}"
+        seen[name] = seen.get(name, 0) + 1
+        if seen[name] > 1:
+            repeated.append(name)
+            name = f"{name}_{seen[name]}"
+            seen[name] = seen.get(name, 0) + 1
+        names.append(name)
+    return names, sorted(set(repeated))
+
+
+def _csv_rows(spark: SparkSession, layout: CsvLayout, names: Sequence[str]) -> DataFrame:
+    """_file, _row, the columns ``names`` as text, _beyond (the whole record where it has more cells than the header):
+    the data records of one layout's files, each parsed once. Blank records are left out; ``_row`` ascends in a file."""
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))] + [StructField("_bad", StringType())])
+    rows = (spark.read.schema(schema).option("multiLine", True).option("sep", layout.sep).option("escape", '"')
+            .option("header", not layout.late).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad")
+            .option("ignoreLeadingWhiteSpace", False).option("encoding", "UTF-8").csv([_literal_path(f) for f in layout.files]))
+    cells = [F.col(f"_c{i}") for i in range(len(names))]
+    unquoted = F.regexp_replace("_bad", r'"(?:[^"]|"")*+"', "")  # records with too few cells are bad to the parser, too
+    beyond = F.when(_count(unquoted, layout.sep) >= len(names), F.col("_bad"))
+    some = F.exists(F.array(*cells), lambda c: strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", "")) != "")
+    rows = rows.where(some).select(_plain_path(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_row"),
+                                   *[c.alias(n) for c, n in zip(cells, names, strict=True)], beyond.alias("_beyond"))
+    if layout.late:  # the first record that is not blank is the header
+        head = rows.groupBy("_file").agg(F.min("_row").alias("_head"))
+        rows = rows.join(head, "_file").where(F.col("_row") > F.col("_head")).drop("_head")
+    return rows
 
 
 def _plain_path(uri) -> Column:
@@ -99,23 +210,6 @@ def _plain_path(uri) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def _headers(records: DataFrame) -> DataFrame:
-    """file, _hid, _header (cells of its first record, byte-order mark removed), _n (records, header included)."""
-    heads = records.groupBy("file").agg(F.min_by("_v", "_id").alias("_header"), F.min("_id").alias("_hid"),
-                                        F.count(F.lit(1)).alias("_n"))
-    return heads.withColumn("_header", F.transform("_header", lambda h, i: F.when(
-        i == 0, F.regexp_replace(F.coalesce(h, F.lit("")), "^\ufeff", "")).otherwise(F.coalesce(h, F.lit("")))))
-
-
-def _named_rows(records: DataFrame, heads: DataFrame, names: Sequence[str], norm) -> DataFrame:
-    """Data records as text columns ``names``, each cell found by its own file's header (``norm``: header cell -> name)."""
-    keyed = heads.select("file", "_hid", F.transform("_header", norm).alias("_cols"))
-    rows = records.join(keyed, "file").where(F.col("_id") > F.col("_hid"))
-    cell = [F.when(F.array_position("_cols", c) > 0,
-                   F.try_element_at("_v", F.greatest(F.array_position("_cols", c).cast("int"), F.lit(1)))).alias(c) for c in names]
-    return rows.select(*cell, "file", "_id")
-
-
 def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
     """file, sep: a file's first line decides: ';' if it has more semicolons than commas, else ','."""
     lines = spark.read.text(path).select(
@@ -129,27 +223,19 @@ def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
 def read_capacity_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Capacity CSV (file or directory), every column as text; load order columns ``_file``, ``_row`` added.
 
-    Each file's rows are named by its own header, so files may order or choose
-    their columns differently, and each file has its own delimiter (unless ``sep``
-    names one). Only header names reach the driver; ``_row`` ascends within a file.
+    Files may order or choose their columns differently and have delimiters of
+    their own (unless ``sep`` names one): files with the same header are parsed
+    together, once, with as many columns as that header has. Of the files only
+    names and headers reach the driver; ``_row`` ascends within a file. A header
+    name that comes again gets a number (``a``, ``a_2``); a record with more cells
+    than its header ends the read with an error naming the file.
     """
-    from voltaic.functions.columns import normalize_name
-    kinds = None if sep else sniff_delimiters(spark, path)
     out = None
-    for one in [sep] if sep else [r["sep"] for r in kinds.select("sep").distinct().orderBy("sep").collect()]:
-        records = _csv_records(spark, path, one)
-        if kinds is not None:
-            records = records.join(kinds.where(F.col("sep") == one).select("file"), "file", "left_semi")
-        heads = _headers(records)
-        # distinct header cells (names of columns, not data), normalised on the driver
-        cells = [r["c"] for r in heads.select(F.explode("_header").alias("c")).distinct().collect()]
-        pairs = {c: normalize_name(c, fold_accents=True) for c in cells}
-        mapping = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]) if pairs else None
-        names = sorted({n for n in pairs.values() if n})
-        if not names:
-            continue
-        rows = _named_rows(records, heads, names, lambda h: F.element_at(mapping, h))  # noqa: B023
-        rows = rows.withColumnsRenamed({"file": "_file", "_id": "_row"})
+    for layout in csv_layouts(spark, path, sep):
+        names, _ = column_names(layout.header, lambda c: normalize_name(c, fold_accents=True))
+        rows = _csv_rows(spark, layout, names)
+        stop = F.raise_error(F.concat(F.lit("more cells than the header in "), F.col("_file"), F.lit(": "), F.col("_beyond")))
+        rows = rows.withColumn("_row", F.when(F.col("_beyond").isNotNull(), stop.cast("long")).otherwise(F.col("_row"))).drop("_beyond")
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return spark.createDataFrame([], "_file string, _row long") if out is None else out
 
@@ -172,11 +258,6 @@ def read_parquet_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def _strip_ws(c) -> Column:
-    """Both ends stripped of any Unicode whitespace (Python's ``str.strip()``)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def validate_and_route_csv(spark: SparkSession, path: str,
                            required: Sequence[str] = ("code_insee_region", "puissance_installee_mw"),
                            landing: str | None = None, quarantine: str | None = None,
@@ -185,31 +266,43 @@ def validate_and_route_csv(spark: SparkSession, path: str,
 
     FAIL when the file is empty (nothing but whitespace), misses a required
     column (header names trimmed, case-insensitive, BOM ignored) or has no
-    data row. Good files are appended to ``landing`` (as text columns), bad
-    files' lines and reason to ``quarantine``.
+    data row; a file that repeats column names passes with a remark in ``error``.
+    Good files are appended to ``landing`` (as text columns; repeated names get
+    numbers, records with more cells than their header are kept whole in
+    ``_beyond`` where there are any), bad files' lines and reason to ``quarantine``.
 
     Records are Spark's CSV records, so quoted headers and multi-line cells
-    count as what they are; the header of a file is its first non-blank record
-    (``min_by``, combined map-side). One task reads a file, as multi-line cells
-    ask for. Of the files only names (as in any file scan) and header names
-    reach the driver.
+    count as what they are. Files with the same header are parsed together and
+    once: rows are counted on the staged records that are landed. Of the files
+    only names (as in any file scan) and headers reach the driver.
     """
-    records = _csv_records(spark, path, sep)
-    heads = _headers(records)
-    name = lambda h: F.lower(_strip_ws(h))
-    missing = F.array_except(F.array(*[F.lit(r.lower()) for r in required]), F.transform("_header", name))
-    checked = heads.select(
-        "file",
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
-         .when(F.col("_n") == 1, "header only").alias("error"),
-        (F.col("_n") - 1).cast("long").alias("rows"))
+    layouts = csv_layouts(spark, path, sep)
+    checked, counts, staged = [], [], {}
+    for layout in layouts:
+        names, repeated = column_names(layout.header, lambda c: c.strip(WHITE_SPACE).lower())
+        missing = [r.lower() for r in required if r.lower() not in names]
+        remark = "repeated columns: " + ", ".join(repeated) if repeated else None
+        checked += [(f, "missing columns: " + ", ".join(missing) if missing else None, remark) for f in layout.files]
+        rows = _csv_rows(spark, layout, names)
+        if landing is not None and not missing:
+            stage = scratch_path(spark, "csv-records")
+            rows.write.parquet(stage)
+            rows = staged[layout] = spark.read.schema(rows.schema).parquet(stage)
+        counts.append(rows.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("rows")))
     # files without a record (zero-length or whitespace only) come from the listing
-    contents = _listed(spark, path)
-    checked = contents.join(checked.withColumn("_read", F.lit(True)), "file", "left").select(
-        "file", F.when(F.col("_read").isNull(), F.lit("empty file")).otherwise(F.col("error")).alias("error"),
-        F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
-    status = checked.select("file", F.when(F.col("error").isNull(), "PASS").otherwise("FAIL").alias("status"),
-                            "error", F.greatest(F.col("rows"), F.lit(0)).alias("rows"))
+    status = _listed(spark, path).join(
+        spark.createDataFrame(checked, "file string, missing string, remark string").withColumn("known", F.lit(True)), "file", "left")
+    counted = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "file string, rows long")
+    status = status.join(counted, "file", "left")
+    error = (F.when(F.col("known").isNull(), "empty file").when(F.col("missing").isNotNull(), F.col("missing"))
+             .when(F.col("rows").isNull(), "header only"))
+    status = status.select("file", F.when(error.isNull(), "PASS").otherwise("FAIL").alias("status"),
+                           F.coalesce(error, "remark").alias("error"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+    if quarantine is None and landing is None:
+        return status
+    kept = scratch_path(spark, "csv-status")  # one row per file, used more than once
+    status.write.parquet(kept)
+    status = spark.read.schema(status.schema).parquet(kept)
     if quarantine is not None:
         # the bad file's own lines are kept beside the reason
         text = (spark.read.text(path).select(_plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("line"),
@@ -218,11 +311,11 @@ def validate_and_route_csv(spark: SparkSession, path: str,
         (status.where(F.col("status") == "FAIL").join(text, "file", "left")
             .withColumn("quarantined_at", F.lit(ts).cast("timestamp") if ts else F.current_timestamp())
             .write.mode("append").parquet(quarantine))
-    if landing is not None:
-        good = heads.join(status.where(F.col("status") == "PASS"), "file", "left_semi")
-        names = sorted(r["c"] for r in good.select(F.explode(F.transform("_header", name)).alias("c")).distinct().collect() if r["c"])
-        if names:
-            _named_rows(records, good, names, name).withColumnRenamed("file", "_file").drop("_id").write.mode("append").parquet(landing)
+    if staged:
+        good = status.where(F.col("status") == "PASS").select(F.col("file").alias("_file"))
+        landed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), staged.values()).join(good, "_file", "left_semi")
+        wide = any(not r.where("_beyond IS NOT NULL").isEmpty() for r in staged.values())
+        landed.drop("_row", *[] if wide else ["_beyond"]).write.mode("append").parquet(landing)
     return status
 
 
