@@ -19,7 +19,6 @@ table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 
 from pyspark.sql import DataFrame
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from voltaic.llm.common import small_batches
 from voltaic.llm.encoder import byte_table, worker_encoder
+from voltaic.llm.spans import gather, utf8
 
 # FIXED VALUE: the split pattern of the rank files that ship with the public tokenizers
 SPACE_SAFE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,37 +57,32 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 def _options(model: str) -> dict:
     split = json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
-    return {"splits_at_space": split == SPACE_SAFE_PATTERN, "cache_pieces": 150_000}
+    return {"splits_at_space": split == SPACE_SAFE_PATTERN, "cache_pieces": 150_000, "special_as_text": True}
 
 
-def _encode(model, key: str, offsets: bool, part_rows: int = 256):
+def _encode(model, offsets: bool, part_rows: int = 1024):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        encoder = worker_encoder(key, model.value, **_options(model.value))
+        encoder = worker_encoder(model.value, **_options(model.value))
         for batch in batches:
             for part in (batch.slice(i, part_rows) for i in range(0, batch.num_rows, part_rows)):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                coded = encoder.encode(texts)
-                ids = np.frombuffer(b"".join(coded), encoder.dtype)
-                counts = np.array([len(c) for c in coded], np.int64) // encoder.dtype.itemsize
-                raw = np.frombuffer("".join(texts).encode(), np.uint8)
+                ids, bounds = encoder.encode_column(part.column(1))
+                raw, at = utf8(part.column(1))
+                counts = np.diff(bounds)
                 first = (raw & 0xC0) != 0x80  # bytes that begin a character
                 size = encoder.lengths[ids]
                 ends = np.cumsum(size)
                 begins = ends - size
                 split = np.concatenate([[0], np.cumsum(~first[begins])])
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                cols = [part.column(0).cast(pa.int64()),
-                        pa.array([c if encoder.dtype == "<u4" else np.frombuffer(c, encoder.dtype).astype("<u4").tobytes()
-                                  for c in coded], pa.binary()),
-                        counts, np.diff(split[bounds])]
+                wide = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [
+                    None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
+                cols = [part.column(0).cast(pa.int64()), wide.cast(pa.binary()), counts, np.diff(split[bounds])]
                 names = ["doc_id", "ids", "n_tokens", "split_chars"]
                 if offsets:
                     char = np.cumsum(first) - 1  # byte -> character
-                    base = np.repeat(np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1], counts)
-                    at = pa.array(bounds, pa.int32())
-                    cols += [pa.ListArray.from_arrays(at, pa.array(v, pa.int32()))
+                    base = np.repeat(np.concatenate([[0], np.cumsum(first)])[at[:-1]], counts)
+                    cols += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v, pa.int32()))
                              for v in (char[begins] - base, char[ends - 1] + 1 - base)]
                     names += ["starts", "ends"]
                 yield pa.record_batch(cols, names=names)
@@ -100,13 +95,12 @@ def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "do
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # one vocabulary
-    key = "bpe-" + hashlib.md5(model.encode()).hexdigest()
     schema = "doc_id long, ids binary, n_tokens long, split_chars long" + ", starts array<int>, ends array<int>" * offsets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(shared, key, offsets), schema)
+    return rows.mapInArrow(_encode(shared, offsets), schema)
 
 
-def _decode(model, with_text: bool, at_once: int = 1 << 20):
+def _decode(model, with_text: bool, at_once: int = 1 << 22):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -115,18 +109,21 @@ def _decode(model, with_text: bool, at_once: int = 1 << 20):
         table = [b""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             table[i] = bytes(back[c] for c in token)
+        flat, sizes = np.frombuffer(b"".join(table), np.uint8), np.array([*map(len, table)], np.int64)
         for batch in batches:
             schema = batch.schema.append(pa.field("decoded", pa.binary()))
             if with_text:
                 schema = schema.append(pa.field("text", pa.string()))
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                decoded = []
-                for raw in part.column("ids").to_pylist():
-                    ids = np.frombuffer(raw, "<u4")
-                    decoded.append(b"".join(b"".join(map(table.__getitem__, ids[k:k + at_once].tolist()))
-                                            for k in range(0, len(ids), at_once)))
-                texts = [pa.array([d.decode(errors="replace") for d in decoded], pa.string())] if with_text else []
-                yield pa.record_batch([*part.columns, pa.array(decoded, pa.binary()), *texts], schema=schema)
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                raw, at = utf8(part.column("ids").cast(pa.large_binary()))
+                ids = np.frombuffer(np.ascontiguousarray(raw), "<u4")
+                decoded = np.concatenate([np.zeros(0, np.uint8), *(gather(flat, sizes, ids[k:k + at_once])
+                                                                   for k in range(0, len(ids), at_once))])
+                ends = np.concatenate([[0], np.cumsum(sizes[ids])])[at // 4]
+                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [
+                    None, pa.py_buffer(ends), pa.py_buffer(decoded)]).cast(pa.binary())
+                texts = [pa.array([d.decode(errors="replace") for d in whole.to_pylist()], pa.string())] if with_text else []
+                yield pa.record_batch([*part.columns, whole, *texts], schema=schema)
     return run
 
 

@@ -2,27 +2,35 @@
 
 The byte-level pre-tokenizer never joins a character that is not white space
 with white space that follows it, so a text may be cut before any white-space
-run and the pieces encoded on their own give the same ids. That is used twice:
-long texts are cut into slices (bounded memory for any length), and a slice is
-cut into pieces (white space + what follows it) that are encoded once per
-worker and looked up afterwards. Missing pieces are encoded many per call and
-told apart by their byte lengths, since a byte-level token stands for a fixed
-number of bytes. Tokenizers of another build take the plain path.
+run and the pieces encoded on their own give the same ids. The cuts are found
+on the UTF-8 bytes with numpy, before ASCII white space only (all other white
+space stays inside its piece); the pieces become an Arrow string array, are
+dictionary-encoded, and only distinct pieces that the worker has not met lately
+are encoded, many per call and told apart by their byte lengths, since a
+byte-level token stands for a fixed number of bytes. Ids are then gathered per
+piece. Tokenizers of another build take the plain path.
+
+Added tokens (``<|endoftext|>``) are cut out of the text first by the library, as
+it does by default; with ``special_as_text`` those marked special are ordinary
+text. They hold no white space and take none from their neighbours, or the
+tokenizer takes the plain path, so they always lie within a piece.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import re
 
 import numpy as np
 
 from voltaic.llm.common import worker_cache
+from voltaic.llm.spans import byte_set, gather, utf8
 
-# FIXED VALUES: Unicode White_Space, as the pre-tokenizer's \s
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+ASCII_SPACE = byte_set(" \t\n\x0b\x0c\r")
+# FIXED VALUES: last two bytes of the Unicode White_Space characters beyond ASCII (some other characters share them)
+SPACE_ENDS = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, 0x9F)]
+SPACE_END = np.zeros((256, 256), bool)
+SPACE_END[tuple(np.array(SPACE_ENDS).T)] = True
 
 
 def byte_table() -> dict[int, str]:
@@ -33,39 +41,44 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def slices(text: str, most: int):
-    """The text cut, where it is safe, into slices of ``most`` characters or a little more."""
-    start = 0
-    while len(text) - start > most:
-        cut = CUT.search(text, start + most)
-        if not cut:
-            break
-        yield text[start:cut.start()]
-        start = cut.start()
-    yield text[start:] if start else text
+def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes at which a text or a piece (white space and what follows it) begins."""
+    start = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        space = ASCII_SPACE[raw]
+        at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        high = at[raw[at - 1] >= 0x80]  # the character before may be other white space
+        start[at] = True
+        start[high[SPACE_END[raw[high - 2], raw[high - 1]]]] = False
+    start[offsets] = True
+    return np.flatnonzero(start[:-1])
 
 
 class Encoder:
-    """``encode(texts)`` -> one bytes object of little-endian ids per text."""
+    """``encode(texts)`` -> one bytes object of little-endian ids per text; ``encode_column`` -> all ids and bounds."""
 
-    def __init__(self, tokenizer_json: str, cache_pieces: int = 700_000, slice_chars: int = 1 << 20,
-                 group: int = 64, splits_at_space: bool | None = None):
+    def __init__(self, tokenizer_json: str, cache_pieces: int = 300_000, slice_chars: int = 1 << 23,
+                 group: int = 64, splits_at_space: bool | None = None, special_as_text: bool = False):
         from tokenizers import Tokenizer
         spec = json.loads(tokenizer_json)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        added = [t for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        self.lengths = np.zeros(max([*vocab.values(), *(t["id"] for t in added)], default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)
+        for t in added:
+            self.lengths[t["id"]] = len(t["content"].encode())
         pre = spec.get("pre_tokenizer") or {}
         if splits_at_space is None:
             splits_at_space = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                                and bool(pre.get("use_regex")))
-        self.pieces = splits_at_space and not spec.get("normalizer")
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.cache_pieces, self.slice_chars, self.group = cache_pieces, slice_chars, group
+        apart = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) and not any(c.isspace() for c in t["content"])
+                    for t in added)
+        self.pieces = splits_at_space and apart and not spec.get("normalizer")
+        self.dtype = np.dtype("<u2") if len(self.lengths) <= 1 << 16 else np.dtype("<u4")
+        self.cache_pieces, self.slice_bytes, self.group = cache_pieces, slice_chars, group
         # two generations: a full one becomes the old one, pieces in use move on from there
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,8 +89,8 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         joined, alone = [], []
-        for p in pieces:  # a piece may follow another only if it is white space + something
-            (joined if p[:1] in " \n\t\r" and not p.isspace() else alone).append(p)
+        for p in pieces:  # a piece may follow another only if it begins, and that one does not end, with white space
+            (joined if p[:1] in " \n\t\r" and not p[-1:].isspace() else alone).append(p)
         for p, ids in zip(alone, self._plain(alone), strict=True):
             self.memo[p] = ids.tobytes()
         groups = [joined[i:i + self.group] for i in range(0, len(joined), self.group)]
@@ -89,40 +102,54 @@ class Encoder:
                 self.memo[p] = raw[start:cut]
                 start = cut
 
-    def encode(self, texts: list[str], at_once: int = 1 << 21) -> list[bytes]:
-        """Ids of every text; ``at_once`` characters are cut into pieces at a time."""
-        if not self.pieces:
-            return [ids.tobytes() for t in texts for ids in self._plain([t])]
-        out: list[bytes] = []
-        todo: list[list[str]] = []
-        chars = 0
-        for text in texts:
-            if len(text) <= self.slice_chars:
-                todo.append(PIECE.findall(text))
-                chars += len(text)
-                if chars >= at_once:
-                    out += self._look_up(todo)
-                    todo, chars = [], 0
-            else:
-                out += self._look_up(todo)
-                todo, chars = [], 0
-                out.append(b"".join(self._look_up([PIECE.findall(s)])[0] for s in slices(text, self.slice_chars)))
-        return out + self._look_up(todo)
-
-    def _look_up(self, texts: list[list[str]]) -> list[bytes]:
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
         if len(self.memo) > self.cache_pieces // 2:
             self.memo, self.old = {}, self.memo
         memo, old = self.memo, self.old
-        new = set().union(*texts) - memo.keys()
+        new = set(pieces) - memo.keys()
         kept = new & old.keys()
         memo.update((p, old[p]) for p in kept)
         self._learn(list(new - kept))
-        return [b"".join(map(memo.__getitem__, t)) for t in texts]
-
+        return [memo[p] for p in pieces]
 
-def worker_encoder(key: str, tokenizer_json: str, **options) -> Encoder:
-    """One encoder per worker and vocabulary, with its cache."""
+    def encode_column(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, bounds of the texts in them); NULL is the empty text."""
+        import pyarrow as pa
+        if not self.pieces:
+            coded = [ids for t in column.to_pylist() for ids in self._plain([t or ""])]
+            return np.concatenate([np.zeros(0, self.dtype), *coded]), np.cumsum([0, *map(len, coded)])
+        raw, offsets = utf8(column)
+        starts = piece_starts(raw, offsets)
+        sizes = np.zeros(len(starts) + 1, np.int64)  # ids per piece, from 1
+        found = [np.zeros(0, self.dtype)]
+        cuts = np.searchsorted(starts, np.arange(0, len(raw) + self.slice_bytes, self.slice_bytes))
+        bounds = np.append(starts, len(raw))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            ends = bounds[a:b + 1] - bounds[a]
+            strings = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(np.ascontiguousarray(ends)),
+                                                       pa.py_buffer(np.ascontiguousarray(raw[bounds[a]:bounds[b]])))
+            named = strings.dictionary_encode()
+            blobs = self._look_up(named.dictionary.to_pylist())
+            codes = named.indices.to_numpy()
+            flat = np.frombuffer(b"".join(blobs), self.dtype)
+            own = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+            found.append(gather(flat, own, codes))
+            sizes[a + 1:b + 1] = own[codes]
+        return np.concatenate(found), np.cumsum(sizes)[np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        raw, at = ids.tobytes(), (bounds * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def worker_encoder(tokenizer_json: str, **options) -> Encoder:
+    """One encoder per worker, vocabulary and options, with its cache (workers live on between jobs)."""
+    key = hashlib.md5(json.dumps([tokenizer_json, sorted(options.items())]).encode()).hexdigest()
     cache = worker_cache()
-    if key not in cache:
-        cache[key] = Encoder(tokenizer_json, **options)
-    return cache[key]
+    if ("encoder", key) not in cache:
+        cache["encoder", key] = Encoder(tokenizer_json, **options)
+    return cache["encoder", key]

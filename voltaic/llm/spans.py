@@ -20,9 +20,10 @@ def byte_set(chars: str) -> np.ndarray:
 
 
 def utf8(column):
-    """(bytes, offsets from 0) of a string column; NULL is the empty text."""
+    """(bytes, offsets from 0) of a string or binary column; NULL is empty."""
     import pyarrow as pa
-    col = column.fill_null("").cast(pa.large_string())
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+    col = column.fill_null("" if text else b"").cast(pa.large_string() if text else pa.large_binary())
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     _, offsets, data = col.buffers()
@@ -64,3 +65,10 @@ def slices(lengths: np.ndarray, most: int):
         total += n
     if len(lengths):
         yield first, len(lengths)
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (one of each size, one after the other) that ``codes`` name, one after the other."""
+    per = sizes[codes]
+    shift = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(per) - per)
+    return flat[np.arange(int(per.sum())) + np.repeat(shift, per)]

@@ -44,9 +44,8 @@ def _write_shards(out_dir: str, tokenizer, end_id: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = worker_encoder("token_files", tokenizer.value)
+        encoder = worker_encoder(tokenizer.value)
         dtype = encoder.dtype if end_id < 1 << 16 else np.dtype("<u4")
-        end = np.array([end_id], dtype).tobytes()
         fs, root = open_fs(out_dir)
         name, own = f"{root}/shard-{shard:05d}", f"{root}/_writing-{shard:05d}-{uuid.uuid4().hex}"
         fs.create_dir(root, recursive=True)
@@ -57,12 +56,15 @@ def _write_shards(out_dir: str, tokenizer, end_id: int):
                 if not sink:
                     sink = {k: fs.open_output_stream(f"{own}.{k}") for k in ("ids", "lengths", "docs")}
                     arrow = pa.ipc.new_file(sink["docs"], pa.schema([("doc_id", pa.int64())]))
-                for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                    coded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                    if dtype != encoder.dtype:
-                        coded = [np.frombuffer(c, encoder.dtype).astype(dtype).tobytes() for c in coded]
-                    sizes = np.array([len(c) // dtype.itemsize + 1 for c in coded], "<u8")
-                    sink["ids"].write(end.join(coded) + end)
+                for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                    coded, bounds = encoder.encode_column(part.column(1))
+                    sizes = np.diff(bounds).astype("<u8") + np.uint64(1)
+                    ends = bounds[1:] + np.arange(len(sizes))  # places of the end ids
+                    ids = np.full(len(coded) + len(sizes), end_id, dtype)
+                    text = np.ones(len(ids), bool)
+                    text[ends] = False
+                    ids[text] = coded
+                    sink["ids"].write(ids.tobytes())
                     sink["lengths"].write(sizes.tobytes())
                     arrow.write(pa.record_batch([part.column(0).cast(pa.int64())], names=["doc_id"]))
                     docs, lengths = docs + len(sizes), lengths + int(sizes.sum())
