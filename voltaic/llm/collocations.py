@@ -213,8 +213,8 @@ def frequent_bitmap(phrases: DataFrame, bits: int = 26, page_bits: int = 15) ->
     return bitmap.tobytes(), bits
 
 
-def stripes(docs: DataFrame, length: int = 1, min_count: int = 10, known: tuple[bytes, int] | None = None, slices: int = 32,
-            block_bytes: int = 6 << 20, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def stripes(docs: DataFrame, length: int = 1, min_count: int = 10, known: tuple[bytes, int] | None = None, slices: int = 8,
+            block_bytes: int = 8 << 20, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Merged stripes of all prefixes of ``length`` words: lang, prefix, slice, total (all counts of this slice of the
     next words) and extensions, array of (next, n) with n >= ``min_count``. Longer prefixes need ``known``, the
     bitmap of the frequent phrases of ``length`` words, and are kept only where they have extensions."""
