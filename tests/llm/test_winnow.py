@@ -39,8 +39,8 @@ def test_every_shared_window_is_found(spark, span, gram):
     texts, items = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (50_000, 3):
-        got = winnow.shared_spans(docs, bench, span, gram, listed=limit).collect()
+    for bits in (20, 7):  # a full bitmap screens nothing and loses nothing
+        got = winnow.shared_spans(docs, bench, span, gram, bits=bits).collect()
         assert len(got) == len(texts)
         for r in got:
             n, hit, ids = brute.contaminated(texts[r["doc_id"]], items, span)
@@ -68,6 +68,29 @@ def test_empty_tables(spark, monkeypatch):
     assert {(r["n_hit"], r["contaminated"]) for r in run(monkeypatch, spark, docs, bench.where("false"))} == {(0, False)}
 
 
+@pytest.mark.parametrize("n", [200, 400])
+def test_what_falls_short_of_a_window_meets_in_no_row(spark, monkeypatch, n):
+    """Documents and items that share nine words: candidates follow their number, not its square."""
+    shared = " ".join(f"s{i}" for i in range(9))
+    docs = spark.createDataFrame([(i, f"d{i} {shared} e{i} f{i}") for i in range(n)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"x{i} {shared} y{i} z{i}") for i in range(n)], "item_id long, text string")
+    tables = {}
+    real = winnow.stored
+    monkeypatch.setattr(winnow, "stored", lambda df, name, *a: tables.setdefault(name, real(df, name, *a)))
+    assert winnow.shared_spans(docs, bench).where("size(hits) > 0").count() == 0
+    candidates = tables["winnow-documents"].selectExpr("sum(size(own))").first()[0]
+    assert 0 < candidates <= 3 * n and tables["winnow-named"].count() == 0
+
+
+def test_spans_are_whole_stretches(spark):
+    text = "a b c d e f g h i j k l m n"
+    docs = spark.createDataFrame([(1, f"x {text} y {text} z"), (2, "l m n")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, text), (2, "l m n")], "item_id long, text string")
+    got = {r["doc_id"]: sorted((h["item_id"], [tuple(s) for s in h["spans"]]) for h in r["hits"])
+           for r in winnow.shared_spans(docs, bench).collect()}
+    assert got == {1: [("1", [(1, 15), (16, 30)]), ("2", [(12, 15), (27, 30)])], 2: [("2", [(0, 3)])]}
+
+
 def test_carried_rows_keep_every_column(spark):
     docs = brute.edge_docs(spark)
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")

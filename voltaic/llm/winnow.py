@@ -1,24 +1,24 @@
 """Operator 8: benchmark decontamination by winnowed fingerprints (DataFrame functions only).
 
 Words of documents and benchmark items are hashed as ``gram``-word k-grams;
-of every sliding window of ``span - gram + 1`` k-grams the minimum hash is
-kept (winnowing). Any ``span`` consecutive words that a document shares with
-an item contain such a window on both sides, so both keep a common hash:
-joining the fingerprints misses no shared span. Every hit is then extended:
-the document is laid over the item at the hit's offset, and the runs of at
-least ``span`` equal words are the contaminated ones, compared word by word,
-so hash collisions add nothing. Items shorter than ``span`` words count only
-as a whole; their fingerprint is the hash of all their words, looked up among
-the document's grams of that many words.
-
-Plan: if the benchmark has at most ``listed`` distinct fingerprint hashes (they
-are counted first), they travel with the tasks as a set: every document looks
-its own hashes up in place, and only documents with a hit, with their texts,
-take part in the shuffles that bring the items to them. A larger benchmark is
-joined by hash (shuffle join, adaptive skew splitting): documents' hashes are
-exploded with nothing but the document's key. Both ways end in the same
-extension, inside the row: no positions or pairs are exploded, so a passage in
-a third of all documents costs one row per document.
+every window of ``span`` consecutive words is stood for by the minimum hash of
+its ``span - gram + 1`` k-grams (winnowing). Any window that a document shares
+with an item has the same minimum on both sides, so joining the minima misses
+no shared span. A hit is extended to the windows it stands for: a document's
+window joins an item's window by minimum *and* words, so hash collisions add
+nothing, and documents and items that share less than a window (boilerplate of
+nine words in a third of all documents and in every item) meet in no row at
+all: what the join yields follows the true hits. Items shorter than ``span``
+words count only as a whole; their fingerprint is the hash of all their words,
+looked up among the document's grams of that many words.
+
+Plan, the same at every size: the benchmark's minima also fill a bitmap of
+2^``bits`` bits, which travels with the tasks as the result of a scalar
+subquery. Documents test the minima of their windows in it, in place; windows
+that pass it (hits, and false alarms as the bitmap fills up) leave the document
+as rows of key, place and words and are joined to the items' windows, the side
+to broadcast being Catalyst's and AQE's choice. Texts never move: documents
+without a candidate are results already, the others are joined to their hits.
 
 Edge cases: NULL and empty texts have no words and no hits; items without
 words are ignored; a NULL item id counts as the empty string; equal item ids
@@ -28,8 +28,6 @@ empty (documents) or hit-free (benchmark) results; other columns are never read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +53,11 @@ def word_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def winnowed(hashes: Column, window: int) -> Column:
-    """Distinct minimum hashes of every ``window`` consecutive ones (none if there are fewer)."""
+def minima(hashes: Column, window: int) -> Column:
+    """Minimum of every ``window`` consecutive hashes (none if there are fewer)."""
     at = F.sequence(F.lit(0), F.size(hashes) - window)
     low = F.transform(at, lambda i: F.least(*[F.get(hashes, i + j) for j in range(window)])) if window > 1 else hashes
-    return F.when(F.size(hashes) >= window, F.array_distinct(low)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hashes) >= window, low).otherwise(F.array().cast("array<bigint>"))
 
 
 def _sizes(items: DataFrame, span: int, gram: int) -> list[int]:
@@ -68,19 +66,23 @@ def _sizes(items: DataFrame, span: int, gram: int) -> list[int]:
     return [gram, *sorted(r["n"] for r in short)]
 
 
-def _prints(tokens: Column, sizes: list[int], span: int, gram: int) -> Column:
-    """Array of (k, hash): the winnowed grams of the regular size and all grams of the short items' sizes.
+def _windows(tokens: Column, sizes: list[int], span: int, gram: int, wanted=None) -> Column:
+    """Array of (k, hash, at, words) of the windows of ``span`` words and of the short items' sizes whose hash is
+    ``wanted`` (default: all).
 
     The short sizes are marked by a negative k, as one of them may equal the regular size."""
-    def one(hashed: Column) -> Column:
-        parts = []
-        for pos, size in enumerate(sizes):
-            window, k = (span - gram + 1, size) if pos == 0 else (1, -size)
-            kept = let(grams(hashed, size), lambda g: winnowed(g, window))
-            parts.append(F.transform(kept, lambda h: F.struct(F.lit(k).alias("k"), h.alias("hash"))))
-        return F.concat(*parts)
+    def of_size(hashed: Column, size: int, k: int, window: int, length: int) -> Column:
+        def chosen(low: Column) -> Column:
+            every = F.when(F.size(low) > 0, F.sequence(F.lit(0), F.size(low) - 1)).otherwise(F.array().cast("array<int>"))
+            at = every if wanted is None else F.filter(every, lambda i: wanted(F.get(low, i)))
+            return F.transform(at, lambda i: F.struct(F.lit(k).alias("k"), F.get(low, i).alias("hash"), i.alias("at"),
+                                                      F.array_join(F.slice(tokens, i + 1, length), " ").alias("words")))
+        return let(let(grams(hashed, size), lambda g: minima(g, window)), chosen)
 
-    return let(word_hashes(tokens), one)
+    def all_sizes(hashed: Column) -> Column:
+        regular = of_size(hashed, gram, gram, span - gram + 1, span)
+        return F.concat(regular, *[of_size(hashed, n, -n, 1, n) for n in sizes[1:]])
+    return let(word_hashes(tokens), all_sizes)
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -91,52 +93,41 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return rows.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", "n").distinct()
 
 
-def _item_prints(items: DataFrame, sizes: list[int], span: int, gram: int) -> DataFrame:
-    """item, k, hash, at: every place of an item's fingerprint hashes."""
-    out = []
-    for pos, size in enumerate(sizes):
-        own = items.where(F.col("n") >= span) if pos == 0 else items.where(F.col("n") == size)
-        window, k = (span - gram + 1, size) if pos == 0 else (1, -size)
-        both = let(word_hashes(F.col("words")), lambda t: let(
-            grams(t, size), lambda g: F.struct(g.alias("g"), winnowed(g, window).alias("kept"))))  # noqa: B023
-        places = let(both, lambda x: F.filter(F.transform(x["g"], lambda h, i: F.struct(h.alias("hash"), i.alias("at"))),
-                                              lambda p: F.array_contains(x["kept"], p["hash"])))
-        out.append(own.select("item", F.explode(places).alias("p")).select("item", F.lit(k).alias("k"), "p.hash", "p.at"))
-    return reduce(DataFrame.union, out)
-
-
-def _runs(tokens: Column, item: Column, shift: Column, least: Column) -> Column:
-    """Runs [start, end) of at least ``least`` equal words with the item laid over the text at ``shift``."""
-    begin, end = F.greatest(shift, F.lit(0)), F.least(shift + F.size(item), F.size(tokens))
-    at = F.when(end > begin, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<int>"))
-    differ = F.filter(at, lambda i: F.get(tokens, i) != F.get(item, i - shift))
-
-    def between(cuts: Column) -> Column:
-        pairs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1),
-                           lambda a, b: F.struct((a + 1).alias("start"), b.alias("end")))
-        return F.filter(pairs, lambda r: r["end"] - r["start"] >= least)
-    return let(F.concat(F.array(begin - 1), differ, F.array(end)), between)
-
-
-def _spans(tokens: Column, entries: Column, sizes: list[int], span: int) -> Column:
-    """(item_id, spans) of every item in ``entries`` that the text shares a whole window with."""
-    def with_hashes(hashed: Column) -> Column:
-        parts = []
-        for pos, size in enumerate(sizes):
-            k = size if pos == 0 else -size
-            own = F.filter(entries, lambda e: e["k"] == k)
-
-            def of_item(g: Column, e: Column) -> Column:
-                places = F.sequence(F.lit(0), F.size(g) - 1)
-                shifts = F.array_distinct(F.flatten(F.transform(e["places"], lambda p: F.transform(
-                    F.filter(places, lambda i: F.get(g, i) == p["hash"]), lambda i: i - p["at"]))))
-                least = F.least(F.lit(span), F.size(e["words"]))
-                return F.struct(e["item_id"].alias("item_id"), F.flatten(F.transform(
-                    shifts, lambda s: _runs(tokens, e["words"], s, least))).alias("spans"))
-            parts.append(let(grams(hashed, size),
-                             lambda g: F.transform(F.filter(own, lambda e: F.size(g) > 0), lambda e: of_item(g, e))))
-        return F.filter(F.concat(*parts), lambda r: F.size(r["spans"]) > 0)
-    return let(word_hashes(tokens), with_hashes)
+def item_windows(items: DataFrame, sizes: list[int], span: int, gram: int) -> DataFrame:
+    """k, hash, words, item_id, length: the distinct windows of every item."""
+    regular = F.col("n") >= span
+    own = _windows(F.col("words"), sizes, span, gram)
+    fits = F.filter(own, lambda w: F.when(regular, w["k"] == gram).otherwise(w["k"] == -F.col("n")))
+    return (items.select("item_id", F.least(F.col("n"), F.lit(span)).alias("length"), F.explode(fits).alias("w"))
+            .select("w.k", "w.hash", "w.words", "item_id", "length").distinct())
+
+
+def hash_bitmap(hashes: DataFrame, bits: int) -> DataFrame:
+    """One row: array of 2^(bits - 6) longs with the bit ``hash mod 2^bits`` of every hash set; of that size for any input."""
+    place = F.col("hash").bitwiseAND((1 << bits) - 1)
+    words = (hashes.groupBy(F.shiftright(place, 6).alias("id"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63 as int)))").alias("mask")))
+    every = hashes.sparkSession.range(1 << (bits - 6)).join(words, "id", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
+    return every.agg(F.transform(in_order, lambda w: w["mask"]).alias("bitmap"))
+
+
+def _tested(bitmap: Column, bits: int):
+    """hash -> is its bit set."""
+    def bit(h: Column) -> Column:
+        word = F.get(bitmap, F.shiftright(h.bitwiseAND((1 << bits) - 1), 6).cast("int"))
+        return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
+    return bit
+
+
+def _merged(starts: Column, length: Column) -> Column:
+    """Distinct window starts -> array of (start, end) of the stretches they cover."""
+    def stretches(s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(s) - 1)
+        first = F.filter(at, lambda i: (i == 0) | (F.get(s, i) - F.get(s, i - 1) > length))
+        last = F.filter(at, lambda i: (i == F.size(s) - 1) | (F.get(s, i + 1) - F.get(s, i) > length))
+        return F.zip_with(first, last, lambda a, b: F.struct(F.get(s, a).alias("start"), (F.get(s, b) + length).alias("end")))
+    return let(F.array_sort(starts), stretches)
 
 
 def covered(spans: Column) -> Column:
@@ -148,46 +139,33 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
 
 
-def _hits(rows: DataFrame, prints: DataFrame, sizes: list[int], span: int, gram: int, listed: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``own``: the benchmark hashes they hold, or NULL; key, k, hash of every hash held)."""
-    wanted = prints.select("k", "hash").distinct()
-    doc_prints = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
-                                                              _prints(w, sizes, span, gram).alias("prints")))
-    hashes = [r["hash"] for r in wanted.select("hash").distinct().limit(listed + 1).collect()]
-    if len(hashes) <= listed:
-        own = F.filter("r.prints", lambda p: p["hash"].isin(hashes) if hashes else F.lit(False))
-        marked = rows.withColumn("r", doc_prints).withColumn("own", own)
-        marked = marked.select(*rows.columns, "r.n_words", F.when(F.size("own") > 0, F.col("own")).alias("own"))
-        # from here on only the extension needs a text
-        marked = stored(marked.withColumn("text", F.when(F.col("own").isNotNull(), F.col("text"))), "winnow-documents")
-        found = marked.where("own IS NOT NULL").select(*KEY, F.explode("own").alias("p")).select(*KEY, "p.k", "p.hash").distinct()
-        return marked, found
-    exploded = rows.select(*KEY, F.explode(doc_prints["prints"]).alias("p")).select(*KEY, "p.k", "p.hash")
-    found = stored(exploded.join(wanted, ["k", "hash"]).distinct(), "winnow-found")
-    return rows.withColumns({"n_words": F.size(words(F.col("text"))).cast("long"), "own": F.array(F.lit(True))}), found
-
-
-def shared_spans(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, listed: int = 50_000,
+def shared_spans(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, bits: int = 20,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, hits: array of (item_id, spans: array of (start, end) in words) per document; with ``carry``
     also those columns of its row, as a struct ``row``."""
     items = stored(benchmark_items(benchmark, item_col, item_text_col), "winnow-items")
     sizes = _sizes(items, span, gram)
-    prints = stored(_item_prints(items, sizes, span, gram), "winnow-prints")
-    rows = docs.select(*carried(carry), F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    marked, found = _hits(rows, prints, sizes, span, gram, listed)
-    named = (found.join(prints, ["k", "hash"]).groupBy(*KEY, "item", "k")
-             .agg(F.collect_set(F.struct("hash", "at")).alias("places")).join(items.select("item", "item_id", "words"), "item")
-             .groupBy(*KEY).agg(F.collect_list(F.struct("k", "item_id", "words", "places")).alias("entries")))
-    named = stored(named, "winnow-named").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "entries")
+    windows = stored(item_windows(items, sizes, span, gram), "winnow-windows")
+    bitmap = stored(hash_bitmap(windows.select("hash"), bits), "winnow-bitmap")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*carried(carry), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = rows.withColumn("bitmap", bitmap.scalar())  # functions over arrays take columns, but no subqueries
+    known = _tested(F.col("bitmap"), bits)
+    read = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
+                                                        _windows(w, sizes, span, gram, known).alias("own")))
+    marked = stored(rows.select(*["row"] * bool(carry), *KEY, read.alias("r"))
+                    .select(*["row"] * bool(carry), *KEY, "r.n_words", F.when(F.size("r.own") > 0, F.col("r.own")).alias("own")), "winnow-documents")
+
+    found = marked.where("own IS NOT NULL").select(*KEY, F.explode("own").alias("w")).select(*KEY, "w.k", "w.hash", "w.at", "w.words")
+    matched = found.distinct().join(windows, ["k", "hash", "words"])
+    spans = _merged(F.collect_set("at"), F.col("length")).alias("spans")
+    per_item = matched.groupBy(*KEY, "item_id", "length").agg(spans)
+    named = per_item.groupBy(*KEY).agg(F.collect_list(F.struct("item_id", "spans")).alias("found"))
+    named = stored(named, "winnow-named").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "found")
     same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash"))
-    joined = marked.where("own IS NOT NULL").join(named, same, "left")
     none = F.array().cast("array<struct<item_id:string,spans:array<struct<start:int,end:int>>>>")
-    hits = F.when(F.col("entries").isNull(), none).otherwise(
-        let(words(F.col("text")), lambda w: _spans(w, F.col("entries"), sizes, span)))
     out = ["row"] * bool(carry) + ["doc_id", "n_words"]
+    joined = marked.where("own IS NOT NULL").join(named, same, "left")
     clean = marked.where("own IS NULL").select(*out, none.alias("hits"))
-    return joined.select(*out, hits.alias("hits")).unionByName(clean)
+    return joined.select(*out, F.coalesce("found", none).alias("hits")).unionByName(clean)
