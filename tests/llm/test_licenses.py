@@ -5,6 +5,7 @@ import textwrap
 import pytest
 
 import brute
+from test_plans import plan
 from voltaic.llm import licenses, queries
 
 TEXTS = ["Released under the MIT License\nnothing else", "UNDER THE MIT-LICENSE, under the mit license.", "under the mitt license",
@@ -107,3 +108,23 @@ def test_every_window_is_looked_at(spark, threshold):
             if best and best >= threshold:
                 want[label] = best
         assert got[i] == (set(want), max(want.values(), default=0.0))
+
+
+def test_any_run_of_a_notice_lies_in_a_row(spark):
+    label, text = max(licenses.TEMPLATES, key=lambda t: len(t[1]))
+    texts = ["pad " * k + text + " tail" * (1200 - k) for k in range(0, 1200, 37)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert licenses.stride_of(text) >= max(licenses.reach(text))
+    assert {(tuple(r["matched"]), r["containment"]) for r in licenses.scan(docs).collect()} == {((label,), 1.0)}
+
+
+def test_the_scan_is_a_join_and_a_long_text_has_few_rows(spark, monkeypatch):
+    tables = {}
+    real = licenses.stored
+    monkeypatch.setattr(licenses, "stored", lambda df, name: tables.setdefault(name, real(df, name)))
+    long = ("lorem ipsum the of a software " * 170_000) + licenses.TEMPLATES[0][1] + " dolor" * 10
+    out = licenses.scan(spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string"))
+    shape = plan(out, "simple")
+    assert shape.count("BroadcastHashJoin") >= 1 and "Python" not in shape
+    assert [r["matched"] for r in out.orderBy("doc_id").collect()] == [["mit"], []]
+    assert tables["license-documents"].selectExpr("max(size(rows))").first()[0] < 60
