@@ -67,8 +67,11 @@ def slices(lengths: np.ndarray, most: int):
         yield first, len(lengths)
 
 
-def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` (one of each size, one after the other) that ``codes`` name, one after the other."""
+def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+    """The runs of ``flat`` (of the given sizes, by default one after the other) that ``codes`` name, one after the other."""
     per = sizes[codes]
-    shift = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(per) - per)
-    return flat[np.arange(int(per.sum())) + np.repeat(shift, per)]
+    total = int(per.sum())
+    places = np.int32 if max(len(flat), total) < 1 << 31 else np.int64
+    begins = np.cumsum(sizes) - sizes if begins is None else begins
+    shift = (begins[codes] - (np.cumsum(per) - per)).astype(places)
+    return flat[np.arange(total, dtype=places) + np.repeat(shift, per)]
