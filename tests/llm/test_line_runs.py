@@ -2,7 +2,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import brute
+from test_plans import plan
 from voltaic.llm import line_runs, queries
 
 
@@ -36,12 +39,32 @@ def test_runs_are_merged_by_levels_and_leave_decided_keys_out(spark):
     runs.add(batch((b"a", 3), (b"b", 1)))
     runs.add(batch((b"a", 9), (b"b", 1)))
     assert [len(x) for x in runs.levels] == [0, 1]
-    assert {bytes(r["hash"]): r["n"] for r in runs.levels[1][0].collect()} == {b"a": 3, b"b": 2}
+    assert {bytes(r["hash"]): r["n"] for r in runs.run(runs.levels[1][0]).collect()} == {b"a": 3, b"b": 2}
     runs.add(batch((b"b", 1), (b"c", 1)))
     assert [len(x) for x in runs.levels] == [1, 1]
     assert {bytes(r["hash"]) for r in runs.common().collect()} == {b"a", b"b"}
 
 
+def test_runs_are_joined_in_their_order(spark):
+    runs = line_runs.LineRuns(spark, min_docs=3, fanout=9)
+    batch = spark.range(2000).selectExpr("md5(cast(id as string)) AS k", "1L AS n").selectExpr("unhex(k) AS hash", "n")
+    for k in range(2):
+        runs.add(batch.where(f"n + {k} > 0"))
+    left, right = runs.levels[0]
+    name = runs.write(runs.dealt(batch.withColumn("batch", F.lit(0))), "batch")
+    with line_runs.ordered_scans(spark):
+        for rows, scans in ((runs.merged(left, right), 2), (runs.undecided(runs.run(name).where("batch = 0").select("hash", "n")), 3)):
+            rows.collect()
+            shape = plan(rows, "simple").split("== Initial Plan ==")[0]
+            assert shape.count("Bucketed: true") == scans and shape.count("SortMergeJoin") == scans - 1
+            assert "Exchange" not in shape and "Sort [" not in shape
+    assert runs.common().count() == 0
+    runs.add(batch)
+    assert runs.common().count() == 2000
+    runs.drop()
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
 def test_empty_table(spark):
     assert line_runs.drop_common_lines(brute.empty_docs(spark)).collect() == []
 
