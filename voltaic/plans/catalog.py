@@ -41,6 +41,8 @@ from voltaic.session import apply_core_conf, scratch_path
 from voltaic.sources import files as F_
 from voltaic.sources import html_events, profile, sinks
 from voltaic.sources import weather as W_
+from voltaic.streaming import accounting as TA
+from voltaic.streaming import status as TS
 from voltaic.streaming import streams as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -948,6 +950,87 @@ def t05(spark, d):
         "code_insee", "nom_region", "first_seen_at", "last_seen_at", "status", "previous_status")
 
 
+@query("t05_status_changes", _with(S.SQL_SILVER) + """, seen AS (
+  SELECT code_insee_region AS code_insee, arg_min(libelle_region, date_heure) AS nom_region,
+         MIN(date_heure) AS first_seen_at, MAX(date_heure) AS last_seen_at FROM silver GROUP BY 1),
+now AS (SELECT MAX(last_seen_at) - INTERVAL 4 HOUR AS t FROM seen)
+SELECT code_insee, nom_region, NULL AS previous_status, 'active' AS status, first_seen_at, last_seen_at FROM seen
+UNION ALL
+SELECT code_insee, nom_region, 'active', CASE WHEN last_seen_at < t - INTERVAL 168 HOUR THEN 'inactive' ELSE 'stale' END,
+       first_seen_at, last_seen_at
+FROM seen, now WHERE last_seen_at < t - INTERVAL 24 HOUR""")
+def t05_changes(spark, d):
+    """Every status change of a region, out of event-time timers on the stream; the last ones are Y02's at the watermark."""
+    sdf = silver.readings_columns(S.raw_readings_from(_events_stream(spark, d)))
+    root = scratch_path(spark, "t05-changes")
+    TS.run_status_changes(spark, TS.stream_status_changes(sdf), f"{root}/out", f"{root}/ckpt")
+    out = spark.read.parquet(f"{root}/out")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
+
+
+def _two_deliveries(spark, d, run, again: bool):
+    """Events landed in two deliveries, ``run`` after each: all but every tenth, then those and, with ``again``, the first once more."""
+    root = scratch_path(spark, "two-deliveries")
+    ev = S.table(spark, d, "events")
+    second = F.col("event_id") % 10 == 0
+    for rows in (ev.where(~second), ev if again else ev.where(second)):
+        rows.write.mode("append").parquet(f"{root}/in")
+        run(T.stream_bronze(spark, f"{root}/in", ev.schema), root)
+    return root
+
+
+_DELIVERIES = """WITH a AS (SELECT * FROM events WHERE event_id % 10 <> 0), b AS (SELECT * FROM events WHERE event_id % 10 = 0),
+mark AS (SELECT date_trunc('millisecond', MAX(ts)) AS newest FROM a)"""
+
+
+@query("t02_late_rows", _DELIVERIES + """, behind AS (SELECT newest - INTERVAL 4 HOUR AS w FROM mark)
+SELECT 'readings' AS source, (SELECT COUNT(*) FROM a) + COUNT(*) AS read,
+       (SELECT COUNT(*) FROM a) + COUNT(*) FILTER (WHERE ts > w AND event_id % 10 = 0) AS kept,
+       COUNT(*) FILTER (WHERE ts > w AND event_id % 10 <> 0) AS repeats, COUNT(*) FILTER (WHERE ts <= w) AS late
+FROM events, behind""")
+def t02_late(spark, d):
+    """Re-delivered and late readings on the stream: what was read is kept, a repeat or late, in the audit records."""
+    def run(sdf, root):
+        TA.run_audited(sdf.select("event_id", "ts"), lambda s: T.stream_dedup(s, ["event_id"], "ts"), f"{root}/out", f"{root}/ckpt",
+                       f"{root}/audit", "t02", "readings", REF_NOW)
+    root = _two_deliveries(spark, d, run, again=True)
+    return TA.accounting_report(spark.read.parquet(f"{root}/audit"))
+
+
+@query("t06_late_alerts", _DELIVERIES + """, behind AS (SELECT newest - INTERVAL 24 HOUR AS w FROM mark),
+k AS (SELECT events.*, user_id || '/' || event_type || '/' || (value > 250) || '/' || CAST(ts AS DATE) AS key FROM events),
+first AS (SELECT DISTINCT key FROM k WHERE event_id % 10 <> 0),
+more AS (SELECT DISTINCT key FROM k, behind WHERE event_id % 10 = 0 AND ts > w AND key NOT IN (SELECT key FROM first))
+SELECT 'alerts' AS source, COUNT(*) AS read, (SELECT COUNT(*) FROM first) + (SELECT COUNT(*) FROM more) AS kept,
+       COUNT(*) FILTER (WHERE event_id % 10 <> 0 OR ts > w) - (SELECT COUNT(*) FROM first) - (SELECT COUNT(*) FROM more) AS repeats,
+       COUNT(*) FILTER (WHERE event_id % 10 = 0 AND ts <= w) AS late
+FROM k, behind""")
+def t06_late(spark, d):
+    """Late alerts on the stream are counted in the audit records beside the repeats."""
+    def run(sdf, root):
+        TA.run_audited(S.alert_log_from(sdf), T.stream_alert_dedup, f"{root}/out", f"{root}/ckpt", f"{root}/audit", "t06", "alerts", REF_NOW)
+    root = _two_deliveries(spark, d, run, again=False)
+    return TA.accounting_report(spark.read.parquet(f"{root}/audit"))
+
+
+@query("t04_late_windows", """WITH long AS (
+  SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts) AS slot, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end
+  FROM events WHERE value > 0),
+w AS (SELECT MAX(slot) FILTER (WHERE event_id % 10 <> 0) - INTERVAL 4 HOUR AS one, MAX(slot) - INTERVAL 4 HOUR AS two FROM long),
+x AS (SELECT window_end, two, event_id % 10 = 0 AND window_end <= one AS late FROM long, w)
+SELECT 'national' AS source, COUNT(*) AS read, COUNT(*) FILTER (WHERE NOT late AND window_end <= two) AS final,
+       COUNT(*) FILTER (WHERE NOT late AND window_end > two) AS open, COUNT(*) FILTER (WHERE late) AS late FROM x""")
+def t04_late(spark, d):
+    """Readings of final windows, of open windows (in the state store) and late ones add up to what was read."""
+    slot = F.window("ts", "15 minutes")["start"]
+
+    def run(sdf, root):
+        long = sdf.where("value > 0").select(slot.alias("date_heure"), F.lit("all").alias("source_name"), F.col("value").alias("valeur_mw"))
+        TA.run_audited(long, T.stream_national, f"{root}/out", f"{root}/ckpt", f"{root}/audit", "t04", "national", REF_NOW)
+    root = _two_deliveries(spark, d, run, again=False)
+    return TA.window_accounting(spark, spark.read.parquet(f"{root}/audit"), spark.read.parquet(f"{root}/out"), f"{root}/ckpt")
+
+
 @query("t06_stream_alert_dedup", _with(S.SQL_ALERTS) +
        "SELECT DISTINCT user_id, region_code, alert_type, CAST(sent_at AS DATE) AS day FROM alerts")
 def t06(spark, d):

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from voltaic.operators.dedup import dedup_keep_last
-from voltaic.operators.upsert import merge_frames, upsert_table
+from voltaic.operators.upsert import upsert_table
+from voltaic.streaming.deltas import read_deltas, write_delta
 
 LOOKBACK = "4 hours"
 SLOT = "15 minutes"
@@ -61,9 +62,9 @@ def stream_upsert(sdf: DataFrame, path: str, keys: Sequence[str], order: Sequenc
     """Idempotent upsert of every micro-batch into the table at ``path``.
 
     Within a batch the last row per key in ``order`` wins; across batches the
-    later batch overwrites matched keys. The order columns are not stored. Unpartitioned tables get one snapshot
-    version per batch id (``path/v=<batch_id>``), so a replayed batch rewrites
-    the same version; partitioned tables rewrite only the touched partitions.
+    later batch overwrites matched keys. The order columns are not stored. Unpartitioned tables get the batch's keys
+    as a version of its own (``deltas``), so a replayed batch rewrites the same version and nothing
+    else is copied; partitioned tables rewrite only the touched partitions.
     """
     keys, order, parts = list(keys), list(order), list(partition_by)
 
@@ -73,9 +74,7 @@ def stream_upsert(sdf: DataFrame, path: str, keys: Sequence[str], order: Sequenc
         if parts:
             upsert_table(spark, path, inc, keys, partition_by=parts, order=order)
             return
-        base = _latest_before(spark, path, batch_id)
-        merged = inc.drop(*order) if base is None else merge_frames(base, inc, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        write_delta(inc.drop(*order), batch_id, path, keys)
 
     q = _run(sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), trigger)
     if wait:
@@ -83,20 +82,9 @@ def stream_upsert(sdf: DataFrame, path: str, keys: Sequence[str], order: Sequenc
     return q
 
 
-def _latest_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-    try:
-        versions = spark.read.parquet(path).select("v").where(F.col("v") < batch_id).distinct()
-        v = versions.agg(F.max("v")).first()[0]
-    except AnalysisException:
-        return None
-    return None if v is None else spark.read.parquet(f"{path}/v={v}")
-
-
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """Latest snapshot written by ``stream_upsert`` (unpartitioned form)."""
-    v = spark.read.parquet(path).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/v={v}")
+    """The table written by ``stream_upsert`` (unpartitioned form) or ``merge_last_seen``, one row per key."""
+    return read_deltas(spark, path)
 
 
 def stream_national(long: DataFrame, ts: str = "date_heure", source: str = "source_name",
@@ -123,18 +111,10 @@ def stream_last_seen(readings: DataFrame, code: str = "code_insee_region", label
 
 
 def merge_last_seen(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink for T05: merge updated regions into the region table (versioned)."""
+    """foreachBatch sink for T05: a batch's regions as changed keys of the region table."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        inc = batch.withColumn("status", F.lit("active"))
-        base = _latest_before(spark, path, batch_id)
-        if base is None:
-            merged = inc
-        else:
-            merged = merge_frames(base, inc.select(*base.columns), ["code_insee"],
-                                  greatest_cols=["last_seen_at"], least_cols=["first_seen_at"],
-                                  keep_non_null=["nom_region"])
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        write_delta(batch.withColumn("status", F.lit("active")), batch_id, path, ["code_insee"], greatest=["last_seen_at"],
+                    least=["first_seen_at"], keep_non_null=["nom_region"])
     return merge
 
 
