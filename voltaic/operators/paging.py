@@ -12,6 +12,7 @@ from voltaic.constants import (
     PERIOD_PRESETS,
 )
 from voltaic.functions.columns import end_of_day_bound
+from voltaic.session import scratch_path
 
 
 def apply_filters(df: DataFrame, region: str | None = None, start: str | None = None,
@@ -53,6 +54,45 @@ def page(df: DataFrame, limit: int, offset: int = 0, ts: str = "timestamp",
     return rows, total
 
 
+class RankedPages:
+    """L02 for deep pages: rows range-partitioned once in page order, so that counts per range say where a page lies.
+
+    ``page`` sums the counts up to its offset, skips the ranges before it unread and sorts the ranges it lies in
+    (one, or neighbours at a border), cut by a filter on the partition column of the stored table. Rows that are
+    equal in all order columns lie in one range. The total comes from the same counts. The order is a total one:
+    rows may only tie if they are equal in it.
+    """
+
+    def __init__(self, df: DataFrame, ts: str = "timestamp", tie: tuple = ("code_insee",), ranges: int | None = None):
+        spark = df.sparkSession
+        self.order = [F.col(ts).desc(), *[F.col(t).asc() for t in tie]]
+        ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path = scratch_path(spark, "ranked-pages")
+        ranged = df.repartitionByRange(ranges, *self.order).withColumn("_range", F.spark_partition_id())
+        ranged.write.partitionBy("_range").parquet(path)
+        self.rows = spark.read.schema(ranged.schema).parquet(path)
+        self.counts = {r["_range"]: r["count"] for r in self.rows.groupBy("_range").count().collect()}  # a row per range
+        self.total = sum(self.counts.values())
+
+    def ranges_of(self, limit: int, offset: int) -> tuple[list[int], int]:
+        """(ranges that hold the page, rows of the ranges before them)."""
+        some, skipped, at = [], 0, 0
+        for k in sorted(self.counts):
+            if at + self.counts[k] <= offset:
+                skipped = at + self.counts[k]
+            elif at < offset + limit:
+                some.append(k)
+            at += self.counts[k]
+        return some, skipped
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        if not 1 <= limit <= 1000 or offset < 0:
+            raise ValueError("limit must be in 1..1000 and offset >= 0")
+        some, skipped = self.ranges_of(limit, offset)
+        rows = self.rows.where(F.col("_range").isin(some)) if some else self.rows.where(F.lit(False))
+        return rows.drop("_range").orderBy(*self.order).offset(offset - skipped).limit(limit)
+
+
 def meteo_regional(meteo: DataFrame, region: str | None = None, start: str | None = None,
                    end: str | None = None, limit: int = METEO_DEFAULT_LIMIT,
                    ts: str = "timestamp", region_col: str = "code_insee") -> DataFrame:

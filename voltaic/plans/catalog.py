@@ -33,6 +33,7 @@ from voltaic.operators import joins as J
 from voltaic.operators import lifecycle as Y
 from voltaic.operators import nulls as N
 from voltaic.operators import paging as L
+from voltaic.operators import publish as PU
 from voltaic.operators import quality as Q
 from voltaic.operators import upsert as U
 from voltaic.operators import windows as W
@@ -136,6 +137,15 @@ def l02_total(spark, d):
     return total
 
 
+@query("l02_deep_page", _with(GOLD, S.SQL_RECORDS) + f""", ranked AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY timestamp DESC, code_insee) AS rn, COUNT(*) OVER () AS total_records FROM records)
+SELECT {REC_COLS_SQL}, total_records FROM ranked WHERE rn > total_records // 10 AND rn <= total_records // 10 + 100""")
+def l02_deep(spark, d):
+    """A page behind a tenth of all records, from range counts: whole ranges are skipped, one is sorted."""
+    pages = L.RankedPages(gold.records(spark, d))
+    return _rec_out(pages.page(limit=100, offset=pages.total // 10)).withColumn("total_records", F.lit(pages.total).cast("long"))
+
+
 @query("l07_apply_filters", _with(GOLD) + """, flt AS (
   SELECT * FROM prod_long WHERE code_insee = '7' AND horodatage >= TIMESTAMP '1996-01-01 00:00:00'
      AND horodatage < TIMESTAMP '1998-01-01 00:00:00' AND source_name = 'eolien'),
@@ -242,6 +252,20 @@ def u04(spark, d):
                                 order=gold.LOAD_ORDER)
 
 
+@query("u04_published_fact", _UPSERT_SQL)
+def u04_published(spark, d):
+    """The same loads persisted: the base, then the 'R' batch published into the months it touches at one switch."""
+    staged = S.fact_staged(spark, d)
+    month = F.expr("id_date div 1000000").alias("month")
+    path = scratch_path(spark, "u04-published")
+    base = gold.fact_from_staged(staged.where(F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz"))).select(*gold.FACT_COLS, month)
+    inc = S.to_fact_rows(staged.where(F.col("batch_tag") == "R")).select(*gold.FACT_COLS, month, "load_batch", "load_pos")
+    keys = ["month", "id_date", "id_region", "id_source"]
+    PU.publish_upsert(base, path, keys, ["month"])
+    PU.publish_upsert(inc, path, keys, ["month"], order=gold.LOAD_ORDER, unstored=["load_batch", "load_pos"])
+    return PU.read_published(spark, path, base.schema).select(*gold.FACT_COLS)
+
+
 @query("u02_upsert_dim_time", _with(S.SQL_FACT_STAGED) + """, t AS (
   SELECT DISTINCT CAST(strftime(ts, '%Y%m%d%H%M') AS BIGINT) AS id_date FROM fact_staged
   WHERE ts < TIMESTAMP '1998-01-01 00:00:00' OR batch_tag = 'R')
