@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from voltaic.llm import queries, url_templates
+from voltaic.llm import common, queries, url_templates
 
 RULES = queries.URL_RULES
 
@@ -82,7 +82,7 @@ def frame(spark, urls):
 
 @pytest.mark.parametrize("options", [{}, {"min_pages": 1, "min_share": 0.2, "alpha": 0.5}, {"max_depth": 1}, {"min_share": 0.5, "max_depth": 2}])
 def test_templates_against_a_plain_tree(spark, options, monkeypatch):
-    monkeypatch.setattr(url_templates, "HEAVY", 4)  # some nodes of this corpus are broadcast, some are not
+    monkeypatch.setattr(common, "HEAVY", 4)  # some nodes of this corpus are broadcast, some are not
     urls = corpus()
     labels = [1 if u and "/spam/" in u else (0 if i % 3 == 0 else None) for i, u in enumerate(urls)]
     truth = F.when(F.col("path").contains("/spam/"), 1).when(F.col("row.page_id") % 3 == 0, 0)

@@ -53,6 +53,24 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+HEAVY = 1000
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], total: int) -> DataFrame:
+    """Rows left-joined to a table with one row per key that counts the key's rows as ``n``; ``total``: all rows.
+
+    At most ``HEAVY`` keys can have ``total / HEAVY`` rows or more: those are broadcast. The rows of all other keys,
+    none with more than that, are joined by shuffle, so no hot key meets in one task."""
+    values = [c for c in per_key.columns if c not in (*key, "n")]
+    heavy = F.col("n") * HEAVY >= total
+    large = per_key.where(heavy).select(*key, *values, F.lit(True).alias("_heavy"))
+    small = per_key.where(~heavy).select(*key, *values)
+    out = [*rows.columns, *values]
+    marked = rows.join(F.broadcast(large), key, "left")
+    rest = marked.where("_heavy IS NULL").select(*rows.columns).join(small, key, "left").select(*out)
+    return marked.where("_heavy").select(*out).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaic.llm.common import shuffle_partitions, small_batches, stored
+from voltaic.llm.common import shuffle_partitions, small_batches, spread_join, stored
 
 SEED = 42
 
@@ -197,19 +197,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(edges, "links")
-    state = None
+    state, total = None, 2 * edges.count()
     while True:
+        # the star of a hub is spread over the tasks: its smallest neighbour is brought to its edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low, ["u"], total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = (spread_join(large, low, ["u"], total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))))
         edges = stored(small.distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, total = now, 2 * now[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = SEED, tile_rows: int = 32768,
@@ -218,10 +219,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     at most ``radius`` differing bits, itself included."""
     prints = stored(fingerprints(docs, words, seed, id_col, text_col), "simhash")
     roots = components(linked(prints, radius, tile_rows)).withColumnRenamed("node", "fingerprint")
-    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"))
     grouped = first.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = stored(grouped.select("fingerprint", "root", "first"), "simhash-groups")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(ids, "root").select("fingerprint", "component_id")
-    return prints.join(by_print, "fingerprint").select(
+    named = stored(grouped.select("fingerprint", "root", "first", "docs"), "simhash-groups")
+    # a component of many fingerprints, a fingerprint of many documents: neither meets in one task
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    sizes = named.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    by_print = spread_join(named, ids, ["root"], sizes[0]).select("fingerprint", "component_id", F.col("docs").alias("n"))
+    return spread_join(prints, by_print, ["fingerprint"], sizes[1]).select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -42,11 +42,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltaic.llm.common import UPPER, LOWER, carried, stored
+from voltaic.llm.common import LOWER, UPPER, carried, spread_join, stored
 
 FEATURES = ("bad", "good", "ends", "numbers")
 NODE = ["host", "node"]
-HEAVY = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -141,18 +140,6 @@ def _decisions(active: DataFrame, depth: int, min_pages: int, min_share: float,
         _merge(alpha), "host string, node string, n long, names map<string,string>")
 
 
-def _spread_join(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
-    """Rows left-joined to a table with one row per (host, node) that counts their rows as ``n``.
-
-    At most ``HEAVY`` nodes can have ``total / HEAVY`` rows or more: those are broadcast."""
-    values = [c for c in table.columns if c not in (*NODE, "n")]
-    large = table.where(F.col("n") * HEAVY >= total).select(*NODE, *values, F.lit(True).alias("heavy"))
-    small = table.where(F.col("n") * HEAVY < total).select(*NODE, *values)
-    marked = rows.join(F.broadcast(large), NODE, "left")
-    done = marked.where("heavy").select(*rows.columns, *values)
-    return done.unionByName(marked.where("heavy IS NULL").select(*rows.columns).join(small, NODE, "left").select(*rows.columns, *values))
-
-
 def templates(urls: DataFrame, url_col: str = "url", label: Column | None = None, min_pages: int = 5, min_share: float = 0.02,
               alpha: float = 0.05, max_depth: int = 8, carry: list[str] | None = None) -> DataFrame:
     """host, path, label (1 bad, 0 good, NULL unknown), node (the template's path) of every url; with ``carry`` also
@@ -167,7 +154,7 @@ def templates(urls: DataFrame, url_col: str = "url", label: Column | None = None
         active = F.size("segs") > depth
         decided = stored(_decisions(rows.where(active), depth, min_pages, min_share, alpha), "url-nodes")
         named = F.coalesce(F.element_at("names", F.get("segs", F.lit(depth))), F.lit("*"))
-        grown = _spread_join(rows.where(active), decided, seen["n"]).withColumn("node", F.concat("node", F.lit("/"), named))
+        grown = spread_join(rows.where(active), decided, NODE, seen["n"]).withColumn("node", F.concat("node", F.lit("/"), named))
         rows = stored(grown.select(*rows.columns).unionByName(rows.where(~active)), "url-rows")
     return rows.drop("segs")
 
@@ -189,7 +176,7 @@ def judge(paths: DataFrame, weight: float = 5.0, reject: float = 0.8, min_labell
     bad = (F.col("bad") > 0) & (F.col("purity") >= reject) & (F.col("bad") + F.col("good") >= F.col("n") * min_labelled)
     known = stored(known.select(*NODE, "n", "purity", bad.alias("rejected")), "url-purities")
     total = known.agg(F.sum("n")).first()[0] or 0
-    return _spread_join(paths, known, total)
+    return spread_join(paths, known, NODE, total)
 
 
 def decide(urls: DataFrame, rules: dict[str, str], url_col: str = "url", label: Column | None = None, carry: list[str] | None = None,
