@@ -95,3 +95,32 @@ def test_pages_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "timestamp int, code_insee string")
     pages = L.RankedPages(empty)
     assert pages.total == 0 and pages.page(10).collect() == [] and F is not None
+
+
+@pytest.mark.parametrize("by", [(), ("zone",)])
+def test_a_carried_state_gives_the_rows_of_the_full_scan(spark, tmp_dir, by):
+    from voltaic.operators import windows as W
+    rng = random.Random(12)
+    points = []
+    for zone in ("n", "s", "w"):
+        level = 100.0
+        for h in range(300):
+            if rng.random() < 0.08:
+                level = rng.choice([60.0, 100.0, 140.0, None])
+            points.append((zone, f"2025-{1 + h // 100:02d}-{1 + h % 100 // 5:02d} {h % 5:02d}:00:00", {"gaz": 100.0}, level))
+    series = spark.createDataFrame(points, "zone string, t string, sources map<string,double>, consommation_mw double")
+    series = series.withColumn("timestamp", F.col("t").cast("timestamp_ntz")).drop("t")
+    series = series if by else series.where("zone = 's'")
+    asked = []
+
+    def since(upto):
+        def build(at):
+            asked.append(at)
+            out = series.where(F.col("timestamp") <= F.lit(upto).cast("timestamp_ntz"))
+            return out if at is None else out.where(F.col("timestamp") >= F.lit(at).cast("timestamp_ntz"))
+        return build
+    for upto in ("2025-01-09 00:00:00", "2025-01-09 00:00:00", "2025-02-03 02:00:00", "2025-02-03 03:00:00", "2025-03-30 00:00:00"):
+        got = W.advance_run_start(spark, f"{tmp_dir}/state", since(upto), by=by)
+        want = W.balance_run_start(series.where(F.col("timestamp") <= F.lit(upto).cast("timestamp_ntz")), by=by)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert asked[0] is None and asked[1:4] == ["2025-01-09 00:00:00"] * 2 + ["2025-02-03 02:00:00"]

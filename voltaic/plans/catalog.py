@@ -418,7 +418,7 @@ def w03(spark, d):
     return W.balance_runs(gold.national(spark, d))
 
 
-@query("w03_balance_run_start", _with(NAT) + f""", pts AS (
+_W03_LAST_SQL = _with(NAT) + f""", pts AS (
   SELECT timestamp, floor(CAST(total_pos AS DOUBLE) + 0.5) AS prod, floor(consommation_mw + 0.5) AS conso
   FROM national),
 st AS (SELECT *, CASE WHEN conso IS NULL OR conso = 0 THEN 'no_data'
@@ -431,11 +431,22 @@ runs AS (SELECT timestamp, prod, conso, state,
          MAX(s) OVER (ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_start FROM fl)
 SELECT timestamp, prod, conso, state,
        CASE WHEN state IN ('surplus', 'deficit') THEN run_start END AS run_start
-FROM runs ORDER BY timestamp DESC LIMIT 1""")
+FROM runs ORDER BY timestamp DESC LIMIT 1"""
+
+
+@query("w03_balance_run_start", _W03_LAST_SQL)
 def w03_last(spark, d):
     return W.balance_run_start(gold.national(spark, d))
 
 
+@query("w03_carried_run_start", _W03_LAST_SQL)
+def w03_carried(spark, d):
+    """The same row from a persisted state: the history until 1998-06 once, then only what came behind it."""
+    path = scratch_path(spark, "w03-state")
+    W.advance_run_start(spark, path, lambda since: gold.national(spark, d, end="1998-06-30 23:59:59"))
+    return W.advance_run_start(spark, path, lambda since: gold.national(spark, d, start=since))
+
+
 @query("l08_last_period", _with(NAT) + """SELECT timestamp, sources_text, consommation_mw FROM national
 WHERE timestamp >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 30 DAY AND timestamp <= TIMESTAMP '1998-08-02 00:00:00'""")
 def l08(spark, d):
