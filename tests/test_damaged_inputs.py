@@ -148,6 +148,29 @@ def test_files_of_one_header_are_parsed_once(spark, tmp_dir):
     assert "FileScan csv" not in plan(files.validate_and_route_csv(spark, root, landing=f"{tmp_dir}/l"), "simple")
 
 
+@pytest.mark.parametrize("block", [1, 3, 1 << 20])
+def test_files_are_digested_in_blocks_and_known_ones_stay_closed(spark, tmp_dir, block):
+    import hashlib
+    root = os.path.join(tmp_dir, "s")
+    texts = {"a b.csv": "h\r\n1\r\n\r\n  \n2", "b.csv": "h\n\r\n3\n", "c.csv": "h\n é \n \r", "d.csv": ""}
+    for name, text in texts.items():
+        write(f"{root}/{name}", text)
+    todo, state = files.skip_unchanged(spark, root, None, block_bytes=block)
+    got = {r.name: (r.checksum, r.records) for r in todo.collect()}
+    import re
+    want = {n: (hashlib.sha256(t.encode()).hexdigest()[:16], sum(x.strip(" ") != "" for x in re.split("\r?\n", t)) - 1) for n, t in texts.items()}
+    assert {n: v for n, v in got.items() if n != "d.csv"} == {n: v for n, v in want.items() if n != "d.csv"}
+    state = spark.createDataFrame(state.collect(), state.schema)
+    write(f"{root}/b.csv", "h\n4\n5\n")
+    os.utime(f"{root}/c.csv", (1, 1))  # touched, not changed
+    again, new = files.skip_unchanged(spark, root, state, block_bytes=block)
+    assert [(r.name, r.records) for r in again.collect()] == [("b.csv", 2)]
+    assert "a b.csv" not in {r.name for r in spark.read.parquet(sorted(glob.glob(
+        f"{checkpoint_root(spark)}/file-digests-*".removeprefix("file:")), key=os.path.getmtime)[-1]).collect()}
+    old = files.skip_unchanged(spark, root, new.select("name", "checksum"), block_bytes=block)[0]
+    assert old.count() == 0 and {r.name for r in new.collect()} >= {"a b.csv", "b.csv", "c.csv"}
+
+
 def test_validation_reads_csv_records_and_keeps_bad_files(spark, tmp_dir):
     root, q = os.path.join(tmp_dir, "v"), os.path.join(tmp_dir, "q")
     write(f"{root}/quoted.csv", '"code_insee_region","puissance_installee_mw","note"\n11,2,"two\nlines"\n')

@@ -341,24 +341,64 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
                   if st.isFile() and not st.getPath().getName().startswith((".", "_")))
 
 
-def skip_unchanged(spark: SparkSession, path: str, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _digests(block_bytes: int):
+    """path, name, length, modified -> name, checksum, records, length, modified, each file read block by block."""
+    def run(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            checksums, records = [], []
+            for path in batch.column(0).to_pylist():
+                local = re.sub("^file:/*", "/", path)
+                system, name = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+                digest, lines, tail, begun = hashlib.sha256(), 0, b"", False
+                with system.open_input_stream(name) as f:
+                    while data := f.read(block_bytes):
+                        digest.update(data)
+                        *whole, tail = (tail + data).split(b"\n")
+                        for line in whole:
+                            lines += begun or bool(line.removesuffix(b"\r").strip(b" "))
+                            begun = False
+                        # of a line that goes on, whether it holds anything and its last byte (it may belong to the line end)
+                        begun = begun or bool(tail[:-1].strip(b" "))
+                        tail = tail[-1:]
+                lines += begun or bool(tail.strip(b" "))
+                checksums.append(digest.hexdigest()[:16])
+                records.append(lines - 1)
+            yield pa.record_batch([batch.column(1), pa.array(checksums, pa.string()), pa.array(records, pa.int64()), batch.column(2),
+                                   batch.column(3)], names=["name", "checksum", "records", "length", "modified"])
+    return run
+
+
+def skip_unchanged(spark: SparkSession, path: str, state: DataFrame | None, trust_listing: bool = True,
+                   block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """Files whose content checksum (first 16 hex of SHA-256) changed since the last run.
 
     Returns (files to ingest with their data-line count, new state). State
-    columns: (name, checksum).
+    columns: (name, checksum, length, modified); a state without the last two
+    serves, too. Files that the listing shows with the size and modification time
+    of the state are not opened (unless ``trust_listing`` is off); the others are
+    read once, block by block, whatever their size.
     """
-    files = (spark.read.format("binaryFile").load(path)
-             .select(F.element_at(F.split("path", "/"), -1).alias("name"),
-                     F.substring(F.sha2(F.col("content"), 256), 1, 16).alias("checksum"),
-                     F.col("content").cast("string").alias("_txt")))
-    todo = files if state is None else files.join(state.select("name", "checksum"), ["name", "checksum"],
-                                                  "left_anti")
-    lines = F.filter(F.split(F.col("_txt"), "\r?\n"), lambda x: F.trim(x) != "")
-    todo = todo.select("name", "checksum", (F.size(lines) - 1).cast("long").alias("records"))
-    new_state = files.select("name", "checksum") if state is None else \
-        state.select("name", "checksum").join(files.select("name"), "name", "left_anti") \
-             .unionByName(files.select("name", "checksum"))
-    return todo, new_state
+    listing = spark.read.format("binaryFile").load(path).select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("name"), "length",
+        F.unix_micros("modificationTime").alias("modified"))
+    known = state is not None and {"length", "modified"} <= set(state.columns)
+    look = listing.join(state, ["name", "length", "modified"], "left_anti") if known and trust_listing else listing
+    digested = look.select("path", "name", "length", "modified").mapInArrow(
+        _digests(block_bytes), "name string, checksum string, records long, length long, modified long")
+    kept = scratch_path(spark, "file-digests")  # one row per file, used more than once
+    digested.write.parquet(kept)
+    digested = spark.read.schema(digested.schema).parquet(kept)
+    todo = digested if state is None else digested.join(state.select("name", "checksum"), ["name", "checksum"], "left_anti")
+    new_state = digested.select("name", "checksum", "length", "modified")
+    if state is not None:
+        old = state.join(digested.select("name"), "name", "left_anti")
+        new_state = old.select("name", "checksum", *["length", "modified"] * known).unionByName(new_state, allowMissingColumns=True)
+    return todo.select("name", "checksum", "records"), new_state
 
 
 def incremental_filter(df: DataFrame, since: str | None = None, region: str | None = None,
