@@ -173,13 +173,13 @@ base AS (SELECT r, label, unnest(list_filter(range(0, greatest(0, len(w) - len(s
          FROM (SELECT * FROM d, phrase WHERE contains(array_to_string(w, ' '), p))),
 b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels
       FROM base GROUP BY r),
-some AS (SELECT r, w, label, across, within, words, ceil(0.9 * len(words) - 1e-9) AS need FROM d, template
+able AS (SELECT r, w, label, across, within, words, ceil(0.9 * len(words) - 1e-9) AS need FROM d, template
          WHERE len(list_intersect(words, list_distinct(w))) >= ceil(0.9 * len(words) - 1e-9)),
 line AS (SELECT r, k, len(regexp_extract_all(translate(lines[k], '{UPPER}', '{LOWER}'), '{WORD_PATTERN}')) AS n
          FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS lines FROM d))),
 place AS (SELECT r, e, unnest(range(e - n + 1, e + 1)) AS i FROM (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY k)::BIGINT AS e FROM line)),
 block AS (SELECT r, label, need, words, w[i:(i + greatest(across, least(within, e - i + 1)) - 1)] AS b
-          FROM some JOIN place USING (r) WHERE list_contains(words, w[i])),
+          FROM able JOIN place USING (r) WHERE list_contains(words, w[i])),
 hit AS (SELECT r, label, len(list_intersect(words, b)) / len(words) AS share FROM block WHERE len(list_intersect(words, b)) >= need),
 m AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM hit GROUP BY r)
 SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
