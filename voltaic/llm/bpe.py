@@ -57,10 +57,10 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 def _options(model: str) -> dict:
     split = json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
-    return {"splits_at_space": split == SPACE_SAFE_PATTERN, "cache_pieces": 150_000, "special_as_text": True}
+    return {"splits_at_space": split == SPACE_SAFE_PATTERN, "cache_pieces": 100_000, "slice_chars": 1 << 20, "special_as_text": True}
 
 
-def _encode(model, offsets: bool, part_rows: int = 1024):
+def _encode(model, offsets: bool, part_rows: int = 256):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -100,7 +100,7 @@ def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "do
     return rows.mapInArrow(_encode(shared, offsets), schema)
 
 
-def _decode(model, with_text: bool, at_once: int = 1 << 22):
+def _decode(model, with_text: bool, at_once: int = 1 << 20):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -114,7 +114,7 @@ def _decode(model, with_text: bool, at_once: int = 1 << 22):
             schema = batch.schema.append(pa.field("decoded", pa.binary()))
             if with_text:
                 schema = schema.append(pa.field("text", pa.string()))
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 raw, at = utf8(part.column("ids").cast(pa.large_binary()))
                 ids = np.frombuffer(np.ascontiguousarray(raw), "<u4")
                 decoded = np.concatenate([np.zeros(0, np.uint8), *(gather(flat, sizes, ids[k:k + at_once])
