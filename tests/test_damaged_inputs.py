@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,17 @@ def test_export_quotes_cells(spark, tmp_dir):
     assert sinks.fr_csv_lines(df, ["unit", "mw"]).first().line == '"a;b ""c""";1,5'
 
 
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    row = '<tr class="event-row" data-event-id="E{0}"><td class="unit-name">U{0}</td></tr>'
+    batch = pa.record_batch([pa.array(range(1200), pa.int64()), pa.array([row.format(i) for i in range(1200)]),
+                             pa.array([None, *("u",) * 1199], pa.string())], names=["page_id", "html", "url"])
+    parts = list(html_events._extract(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 1200 and max(p.num_rows for p in parts) <= 50
+    assert parts[0].to_pylist()[0]["source_url"] is None and parts[-1].to_pylist()[-1]["event_id"] == "E1199"
+    html_events.extract_events_html(spark.createDataFrame([(1, "", "")], "page_id long, html string, url string"))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_open_rows_and_nested_tags_in_pages(spark):
     page = ('<table><tr class="event-row" data-event-id="E1"><td class="unit-name">A<b>bold</b> tail<td class="unavail-mw">1'
             '<tr class="event-row"><td class="event-id">E2</td><td class="unit-name"><i>inner</i>own</td>')
