@@ -12,7 +12,7 @@ from test_plans import plan
 from voltaic.functions.columns import canonical_region_code, kw_to_mw, parse_mw, safe_double
 from voltaic.operators import joins as J
 from voltaic.operators import upsert as U
-from voltaic.plans import silver
+from voltaic.plans import catalog, silver
 from voltaic.session import checkpoint_root
 from voltaic.sources import files, html_events, sinks
 from voltaic.streaming import streams as T
@@ -96,6 +96,29 @@ def test_payloads_are_parsed_once(spark, tmp_dir):
     assert "parse_json" not in plan(rows) and "Generate" not in plan(rows)
 
 
+def test_payloads_are_landed_in_parallel_and_lines_in_bounded_files(spark, tmp_dir):
+    kinds = ["view", "purchase", "error", "click", "signup"]
+    events = spark.range(1000).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id % 200 AS user_id",
+        f"array({', '.join(map(repr, kinds))})[int(id div 200)] AS event_type", "double(id % 300) AS value",
+        """concat('{"k": ', id % 7, '}') AS props""")
+    events.write.parquet(f"{tmp_dir}/events.parquet")
+    root = catalog._mixed_bronze(spark, tmp_dir, lines=50).removeprefix("file:")
+    assert all(len(open(f).readlines()) <= 50 for kind in ("lines", "damaged") for f in glob.glob(f"{root}/{kind}/*.txt"))
+    nd = events.where("event_type = 'signup' AND value > 150").count()
+    counts = {r["kind"]: r["texts"] for r in entry_mod.queries()["s01_quarantine"](spark, tmp_dir).collect()}
+    assert counts == {"cut line": nd, "cut file": 200, "number": 200, "text": 200, "null": 200}
+    assert entry_mod.queries()["s01_mixed_json"](spark, tmp_dir).count() == 800 - nd
+
+
+def test_landed_payloads_are_whole_and_again_the_same(spark, tmp_dir):
+    texts = {"a": "one\nline é", "b": "", "c": "x" * 100_000}
+    df = spark.createDataFrame([*texts.items()], "name string, value string").repartition(3)
+    for _ in range(2):  # a task that runs again overwrites its own files
+        assert sinks.land_payloads(df, f"file:{tmp_dir}/p q", ".txt") == 3
+        assert {os.path.basename(f)[:-4]: open(f, encoding="utf-8", newline="").read() for f in glob.glob(f"{tmp_dir}/p q/*")} == texts
+
+
 def test_capacity_files_are_read_by_their_own_headers(spark, tmp_dir):
     root = os.path.join(tmp_dir, "c")
     write(f"{root}/a.csv", "code_insee_region;filiere;puissance\n11;Éolien;1,5\n")

@@ -1092,19 +1092,21 @@ def s01(spark, d):
     return F_.read_bronze_json(spark, root, _RAW_SCHEMA).drop("_file", "_pos")
 
 
-def _mixed_bronze(spark, d, block: int = 100_000) -> str:
+def _mixed_bronze(spark, d, block: int = 100_000, lines: int = 10_000) -> str:
     """Readings landed in every shape the feed has: JSON Lines (click), arrays per region (view) that begin with a
     number, envelopes per region (purchase) that begin with a text and a null, JSON Lines with cut lines ('ND' signups),
     and arrays cut in half (error). A payload holds a region's readings out of ``block`` consecutive event ids, so none
-    grows with a hot region."""
+    grows with a hot region; JSON Lines files, each read as a whole, hold ``lines`` lines at most."""
     root = scratch_path(spark, "s01-mixed")
     raw = S.raw_readings(spark, d)
     body = F.to_json(F.struct(*raw.columns))
     own = {e: F.col(c).isNotNull() for e, c in S.EVENT_COLUMN}
-    raw.where(own["click"]).select(body.alias("value")).write.text(f"{root}/lines")
+    raw.where(own["click"]).select(body.alias("value")).write.option("maxRecordsPerFile", lines).text(f"{root}/lines")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for kind, event in (("array", "view"), ("envelope", "purchase"), ("cut", "error")):
-        slot = F.floor(F.col("load_ordinal") / block).alias("slot")
-        per = raw.where(own[event]).groupBy("code_insee_region", slot).agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
+        keys = ["code_insee_region", "slot"]
+        rows = raw.where(own[event]).withColumn("slot", F.floor(F.col("load_ordinal") / block)).repartition(tasks, *keys)
+        per = rows.groupBy(*keys).agg(F.collect_list(F.struct(*raw.columns)).alias("r"))
         text = F.to_json("r")
         rest = F.substring(text, F.lit(2), F.char_length(text))
         if kind == "array":
@@ -1114,9 +1116,10 @@ def _mixed_bronze(spark, d, block: int = 100_000) -> str:
         else:
             text = F.substring(text, F.lit(1), (F.char_length(text) / 2).cast("int"))
         # one value per file, as the feed lands one payload per file
-        per.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/{kind}")
+        sinks.land_payloads(per.select(F.sha2(F.to_json(F.struct(*keys)), 256).alias("name"), F.concat(text, F.lit("\n")).alias("value")),
+                            f"{root}/{kind}", ".txt")
     cut = F.when(F.col("hydraulique") == "ND", F.substring(body, F.lit(1), F.char_length(body) - 5)).otherwise(body)
-    raw.where(own["signup"]).select(cut.alias("value")).write.text(f"{root}/damaged")
+    raw.where(own["signup"]).select(cut.alias("value")).write.option("maxRecordsPerFile", lines).text(f"{root}/damaged")
     return root
 
 

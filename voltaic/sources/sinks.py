@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltaic.constants import CSV_DECIMAL_SEP, CSV_DELIMITER, EXPORT_COLUMN_LABELS
+from voltaic.session import small_batches
 
 AUDIT_SCHEMA = ("job_id string, timestamp timestamp, source string, status string, record_count long, "
                 "error_details string, details string")
@@ -23,6 +24,37 @@ def land_raw(df: DataFrame, root: str, source: str, sub_path: str, ts: str, job_
     return out
 
 
+def _write_payloads(folder: str, suffix: str):
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+        if folder.startswith("/") or folder.startswith("file:"):
+            system, root = fs.LocalFileSystem(), re.sub(r"^file:/*", "/", folder)
+        else:
+            system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, text in zip(*batch.columns, strict=True):
+                with system.open_output_stream(f"{root}/{name.as_py()}{suffix}") as f:
+                    f.write((text.as_py() or "").encode())
+            n += batch.num_rows
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+    return run
+
+
+def land_payloads(df: DataFrame, folder: str, suffix: str) -> int:
+    """One file ``name + suffix`` per row (name, value) of ``df``, written by its tasks; returns the number of rows.
+
+    Spark's own writer opens, checks, renames and commits every file apart, which for one small payload a file takes
+    far longer than writing it. Names are the payloads' own, so a task that runs again writes the same files."""
+    small_batches(df.sparkSession)
+    landed = df.select("name", "value").mapInArrow(_write_payloads(folder, suffix), "n long")
+    return landed.agg(F.sum("n")).first()[0] or 0
+
+
 def _partition_cols(df: DataFrame, ts_col: str, parts: Sequence[str]) -> DataFrame:
     ts = F.col(ts_col)
     fmt = {"year": F.lpad(F.year(ts).cast("string"), 4, "0"),
