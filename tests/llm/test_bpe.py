@@ -1,7 +1,10 @@
 import hashlib
+import json
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +37,20 @@ def test_runs_of_one_character():
     assert got == [REFERENCE.encode_ordinary(t) for t in texts]
 
 
+def test_workers_never_hold_the_model_as_python_objects(monkeypatch):
+    read = []
+    monkeypatch.setattr(json, "loads", lambda text, real=json.loads: read.append(len(text)) or real(text))
+    encoder = Encoder(MODEL, splits_at_space=True)
+    assert encoder.pieces and max(read, default=0) < 10_000
+    joined, lengths = bpe.token_bytes(MODEL)  # on the driver
+    assert lengths == [len(t) for t in sorted(RANKS, key=RANKS.get)] and len(joined) == sum(lengths)
+    table = SimpleNamespace(value=(joined, np.array(lengths, np.int64).tobytes()))
+    read.clear()
+    ids = np.array(REFERENCE.encode_ordinary("a word, 你"), "<u4").tobytes()
+    out = list(bpe._decode(table, True)(iter([pa.record_batch([pa.array([1]), pa.array([ids])], names=["doc_id", "ids"])])))
+    assert out[0].to_pylist()[0]["text"] == "a word, 你" and not read
+
+
 def test_round_trip_offsets_and_split_characters(spark):
     docs = edge_docs(spark)
     rows = bpe.decode(bpe.encode(docs, MODEL, offsets=True), MODEL).collect()

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +61,10 @@ def _options(model: str) -> dict:
     return {"splits_at_space": split == SPACE_SAFE_PATTERN, "cache_pieces": 100_000, "slice_chars": 1 << 20, "special_as_text": True}
 
 
-def _encode(model, offsets: bool, part_rows: int = 256):
+def _encode(model, options: dict, offsets: bool, part_rows: int = 256):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        encoder = worker_encoder(model.value, **_options(model.value))
+        encoder = worker_encoder(model.value, **options)
         for batch in batches:
             for part in (batch.slice(i, part_rows) for i in range(0, batch.num_rows, part_rows)):
                 ids, bounds = encoder.encode_column(part.column(1))
@@ -97,19 +97,25 @@ def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "do
     shared = spark.sparkContext.broadcast(model)  # one vocabulary
     schema = "doc_id long, ids binary, n_tokens long, split_chars long" + ", starts array<int>, ends array<int>" * offsets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(shared, offsets), schema)
+    return rows.mapInArrow(_encode(shared, _options(model), offsets), schema)
 
 
-def _decode(model, with_text: bool, at_once: int = 1 << 20):
+def token_bytes(model: str) -> tuple[bytes, list[int]]:
+    """The bytes of all tokens one after the other, in id order, and their lengths."""
+    back = {c: b for b, c in byte_table().items()}
+    vocab = json.loads(model)["model"]["vocab"]
+    table = [b""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        table[i] = bytes(back[c] for c in token)
+    return b"".join(table), [*map(len, table)]
+
+
+def _decode(table, with_text: bool, at_once: int = 1 << 20):
+    """``table`` holds ``token_bytes``: the model itself, far larger as Python objects, stays out of these workers."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        back = {c: b for b, c in byte_table().items()}
-        vocab = json.loads(model.value)["model"]["vocab"]
-        table = [b""] * (max(vocab.values(), default=-1) + 1)
-        for token, i in vocab.items():
-            table[i] = bytes(back[c] for c in token)
-        flat, sizes = np.frombuffer(b"".join(table), np.uint8), np.array([*map(len, table)], np.int64)
+        joined, lengths = table.value
+        flat, sizes = np.frombuffer(joined, np.uint8), np.frombuffer(lengths, np.int64)
         for batch in batches:
             schema = batch.schema.append(pa.field("decoded", pa.binary()))
             if with_text:
@@ -131,6 +137,7 @@ def decode(encoded: DataFrame, model: str, text: bool = True) -> DataFrame:
     """``encode``'s rows with ``decoded`` (bytes) and, with ``text``, ``text`` (bytes that are no UTF-8, as from
     cut id sequences, become U+FFFD)."""
     spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    joined, lengths = token_bytes(model)
+    shared = spark.sparkContext.broadcast((joined, np.array(lengths, np.int64).tobytes()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary" + ", text string" * text
     return encoded.mapInArrow(_decode(shared, text), schema)

@@ -26,7 +26,7 @@ from itertools import repeat
 
 import numpy as np
 
-from voltaic.llm.common import worker_cache
+from voltaic.llm.common import release_memory, worker_cache
 from voltaic.llm.spans import byte_set, gather, utf8
 
 ASCII_SPACE = byte_set(" \t\n\x0b\x0c\r")
@@ -96,24 +96,24 @@ class Encoder:
                  group: int = 64, splits_at_space: bool | None = None, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
         from tokenizers import Tokenizer
-        spec = json.loads(tokenizer_json)
+        # asked of the tokenizer: the whole JSON as Python objects would double the worker's memory
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = special_as_text
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        added = [t for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
-        self.lengths = np.zeros(max([*vocab.values(), *(t["id"] for t in added)], default=0) + 1, np.int64)
+        added = {i: t for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (special_as_text and t.special)}
+        self.lengths = np.zeros(max([*vocab.values(), *added], default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)
-        for t in added:
-            self.lengths[t["id"]] = len(t["content"].encode())
-        self.whole = [t["content"].encode() for t in added if t["content"]]
-        pre = spec.get("pre_tokenizer") or {}
+        for i, t in added.items():
+            self.lengths[i] = len(t.content.encode())
+        self.whole = [t.content.encode() for t in added.values() if t.content]
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         if splits_at_space is None:
             splits_at_space = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                                and bool(pre.get("use_regex")))
-        apart = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) and not any(c.isspace() for c in t["content"])
-                    for t in added)
-        self.pieces = splits_at_space and apart and not spec.get("normalizer")
+        apart = all(not (t.single_word or t.lstrip or t.rstrip) and not any(c.isspace() for c in t.content)
+                    for t in added.values())
+        self.pieces = splits_at_space and apart and not self.tokenizer.normalizer
         self.dtype = np.dtype("<u2") if len(self.lengths) <= 1 << 16 else np.dtype("<u4")
         self.cache_pieces, self.slice_bytes, self.group = cache_pieces, slice_chars, group
         # two generations: a full one becomes the old one, pieces in use move on from there
@@ -193,4 +193,5 @@ def worker_encoder(tokenizer_json: str, **options) -> Encoder:
     cache = worker_cache()
     if ("encoder", key) not in cache:
         cache["encoder", key] = Encoder(tokenizer_json, **options)
+        release_memory()  # building a tokenizer takes twice the memory it keeps
     return cache["encoder", key]
