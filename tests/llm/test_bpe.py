@@ -73,6 +73,21 @@ def test_round_trip_offsets_and_split_characters(spark):
     assert any(r["split_chars"] for r in rows)
 
 
+def test_round_trip_in_one_worker_gives_the_rows_of_both_steps(spark):
+    docs = edge_docs(spark)
+    docs = docs.unionByName(docs)  # repeated rows stay
+    both = bpe.decode(bpe.encode(docs, MODEL, offsets=True), MODEL)
+    once = bpe.round_trip(docs, MODEL, offsets=True)
+    assert once.dtypes == both.dtypes
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, both.collect()))
+    assert bpe.round_trip(empty_docs(spark), MODEL).collect() == []
+
+
+def test_digests_take_one_python_worker_per_task(spark):
+    plan = queries.bpe_digests(edge_docs(spark), MODEL, keep_ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_cut_sequences_decode_to_replacement_characters(spark):
     ids = REFERENCE.encode_ordinary("🙂")
     assert len(ids) > 1

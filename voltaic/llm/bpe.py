@@ -8,9 +8,9 @@ match that is itself a token is taken whole, as rank-based encoders do.
 a token's start and end are offsets in characters of the text, and a token
 border inside a character counts as a split character. ``decode`` reverses
 the byte table and joins the bytes before it reads them as UTF-8, so split
-characters come back whole.
+characters come back whole. ``round_trip`` does both in one pass over the rows.
 
-Both are narrow map stages: no shuffle, memory bounded by one batch and the
+All are narrow map stages: no shuffle, memory bounded by one batch and the
 longest text. Edge cases: NULL text is the empty text (no ids); texts of any
 length are encoded in slices with the same ids; repeated rows stay; an empty
 table gives an empty result; other columns are never read.
@@ -22,10 +22,10 @@ import base64
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltaic.llm.common import small_batches
+from voltaic.llm.common import release_memory, small_batches
 from voltaic.llm.encoder import byte_table, worker_encoder
 from voltaic.llm.spans import gather, utf8
 
@@ -89,15 +89,21 @@ def _encode(model, options: dict, offsets: bool, part_rows: int = 256):
     return run
 
 
-def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, split_chars (tokens that begin inside a
-    character); with ``offsets`` also starts and ends of every token in characters."""
+def _encoding(docs: DataFrame, model: str, offsets: bool, id_col: str, text_col: str):
+    """(rows, what a worker does with their batches, schema) of ``encode``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # one vocabulary
     schema = "doc_id long, ids binary, n_tokens long, split_chars long" + ", starts array<int>, ends array<int>" * offsets
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(shared, _options(model), offsets), schema)
+    return rows, _encode(shared, _options(model), offsets), schema
+
+
+def encode(docs: DataFrame, model: str, offsets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, split_chars (tokens that begin inside a
+    character); with ``offsets`` also starts and ends of every token in characters."""
+    rows, run, schema = _encoding(docs, model, offsets, id_col, text_col)
+    return rows.mapInArrow(run, schema)
 
 
 def token_bytes(model: str) -> tuple[bytes, list[int]]:
@@ -133,11 +139,29 @@ def _decode(table, with_text: bool, at_once: int = 1 << 20):
     return run
 
 
+def _decoding(spark: SparkSession, model: str, schema: str, text: bool):
+    """(what a worker does with batches of ``schema``, schema) of ``decode``."""
+    joined, lengths = token_bytes(model)
+    shared = spark.sparkContext.broadcast((joined, np.array(lengths, np.int64).tobytes()))
+    return _decode(shared, text), schema + ", decoded binary" + ", text string" * text
+
+
 def decode(encoded: DataFrame, model: str, text: bool = True) -> DataFrame:
     """``encode``'s rows with ``decoded`` (bytes) and, with ``text``, ``text`` (bytes that are no UTF-8, as from
     cut id sequences, become U+FFFD)."""
-    spark = encoded.sparkSession
-    joined, lengths = token_bytes(model)
-    shared = spark.sparkContext.broadcast((joined, np.array(lengths, np.int64).tobytes()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary" + ", text string" * text
-    return encoded.mapInArrow(_decode(shared, text), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    run, schema = _decoding(encoded.sparkSession, model, schema, text)
+    return encoded.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, model: str, text: bool = True, offsets: bool = False, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``decode(encode(docs))``, each batch encoded and then decoded by one worker: chained, every task
+    holds two Python workers at a time, and as workers are used again, all of them come to hold a tokenizer."""
+    rows, write, schema = _encoding(docs, model, offsets, id_col, text_col)
+    read, schema = _decoding(docs.sparkSession, model, schema, text)
+
+    def run(batches):
+        yield from read(write(batches))
+        release_memory()  # an idle worker keeps its tokenizer and known pieces only
+    return rows.mapInArrow(run, schema)
