@@ -87,3 +87,9 @@ def test_query(spark):
     roots = brute.components(prints)
     want = [(r["doc_id"], f"{p:016x}", rows[root]["doc_id"]) for r, p, root in zip(rows, prints, roots, strict=True)]
     assert [tuple(r) for r in queries.op4_simhash(spark, sf).orderBy("doc_id").collect()] == want
+
+
+def test_groups_are_written_before_they_are_joined(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "")], "doc_id long, text string")
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan  # the plans of the steps before are not part of it

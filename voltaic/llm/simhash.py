@@ -193,7 +193,7 @@ def linked(prints: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v: long): root is the smallest node connected to it.
 
-    Large-star then small-star steps; each round is one written table. Nodes are never collected.
+    Large-star then small-star steps, each a written table. Nodes are never collected.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stored(edges, "links")
@@ -203,6 +203,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = spread_join(both, low, ["u"], total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large, "links-large")  # the small-star step names it six times: as a plan it fills the driver
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (spread_join(large, low, ["u"], total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))))
@@ -226,5 +227,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     sizes = named.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
     by_print = spread_join(named, ids, ["root"], sizes[0]).select("fingerprint", "component_id", F.col("docs").alias("n"))
+    by_print = stored(by_print, "simhash-components")
     return spread_join(prints, by_print, ["fingerprint"], sizes[1]).select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
