@@ -1,6 +1,7 @@
 """Damaged and awkward inputs: nothing is lost silently, no cell ends a job."""
 
 import glob
+import gzip
 import os
 
 import pyarrow as pa
@@ -119,6 +120,43 @@ def test_landed_payloads_are_whole_and_again_the_same(spark, tmp_dir):
         assert {os.path.basename(f)[:-4]: open(f, encoding="utf-8", newline="").read() for f in glob.glob(f"{tmp_dir}/p q/*")} == texts
 
 
+def test_payloads_are_listed_and_read_by_tasks(spark, tmp_dir):
+    from pyspark.sql.types import LongType, StructField, StructType
+    for i in range(300):
+        write(f"{tmp_dir}/p/{i % 7}/{i}.json", f'[{{"a":{i}}}]')
+    df = files.read_bronze_json(spark, f"{tmp_dir}/p", StructType([StructField("a", LongType())]))
+    assert not any("/p/" in f for f in df.inputFiles()) and "FileScan text" not in plan(df)
+    assert df.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write(f"{tmp_dir}/p/later.json", '{"a":300}')  # the files are those of the time of the call
+    assert sorted((os.path.basename(r._file), r.a) for r in df.collect()) == sorted((f"{i}.json", i) for i in range(300))
+
+
+def test_payload_files_are_those_of_a_file_scan(spark, tmp_dir):
+    root = f"{tmp_dir}/a b+é%20'x/d ~!@#$^&()=,;[1]"
+    for name in ("x y", "é\u00a0ü\u0085\u2028", "p%41+q", "_s", "_metadata", ".t", "_h/i", "_k=1/j", ".g/k", "_metadata_d/l", "_a=1", "n\nl", "tab\t",
+                 "bs\\q", 'q"<>|`{}', "sub/𝄞 x/y"):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}.json", "wb") as f:
+            f.write(b'\xef\xbb\xbf{"a": "\xff\xfe"}\r\n')
+    write(f"{root}/empty.json", "")
+    write(f"{root}/other.txt", "1")
+    with gzip.open(f"{root}/z.json.gz", "wb") as f:
+        f.write(b"2")
+    got = {}
+    for path in (f"{tmp_dir}/a*", f"{tmp_dir}/a*/*/", f"file:{tmp_dir}/a b+é%20'x/", f"{root}/x y.json".replace("[", "\\[").replace("]", "\\]")):
+        for pattern in ("*.json", "{x,_}*.json", "[!x]*.json", "*.gz", "*"):
+            scan = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+            both = [sorted(map(tuple, df.select("_file", F.hex("value")).collect())) for df in (
+                files._payload_texts(spark, path, pattern, batch_bytes=40), scan.select("value", F.col("_metadata.file_path").alias("_file")))]
+            assert both[0] == both[1]
+            got[path, pattern] = len(both[0])
+    assert got[f"{tmp_dir}/a*", "*.json"] == 11 and got[f"{tmp_dir}/a*", "*"] == 13
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files._payload_texts(spark, f"{tmp_dir}/none", "*.json")
+    os.makedirs(f"{tmp_dir}/nothing")
+    assert files._payload_texts(spark, f"{tmp_dir}/nothing", "*.json").count() == 0
+
+
 def test_capacity_files_are_read_by_their_own_headers(spark, tmp_dir):
     root = os.path.join(tmp_dir, "c")
     write(f"{root}/a.csv", "code_insee_region;filiere;puissance\n11;Éolien;1,5\n")

@@ -32,10 +32,116 @@ def _one_value(text: Column) -> Column:
     return F.get(F.transform(F.array(parsed), first), F.lit(0))
 
 
+def _task_roots(spark: SparkSession, path: str, glob: str) -> tuple[list[tuple[str, str]], str] | None:
+    """([(URI, place for pyarrow) of what ``path`` names], ``glob`` as a regular expression), or None where only Spark's
+    own source reads what it always read: a path that is missing or that pyarrow cannot open, names that may stand for
+    compressed files, a stream's sink with its log of committed files."""
+    from pyarrow import fs
+    try:
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - a session without a JVM handle
+        return None
+    tail = re.split(r"[*?\]}]", glob)[-1]
+    if "." not in tail or hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hadoop.fs.Path(f"/x{tail}")) is not None:
+        return None
+    p = hadoop.fs.Path(path)
+    system = p.getFileSystem(conf)
+    found = [st.getPath() for st in system.globStatus(p) or ()]
+    if not found or (len(found) == 1 and system.exists(hadoop.fs.Path(found[0], "_spark_metadata"))):
+        return None
+    roots = []
+    for uri in (f.toUri() for f in found):
+        at = uri.getPath() if uri.getScheme() == "file" else uri.toASCIIString()
+        try:
+            _ = at.startswith("/") or fs.FileSystem.from_uri(at)
+        except (OSError, ValueError):
+            return None
+        roots.append((re.sub("^file:/+", "file:/", uri.toString()), at))
+    return roots, hadoop.fs.GlobPattern(glob).compiled().pattern()
+
+
+def _walk(pattern: str):
+    """root, at -> file, at, path: the files under the roots that a file scan reads, named as its metadata names them; one
+    directory is held at a time."""
+    def run(batches):
+        import re
+        import unicodedata
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+        wanted = re.compile(pattern, re.DOTALL).fullmatch
+        hidden = lambda name: name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+        closed = lambda name: hidden(name) and not name.startswith(("_metadata", "_common_metadata"))
+
+        def escaped(c):  # as java.net.URI does: characters beyond ASCII stay unless they are blanks or controls
+            c = c.group()
+            return c if c > "\x7f" and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc") else quote(c, safe="")
+        for batch in batches:
+            for root, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, top = (fs.LocalFileSystem(), at) if at.startswith("/") else fs.FileSystem.from_uri(at)
+                todo = [system.get_file_info(top)]
+                while todo:
+                    info = todo.pop()
+                    found = [info] if info.is_file else system.get_file_info(fs.FileSelector(info.path))
+                    todo += [f for f in found if f.type == fs.FileType.Directory and not closed(f.base_name)]
+                    files = [f.path for f in found if f.is_file and f.size != 0 and not hidden(f.base_name) and wanted(f.base_name)]
+                    for i in range(0, len(files), 10_000):
+                        part = files[i:i + 10_000]
+                        names = [root + re.sub(r"[^A-Za-z0-9_.!~*'():@&=+$,;/-]", escaped, f[len(top):]) for f in part]
+                        yield pa.record_batch([pa.array(names, pa.string()), pa.array([at] * len(part), pa.string()),
+                                               pa.array(part, pa.string())], names=["file", "at", "path"])
+    return run
+
+
+def _texts(batch_bytes: int):
+    """file, at, path -> value, _file: each file's bytes as text, about ``batch_bytes`` to a batch."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def out(values, names):  # bytes as they are: Spark's text source checks no encoding either
+            return pa.record_batch([pa.array(values, pa.binary()).view(pa.string()), pa.array(names, pa.string())], names=["value", "_file"])
+        systems, values, names, size = {}, [], [], 0
+        for batch in batches:
+            for file, at, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at not in systems:
+                    systems[at] = fs.LocalFileSystem() if at.startswith("/") else fs.FileSystem.from_uri(at)[0]
+                with systems[at].open_input_stream(path, compression=None) as f:
+                    data = f.read()
+                if values and size + len(data) > batch_bytes:
+                    yield out(values, names)
+                    values, names, size = [], [], 0
+                values.append(data)
+                names.append(file)
+                size += len(data)
+        if values:
+            yield out(values, names)
+    return run
+
+
+def _payload_texts(spark: SparkSession, path: str, glob: str, batch_bytes: int = 1 << 20) -> DataFrame:
+    """value, _file: the whole text of every file under ``path`` (recursive) whose name matches ``glob``, one row per file.
+
+    Tasks list the files, into a staged table, and read them; the driver sees only what ``path`` itself names. Spark's file
+    index holds every file on the driver and counts each as 4 MB, so a task gets a few small payloads only: both its
+    listing and its tasks outgrow a driver at some 100 000 payloads. Spark's source reads what ``_task_roots`` leaves to it."""
+    found = _task_roots(spark, path, glob)
+    if found is None:
+        return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+                .select("value", F.col("_metadata.file_path").alias("_file")))
+    roots, pattern = found
+    listed = spark.createDataFrame(roots, "root string, at string").mapInArrow(_walk(pattern), "file string, at string, path string")
+    kept = scratch_path(spark, "payload-files")
+    listed.write.parquet(kept)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (spark.read.schema(listed.schema).parquet(kept).repartition(tasks)
+            .mapInArrow(_texts(batch_bytes), "value string, _file string"))
+
+
 def _bronze_records(spark: SparkSession, path: str, schema: StructType, glob: str) -> DataFrame:
     """_file, _pos, _rec (struct or NULL), _raw (text of what is damaged), _why: every record of every JSON file."""
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-           .select(F.col("value"), F.col("_metadata.file_path").alias("_file"), _one_value(F.col("value")).alias("_whole")))
+    raw = _payload_texts(spark, path, glob).select("value", "_file", _one_value(F.col("value")).alias("_whole"))
     # JSON Lines (Spark's own landing format) by their shape: no single value, and the first line is an object of its own, or
     # all lines open one and some are whole, or half of them are whole; each line counts for itself
     unit = lambda text, v: F.struct(text.alias("text"), v.alias("v"))
@@ -102,7 +208,8 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
 
     A payload file is one value, as the feed lands it (at most Spark's limit for a
     Variant, beyond it the file counts as damaged); large JSON Lines files belong
-    to ``spark.read.json``, which splits them.
+    to ``spark.read.json``, which splits them. Tasks list the files and read them,
+    so the driver's memory does not grow with their number.
     """
     if on_damage not in ("fail", "quarantine") or (on_damage == "quarantine") != (quarantine is not None):
         raise ValueError("on_damage is 'fail', or 'quarantine' with a quarantine path")
