@@ -131,6 +131,20 @@ def test_payloads_are_listed_and_read_by_tasks(spark, tmp_dir):
     assert sorted((os.path.basename(r._file), r.a) for r in df.collect()) == sorted((f"{i}.json", i) for i in range(300))
 
 
+def test_a_task_of_the_quarantine_reads_many_payloads(spark, tmp_dir):
+    kinds = ["view", "purchase", "error", "signup"]
+    events = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id % 100 AS user_id",
+        f"array({', '.join(map(repr, kinds))})[int(id div 100)] AS event_type", "double(id % 100) AS value", """'{"k": 1}' AS props""")
+    events.write.parquet(f"{tmp_dir}/events.parquet")
+    staged = lambda: set(glob.glob(f"{checkpoint_root(spark)}/bronze-records-*".removeprefix("file:")))
+    before = staged()
+    counts = {r["kind"]: r["texts"] for r in entry_mod.queries()["s01_quarantine"](spark, tmp_dir).collect()}
+    assert counts == {"cut file": 100, "number": 100, "text": 100, "null": 100}
+    (new,) = staged() - before
+    assert len(glob.glob(f"{new}/part-*")) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_payload_files_are_those_of_a_file_scan(spark, tmp_dir):
     root = f"{tmp_dir}/a b+é%20'x/d ~!@#$^&()=,;[1]"
     for name in ("x y", "é\u00a0ü\u0085\u2028", "p%41+q", "_s", "_metadata", ".t", "_h/i", "_k=1/j", ".g/k", "_metadata_d/l", "_a=1", "n\nl", "tab\t",
