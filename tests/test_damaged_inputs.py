@@ -171,6 +171,29 @@ def test_payload_files_are_those_of_a_file_scan(spark, tmp_dir):
     assert files._payload_texts(spark, f"{tmp_dir}/nothing", "*.json").count() == 0
 
 
+def test_payloads_that_only_spark_reads_are_left_to_it(spark, tmp_dir):
+    names = lambda path: sorted(os.path.basename(r._file) for r in files._payload_texts(spark, path, "*.txt").select("_file").collect())
+    write(f"{tmp_dir}/in/a.txt", "1")
+    write(f"{tmp_dir}/in/b.txt", "2")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.payloads.link./in", f"file://{tmp_dir}/in")
+    assert names("viewfs://payloads/in") == ["a.txt", "b.txt"]
+    (spark.readStream.text(f"{tmp_dir}/in").writeStream.trigger(availableNow=True).format("text").option("checkpointLocation", f"{tmp_dir}/ckpt")
+     .start(f"{tmp_dir}/sink").awaitTermination())
+    write(f"{tmp_dir}/sink/not-committed.txt", "3")
+    assert "not-committed.txt" not in names(f"{tmp_dir}/sink") and names(f"{tmp_dir}/sink")
+    listed = files._payload_texts(spark, f"{tmp_dir}/in", "*.txt")
+    os.remove(f"{tmp_dir}/in/b.txt")
+    with pytest.raises(Exception, match="b.txt"):
+        listed.count()
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", True)
+    try:
+        scanned = files._payload_texts(spark, f"{tmp_dir}/in", "*.txt")
+        os.remove(f"{tmp_dir}/in/a.txt")
+        assert scanned.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+
+
 def test_capacity_files_are_read_by_their_own_headers(spark, tmp_dir):
     root = os.path.join(tmp_dir, "c")
     write(f"{root}/a.csv", "code_insee_region;filiere;puissance\n11;Éolien;1,5\n")

@@ -35,12 +35,14 @@ def _one_value(text: Column) -> Column:
 def _task_roots(spark: SparkSession, path: str, glob: str) -> tuple[list[tuple[str, str]], str] | None:
     """([(URI, place for pyarrow) of what ``path`` names], ``glob`` as a regular expression), or None where only Spark's
     own source reads what it always read: a path that is missing or that pyarrow cannot open, names that may stand for
-    compressed files, a stream's sink with its log of committed files."""
+    compressed files, a stream's sink with its log of committed files, a session that passes over missing or corrupt files."""
     from pyarrow import fs
     try:
-        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsparkSession.sessionState().newHadoopConf()  # noqa: SLF001
     except Exception:  # noqa: BLE001 - a session without a JVM handle
         return None
+    if any(spark.conf.get(f"spark.sql.files.ignore{which}Files") == "true" for which in ("Missing", "Corrupt")):
+        return None
     tail = re.split(r"[*?\]}]", glob)[-1]
     if "." not in tail or hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hadoop.fs.Path(f"/x{tail}")) is not None:
         return None
@@ -209,7 +211,8 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
     A payload file is one value, as the feed lands it (at most Spark's limit for a
     Variant, beyond it the file counts as damaged); large JSON Lines files belong
     to ``spark.read.json``, which splits them. Tasks list the files and read them,
-    so the driver's memory does not grow with their number.
+    so the driver's memory does not grow with their number; the list is a table in
+    the shared checkpoint folder, made when this function is called.
     """
     if on_damage not in ("fail", "quarantine") or (on_damage == "quarantine") != (quarantine is not None):
         raise ValueError("on_damage is 'fail', or 'quarantine' with a quarantine path")
