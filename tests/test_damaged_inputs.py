@@ -171,6 +171,14 @@ def test_payload_files_are_those_of_a_file_scan(spark, tmp_dir):
     assert files._payload_texts(spark, f"{tmp_dir}/nothing", "*.json").count() == 0
 
 
+def test_payloads_are_read_without_a_shared_folder(spark, tmp_dir, monkeypatch):
+    def refuse(*_):
+        raise RuntimeError("spark.checkpoint.dir is unset")
+    write(f"{tmp_dir}/in/a.txt", "1")
+    monkeypatch.setattr(files, "scratch_path", refuse)
+    assert [r.value for r in files._payload_texts(spark, f"{tmp_dir}/in", "*.txt").collect()] == ["1"]
+
+
 def test_payloads_that_only_spark_reads_are_left_to_it(spark, tmp_dir):
     names = lambda path: sorted(os.path.basename(r._file) for r in files._payload_texts(spark, path, "*.txt").select("_file").collect())
     write(f"{tmp_dir}/in/a.txt", "1")

@@ -127,14 +127,18 @@ def _payload_texts(spark: SparkSession, path: str, glob: str, batch_bytes: int =
 
     Tasks list the files, into a staged table, and read them; the driver sees only what ``path`` itself names. Spark's file
     index holds every file on the driver and counts each as 4 MB, so a task gets a few small payloads only: both its
-    listing and its tasks outgrow a driver at some 100 000 payloads. Spark's source reads what ``_task_roots`` leaves to it."""
+    listing and its tasks outgrow a driver at some 100 000 payloads. Spark's source reads what ``_task_roots`` leaves to it
+    and serves sessions without a shared checkpoint folder."""
     found = _task_roots(spark, path, glob)
+    try:
+        kept = scratch_path(spark, "payload-files")
+    except RuntimeError:  # a cluster session without a shared folder
+        found = None
     if found is None:
         return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
                 .select("value", F.col("_metadata.file_path").alias("_file")))
     roots, pattern = found
     listed = spark.createDataFrame(roots, "root string, at string").mapInArrow(_walk(pattern), "file string, at string, path string")
-    kept = scratch_path(spark, "payload-files")
     listed.write.parquet(kept)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (spark.read.schema(listed.schema).parquet(kept).repartition(tasks)
@@ -212,7 +216,8 @@ def read_bronze_json(spark: SparkSession, path: str, schema: StructType,
     Variant, beyond it the file counts as damaged); large JSON Lines files belong
     to ``spark.read.json``, which splits them. Tasks list the files and read them,
     so the driver's memory does not grow with their number; the list is a table in
-    the shared checkpoint folder, made when this function is called.
+    the shared checkpoint folder, made when this function is called (a session
+    without such a folder reads through Spark's own file index).
     """
     if on_damage not in ("fail", "quarantine") or (on_damage == "quarantine") != (quarantine is not None):
         raise ValueError("on_damage is 'fail', or 'quarantine' with a quarantine path")
